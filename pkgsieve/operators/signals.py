@@ -146,6 +146,92 @@ def dependency_confusion(names: DataFrame, private: DataFrame) -> DataFrame:
     return _signal(j, GRP_PRIVATE, F.lit(0), F.lit(""), 0, SCORE_DEP_CONFUSION, F.lit(MSG_DEP_CONFUSION))
 
 
+def popular_loop_signals(names: DataFrame, popular: DataFrame, distance: int = 1) -> DataFrame:
+    """J1 + J2 + J3 in one probe of the broadcast popular keys.
+
+    Both sides are exploded into tagged blocking keys: ``d:`` deletion keys
+    (they include the name itself, so exact matches meet too) and ``s:`` the
+    (length, sorted characters) swap key.  One map-side join yields every
+    candidate pair; each pair then emits the signals whose exact predicate
+    holds.  Duplicate pairs (several shared keys) are removed by the
+    ``collect_set`` of the roll-up.
+    """
+
+    def keyed(name: str) -> Column:
+        dk = F.transform(deletion_keys(name, min(distance, 2)), lambda k: F.concat(F.lit("d:"), k))
+        sk = F.concat(F.lit("s:"), F.length(name).cast("string"), F.lit(":"), sorted_chars(name))
+        return F.array_union(dk, F.array(sk))
+
+    nk = names.select("nid", "name", F.explode(keyed("name")).alias("k"))
+    pk = popular.select("pname", "download_count", F.explode(keyed("pname")).alias("k"))
+    pairs = nk.join(bounded_broadcast(pk), "k").drop("k")
+    if distance > 2:
+        pairs = pairs.unionByName(levenshtein_pairs(names, popular, distance, dedupe=False))
+    name, pname, dc = F.col("name"), F.col("pname"), F.col("download_count")
+
+    def sig(sub: int, score: int, msg: Column) -> Column:
+        return F.struct(
+            F.struct(F.lit(GRP_POPULAR_LOOP).alias("grp"), (-dc).cast("long").alias("neg_dc"), pname.alias("pname"),
+                     F.lit(sub).alias("sub"), msg.alias("msg")).alias("sig"),
+            F.lit(score).alias("score"),
+        )
+
+    fired = F.filter(
+        F.array(
+            F.when(name == pname, sig(SUB_EXACT, SCORE_POPULAR, _template(MSG_POPULAR, p=name, n=dc))),
+            F.when(within_distance(name, pname, distance),
+                   sig(SUB_LEVENSHTEIN, SCORE_TYPOSQUAT, _template(MSG_TYPOSQUAT, q=pname))),
+            F.when((F.length(name) == F.length(pname)) & (mismatches(name, pname) == 2)
+                   & (sorted_chars(name) == sorted_chars(pname)),
+                   sig(SUB_SWAP, SCORE_TYPOSQUAT, _template(MSG_TYPOSQUAT, q=pname))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return pairs.select("nid", "name", F.explode(fired).alias("f")).select("nid", "name", "f.sig", "f.score")
+
+
+def lookup_signals(names: DataFrame, aliases: DataFrame | None, removed: DataFrame | None,
+                   private: DataFrame | None) -> DataFrame:
+    """J4 + J5 + J6 as one equi-join on the name.
+
+    The three lookup tables are reduced to at most one row per (name, signal)
+    before the join (map-side partial aggregation), so a name that appears
+    in millions of alias rows still contributes one row; a hot name on the
+    probe side is split by AQE's skew-join handling.
+    """
+    facts = []
+    if aliases is not None:
+        facts.append(aliases.where(F.col("import_name") != F.col("name"))
+                            .select(F.col("import_name").alias("lname"), F.lit(GRP_IMPORT).alias("grp"),
+                                    F.col("name").alias("owner")))
+    if removed is not None:
+        facts.append(removed.select(F.col("name").alias("lname"), F.lit(GRP_REUSE).alias("grp"),
+                                    F.lit(None).cast("string").alias("owner")))
+    if private is not None:
+        facts.append(private.select(F.col("name").alias("lname"), F.lit(GRP_PRIVATE).alias("grp"),
+                                    F.lit(None).cast("string").alias("owner")))
+    if not facts:
+        return None
+    u = facts[0]
+    for f in facts[1:]:
+        u = u.unionByName(f)
+    u = u.groupBy("lname", "grp").agg(F.min("owner").alias("owner"))
+    j = names.join(u, names.name == u.lname)
+    grp = F.col("grp")
+    msg = (F.when(grp == GRP_IMPORT, _template(MSG_IMPORT_HIJACK, q=F.col("owner")))
+            .when(grp == GRP_REUSE, _template(MSG_NAME_REUSE, p=F.col("name")))
+            .otherwise(F.lit(MSG_DEP_CONFUSION)))
+    score = (F.when(grp == GRP_IMPORT, F.lit(SCORE_IMPORT_HIJACK))
+              .when(grp == GRP_REUSE, F.lit(SCORE_NAME_REUSE))
+              .otherwise(F.lit(SCORE_DEP_CONFUSION)))
+    return j.select(
+        "nid", "name",
+        F.struct(grp.alias("grp"), F.lit(0).cast("long").alias("neg_dc"), F.lit("").alias("pname"),
+                 F.lit(0).alias("sub"), msg.alias("msg")).alias("sig"),
+        score.alias("score"),
+    )
+
+
 def project_suspicion(
     names: DataFrame,
     popular: DataFrame,
@@ -160,20 +246,15 @@ def project_suspicion(
 
     Returns ``id_col, name_col, suspicion, n_signals, suspicion_info`` where
     ``suspicion_info`` is an ``ARRAY<STRING>`` in signal order (popular-list
-    order within the exact / Levenshtein / swap signals).
+    order within the exact / Levenshtein / swap signals, then import-name,
+    name-reuse and private-name signals).
     """
     n = names.select(F.col(id_col).alias("nid"), F.col(name_col).alias("name"))
     pop = popular.select(F.col("project").alias("pname"), F.col("download_count").cast("long").alias("download_count"))
-    parts = [popular_exact(n, bounded_broadcast(pop)), typosquat_levenshtein(n, pop, distance), typosquat_swap(n, pop)]
-    if aliases is not None:
-        parts.append(import_hijack(n, aliases))
-    if removed is not None:
-        parts.append(name_reuse(n, removed))
-    if private is not None:
-        parts.append(dependency_confusion(n, private))
-    sigs = parts[0]
-    for p in parts[1:]:
-        sigs = sigs.unionByName(p)
+    sigs = popular_loop_signals(n, pop, distance)
+    looked = lookup_signals(n, aliases, removed, private)
+    if looked is not None:
+        sigs = sigs.unionByName(looked)
     # one zero row per name so names without signals survive the single group-by
     zero = n.select("nid", "name", F.lit(None).cast(sigs.schema["sig"].dataType).alias("sig"), F.lit(0).alias("score"))
     agg = (sigs.unionByName(zero)

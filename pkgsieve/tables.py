@@ -120,6 +120,19 @@ PRIVATE = """
 select project as name, '1.0' as version from {candidates} c where c_custkey % 17 = 0
 """
 
+# Metadata snapshots the JSON API would return for feed projects / releases:
+# a project is missing iff its number % 7 = 3; a release is missing iff its
+# version is 1.2 and the project number % 5 = 1.
+PROJECT_META = """
+select project as name, max(version) as info_version, max(serial) as last_serial
+from {changelog} c where cast(substr(project, 5) as int) % 7 <> 3 group by project
+"""
+
+RELEASE_META = """
+select distinct project as name, version from {changelog} c
+where not (version = '1.2' and cast(substr(project, 5) as int) % 5 = 1)
+"""
+
 DERIVED = {
     "changelog": (CHANGELOG, ("events",)),
     "popular": (POPULAR, ("part",)),
@@ -132,6 +145,8 @@ DERIVED = {
     "aliases": (ALIASES, ("candidates",)),
     "removed_projects": (REMOVED_PROJECTS, ("candidates",)),
     "private": (PRIVATE, ("candidates",)),
+    "project_meta": (PROJECT_META, ("changelog",)),
+    "release_meta": (RELEASE_META, ("changelog",)),
 }
 
 
