@@ -1 +1,184 @@
-"""Registered queries."""
+"""Queue and sink queries: J13, T1, T2, W8, P4-P7, S16-S18, A7."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import tables as T
+from ..operators import queues as Qu
+from ..operators import sinks as Si
+from .registry import register
+
+# Scan settings of the queue queries (the monitor's CLI defaults are -1/tgz;
+# 5 turns scanning on so the queue is not empty).
+ANALYZE_THRESHOLD = 5
+FILE_TYPE = "tgz"
+TOP_K = 100
+
+_CTES = ("release_files",)
+_HWM = "(select (min(last_serial) + max(last_serial)) // 2 from release_files)"
+_SUSP = "cast(substr(project, 5) as int) % 11"
+_TASKS = f"""
+, tasks as (
+  select project, version, last_serial, idx, filename, {_SUSP} as suspicion,
+    row_number() over (partition by project, version order by last_serial, idx, filename) as seq
+  from release_files)"""
+
+
+def _rf(spark, sf):
+    return T.derived(spark, sf, "release_files")
+
+
+def _hwm(rf):
+    return F.broadcast(rf.agg(((F.min("last_serial") + F.max("last_serial")) / 2).cast("long").alias("hwm")))
+
+
+def releases(spark, sf):
+    """Release rows with their nested ``urls`` (as the release JSON has them)."""
+    rf = _rf(spark, sf)
+    return rf.groupBy("project", "version").agg(
+        F.max("last_serial").alias("last_serial"),
+        F.collect_list(F.struct("idx", "filename", F.col("last_serial").alias("file_serial"))).alias("urls"))
+
+
+def project_suspicion_fixture(spark, sf):
+    """Suspicion per feed project (fixture: project number % 11)."""
+    return _rf(spark, sf).select("project").distinct().select(
+        "project", (F.substring("project", 5, 100).cast("int") % 11).alias("suspicion"))
+
+
+def tasks(spark, sf):
+    rel = releases(spark, sf)
+    flat = rel.select("project", "version", F.explode("urls").alias("u")).select(
+        "project", "version", F.col("u.file_serial").alias("last_serial"),
+        F.struct("u.idx", "u.filename").alias("u"))
+    nested = flat.groupBy("project", "version", "last_serial").agg(F.collect_list("u").alias("urls"))
+    return Qu.download_tasks(nested, project_suspicion_fixture(spark, sf))
+
+
+_TASK_COLS = ["project", "version", "last_serial", "idx", "filename", "suspicion", "seq"]
+
+
+@register("download_tasks", T.with_ctes(_TASKS + """
+select project, version, last_serial, idx, filename, suspicion, seq from tasks
+""", *_CTES))
+def download_tasks(spark, sf):
+    """J13 + W8: one task per release file with the project suspicion."""
+    return tasks(spark, sf).select(*_TASK_COLS)
+
+
+@register("download_top", T.with_ctes(_TASKS + f"""
+select project, version, last_serial, idx, filename, suspicion, seq from tasks
+order by suspicion desc, project, version, seq limit {TOP_K}
+""", *_CTES))
+def download_top(spark, sf):
+    """The first TOP_K downloads in priority order (top-k report)."""
+    return tasks(spark, sf).orderBy(*Qu.priority_order(tasks(spark, sf))).limit(TOP_K).select(*_TASK_COLS)
+
+
+@register("analysis_queue", T.with_ctes(_TASKS + f"""
+select project, version, last_serial, idx, filename, suspicion, seq from tasks
+where suspicion >= {ANALYZE_THRESHOLD} and ends_with(filename, '.tar.gz')
+""", *_CTES))
+def analysis_queue(spark, sf):
+    """P4 + P5 (+ T2 order by the task key)."""
+    return Qu.analysis_filter(tasks(spark, sf), ANALYZE_THRESHOLD, FILE_TYPE).select(*_TASK_COLS)
+
+
+@register("pending_downloads", T.with_ctes(_TASKS + f"""
+select project, version, last_serial, idx, filename, suspicion, seq from tasks
+where filename not in (select filename from release_files where last_serial <= {_HWM})
+""", *_CTES))
+def pending_downloads(spark, sf):
+    """Tasks whose archive is not stored yet (stored = files of the
+    earlier run, up to the mark)."""
+    rf = _rf(spark, sf)
+    h = _hwm(rf)
+    stored = rf.join(h, rf.last_serial <= h.hwm).select("filename")
+    return Qu.skip_existing(tasks(spark, sf), stored).select(*_TASK_COLS)
+
+
+@register("pending_analysis", T.with_ctes(_TASKS + f"""
+select project, version, last_serial, idx, filename, suspicion, seq from tasks
+where suspicion >= {ANALYZE_THRESHOLD} and ends_with(filename, '.tar.gz')
+  and filename not in (select filename from release_files where last_serial <= {_HWM} and idx % 3 = 0)
+""", *_CTES))
+def pending_analysis(spark, sf):
+    """Queued archives without a stored result (results: earlier-run
+    files with idx % 3 = 0, a fixture subset)."""
+    rf = _rf(spark, sf)
+    h = _hwm(rf)
+    done = rf.join(h, (rf.last_serial <= h.hwm) & (rf.idx % 3 == 0)).select("filename")
+    q = Qu.analysis_filter(tasks(spark, sf), ANALYZE_THRESHOLD, FILE_TYPE)
+    return Qu.skip_existing(q, done, cover=False).select(*_TASK_COLS)
+
+
+_FILE_COLS = ["filename", "project", "version", "last_serial", "idx"]
+
+
+@register("insert_ignore", T.with_ctes(f"""
+select filename, project, version, last_serial, idx from release_files
+qualify row_number() over (partition by filename order by last_serial, idx) = 1
+""", *_CTES))
+def insert_ignore(spark, sf):
+    """Results table after an earlier run (up to the mark) and this run;
+    first write wins per file name."""
+    rf = _rf(spark, sf).select(*_FILE_COLS)
+    h = _hwm(rf)
+    earlier = rf.join(h, rf.last_serial <= h.hwm).select(*_FILE_COLS)
+    later = rf.join(h, rf.last_serial > h.hwm).select(*_FILE_COLS)
+    empty = rf.where(F.lit(False))
+    target = Si.insert_ignore(empty, earlier, ["filename"], ["last_serial", "idx"])
+    return Si.insert_ignore(target, later, ["filename"], ["last_serial", "idx"])
+
+
+@register("upsert_results", T.with_ctes(f"""
+select filename, project, version, last_serial, idx from release_files
+qualify row_number() over (partition by filename order by last_serial desc, idx desc) = 1
+""", *_CTES))
+def upsert_results(spark, sf):
+    """Results keyed by file name; the newer run overwrites."""
+    rf = _rf(spark, sf).select(*_FILE_COLS)
+    h = _hwm(rf)
+    earlier = rf.join(h, rf.last_serial <= h.hwm).select(*_FILE_COLS)
+    later = rf.join(h, rf.last_serial > h.hwm).select(*_FILE_COLS)
+    target = Si.upsert(rf.where(F.lit(False)), earlier, ["filename"], ["last_serial", "idx"])
+    return Si.upsert(target, later, ["filename"], ["last_serial", "idx"])
+
+
+@register("upsert_private", T.with_ctes("""
+select name, versions from (
+  select name, versions, row_number() over (partition by name order by src desc, ord desc) as rn from (
+    select name, '1.0' as versions, 0 as src, 0 as ord from private
+    union all
+    select project, '2.' || cast(c_custkey % 7 as varchar), 1, c_custkey from candidates where c_custkey % 19 = 0)
+  u) r where rn = 1
+""", "candidates", "private"))
+def upsert_private(spark, sf):
+    """Private package list keyed by name; a new list overwrites."""
+    target = T.derived(spark, sf, "private").groupBy("name").agg(F.lit("1.0").alias("versions"))
+    c = T.derived(spark, sf, "candidates").where(F.col("c_custkey") % 19 == 0)
+    new = c.select(F.col("project").alias("name"),
+                   F.concat(F.lit("2."), (F.col("c_custkey") % 7).cast("string")).alias("versions"), "c_custkey")
+    out = Si.upsert(target.withColumn("c_custkey", F.lit(None).cast("long")), new, ["name"], ["c_custkey"])
+    return out.select("name", "versions")
+
+
+@register("release_analyzed", T.with_ctes(f"""
+select r.project, r.version, a.project is not null as analyzed,
+  coalesce(array_to_string(list_sort(a.files), ','), '') as analyzed_files
+from (select distinct project, version from release_files) r
+left join (select project, version, list(distinct filename) as files from release_files
+           where last_serial <= {_HWM} and ends_with(filename, '.tar.gz') group by all) a
+  on r.project = a.project and r.version = a.version
+""", *_CTES))
+def release_analyzed(spark, sf):
+    """Add analysed archives to each release's ``analyzed_files`` set and
+    mark it analysed."""
+    rf = _rf(spark, sf)
+    h = _hwm(rf)
+    rel = rf.select("project", "version").distinct().select(
+        "project", "version", F.lit(False).alias("analyzed"), F.array().cast("array<string>").alias("analyzed_files"))
+    adds = rf.join(h, (rf.last_serial <= h.hwm) & rf.filename.endswith(".tar.gz")).select("project", "version", "filename")
+    out = Si.set_add(rel, adds, ["project", "version"], "analyzed_files", "filename", flag="analyzed")
+    return out.select("project", "version", "analyzed",
+                      F.array_join(F.array_sort("analyzed_files"), ",").alias("analyzed_files"))
