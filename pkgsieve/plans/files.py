@@ -1 +1,99 @@
-"""Registered queries."""
+"""File-level queries: P3, A4, W7, A8."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import tables as T
+from ..operators import files as Fi
+from ..sources.rules import load_file_rules
+from .registry import register
+
+# A rule set exercising every location x kind (the shipped default only
+# matches file names).
+EXTENDED_FILE_RULES = [
+    ("file_name", "match", "setup.py"),
+    ("file_name", "match", "__init__.py"),
+    ("file_dir", "match", "/pkg3/core"),
+    ("file_dir", "regex", "sub$"),
+    ("file_path", "match", "/pkg12/mod62.py"),
+    ("file_path", "regex", "^/pkg4[0-9]/core/mod"),
+]
+
+
+def _sql_pred(rules) -> str:
+    cols = {"file_dir": "file_dir", "file_name": "file_name", "file_path": "(file_dir || '/' || file_name)"}
+    terms = []
+    for loc, kind, pat in rules:
+        p = pat.replace("'", "''")
+        terms.append(f"{cols[loc]} = '{p}'" if kind == "match" else f"regexp_matches({cols[loc]}, '{p}')")
+    return "ends_with(file_name, '.py') and (" + " or ".join(terms or ["false"]) + ")"
+
+
+def _selected(spark, sf, rules):
+    s = T.derived(spark, sf, "source_files")
+    return s.where(Fi.file_selected(F.col("file_dir"), F.col("file_name"), rules)).select(
+        "doc_id", "file_dir", "file_name")
+
+
+@register("file_selection", T.with_ctes(f"""
+select doc_id, file_dir, file_name from source_files where {_sql_pred(load_file_rules())}
+""", "source_files"))
+def file_selection(spark, sf):
+    """P3 with the shipped file rules."""
+    return _selected(spark, sf, load_file_rules())
+
+
+@register("file_selection_rules", T.with_ctes(f"""
+select doc_id, file_dir, file_name from source_files where {_sql_pred(EXTENDED_FILE_RULES)}
+""", "source_files"))
+def file_selection_rules(spark, sf):
+    """P3 with dir / name / path x match / regex rules."""
+    return _selected(spark, sf, EXTENDED_FILE_RULES)
+
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@register("effective_lines", T.with_ctes(f"""
+select doc_id, cast(len(list_filter(regexp_split_to_array(text, chr(13) || chr(10) || '|' || chr(13) || '|' || chr(10)),
+  lambda l: not regexp_matches(l, '^[' || {_BLANKS} || ']*(#|$)'))) as bigint) as lines
+from source_files
+""", "source_files"))
+def effective_lines(spark, sf):
+    """A4 over every document's whole text."""
+    s = T.derived(spark, sf, "source_files")
+    return s.select("doc_id", Fi.effective_lines(F.col("text")).alias("lines"))
+
+
+_IMPORTS_SQL = """
+, dirs as (select distinct 'pkg' || cast(doc_id % 50 as varchar) as package, file_dir as dir
+           from source_files where file_name = '__init__.py'),
+tops as (select package, dir, regexp_extract(dir, '([^/]*)$', 1) as import_name from dirs d
+         where not exists (select 1 from dirs a where a.package = d.package and starts_with(d.dir, a.dir || '/')))
+"""
+
+
+def _import_names(spark, sf):
+    s = T.derived(spark, sf, "source_files").withColumn(
+        "package", F.concat(F.lit("pkg"), (F.col("doc_id") % 50).cast("string")))
+    return Fi.import_names(s)
+
+
+@register("import_names", T.with_ctes(_IMPORTS_SQL + "select package, dir, import_name from tops",
+                                      "source_files"))
+def import_names(spark, sf):
+    """Topmost package directories per package."""
+    return _import_names(spark, sf)
+
+
+@register("alias_build", T.with_ctes(_IMPORTS_SQL + """
+select distinct 'pkg-' || substr(package, 4) as name, '1.0' as version, import_name from tops
+where import_name <> 'pkg-' || substr(package, 4)
+""", "source_files"))
+def alias_build(spark, sf):
+    """Alias rows (import name differs from the project name)."""
+    # the project of package ``pkgN`` is named ``pkg-N`` (its import name differs)
+    n = _import_names(spark, sf).select(
+        F.concat(F.lit("pkg-"), F.substring("package", 4, 100)).alias("project"), F.lit("1.0").alias("version"),
+        "import_name")
+    return Fi.alias_rows(n)
