@@ -1 +1,51 @@
-"""Registered queries."""
+"""Streaming queries (C1-C4): the stream's final tables must equal the
+batch operators' results, so they share the batch oracles."""
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from .. import tables as T
+from ..session import ensure_checkpoint_dir
+from ..streaming.monitor import FeedMonitor, stage_feed
+from ..streaming.scan import ScanStream, stage_corpus
+from . import changelog as CL
+from . import taint as TQ
+from .registry import ORACLES, register
+
+N_FEED_FILES = 4
+
+
+def _monitor(spark, sf):
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex[:8]}"
+    feed = T.derived(spark, sf, "changelog")
+    path = stage_feed(feed, root, N_FEED_FILES)
+    mon = FeedMonitor(spark, T.derived(spark, sf, "project_meta"), T.derived(spark, sf, "release_meta"),
+                      root=root, block=CL.feed_block(spark))
+    return mon.run(path)
+
+
+@register("stream_ingest", ORACLES["refresh_triggers"])
+def stream_ingest(spark, sf):
+    """C1 + C3 (+ W1 across micro-batches): the streamed, W1-flagged feed."""
+    ev = _monitor(spark, sf).events()
+    return (ev.where(F.col("kind").isin("new release", "yank release", "unyank release", "file"))
+              .select("serial", "project", "version", "kind", "skipped", "triggers"))
+
+
+@register("stream_state", ORACLES["project_incarnations"])
+def stream_state(spark, sf):
+    """Per-project incarnation state maintained batch by batch."""
+    return _monitor(spark, sf).incarnations().select(
+        "project", "incarnation", "open_serial", "opened_by", "open_ts", "close_serial", "close_ts", "live")
+
+
+@register("stream_scan", ORACLES["issues"])
+def stream_scan(spark, sf):
+    """C4: source files arriving as a stream are scanned per micro-batch and
+    their issues appended to the results table."""
+    root = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex[:8]}"
+    path = stage_corpus(T.read(spark, sf, "documents"), root, 2)
+    res = ScanStream(spark, root).run(path).issues()
+    return TQ.issue_columns(res)

@@ -103,7 +103,10 @@ def _ast_counts():
                               "d.doc_id, v.rule_id, v.sink_line, v.taint_key, v.severity, v.confidence, v.msg"))
 def issues(spark, sf):
     """Detected issues (rule, sink line, taint, scores, message)."""
-    i = scanned(spark, sf).scan.issues
+    return issue_columns(scanned(spark, sf).scan.issues)
+
+
+def issue_columns(i):
     tk = (F.when(F.col("taint.accordance") == "type", F.col("taint.type"))
            .when(F.col("taint.accordance") == "function", F.col("taint.function"))
            .otherwise(F.col("taint.attribute")))
