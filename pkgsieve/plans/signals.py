@@ -152,3 +152,31 @@ def signal_dep_confusion(spark, sf):
     df = S.dependency_confusion(_names(spark, sf), T.derived(spark, sf, "private"))
     return df.select(F.col("nid").alias("c_custkey"), F.col("name").alias("project"), "score",
                      F.col("sig.msg").alias("message"))
+
+
+# --- larger fuzzy input: words of whole English documents -------------------
+
+TOP_WORDS = 500
+
+
+@register("word_typosquat", f"""
+with w as (select distinct lower(m) as word from documents, unnest(regexp_extract_all(text, '[A-Za-z]{{5,9}}', 0)) as u(m)
+           where lang = 'en'),
+cnt as (select lower(m) as word, count(*) as n from documents, unnest(regexp_extract_all(text, '[A-Za-z]{{5,9}}', 0)) as u(m)
+        where lang = 'en' group by 1),
+top as (select word as pname, n as download_count from cnt order by n desc, word limit {TOP_WORDS})
+select w.word as name, t.pname as popular_name from w join top t on levenshtein(w.word, t.pname) = 1
+""")
+def word_typosquat(spark, sf):
+    """J2 at scale: every distinct word (5-9 letters) of the English documents
+    against the 500 most frequent words (the popular list is a top-N list by
+    definition), blocked by deletion keys -- no cross join."""
+    d = T.read(spark, sf, "documents").where(F.col("lang") == "en")
+    toks = d.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,9}"), 0)).alias("m")).select(
+        F.lower("m").alias("word"))
+    counts = toks.groupBy("word").agg(F.count("*").alias("download_count"))
+    top = counts.orderBy(F.desc("download_count"), "word").limit(TOP_WORDS).select(
+        F.col("word").alias("pname"), "download_count")
+    names = counts.select(F.col("word").alias("nid"), F.col("word").alias("name"))
+    pairs = S.levenshtein_pairs(names, top, 1)
+    return pairs.select(F.col("name"), F.col("pname").alias("popular_name"))
