@@ -87,7 +87,7 @@ def version_from_filename(project: str | Column, filename: str | Column, strict:
 
     Compat (default): strip *leading characters in the project-name set*,
     then leading ``-``, then *trailing characters in the set* ``.targz``
-    (so ``pkg-12-1.3.tar.gz`` gives ``3``).  ``strict=True`` removes the
+    (so ``pkg-12-1.3.tar.gz`` gives ``.3``).  ``strict=True`` removes the
     literal ``project-`` prefix and ``.tar.gz`` suffix instead.
     """
     p, f = _c(project), _c(filename)
