@@ -180,3 +180,63 @@ def word_typosquat(spark, sf):
     names = counts.select(F.col("word").alias("nid"), F.col("word").alias("name"))
     pairs = S.levenshtein_pairs(names, top, 1)
     return pairs.select(F.col("name"), F.col("pname").alias("popular_name"))
+
+
+@register("lookup_semi", T.with_ctes("""
+select c.c_custkey, c.project,
+  c.project in (select name from removed_projects) as removed,
+  c.project in (select name from private) as private,
+  c.project in (select import_name from aliases) as import_name
+from candidates c
+""", "candidates", "removed_projects", "private", "aliases"))
+def lookup_semi(spark, sf):
+    """Batched keyed lookups of a name batch -- removed incarnation,
+    private package, import name of another project -- as one left join on
+    a per-name reduced fact table (never one lookup per row)."""
+    c = T.derived(spark, sf, "candidates")
+    facts = (T.derived(spark, sf, "removed_projects").select("name", F.lit(1).alias("f"))
+             .unionByName(T.derived(spark, sf, "private").select("name", F.lit(2).alias("f")))
+             .unionByName(T.derived(spark, sf, "aliases").select(F.col("import_name").alias("name"), F.lit(4).alias("f"))))
+    flags = facts.groupBy("name").agg(F.bit_or("f").alias("bits"))
+    j = c.join(flags, c.project == flags.name, "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+    return j.select("c_custkey", "project", ((F.col("bits") % 2) == 1).alias("removed"),
+                    (F.floor(F.col("bits") / 2) % 2 == 1).alias("private"),
+                    (F.floor(F.col("bits") / 4) % 2 == 1).alias("import_name"))
+
+
+_INIT_SQL = T.with_ctes("""
+, docs as (
+  select o_orderkey, json_extract_string(body, '$.name') as name,
+    cast(json_extract(body, '$."_last-serial"') as bigint) as last_serial
+  from simple_json where json_extract_string(body, '$.message') is distinct from 'Not Found'),
+sig as (
+  select d.o_orderkey, 4 as score from docs d join popular p on d.name = p.project
+  union all select d.o_orderkey, 7 from docs d join popular p on levenshtein(d.name, p.project) between 1 and 1
+  union all select d.o_orderkey, 7 from docs d join popular p on length(d.name) = length(p.project)
+    and list_sort(string_split(d.name, '')) = list_sort(string_split(p.project, '')) and hamming(d.name, p.project) = 2)
+select d.o_orderkey, d.name, d.last_serial, 0 as n_owners, 0 as n_maintainers, false as remove,
+  cast(null as bigint) as remove_serial, coalesce(max(s.score), 0) as suspicion, count(s.score) as n_info,
+  false as analyzed
+from docs d left join sig s on s.o_orderkey = d.o_orderkey
+group by d.o_orderkey, d.name, d.last_serial
+""", "simple_json", "popular")
+
+
+@register("project_init", _INIT_SQL)
+def project_init(spark, sf):
+    """P1 + P2: metadata document -> project row: the deprecated release list
+    is dropped and the state columns are added with their defaults plus the
+    name's suspicion (popular-list signals)."""
+    from ..sources import index as I
+
+    d = I.parse_json_body(T.derived(spark, sf, "simple_json"))
+    docs = d.select("o_orderkey", F.col("doc.name").alias("name"), F.col("doc.`_last-serial`").alias("last_serial"),
+                    "doc").withColumn("doc", F.col("doc").dropFields("versions", "files"))  # P1
+    scored = S.project_suspicion(docs, T.derived(spark, sf, "popular"), id_col="o_orderkey", name_col="name")
+    out = docs.join(scored.select("o_orderkey", "suspicion", "n_signals"), "o_orderkey")
+    return out.select(  # P2: state columns with defaults
+        "o_orderkey", "name", "last_serial",
+        F.size(F.array().cast("array<string>")).alias("n_owners"),
+        F.size(F.array().cast("array<string>")).alias("n_maintainers"),
+        F.lit(False).alias("remove"), F.lit(None).cast("long").alias("remove_serial"),
+        "suspicion", F.col("n_signals").alias("n_info"), F.lit(False).alias("analyzed"))

@@ -83,6 +83,14 @@ IMPORTS = [(0, "module", "os", "os"), (2, "module", "base64", "base64"), (3, "mo
            (7, "module", "os", "os"), (7, "alias", "request", "urllib.request"),
            (7, "module", "urllib.request", "urllib.request"), (8, "module", "base64", "base64"),
            (8, "module", "requests", "requests"), (9, "module", "base64", "base64")]
+SINK_ARGS = [(1, "0001", "exec", 1, 0, None, "Constant"), (2, "0001", "exec", 3, 0, None, "Name"),
+             (3, "0001", "eval", 4, 0, None, "Name"), (3, "0005", "requests.get", 2, 0, "url", "Constant"),
+             (4, "0001", "os.system", 3, 0, "command", "Constant"), (5, "0001", "os.system", 2, 0, "command", "Constant"),
+             (6, "0001", "exec", 4, 0, None, "Name"), (7, "0005", "urllib.request.urlretrieve", 4, 0, "url", "Constant"),
+             (7, "0001", "os.system", 5, 0, "command", "Name"), (8, "0005", "requests.post", 3, 0, "url", "Constant"),
+             (8, "0005", "requests.post", 3, 1, "data", "Name"), (9, "0001", "eval", 4, 0, None, "Name"),
+             (9, "0001", "eval", 5, 0, None, "Name")]
+ARG_TAINTS = [(7, "0004", "urllib.request.urlretrieve", 4, "Name", "f")]
 LINES = [2, 1, 3, 4, 3, 2, 4, 5, 3, 6]
 COUNTS = [0, 1, 2, 2, 1, 1, 1, 2, 1, 3]
 METRICS = [(t, 1, LINES[t], COUNTS[t], 0, 0, COUNTS[t]) for t in range(10)]
@@ -139,6 +147,25 @@ def sink_calls(spark, sf):
                     F.col("s.lineno").alias("line")).distinct()
 
 
+@register("sink_args", _doc_join(SINK_ARGS, ["t", "rule_id", "func", "line", "position", "keyword", "arg_type"],
+                                 "d.doc_id, v.rule_id, v.func, v.line, v.position, v.keyword, v.arg_type"))
+def sink_args(spark, sf):
+    """The argument each sink spec inspects (positional if present, else keyword)."""
+    a = scanned(spark, sf).scan.sink_args
+    return a.select(F.col("file_id").alias("doc_id"), F.col("s.id").alias("rule_id"), F.col("s.function").alias("func"),
+                    F.col("s.lineno").alias("line"), F.col("s.position").alias("position"),
+                    F.col("s.keyword").alias("keyword"), "arg_type")
+
+
+@register("arg_taints", _doc_join(ARG_TAINTS, ["t", "rule_id", "func", "line", "arg_type", "target"],
+                                  "d.doc_id, v.rule_id, v.func, v.line, v.arg_type, v.target"))
+def arg_taints(spark, sf):
+    """Argument-position taints and the variable / constant they land on."""
+    a = scanned(spark, sf).scan.arg_taints
+    return a.select(F.col("file_id").alias("doc_id"), F.col("t.id").alias("rule_id"), F.col("t.function").alias("func"),
+                    F.col("t.lineno").alias("line"), "arg_type", "target")
+
+
 @register("behaviour_order", _doc_join(BEHAVIOURS, ["t", "behaviour", "ord"], "d.doc_id, v.behaviour, v.ord"))
 def behaviour_order_q(spark, sf):
     """First-occurrence order of sensitive behaviours per file."""

@@ -19,6 +19,8 @@ class Scan:
     record_taints: DataFrame   # X14: (file_id, rec_ns, name, rec_seq, t, at)
     sinks: DataFrame           # J9: (file_id, seq, s)
     issues: DataFrame          # X18
+    arg_taints: DataFrame      # X10: argument-position taints and where they landed
+    sink_args: DataFrame       # J11: the argument each sink spec inspects
 
 
 def _guarded(t: Column) -> Column:
@@ -148,7 +150,17 @@ def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names:
 
     issues = find_issues(sinks, fx, seen_nodes, pos, pairs_b, file_paths)
     sources = cm.select("file_id", "seq", "t").unionByName(attr_seeds.select("file_id", "seq", "t"))
-    return Scan(sources, seen_nodes, seen_recs, sinks.select("file_id", "seq", "s"), issues)
+    landed = argt.join(name_info.select("file_id", F.col("seq").alias("arg_seq"), F.col("name").alias("n_name")),
+                       ["file_id", "arg_seq"], "left") \
+        .join(attr_names.select("file_id", F.col("seq").alias("arg_seq"), F.col("rname").alias("a_name")),
+              ["file_id", "arg_seq"], "left") \
+        .join(fx.consts.select("file_id", F.col("seq").alias("arg_seq"), F.col("cstr").alias("c_val")),
+              ["file_id", "arg_seq"], "left")
+    arg_taints = landed.select("file_id", "seq", "t", "arg_seq", "arg_type",
+                               F.coalesce("n_name", "a_name", "c_val").alias("target"))
+    sink_args = pick_arg(sinks, fx.args, F.col("s.position"), F.col("s.keyword")).select(
+        "file_id", "seq", "s", "arg_seq", "arg_type")
+    return Scan(sources, seen_nodes, seen_recs, sinks.select("file_id", "seq", "s"), issues, arg_taints, sink_args)
 
 
 def pick_arg(calls: DataFrame, args: DataFrame, position: Column, keyword: Column) -> DataFrame:
