@@ -21,14 +21,21 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
-def checkpoint_cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
-
-    Reliable checkpoints survive executor loss (unlike local checkpoints),
-    which matters for iterative loops whose lineage would otherwise grow with
-    every round.
+def checkpoint_cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing ``df`` as a parquet table into the shared folder
+    named by ``spark.checkpoint.dir`` and reading it back.
+
+    Used for loop-carried state of the fix-points and for intermediates that
+    several later steps read.  A written table survives executor loss (unlike
+    a local checkpoint) and, unlike ``Dataset.checkpoint``, is computed once:
+    the reliable RDD checkpoint runs a count job and then recomputes the plan
+    to write it.
     """
+    import uuid
+
     from ..session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

@@ -167,8 +167,8 @@ def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame,
         F.lit(None).cast("string").alias("variable"))
     recs = checkpoint_cut(recs)
     dyn = None  # call seq -> dynamically imported module name
-    prev_sig = None
     for _ in range(MAX_ROUNDS):
+        recs_in, dyn_in = recs, dyn
         ni = name_info.join(
             recs.select("file_id", "rec_ns", F.col("name").alias("rname"), "rec_seq", "value", "variable"),
             (name_info.file_id == recs.file_id) & (name_info.rec_ns == recs.rec_ns)
@@ -180,7 +180,7 @@ def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame,
             F.when(F.col("rec_seq").isNotNull(), F.coalesce("variable", "name"))
              .otherwise(F.coalesce("alias_target", "name")).alias("bare"),
             F.coalesce("variable", "alias_target", "name").alias("basen"))
-        ni = checkpoint_cut(ni)
+        ni = checkpoint_cut(ni)  # read by four steps below
         # attribute chains
         a = fx.attrs.join(ni.select("file_id", F.col("seq").alias("base_seq"), "basen"), ["file_id", "base_seq"], "left")
         if dyn is not None:
@@ -191,14 +191,14 @@ def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame,
         rn = (F.when(F.col("base_type") == "Name", F.concat_ws(".", "basen", tail))
                .when((F.col("base_type") == "Call") & F.col("dyn").isNotNull(), F.concat_ws(".", "dyn", tail))
                .otherwise(tail))
-        attr_names = checkpoint_cut(a.select("file_id", "seq", "ctx", rn.alias("rname")))
+        attr_names = a.select("file_id", "seq", "ctx", rn.alias("rname"))
         # callees
         c = fx.calls.join(ni.select("file_id", F.col("seq").alias("func_seq"), "bare"), ["file_id", "func_seq"], "left")
         c = c.join(attr_names.select("file_id", F.col("seq").alias("func_seq"), F.col("rname").alias("aname")),
                    ["file_id", "func_seq"], "left")
         func = (F.when(F.col("func_type") == "Name", F.col("bare"))
                  .when(F.col("func_type") == "Attribute", F.col("aname")).otherwise(F.lit("")))
-        call_names = checkpoint_cut(c.select("file_id", "seq", "ns", "lineno", "n_args", func.alias("func")))
+        call_names = c.select("file_id", "seq", "ns", "lineno", "n_args", func.alias("func"))
         # dynamic imports: argument values (constants or constant-valued names)
         av = fx.args.join(consts.withColumnRenamed("node_seq", "arg_seq"), ["file_id", "arg_seq"], "left").join(
             ni.select("file_id", F.col("seq").alias("arg_seq"), F.col("value").alias("name_value")),
@@ -236,12 +236,15 @@ def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame,
                                                   F.when(F.col("in_imports"), F.col("s_name"))))))
         recs = checkpoint_cut(r.select("file_id", "rec_ns", "name", "rec_seq", "value_seq", "value_type",
                                        value.alias("value"), variable.alias("variable")))
-        sig = (recs.select(F.sum(F.hash("file_id", "rec_seq", "name", "value", "variable").cast("decimal(38,0)"))
-                           .alias("h"), F.count(F.col("variable")).alias("n")).first(),
-               dyn_new.select(F.sum(F.hash("file_id", "seq", "dyn").cast("decimal(38,0)"))).first()[0],
-               call_names.select(F.sum(F.hash("file_id", "seq", "func").cast("decimal(38,0)"))).first()[0])
+        # fixed point: this round's state (records, dynamic imports) equals the
+        # state it started from, so its callee / attribute names are final
+        h = lambda df, *c: df.select(F.sum(F.hash(*c).cast("decimal(38,0)")).alias("h"), F.count("*").alias("n"))
+        sig_out = h(recs, "file_id", "rec_seq", "name", "value", "variable").crossJoin(
+            h(dyn_new, "file_id", "seq", "dyn").toDF("h2", "n2"))
+        sig_in = h(recs_in, "file_id", "rec_seq", "name", "value", "variable").crossJoin(
+            h(dyn_in, "file_id", "seq", "dyn").toDF("h2", "n2")) if dyn_in is not None else None
         dyn = dyn_new
-        if sig == prev_sig:
+        if sig_in is not None and tuple(sig_out.first()) == tuple(sig_in.first()):
             break
-        prev_sig = sig
-    return name_info, recs, attr_names, call_names
+    # the fixed point's outputs are read by every later step: write them once
+    return name_info, recs, checkpoint_cut(attr_names), checkpoint_cut(call_names)

@@ -1,7 +1,7 @@
 """Python source -> fact rows (the ingest step).
 
 The only per-row Python in the scanner: each file is parsed once with the
-standard-library parser inside ``mapInPandas`` (Arrow batches, one task per
+standard-library parser inside ``mapInArrow`` (Arrow batches, one task per
 partition of files) and flattened into fact rows.  Every analysis step after
 this is a Spark join / aggregation over these facts keyed by ``file_id``.
 
@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import ast
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _UP = T.ArrayType(T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("lineno", T.IntegerType()),
                                 T.StructField("ntype", T.StringType())]))
@@ -229,14 +230,18 @@ def extract_file(file_id: int, content: str) -> list[dict]:
     return w.rows
 
 
+_ARROW_SCHEMA = to_arrow_schema(FACT_SCHEMA)
+
+
 def _extract_batches(batches):
-    for pdf in batches:
+    """Arrow record batches in, fact record batches out (no pandas detour)."""
+    for b in batches:
         out: list[dict] = []
-        for fid, content in zip(pdf["file_id"], pdf["content"]):
+        for fid, content in zip(b.column("file_id").to_pylist(), b.column("content").to_pylist()):
             out.extend(extract_file(int(fid), content if content is not None else ""))
-        yield pd.DataFrame(out, columns=_COLS) if out else pd.DataFrame(columns=_COLS)
+        yield pa.RecordBatch.from_pylist(out, schema=_ARROW_SCHEMA)
 
 
 def extract_facts(corpus: DataFrame) -> DataFrame:
     """``corpus(file_id, content)`` -> fact rows (see ``FACT_SCHEMA``)."""
-    return corpus.select("file_id", "content").mapInPandas(_extract_batches, FACT_SCHEMA)
+    return corpus.select("file_id", "content").mapInArrow(_extract_batches, FACT_SCHEMA)

@@ -122,20 +122,21 @@ def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names:
     new_recs = checkpoint_cut(new_recs.groupBy(*rkey).agg(F.min("at").alias("at")))
     seen_recs = new_recs
     for _ in range(MAX_ROUNDS):
-        # Readers after the taint arrived
+        # Readers after the taint arrived; X13: spread; X14: into targets.
+        # Only the frontier is written each round; the seen sets are unions of
+        # written frontiers (their lineage is a union of table scans).
         o = new_recs.join(readers, ["file_id", "rec_ns", "name", "rec_seq"]).where(F.col("rseq") > F.col("at"))
-        o = o.select("file_id", F.col("rseq").alias("seq"), "t", F.col("rseq").alias("at")).dropDuplicates(NODE_KEY)
-        o = checkpoint_cut(o.join(seen_nodes.select(*NODE_KEY), NODE_KEY, "left_anti"))
+        o = o.select("file_id", F.col("rseq").alias("seq"), "t", F.col("rseq").alias("at"))
         r = spread(o, nodes).dropDuplicates(NODE_KEY).join(seen_nodes.select(*NODE_KEY), NODE_KEY, "left_anti")
-        r = checkpoint_cut(r.unionByName(o).dropDuplicates(NODE_KEY))
+        r = checkpoint_cut(r)
         if r.isEmpty():
             break
-        seen_nodes = checkpoint_cut(seen_nodes.unionByName(r).dropDuplicates(NODE_KEY))
+        seen_nodes = seen_nodes.unionByName(r)
         nr = r.join(feeds, ["file_id", "seq"]).select(*rkey, "at").groupBy(*rkey).agg(F.min("at").alias("at"))
         new_recs = checkpoint_cut(nr.join(seen_recs.select(*rkey), rkey, "left_anti"))
         if new_recs.isEmpty():
             break
-        seen_recs = checkpoint_cut(seen_recs.unionByName(new_recs))
+        seen_recs = seen_recs.unionByName(new_recs)
 
     # Sinks on calls
     st = specs_b.where((F.col("role") == "sink") & (F.col("accordance") == "function"))

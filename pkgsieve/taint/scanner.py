@@ -68,7 +68,10 @@ def scan_corpus(corpus: DataFrame, rules_path: str | None = None, partitions: in
     checkpointed; every later step joins on ``file_id`` (plus node ids).
     """
     spark = corpus.sparkSession
-    src = corpus.repartition(partitions, "file_id") if partitions else corpus
+    # parse in parallel: at least one task per core (a corpus read from a few
+    # large files arrives in few partitions)
+    want = partitions or spark.sparkContext.defaultParallelism
+    src = corpus if corpus.rdd.getNumPartitions() >= want else corpus.repartition(want, "file_id")
     facts = checkpoint_cut(extract_facts(src))
     fx = split_facts(facts)
     specs, pairs = rule_tables(spark) if rules_path is None else rule_tables(spark, rules_path)
