@@ -10,6 +10,7 @@ from .. import tables as T
 from ..session import ensure_checkpoint_dir
 from ..streaming.monitor import FeedMonitor, stage_feed
 from ..streaming.scan import ScanStream, stage_corpus
+from ..streaming.state import ProjectStateStream
 from . import changelog as CL
 from . import taint as TQ
 from .registry import ORACLES, register
@@ -41,6 +42,15 @@ def stream_state(spark, sf):
         "project", "incarnation", "open_serial", "opened_by", "open_ts", "close_serial", "close_ts", "live")
 
 
+@register("stream_roles", ORACLES["project_roles"])
+def stream_roles(spark, sf):
+    """C2 (W2 + W4 as keyed state): the monitor's output table feeds a second
+    stream that folds each project's events with applyInPandasWithState."""
+    mon = _monitor(spark, sf)
+    st = ProjectStateStream(spark, mon.root).run(mon._events())
+    return st.members()
+
+
 @register("stream_scan", ORACLES["issues"])
 def stream_scan(spark, sf):
     """C4: source files arriving as a stream are scanned per micro-batch and

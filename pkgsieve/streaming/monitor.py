@@ -93,7 +93,8 @@ class FeedMonitor:
         else:
             enriched = enriched.withColumn("__syn", F.lit(False))
         ev = C.with_refresh(enriched, self.block).where(~F.col("__syn")).drop("__syn")
-        ev.write.mode("overwrite").parquet(self._events(bid))
+        # one serial-sorted file per micro-batch: the state stream reads them in order
+        ev.coalesce(1).sortWithinPartitions("serial").write.mode("overwrite").parquet(self._events(bid))
         ev = self.spark.read.parquet(self._events(bid))
         cur = ev.where(~F.col("skipped")).agg(F.max_by(F.struct("project", "version"), "serial").alias("x"))
         if carry is not None:

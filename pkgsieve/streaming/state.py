@@ -1,0 +1,130 @@
+"""Per-project keyed state from the ordered, W1-flagged feed.
+
+Second stream of the monitor: it reads the first stream's output table (one
+serial-sorted file per micro-batch) and folds each project's events with
+``applyInPandasWithState``.  State per project is small and bounded
+(liveness, incarnation counter, owner / maintainer copy counts); the rows of
+one group are bounded by one micro-batch.  Events at or below the last
+serial already folded are skipped, so a replayed input file is harmless.
+
+Emitted per micro-batch: the current snapshot of every incarnation the batch
+touched (row kind ``inc``) and its members (``member``).  The final tables
+take, per (project, incarnation), the rows of the latest batch that emitted it.
+"""
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+EVENT_SCHEMA = T.StructType([
+    T.StructField("serial", T.LongType()), T.StructField("project", T.StringType()),
+    T.StructField("ts_s", T.LongType()), T.StructField("kind", T.StringType()),
+    T.StructField("owner", T.StringType()), T.StructField("maintainer", T.StringType()),
+    T.StructField("project_found", T.BooleanType()), T.StructField("refresh", T.BooleanType()),
+])
+STATE_SCHEMA = T.StructType([
+    T.StructField("last_serial", T.LongType()), T.StructField("live", T.BooleanType()),
+    T.StructField("inc", T.LongType()), T.StructField("open_serial", T.LongType()),
+    T.StructField("open_ts", T.LongType()), T.StructField("opened_by", T.StringType()),
+    T.StructField("members", T.StringType()),
+])
+OUT_SCHEMA = T.StructType([
+    T.StructField("row_kind", T.StringType()), T.StructField("project", T.StringType()),
+    T.StructField("incarnation", T.LongType()), T.StructField("open_serial", T.LongType()),
+    T.StructField("opened_by", T.StringType()), T.StructField("open_ts", T.LongType()),
+    T.StructField("close_serial", T.LongType()), T.StructField("close_ts", T.LongType()),
+    T.StructField("role", T.StringType()), T.StructField("user", T.StringType()),
+    T.StructField("at_serial", T.LongType()),
+])
+_OUT = [f.name for f in OUT_SCHEMA.fields]
+
+# role moves per event kind: (role, +1 push / -1 pull, which extracted user)
+MOVES = {
+    "add_owner": [("owners", 1, "owner")], "accepted_owner": [("owners", 1, "owner")],
+    "remove_owner": [("owners", -1, "owner")],
+    "change_owner": [("owners", -1, "owner"), ("maintainers", 1, "owner")],
+    "add_maintainer": [("maintainers", 1, "maintainer")], "accepted_maintainer": [("maintainers", 1, "maintainer")],
+    "remove_maintainer": [("maintainers", -1, "maintainer")],
+    "change_maintainer": [("maintainers", -1, "maintainer"), ("owners", 1, "maintainer")],
+}
+
+
+def _fold(key, pdfs, state):
+    (project,) = key
+    if state.exists:
+        last, live, inc, o_ser, o_ts, o_by, mem = state.get
+        members = json.loads(mem)
+    else:
+        last, live, inc, o_ser, o_ts, o_by, members = -1, False, 0, None, None, None, {}
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("serial")
+    out, touched = [], set()
+
+    def snapshot(i, close_serial=None, close_ts=None, at=None):
+        out.append(dict(row_kind="inc", project=project, incarnation=i, open_serial=o_ser, opened_by=o_by,
+                        open_ts=o_ts, close_serial=close_serial, close_ts=close_ts, role=None, user=None, at_serial=at))
+        for key_ in sorted(members):
+            role, user = json.loads(key_)
+            if members[key_] > 0:
+                out.append(dict(row_kind="member", project=project, incarnation=i, open_serial=None, opened_by=None,
+                                open_ts=None, close_serial=None, close_ts=None, role=role, user=user, at_serial=at))
+
+    for r in pdf.itertuples(index=False):
+        if r.serial <= last:
+            continue  # replayed input
+        last = r.serial
+        opens = bool(r.project_found) and (r.kind == "create" or bool(r.refresh))
+        if opens and not live:
+            live, inc, o_ser, o_ts, o_by, members = True, inc + 1, r.serial, r.ts_s, r.kind, {}
+            touched.add(inc)
+        elif r.kind == "remove project" and live:
+            snapshot(inc, r.serial, r.ts_s, r.serial)
+            touched.discard(inc)
+            live = False
+        elif r.kind in MOVES and live:
+            for role, sign, which in MOVES[r.kind]:
+                user = getattr(r, which)
+                k = json.dumps([role, user])
+                members[k] = members.get(k, 0) + 1 if sign > 0 else 0
+            touched.add(inc)
+    if live and inc in touched:
+        snapshot(inc, at=last)
+    state.update((last, live, inc, o_ser, o_ts, o_by, json.dumps(members)))
+    yield pd.DataFrame(out, columns=_OUT) if out else pd.DataFrame(columns=_OUT)
+
+
+class ProjectStateStream:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root
+
+    def _sink(self, batch: DataFrame, bid: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.root}/state_out/batch_id={bid}")
+
+    def run(self, events_path: str) -> "ProjectStateStream":
+        ev = (self.spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(events_path))
+        folded = ev.groupBy("project").applyInPandasWithState(
+            _fold, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        q = (folded.writeStream.foreachBatch(self._sink).outputMode("append")
+             .option("checkpointLocation", f"{self.root}/_state_checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+        return self
+
+    def _latest(self) -> DataFrame:
+        out = self.spark.read.parquet(f"{self.root}/state_out")
+        w = Window.partitionBy("project", "incarnation")
+        return out.withColumn("__last", F.max("batch_id").over(w)).where(F.col("batch_id") == F.col("__last"))
+
+    def incarnations(self) -> DataFrame:
+        return self._latest().where(F.col("row_kind") == "inc").select(
+            "project", "incarnation", "open_serial", "opened_by", "open_ts", "close_serial", "close_ts",
+            F.col("close_serial").isNull().alias("live"))
+
+    def members(self) -> DataFrame:
+        return self._latest().where(F.col("row_kind") == "member").select(
+            "project", "incarnation", "role", "user").distinct()

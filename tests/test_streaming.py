@@ -13,3 +13,18 @@ def test_stream_equals_batch(spark):
     si = {tuple(r) for r in q["stream_ingest"](spark, SF_SMALL).collect()}
     bi = {tuple(r) for r in q["refresh_triggers"](spark, SF_SMALL).collect()}
     assert si == bi
+
+
+def test_keyed_state_stream_equals_batch(spark):
+    from pkgsieve.plans import streams
+    from pkgsieve.streaming.state import ProjectStateStream
+    from __spark_entry__ import queries
+
+    mon = streams._monitor(spark, SF_SMALL)
+    st = ProjectStateStream(spark, mon.root).run(mon._events())
+    q = queries()
+    inc_b = {tuple(r) for r in q["project_incarnations"](spark, SF_SMALL).select(
+        "project", "incarnation", "open_serial", "opened_by", "open_ts", "close_serial", "close_ts", "live").collect()}
+    assert {tuple(r) for r in st.incarnations().collect()} == inc_b
+    roles_b = {tuple(r) for r in q["project_roles"](spark, SF_SMALL).collect()}
+    assert {tuple(r) for r in st.members().collect()} == roles_b
