@@ -18,10 +18,17 @@ NEEDS_METADATA = (A.KIND_CREATE, *REFRESH_KINDS, A.KIND_FILE)
 
 
 def epoch_seconds(ts: Column, dtype) -> Column:
-    """Feed timestamps may be epoch seconds or timestamps; normalise to LONG."""
-    from pyspark.sql.types import NumericType
-
-    return ts.cast("long") if isinstance(dtype, NumericType) else F.unix_timestamp(ts)
+    """Feed timestamps may be epoch seconds, instants or UTC wall-clock values
+    (``TIMESTAMP_NTZ``); normalise to LONG seconds independent of the session
+    time zone."""
+    from pyspark.sql.types import NumericType, TimestampNTZType
+
+    if isinstance(dtype, NumericType):
+        return ts.cast("long")
+    if isinstance(dtype, TimestampNTZType):
+        days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+        return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return F.unix_timestamp(ts)
 
 
 def parse_feed(feed: DataFrame) -> DataFrame:

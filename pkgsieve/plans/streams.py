@@ -35,20 +35,23 @@ def stream_ingest(spark, sf):
               .select("serial", "project", "version", "kind", "skipped", "triggers"))
 
 
+def _state(spark, sf):
+    mon = _monitor(spark, sf)
+    return ProjectStateStream(spark, mon.root).run(mon._events())
+
+
 @register("stream_state", ORACLES["project_incarnations"])
 def stream_state(spark, sf):
-    """Per-project incarnation state maintained batch by batch."""
-    return _monitor(spark, sf).incarnations().select(
-        "project", "incarnation", "open_serial", "opened_by", "open_ts", "close_serial", "close_ts", "live")
+    """C2 (W2 as keyed state): project incarnations folded per project with
+    applyInPandasWithState over the monitor's output stream."""
+    return _state(spark, sf).incarnations()
 
 
 @register("stream_roles", ORACLES["project_roles"])
 def stream_roles(spark, sf):
     """C2 (W2 + W4 as keyed state): the monitor's output table feeds a second
     stream that folds each project's events with applyInPandasWithState."""
-    mon = _monitor(spark, sf)
-    st = ProjectStateStream(spark, mon.root).run(mon._events())
-    return st.members()
+    return _state(spark, sf).members()
 
 
 @register("stream_scan", ORACLES["issues"])

@@ -7,8 +7,8 @@ them (``readStream`` + ``trigger(availableNow)`` for catch-up runs, or
 
 * W1 needs the previous processed row across batches: it is carried in a
   one-row table written per batch;
-* per-project state (W2 incarnations) is recomputed for the projects the
-  batch touched and merged into a versioned state table.
+* the flagged events are written as one serial-sorted file per batch, the
+  input of the keyed-state stream (:mod:`pkgsieve.streaming.state`, C2).
 
 Every write is keyed by the batch id and overwrites, so a replayed batch
 (the stream re-reads rows after a failure: the mark advances only after the
@@ -49,8 +49,8 @@ def stage_feed(feed: DataFrame, root: str, n_files: int = 4) -> str:
 
 
 class FeedMonitor:
-    """Incremental feed ingestion with carried W1 state and merged
-    per-project incarnation state."""
+    """C1 + C3: incremental feed ingestion with the W1 state carried across
+    micro-batches."""
 
     def __init__(self, spark: SparkSession, project_meta: DataFrame, release_meta: DataFrame,
                  root: str | None = None, block: int = DEFAULT_BLOCK):
@@ -67,9 +67,6 @@ class FeedMonitor:
     def _carry(self, bid: int) -> str:
         return f"{self.root}/carry/batch_id={bid}"
 
-    def _inc(self, bid: int) -> str:
-        return f"{self.root}/incarnations/batch_id={bid}"
-
     def _read_or_none(self, path: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(path)
@@ -103,14 +100,6 @@ class FeedMonitor:
                 F.coalesce("x", "c").alias("x"))
         last = cur.where(F.col("x").isNotNull()).select("x.project", "x.version")
         last.write.mode("overwrite").parquet(self._carry(bid))
-        # per-project state: recompute the touched projects from their history
-        history = self.spark.read.parquet(self._events())
-        touched = ev.select("project").distinct()
-        hist = history.join(touched, "project", "left_semi")
-        fresh = C.project_incarnations(hist, self.block)
-        prev = self._read_or_none(self._inc(bid - 1)) if bid > 0 else None
-        state = fresh if prev is None else prev.join(touched, "project", "left_anti").unionByName(fresh)
-        state.write.mode("overwrite").parquet(self._inc(bid))
         self.last_batch = bid
 
     def run(self, feed_path: str, files_per_trigger: int = 1) -> "FeedMonitor":
@@ -128,5 +117,3 @@ class FeedMonitor:
     def events(self) -> DataFrame:
         return self.spark.read.parquet(self._events()).drop("batch_id").dropDuplicates(["serial"])
 
-    def incarnations(self) -> DataFrame:
-        return self.spark.read.parquet(self._inc(self.last_batch))

@@ -17,11 +17,9 @@ def test_stream_equals_batch(spark):
 
 def test_keyed_state_stream_equals_batch(spark):
     from pkgsieve.plans import streams
-    from pkgsieve.streaming.state import ProjectStateStream
     from __spark_entry__ import queries
 
-    mon = streams._monitor(spark, SF_SMALL)
-    st = ProjectStateStream(spark, mon.root).run(mon._events())
+    st = streams._state(spark, SF_SMALL)
     q = queries()
     inc_b = {tuple(r) for r in q["project_incarnations"](spark, SF_SMALL).select(
         "project", "incarnation", "open_serial", "opened_by", "open_ts", "close_serial", "close_ts", "live").collect()}
