@@ -21,21 +21,25 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
-def checkpoint_cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing ``df`` as a parquet table into the shared folder
-    named by ``spark.checkpoint.dir`` and reading it back.
-
-    Used for loop-carried state of the fix-points and for intermediates that
-    several later steps read.  A written table survives executor loss (unlike
-    a local checkpoint) and, unlike ``Dataset.checkpoint``, is computed once:
-    the reliable RDD checkpoint runs a count job and then recomputes the plan
-    to write it.
+def checkpoint_cut(df: DataFrame, table: bool = True) -> DataFrame:
+    """Cut lineage in the shared folder named by ``spark.checkpoint.dir``.
+
+    ``table=True`` writes ``df`` as a parquet table there and reads it back:
+    computed once (a reliable ``Dataset.checkpoint`` runs a count job and then
+    recomputes the plan to write it) -- used for the many small loop states of
+    the scanner.  ``table=False`` uses the reliable checkpoint, which keeps the
+    plan's output partitioning, so a following window / join on the same keys
+    needs no new shuffle -- used for the feed intermediates.  Both survive
+    executor loss; local checkpoints are never used.
     """
     import uuid
 
     from ..session import ensure_checkpoint_dir
 
     spark = df.sparkSession
+    if not table:
+        ensure_checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)

@@ -30,12 +30,12 @@ def events(spark, sf):
     """Parsed + enriched + W1-flagged feed, checkpointed: every state table
     reads it several times, so its lineage is cut once (reliable checkpoint
     in ``spark.checkpoint.dir``; a production job writes it as a table)."""
-    return checkpoint_cut(C.with_refresh(enriched(spark, sf), feed_block(spark)))
+    return checkpoint_cut(C.with_refresh(enriched(spark, sf), feed_block(spark)), table=False)
 
 
 def incarnations(spark, sf, ev=None):
     inc = C.project_incarnations(ev if ev is not None else events(spark, sf), feed_block(spark))
-    return checkpoint_cut(inc)
+    return checkpoint_cut(inc, table=False)
 
 
 @register("action_parse", Q.feed_ctes() + """
