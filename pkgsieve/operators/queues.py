@@ -24,7 +24,7 @@ def download_tasks(releases: DataFrame, suspicion: DataFrame) -> DataFrame:
         "project", "version", "last_serial", "u.idx", "u.filename")
     t = t.join(suspicion, "project", "left").withColumn("suspicion", F.coalesce("suspicion", F.lit(0)))
     w = Window.partitionBy("project", "version").orderBy("last_serial", "idx", "filename")
-    return t.withColumn("seq", F.row_number().over(w))
+    return t.withColumn("seq", F.row_number().over(w).cast("long"))
 
 
 def priority_order(df: DataFrame, *extra: str):

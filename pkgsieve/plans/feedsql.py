@@ -67,8 +67,8 @@ def fold_sql(name: str, src: str, keys: str) -> str:
   select *, etype = 'O' and (prev_type is null or prev_type = 'C') as eff_open,
     etype = 'C' and prev_type = 'O' as eff_close from {name}_t),
 {name}_i as (
-  select *, sum(case when eff_open then 1 else 0 end) over (partition by {keys} order by serial
-    rows between unbounded preceding and current row) as inc from {name}_e),
+  select *, cast(sum(case when eff_open then 1 else 0 end) over (partition by {keys} order by serial
+    rows between unbounded preceding and current row) as bigint) as inc from {name}_e),
 {name} as (
   select o.*, c.close_serial, c.close_ts, c.closed_by from
    (select {keys}, inc, serial as open_serial, ts_s as open_ts, kind as opened_by from {name}_i where eff_open) o

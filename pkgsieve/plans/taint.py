@@ -183,7 +183,8 @@ def import_bindings(spark, sf):
 
 
 @register("code_facts", _doc_join(_ast_counts(), ["t", "n_nodes", "n_calls", "n_names", "n_attrs", "n_consts"],
-                                  "d.doc_id, v.n_nodes, v.n_calls, v.n_names, v.n_attrs, v.n_consts"))
+                                  "d.doc_id, " + ", ".join(f"cast(v.{c} as bigint) as {c}" for c in
+                                                           ["n_nodes", "n_calls", "n_names", "n_attrs", "n_consts"])))
 def code_facts(spark, sf):
     """Fact counts per file."""
     n = scanned(spark, sf).facts.nodes.where(F.col("seq") > 0)
@@ -198,7 +199,7 @@ _METRIC_COLS = ["t", "files", "lines", "cnt", "low", "medium", "high"]
 
 
 @register("file_metrics", _doc_join(METRICS, _METRIC_COLS,
-                                    "d.doc_id, v.files, v.lines, v.cnt, v.low, v.medium, v.high"))
+                                    "d.doc_id, " + ", ".join(f"cast(v.{c} as bigint) as {c}" for c in _METRIC_COLS[1:])))
 def file_metrics_q(spark, sf):
     """A2 + A5: per-file metrics (files, effective lines, issues by severity)."""
     m = file_metrics(scanned(spark, sf))
@@ -209,8 +210,7 @@ _PKG = "'pkg' || cast(d.doc_id % 50 as varchar)"
 
 
 @register("package_metrics", f"""
-select package, sum(files) as files, sum(lines) as lines, sum(cnt) as cnt, sum(low) as low,
-  sum(medium) as medium, sum(high) as high
+select package, {", ".join(f"cast(sum({c}) as bigint) as {c}" for c in _METRIC_COLS[1:])}
 from ({_doc_join(METRICS, _METRIC_COLS, _PKG + " as package, v.*")}) m
 group by rollup(package)
 """)
@@ -220,7 +220,7 @@ def package_metrics_q(spark, sf):
 
 
 @register("alerts", f"""
-select package, sum(cnt) as cnt
+select package, cast(sum(cnt) as bigint) as cnt
 from ({_doc_join(METRICS, _METRIC_COLS, _PKG + " as package, v.*")}) m
 group by package having sum(cnt) > 0
 """)
