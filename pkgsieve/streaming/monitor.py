@@ -102,16 +102,20 @@ class FeedMonitor:
         last.write.mode("overwrite").parquet(self._carry(bid))
         self.last_batch = bid
 
-    def run(self, feed_path: str, files_per_trigger: int = 1) -> "FeedMonitor":
-        """Catch up on everything present (``availableNow``), one file
-        group per micro-batch, then stop."""
+    def start(self, feed_path: str, files_per_trigger: int = 1, poll: str | None = None):
+        """Start the ingestion query.  ``poll=None`` catches up on
+        everything present (``availableNow``) and stops; ``poll="60 seconds"``
+        keeps polling like the monitor loop.  Returns the StreamingQuery."""
         self.last_batch = -1
         stream = (self.spark.readStream.schema(FEED_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
                   .parquet(feed_path))
-        q = (stream.writeStream.foreachBatch(self.handle_batch)
-             .option("checkpointLocation", f"{self.root}/_checkpoint")
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
+        w = stream.writeStream.foreachBatch(self.handle_batch).option("checkpointLocation", f"{self.root}/_checkpoint")
+        w = w.trigger(availableNow=True) if poll is None else w.trigger(processingTime=poll)
+        return w.start()
+
+    def run(self, feed_path: str, files_per_trigger: int = 1) -> "FeedMonitor":
+        """Catch-up run: one file group per micro-batch, then stop."""
+        self.start(feed_path, files_per_trigger).awaitTermination()
         return self
 
     def events(self) -> DataFrame:
