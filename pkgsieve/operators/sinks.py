@@ -48,3 +48,16 @@ def set_add(target: DataFrame, adds: DataFrame, key: Sequence[str], arr: str, it
     if flag is not None:
         out = out.withColumn(flag, F.col(flag) | F.col("__add").isNotNull())
     return out.drop("__add")
+
+
+def set_add_rows(target: DataFrame, adds: DataFrame, key: Sequence[str], item: str,
+                 flag: str | None = None) -> DataFrame:
+    """A7 as a relation: the set is one row per (key, item); ``$addToSet`` is a
+    distinct union, and ``flag`` marks keys whose set is not empty.  Keys
+    without items keep one row with a null item."""
+    key = list(key)
+    items = adds.select(*key, item).distinct()
+    out = target.select(*key).distinct().join(items, key, "left")
+    if flag is not None:
+        out = out.withColumn(flag, F.col(item).isNotNull())
+    return out.select(*key, *([flag] if flag else []), item)

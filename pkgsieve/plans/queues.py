@@ -33,11 +33,13 @@ def _hwm(rf):
 
 
 def releases(spark, sf):
-    """Release rows with their nested ``urls`` (as the release JSON has them)."""
+    """Release metadata rows with their nested ``urls`` as the release JSON
+    has them: one row per (project, version, last_serial) -- one fetch of the
+    release -- so a row holds that fetch's files only (one order's line items
+    here, at most 7), never a whole release history."""
     rf = _rf(spark, sf)
-    return rf.groupBy("project", "version").agg(
-        F.max("last_serial").alias("last_serial"),
-        F.collect_list(F.struct("idx", "filename", F.col("last_serial").alias("file_serial"))).alias("urls"))
+    return rf.groupBy("project", "version", "last_serial").agg(
+        F.collect_list(F.struct("idx", "filename")).alias("urls"))
 
 
 def project_suspicion_fixture(spark, sf):
@@ -47,12 +49,7 @@ def project_suspicion_fixture(spark, sf):
 
 
 def tasks(spark, sf):
-    rel = releases(spark, sf)
-    flat = rel.select("project", "version", F.explode("urls").alias("u")).select(
-        "project", "version", F.col("u.file_serial").alias("last_serial"),
-        F.struct("u.idx", "u.filename").alias("u"))
-    nested = flat.groupBy("project", "version", "last_serial").agg(F.collect_list("u").alias("urls"))
-    return Qu.download_tasks(nested, project_suspicion_fixture(spark, sf))
+    return Qu.download_tasks(releases(spark, sf), project_suspicion_fixture(spark, sf))
 
 
 _TASK_COLS = ["project", "version", "last_serial", "idx", "filename", "suspicion", "seq"]
@@ -164,21 +161,20 @@ def upsert_private(spark, sf):
 
 
 @register("release_analyzed", T.with_ctes(f"""
-select r.project, r.version, a.project is not null as analyzed,
-  coalesce(array_to_string(list_sort(a.files), ','), '') as analyzed_files
+select distinct r.project, r.version, a.filename is not null as analyzed, a.filename
 from (select distinct project, version from release_files) r
-left join (select project, version, list(distinct filename) as files from release_files
-           where last_serial <= {_HWM} and ends_with(filename, '.tar.gz') group by all) a
+left join (select distinct project, version, filename from release_files
+           where last_serial <= {_HWM} and ends_with(filename, '.tar.gz')) a
   on r.project = a.project and r.version = a.version
 """, *_CTES))
 def release_analyzed(spark, sf):
-    """Add analysed archives to each release's ``analyzed_files`` set and
-    mark it analysed."""
+    """Add each analysed archive to its release's ``analyzed_files`` set
+    and mark the release analysed.  The set is kept as rows (release, file):
+    a release's set can be as large as its file list, so it is never
+    gathered into one array."""
     rf = _rf(spark, sf)
     h = _hwm(rf)
-    rel = rf.select("project", "version").distinct().select(
-        "project", "version", F.lit(False).alias("analyzed"), F.array().cast("array<string>").alias("analyzed_files"))
-    adds = rf.join(h, (rf.last_serial <= h.hwm) & rf.filename.endswith(".tar.gz")).select("project", "version", "filename")
-    out = Si.set_add(rel, adds, ["project", "version"], "analyzed_files", "filename", flag="analyzed")
-    return out.select("project", "version", "analyzed",
-                      F.array_join(F.array_sort("analyzed_files"), ",").alias("analyzed_files"))
+    rel = rf.select("project", "version").distinct()
+    adds = rf.join(h, (rf.last_serial <= h.hwm) & rf.filename.endswith(".tar.gz")).select(
+        "project", "version", "filename")
+    return Si.set_add_rows(rel, adds, ["project", "version"], "filename", flag="analyzed")
