@@ -1,7 +1,7 @@
 """Download / analysis queues.
 
 The monitor's priority queues become ordered tables: each task carries its
-priority key ``(-suspicion, project, version, seq)``; consumers read them in
+priority key ``(-suspicion, project, version, last_serial, seq)``; consumers read them in
 key order, and a top-k report uses ``orderBy(...).limit(k)`` (a distributed
 ``TakeOrderedAndProject``: each partition keeps k rows).  ``seq`` -- the
 queue's tie-break counter -- is a ``row_number`` per release ordered by the
@@ -23,13 +23,15 @@ def download_tasks(releases: DataFrame, suspicion: DataFrame) -> DataFrame:
     t = releases.select("project", "version", "last_serial", F.explode("urls").alias("u")).select(
         "project", "version", "last_serial", "u.idx", "u.filename")
     t = t.join(suspicion, "project", "left").withColumn("suspicion", F.coalesce("suspicion", F.lit(0)))
-    w = Window.partitionBy("project", "version").orderBy("last_serial", "idx", "filename")
+    # tie-break within one fetch of the release: bounded by that fetch's files
+    w = Window.partitionBy("project", "version", "last_serial").orderBy("idx", "filename")
     return t.withColumn("seq", F.row_number().over(w).cast("long"))
 
 
 def priority_order(df: DataFrame, *extra: str):
     """T1/T2 queue order."""
-    return [F.desc("suspicion"), F.asc("project"), F.asc("version"), *[F.asc(c) for c in extra], F.asc("seq")]
+    return [F.desc("suspicion"), F.asc("project"), F.asc("version"), *[F.asc(c) for c in extra],
+            F.asc("last_serial"), F.asc("seq")]
 
 
 def analysis_filter(tasks: DataFrame, threshold: int = -1, file_type: str = "tgz") -> DataFrame:

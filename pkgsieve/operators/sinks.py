@@ -39,7 +39,8 @@ def upsert(target: DataFrame, new: DataFrame, key: Sequence[str], order: Sequenc
 def set_add(target: DataFrame, adds: DataFrame, key: Sequence[str], arr: str, item: str,
             flag: str | None = None) -> DataFrame:
     """``$addToSet`` of ``adds.item`` into ``target.arr`` per key (and set
-    ``flag`` true where something was added)."""
+    ``flag`` true where something was added).  For sets with a known small
+    bound only; unbounded sets use :func:`set_add_rows`."""
     key = list(key)
     grouped = adds.groupBy(*key).agg(F.collect_set(item).alias("__add"))
     j = target.join(grouped, key, "left")

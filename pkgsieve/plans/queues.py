@@ -20,7 +20,7 @@ _SUSP = "cast(substr(project, 5) as int) % 11"
 _TASKS = f"""
 , tasks as (
   select project, version, last_serial, idx, filename, {_SUSP} as suspicion,
-    row_number() over (partition by project, version order by last_serial, idx, filename) as seq
+    row_number() over (partition by project, version, last_serial order by idx, filename) as seq
   from release_files)"""
 
 
@@ -65,11 +65,12 @@ def download_tasks(spark, sf):
 
 @register("download_top", T.with_ctes(_TASKS + f"""
 select project, version, last_serial, idx, filename, suspicion, seq from tasks
-order by suspicion desc, project, version, seq limit {TOP_K}
+order by suspicion desc, project, version, last_serial, seq limit {TOP_K}
 """, *_CTES))
 def download_top(spark, sf):
     """The first TOP_K downloads in priority order (top-k report)."""
-    return tasks(spark, sf).orderBy(*Qu.priority_order(tasks(spark, sf))).limit(TOP_K).select(*_TASK_COLS)
+    t = tasks(spark, sf)
+    return t.orderBy(*Qu.priority_order(t)).limit(TOP_K).select(*_TASK_COLS)
 
 
 @register("analysis_queue", T.with_ctes(_TASKS + f"""
