@@ -11,6 +11,14 @@ EXTRA = {
     103: 'def f(:\n    pass',                                         # does not parse -> quarantined
     104: 'import base64\nx = base64.b64decode("q")\nx = f(x)\nexec(x)',  # x = f(x): the right side sees the reset x
     105: 'class A:\n    import os\n    def m(self, c):\n        os.system(c)',
+    # X11: a constant tainted as an argument taints later equal constants
+    106: 'from urllib import request\nrequest.urlretrieve("u", "p.sh")\nimport os\nos.system("p.sh")',
+    # A call base is dropped from the callee name, so this is "exec"
+    107: 'def f():\n    pass\nf().exec("x")',
+    # An argument taint does not leave a node on its own line ...
+    108: 'from urllib import request\nimport os\nf = "p"\nrequest.urlretrieve("u", f); os.system(f + "x")',
+    # ... but does on a later line
+    109: 'from urllib import request\nimport os\nf = "p"\nrequest.urlretrieve("u", f)\nos.system(f + "x")',
 }
 
 
@@ -44,6 +52,10 @@ def test_templates_and_extras(spark):
     # x = f(x): targets are reset before the right side is read, so the decoder taint is gone
     assert {g for g in got if g[0] == 104} == {(104, "1000", 4, "*")}
     assert (105, "1000", 4, "*") in got
+    assert {g for g in got if g[0] == 106} == {(106, "1000", 4, "*"), (106, "1002", 4, "urllib.request.urlretrieve")}
+    assert {g for g in got if g[0] == 107} == {(107, "1000", 3, "*")}
+    assert {g for g in got if g[0] == 108} == {(108, "1000", 4, "*")}
+    assert {g for g in got if g[0] == 109} == {(109, "1000", 5, "*"), (109, "1002", 5, "urllib.request.urlretrieve")}
     errors = {r.file_id for r in res.facts.errors.collect()}
     assert errors == {103}
     m = {r.file_id: (r.lines, r.cnt) for r in file_metrics(res).collect()}
