@@ -47,3 +47,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(cur)
     return sc.getCheckpointDir()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make ``pkgsieve`` importable in Python workers (mapInArrow,
+    applyInPandasWithState): zip the package once per application and
+    register it with ``addPyFile``, which distributes it to every executor."""
+    import hashlib
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    files = []
+    for d, _, names in os.walk(pkg):
+        if "__pycache__" in d:
+            continue
+        files += [os.path.join(d, n) for n in sorted(names) if n.endswith((".py", ".yml"))]
+    digest = hashlib.sha1("".join(f + str(os.path.getmtime(f)) for f in files).encode()).hexdigest()[:12]
+    ckpt = ensure_checkpoint_dir(spark)
+    local = ckpt[len("file:"):] if ckpt.startswith("file:") else ckpt
+    base = local if "://" not in local else tempfile.mkdtemp(prefix="pkgsieve-code-")
+    os.makedirs(os.path.join(base, "pyfiles"), exist_ok=True)
+    path = os.path.join(base, "pyfiles", f"pkgsieve-{digest}.zip")
+    if not os.path.exists(path):
+        tmp = path + f".{os.getpid()}.tmp"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.relpath(f, root))
+        os.replace(tmp, path)
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..session import ship_code
+
 EVENT_SCHEMA = T.StructType([
     T.StructField("serial", T.LongType()), T.StructField("project", T.StringType()),
     T.StructField("ts_s", T.LongType()), T.StructField("kind", T.StringType()),
@@ -106,6 +108,7 @@ class ProjectStateStream:
         batch.write.mode("overwrite").parquet(f"{self.root}/state_out/batch_id={bid}")
 
     def run(self, events_path: str) -> "ProjectStateStream":
+        ship_code(self.spark)
         ev = (self.spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(events_path))
         folded = ev.groupBy("project").applyInPandasWithState(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import RANK_HIGH, RANK_LOW, RANK_MEDIUM
 from ..operators.common import checkpoint_cut
 from ..operators.files import effective_lines
+from ..session import ship_code
 from ..sources.rules import rule_tables
 from .engine import Facts, resolve, split_facts
 from .facts import extract_facts
@@ -68,6 +69,7 @@ def scan_corpus(corpus: DataFrame, rules_path: str | None = None, partitions: in
     checkpointed; every later step joins on ``file_id`` (plus node ids).
     """
     spark = corpus.sparkSession
+    ship_code(spark)
     # parse in parallel: at least one task per core (a corpus read from a few
     # large files arrives in few partitions)
     want = partitions or spark.sparkContext.defaultParallelism
