@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as T
 from ..operators import signals as S
+from ..operators.common import checkpoint_cut
 from .registry import register
 
 _INPUTS = ("popular", "candidates", "aliases", "removed_projects", "private")
@@ -71,12 +72,14 @@ group by c.c_custkey, c.project
 
 
 def project_suspicion(spark, sf):
+    # the candidate names feed four inputs: derive them once, as a written table
+    c = checkpoint_cut(T.derived(spark, sf, "candidates"))
     out = S.project_suspicion(
-        T.derived(spark, sf, "candidates"),
+        c,
         T.derived(spark, sf, "popular"),
-        aliases=T.derived(spark, sf, "aliases"),
-        removed=T.derived(spark, sf, "removed_projects"),
-        private=T.derived(spark, sf, "private"),
+        aliases=T.derived(spark, sf, "aliases", candidates=c),
+        removed=T.derived(spark, sf, "removed_projects", candidates=c),
+        private=T.derived(spark, sf, "private", candidates=c),
     )
     return out.withColumn("suspicion_info", F.array_join("suspicion_info", "\n"))
 

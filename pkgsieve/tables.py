@@ -150,10 +150,14 @@ DERIVED = {
 }
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived input as a Spark DataFrame (lazy; nothing is collected)."""
+def derived(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A derived input as a Spark DataFrame (lazy; nothing is collected).
+    ``given`` supplies already-built inputs by name (e.g. a materialised
+    ``candidates`` shared by several derived tables)."""
+    if name in given:
+        return given[name]
     text, deps = DERIVED[name]
-    frames = {d: (derived(spark, sf_dir, d) if d in DERIVED else read(spark, sf_dir, d)) for d in deps}
+    frames = {d: (derived(spark, sf_dir, d, **given) if d in DERIVED else read(spark, sf_dir, d)) for d in deps}
     return spark.sql(text, **frames)
 
 
