@@ -115,7 +115,7 @@ def popular_rows(spark, sf):
     declared schema."""
     pop = T.derived(spark, sf, "popular").orderBy(F.desc("download_count"), "project").limit(POPULAR_TOP_N)
     rows = pop.agg(F.collect_list(F.struct("project", "download_count")).alias("rows"))  # <= POPULAR_TOP_N entries
-    docs = (T.derived(spark, sf, "popular_snapshots").crossJoin(F.broadcast(rows))
+    docs = (T.derived(spark, sf, "popular_snapshots").crossJoin(F.broadcast(rows))  # rows: one row
             .select(F.to_json(F.struct("last_update", "rows")).alias("json")))
     parsed = docs.select(F.from_json("json", I.POPULAR_SCHEMA).alias("d"))
     return parsed.select("d.last_update", F.explode("d.rows").alias("r")).select(

@@ -96,7 +96,7 @@ class FeedMonitor:
         cur = ev.where(~F.col("skipped")).agg(F.max_by(F.struct("project", "version"), "serial").alias("x"))
         if carry is not None:
             # this batch's last processed row if it has one, else the old carry
-            cur = cur.crossJoin(carry.select(F.struct("project", "version").alias("c"))).select(
+            cur = cur.crossJoin(carry.select(F.struct("project", "version").alias("c"))).select(  # 1 x 1 row
                 F.coalesce("x", "c").alias("x"))
         last = cur.where(F.col("x").isNotNull()).select("x.project", "x.version")
         last.write.mode("overwrite").parquet(self._carry(bid))

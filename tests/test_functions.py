@@ -1,5 +1,4 @@
 """Literal assertions carried over from the reference tests (FIXTURES §1)."""
-from pyspark.sql import functions as F
 
 from pkgsieve.functions import actions as A
 from pkgsieve.functions import labels as L
