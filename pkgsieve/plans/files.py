@@ -97,3 +97,48 @@ def alias_build(spark, sf):
         F.concat(F.lit("pkg-"), F.substring("package", 4, 100)).alias("project"), F.lit("1.0").alias("version"),
         "import_name")
     return Fi.alias_rows(n)
+
+
+# --- S12: archives built from the corpus, then read back member by member ----
+
+_ARCHIVE_NAME = ("concat('pkg', cast(doc_id % 50 as string), '-1.0-', cast(doc_id as string), "
+                 "case when doc_id % 2 = 0 then '.tar.gz' else '-py3-none-any.whl' end)")
+
+
+def _archive_lines_sql() -> str:
+    from .taint import LINES
+
+    vals = ", ".join(f"({t}, {n})" for t, n in enumerate(LINES))
+    return f"(values {vals}) as v(t, lines)"
+
+
+@register("archive_members", f"""
+select d.doc_id, {_ARCHIVE_NAME} as archive,
+  case when d.doc_id % 97 = 0 then null
+       else concat('pkg', cast(d.doc_id % 50 as varchar), '/mod', cast(d.doc_id as varchar), '.py') end as member,
+  case when d.doc_id % 97 = 0 then null else cast(v.lines as bigint) end as lines,
+  d.doc_id % 97 = 0 as error
+from documents d join {_archive_lines_sql()} on d.doc_id % 10 = v.t
+""")
+def archive_members(spark, sf):
+    """S12 + S13 over archives derived from the documents: each corpus file
+    is packed (``.tar.gz`` for even ids, ``.whl`` for odd; every 97th archive
+    truncated), then extracted member by member; unreadable archives give a
+    quarantine row."""
+    from ..session import ship_code
+    from ..sources.archives import members_of, pack_archives
+    from ..taint.scanner import code_corpus
+
+    ship_code(spark)
+    c = code_corpus(T.read(spark, sf, "documents")).withColumnRenamed("file_id", "doc_id")
+    files = c.select(
+        F.expr(_ARCHIVE_NAME).alias("archive"),
+        F.concat(F.lit("pkg"), (F.col("doc_id") % 50).cast("string"), F.lit("/mod"), F.col("doc_id").cast("string"),
+                 F.lit(".py")).alias("member"),
+        "content", (F.col("doc_id") % 97 == 0).alias("corrupt"))
+    m = members_of(pack_archives(files))
+    return m.select(
+        F.regexp_extract("archive", r"-([0-9]+)(?:\.tar\.gz|-py3-none-any\.whl)$", 1).cast("long").alias("doc_id"),
+        "archive", "member",
+        F.when(F.col("error").isNull(), Fi.effective_lines(F.decode("content", "UTF-8"))).alias("lines"),
+        F.col("error").isNotNull().alias("error"))

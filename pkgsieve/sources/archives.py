@@ -6,7 +6,8 @@ row per member (package path, member path, bytes).  Members never touch
 local disk.  An archive that cannot be read yields one quarantine row
 (``error`` set) and no members, as the monitor drops the whole archive.
 
-Not registered as a query: the driver's tables contain no archives.
+``members_of`` works on any ``(path, content)`` table, so archives read
+from storage and archives built in Spark go through the same extraction.
 """
 from __future__ import annotations
 
@@ -55,11 +56,44 @@ def _explode(batches):
         yield pd.DataFrame(rows, columns=[f.name for f in MEMBER_SCHEMA.fields])
 
 
+def members_of(files: DataFrame) -> DataFrame:
+    """``(path, content)`` archives -> one row per member (bad archives
+    -> one quarantine row with ``error``)."""
+    return files.select("path", "content").mapInPandas(_explode, MEMBER_SCHEMA)
+
+
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """S12 + S13: every member of every archive / source file under ``path``."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
              .where(dispatch_kind(F.col("path")).isNotNull()))
-    return files.select("path", "content").mapInPandas(_explode, MEMBER_SCHEMA)
+    return members_of(files)
+
+
+def _pack(batches):
+    """(archive name, member path, text, corrupt) -> (path, archive bytes)."""
+    for pdf in batches:
+        out = []
+        for name, member, text, bad in zip(pdf["archive"], pdf["member"], pdf["content"], pdf["corrupt"]):
+            data = (text or "").encode("utf-8")
+            buf = io.BytesIO()
+            if name.endswith(".tar.gz"):
+                with tarfile.open(fileobj=buf, mode="w:gz") as tf:
+                    ti = tarfile.TarInfo(member)
+                    ti.size = len(data)
+                    tf.addfile(ti, io.BytesIO(data))
+            else:
+                with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+                    zf.writestr(member, data)
+            raw = buf.getvalue()
+            out.append((name, raw[:20] if bad else raw))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+def pack_archives(files: DataFrame) -> DataFrame:
+    """Build one archive per source file in memory (``archive, member,
+    content, corrupt`` -> ``path, content``); ``corrupt`` truncates it."""
+    return files.select("archive", "member", "content", "corrupt").mapInPandas(
+        _pack, "path string, content binary")
 
 
 def archive_corpus(members: DataFrame) -> DataFrame:

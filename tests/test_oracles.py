@@ -12,7 +12,7 @@ FAST = ["project_suspicion", "signal_levenshtein", "signal_swap", "signal_import
         "content_router", "html_release_versions", "popular_rows", "known_bad_links", "download_tasks",
         "download_top", "analysis_queue", "pending_downloads", "pending_analysis", "insert_ignore",
         "upsert_results", "upsert_private", "release_analyzed", "file_selection", "file_selection_rules",
-        "effective_lines", "import_names", "alias_build", "word_typosquat", "issues", "resolved_calls",
+        "effective_lines", "import_names", "alias_build", "archive_members", "word_typosquat", "issues", "resolved_calls",
         "file_metrics", "package_metrics", "behaviour_order"]
 
 
