@@ -177,7 +177,8 @@ def word_typosquat(spark, sf):
     d = T.read(spark, sf, "documents").where(F.col("lang") == "en")
     toks = d.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,9}"), 0)).alias("m")).select(
         F.lower("m").alias("word"))
-    counts = toks.groupBy("word").agg(F.count("*").alias("download_count"))
+    # read twice (all names, top list): written once
+    counts = checkpoint_cut(toks.groupBy("word").agg(F.count("*").alias("download_count")))
     top = counts.orderBy(F.desc("download_count"), "word").limit(TOP_WORDS).select(
         F.col("word").alias("pname"), "download_count")
     names = counts.select(F.col("word").alias("nid"), F.col("word").alias("name"))
