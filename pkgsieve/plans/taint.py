@@ -238,11 +238,19 @@ def taint_reach(spark, sf):
                     F.col("t.type").alias("taint_type"), F.col("t.lineno").alias("taint_line"))
 
 
-@register("name_bindings")
+# X4 records per template: (scope, name, constant value, dotted variable)
+BINDINGS = [(2, "", "a", None, None), (3, "", "r", None, None), (3, "", "b", None, "r.text"),
+            (4, "", "t", None, "os.system"), (5, "", "m", "os", None), (6, "", "a", None, None),
+            (6, "", "a", "x", None), (7, "", "f", "p.sh", None), (8, "", "d", None, None),
+            (9, ".g", "d", None, None)]
+
+
+@register("name_bindings", _doc_join(BINDINGS, ["t", "scope", "name", "value", "variable"],
+                                     "d.doc_id, v.scope, v.name, v.value, v.variable"))
 def name_bindings(spark, sf):
-    """Variable records with their constant value / dotted name (rows only)."""
+    """Variable records with their constant value / dotted name."""
     r = scanned(spark, sf).records
-    return r.select(F.col("file_id").alias("doc_id"), "rec_ns", "name", "rec_seq", "value", "variable")
+    return r.select(F.col("file_id").alias("doc_id"), F.col("rec_ns").alias("scope"), "name", "value", "variable")
 
 
 @register("def_use")
