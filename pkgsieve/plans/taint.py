@@ -253,11 +253,32 @@ def name_bindings(spark, sf):
     return r.select(F.col("file_id").alias("doc_id"), F.col("rec_ns").alias("scope"), "name", "value", "variable")
 
 
-@register("def_use")
+# J12 per template: every name read -> (name, line, definition visible,
+# its scope, import alias bound before the read)
+DEF_USE = [(0, "print", 2, False, None, None), (0, "os", 2, False, None, None), (1, "exec", 1, False, None, None),
+           (2, "base64", 2, False, None, None), (2, "exec", 3, False, None, None), (2, "a", 3, True, "", None),
+           (3, "requests", 2, False, None, None), (3, "r", 3, True, "", None), (3, "eval", 4, False, None, None),
+           (3, "b", 4, True, "", None), (4, "s", 2, False, None, "os.system"), (4, "t", 3, True, "", None),
+           (5, "__import__", 2, False, None, None), (5, "m", 2, True, "", None),
+           (6, "base64", 2, False, None, None), (6, "exec", 4, False, None, None), (6, "a", 4, True, "", None),
+           (7, "request", 4, False, None, "urllib.request"), (7, "f", 4, True, "", None),
+           (7, "os", 5, False, None, None), (7, "f", 5, True, "", None),
+           (8, "base64", 2, False, None, None), (8, "requests", 3, False, None, None), (8, "d", 3, True, "", None),
+           (9, "base64", 3, False, None, None), (9, "c", 3, True, ".g", None), (9, "eval", 4, False, None, None),
+           (9, "d", 4, True, ".g", None), (9, "eval", 5, False, None, None), (9, "k", 5, True, ".g", None),
+           (9, "g", 6, False, None, None)]
+
+
+@register("def_use", _doc_join(DEF_USE, ["t", "name", "line", "found", "scope", "alias_target"],
+                               "d.doc_id, v.name, v.line, v.found, v.scope, v.alias_target"))
 def def_use(spark, sf):
-    """Each name read and the definition it sees (rows only)."""
-    n = scanned(spark, sf).name_info
-    return n.select(F.col("file_id").alias("doc_id"), "seq", "name", "rec_ns", "rec_seq", "alias_target")
+    """Each name read, whether a definition is visible (innermost scope,
+    latest before the read), its scope and the import alias in force."""
+    res = scanned(spark, sf)
+    n = res.name_info.join(res.facts.nodes.select("file_id", "seq", F.col("lineno").alias("line")),
+                           ["file_id", "seq"])
+    return n.select(F.col("file_id").alias("doc_id"), "name", "line", F.col("rec_seq").isNotNull().alias("found"),
+                    F.col("rec_ns").alias("scope"), "alias_target")
 
 
 @register("scan_report")
