@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, urlfilter, wavelet
+from . import decontaminate, mixing, quality, sharding, simhash, urlfilter, warc, wavelet
 from .common import cut, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,24 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP8_SQL = r"""
+with p as (select row_number() over (order by page_id) as id, page_id, coalesce(html, '') as html from pages),
+d as (select id, page_id, strlen(html)::bigint as payload_bytes, sha1(html) as hex from p),
+f as (select hex, min_by(page_id, id) as first_page, min(id) as first_id from d group by hex),
+b as (select d.*, first_page, first_id,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((('0x' || substr(hex, (1 + 5 * (i // 4))::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '') as payload_digest
+ from d join f using (hex))
+select page_id, payload_bytes, payload_digest, case when id = first_id then 'response' else 'revisit' end as record_type,
+ case when id <> first_id then first_page end as refers_to from b
+"""
+
+
+@query("op8_warc_archive", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 OP9_SQL = r"""
 with d as (select row_number() over () as id, doc_id, source, coalesce(text, '') as t,
   coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w,
