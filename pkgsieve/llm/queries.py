@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, urlfilter, warc, wavelet
+from . import decontaminate, langid, mixing, quality, sharding, simhash, urlfilter, warc, wavelet
 from .common import cut, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     judged = quality.judge(cut(quality.measure(docs).drop("text")))
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
+@query("op10_language_spans")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    model = langid.fit(docs.where(fold != 2).select("text", "lang"))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
