@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, sharding, simhash, urlfilter, warc, wavelet
+from . import decontaminate, langid, lm, mixing, quality, sharding, simhash, urlfilter, warc, wavelet
 from .common import cut, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_deleted_interpolation")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+    # of the training documents every twentieth is deleted: it teaches the weights
+    fold = F.when(crc % 10 == 0, lm.TEST).when(crc % 20 == 1, lm.DELETED).otherwise(lm.KEPT)
+    return lm.score_corpus(table(spark, sf_dir, "documents").select("doc_id", fold.alias("fold"), "text"))
+
+
 @query("op5_rendezvous_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.number(sharding.place(table(spark, sf_dir, "documents")))
