@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import fresh
 
-PERCENT = 6
+PERCENT = 8
 MIN_CHARS = 24
 BLOCK_CHARS = 1 << 20
 _FOLD = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\x0b\f\r", b"     "))
