@@ -63,7 +63,7 @@ class WordEncoder:
         fold = text if b"<|" in text else text.lower()  # the vocabulary is lower case; special tokens are not folded
         out = []
         for words in word_pieces(fold):
-            missing = set(words) - self.now.keys()
+            missing = {w for w in words if w not in self.now}
             if missing:
                 self._learn(missing)
             out.append(b"".join(map(self.now.__getitem__, words)))
@@ -75,8 +75,8 @@ class WordEncoder:
         # a closing mark after a-z is a token run of its own
         closed = {w for w in missing if len(w) > 1 and w[-1] in _CLOSING and 97 <= w[-2] <= 122}
         need = (missing - closed) | {w[:-1] for w in closed} | {w[-1:] for w in closed}
-        need -= self.now.keys()
-        again = need & self.old.keys()
+        need = {w for w in need if w not in self.now}
+        again = {w for w in need if w in self.old}
         self.now.update((w, self.old[w]) for w in again)
         new = list(need - again)
         for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new],
