@@ -181,7 +181,7 @@ class WordScores:
     def rows(self, texts: list[str]) -> list[np.ndarray]:
         """The rows of the words of each text."""
         split = [t.lower().split() for t in texts]
-        new = list({w for words in split for w in words} - self.place.keys())
+        new = list({w for words in split for w in words if w not in self.place})
         for a in range(0, len(new), 1 << 15):
             self._add(new[a:a + (1 << 15)])
         return [np.fromiter(map(self.place.__getitem__, words), dtype=np.int32, count=len(words)) for words in split]
