@@ -2,35 +2,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Row bound under which a dimension side (popular list, rule catalogue,
-# private list) is broadcast explicitly.  Above it the join is left to a
-# shuffle join, which AQE may still turn into a broadcast from runtime sizes.
-BROADCAST_MAX_ROWS = 2_000_000
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count against ``max_rows``.
-
-    Used for sides that are small by construction (the top-N popular list, rule
-    tables).  The count is one cheap job over an already-small relation; when
-    it exceeds the bound the plain frame is returned and Spark shuffles.
-    """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def checkpoint_cut(df: DataFrame, table: bool = True) -> DataFrame:
+def checkpoint_cut(df: DataFrame, table: bool = True, by: str | None = None) -> DataFrame:
     """Cut lineage in the shared folder named by ``spark.checkpoint.dir``.
 
     ``table=True`` writes ``df`` as a parquet table there and reads it back:
     computed once (a reliable ``Dataset.checkpoint`` runs a count job and then
     recomputes the plan to write it) -- used for the many small loop states of
-    the scanner.  ``table=False`` uses the reliable checkpoint, which keeps the
-    plan's output partitioning, so a following window / join on the same keys
-    needs no new shuffle -- used for the feed intermediates.  Both survive
-    executor loss; local checkpoints are never used.
+    the scanner.  ``by`` lays the table out in a folder per value of that
+    column, so that a filter on it reads those files alone.
+    ``table=False`` uses the reliable checkpoint, which keeps the plan's output
+    partitioning, so a following window / join on the same keys needs no new
+    shuffle -- used for the feed intermediates.  Both survive executor loss;
+    local checkpoints are never used.
     """
     import uuid
 
@@ -41,5 +26,5 @@ def checkpoint_cut(df: DataFrame, table: bool = True) -> DataFrame:
         ensure_checkpoint_dir(spark)
         return df.checkpoint(eager=True)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    df.write.mode("error").partitionBy(*([by] if by else [])).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

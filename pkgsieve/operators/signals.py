@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import deletion_keys, mismatches, sorted_chars, within_distance
-from .common import bounded_broadcast
 
 # Signal scores and message templates must equal the
 # reference's text exactly.
@@ -87,12 +86,12 @@ def levenshtein_pairs(names: DataFrame, popular: DataFrame, distance: int = 1, d
     if distance <= 2:
         nk = names.select("nid", "name", F.explode(deletion_keys("name", distance)).alias("k"))
         pk = popular.select("pname", "download_count", F.explode(deletion_keys("pname", distance)).alias("k"))
-        j = nk.join(bounded_broadcast(pk), "k")
+        j = nk.join(pk, "k")
     else:
         nk = names.select("nid", "name", F.explode(
             F.sequence(F.length("name") - distance, F.length("name") + distance)).alias("len"))
         pk = popular.select("pname", "download_count", F.length("pname").alias("len"))
-        j = nk.join(bounded_broadcast(pk), "len")
+        j = nk.join(pk, "len")
     pairs = j.where(within_distance("name", "pname", distance)).select("nid", "name", "pname", "download_count")
     # several shared keys can produce the same pair; the roll-up de-duplicates
     # with collect_set, stand-alone callers get distinct pairs here
@@ -110,7 +109,7 @@ def swap_pairs(names: DataFrame, popular: DataFrame) -> DataFrame:
     mismatching positions."""
     nk = names.select("nid", "name", F.length("name").alias("len"), sorted_chars("name").alias("sk"))
     pk = popular.select("pname", "download_count", F.length("pname").alias("len"), sorted_chars("pname").alias("sk"))
-    j = nk.join(bounded_broadcast(pk), ["len", "sk"])
+    j = nk.join(pk, ["len", "sk"])
     return j.where(mismatches("name", "pname") == 2).select("nid", "name", "pname", "download_count")
 
 
@@ -164,7 +163,7 @@ def popular_loop_signals(names: DataFrame, popular: DataFrame, distance: int = 1
 
     nk = names.select("nid", "name", F.explode(keyed("name")).alias("k"))
     pk = popular.select("pname", "download_count", F.explode(keyed("pname")).alias("k"))
-    pairs = nk.join(bounded_broadcast(pk), "k").drop("k")
+    pairs = nk.join(pk, "k").drop("k")
     if distance > 2:
         pairs = pairs.unionByName(levenshtein_pairs(names, popular, distance, dedupe=False))
     name, pname, dc = F.col("name"), F.col("pname"), F.col("download_count")

@@ -2,9 +2,9 @@
 
 Every step is keyed by ``file_id`` so work spreads over files; scoped name
 lookups are as-of joins done with the blocked prefix scan (no pairs within a
-group), the spread to ancestors is an ``explode`` of each node's precomputed
-scope chain, and the two fix-points (callee resolution, taint reach) are
-semi-naive loops whose frontier is checkpointed each round.
+group).  A record's value or dotted name comes from the one record its right
+side reads, so chains of copies are followed by pointer doubling: the rounds
+go with the logarithm of the longest chain, and there is no bound on them.
 """
 from __future__ import annotations
 
@@ -19,7 +19,6 @@ from ..operators.folds import prefix_last
 # Per (file, scope, name) the prefix scan never crosses files, so one block
 # per key is enough; the bound still caps a pathological file.
 LOOKUP_BLOCK = 1 << 20
-MAX_ROUNDS = 50
 
 IMPORT_FUNCS = ("__import__", "importlib.__import__")
 IMPORT_MODULE = "importlib.import_module"
@@ -110,15 +109,28 @@ def scoped_lookup(uses: DataFrame, defs: DataFrame, block: int = LOOKUP_BLOCK) -
     return best.select("file_id", "useq", "name", "r.rec_ns", "r.rec_seq")
 
 
-def name_defs(fx: Facts) -> DataFrame:
+def name_defs(fx: Facts, block: int = LOOKUP_BLOCK) -> DataFrame:
     """Definitions of plain names: assignment targets, parameters, ``with``
-    targets; ``del`` kills."""
+    targets; a ``del`` kills the name in the scope where it is found then."""
     a = fx.assigns.where(F.col("tkind") == "name").select("file_id", "ns", F.col("tname").alias("name"),
                                                           F.col("seq").alias("dseq"), F.lit(False).alias("kill"))
     p = fx.params.select("file_id", "ns", "name", F.col("seq").alias("dseq"), F.lit(False).alias("kill"))
     w = fx.withs.select("file_id", "ns", "name", F.col("seq").alias("dseq"), F.lit(False).alias("kill"))
-    k = fx.dels.select("file_id", "ns", "name", F.col("seq").alias("dseq"), F.lit(True).alias("kill"))
-    return a.unionByName(p).unionByName(w).unionByName(k)
+    defs = a.unionByName(p).unionByName(w)
+    if fx.dels.isEmpty():
+        return defs
+    # a del sees what earlier ones left: the first del of a name is right after
+    # one round, the second after two, ...; the rounds end when no scope changes
+    uses = fx.dels.select("file_id", F.col("seq").alias("useq"), "ns", "name")
+    kills = None
+    while True:
+        seen = defs if kills is None else defs.unionByName(kills)
+        found = scoped_lookup(uses, seen, block)
+        new = checkpoint_cut(found.select("file_id", F.col("rec_ns").alias("ns"), "name", F.col("useq").alias("dseq"),
+                                          F.lit(True).alias("kill")))
+        if kills is not None and new.exceptAll(kills).isEmpty() and kills.exceptAll(new).isEmpty():
+            return defs.unionByName(new)
+        kills = new
 
 
 def import_state(fx: Facts, names: DataFrame, block: int = LOOKUP_BLOCK) -> DataFrame:
@@ -150,7 +162,7 @@ def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame,
     ``call_names``: resolved callee per Call node (``func``).
     """
     loads = fx.names.where(F.col("ctx") == "Load")
-    look = scoped_lookup(loads.select("file_id", F.col("seq").alias("useq"), "ns", "name"), name_defs(fx), block)
+    look = scoped_lookup(loads.select("file_id", F.col("seq").alias("useq"), "ns", "name"), name_defs(fx, block), block)
     imp = import_state(fx, loads, block)
     name_info = checkpoint_cut(
         loads.select("file_id", "seq", "name")
@@ -161,32 +173,23 @@ def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame,
     recs0 = (fx.assigns.where(F.col("tkind") == "name")
              .select("file_id", F.col("ns").alias("rec_ns"), F.col("tname").alias("name"), F.col("seq").alias("rec_seq"),
                      "value_seq", "value_type").dropDuplicates(["file_id", "rec_ns", "name", "rec_seq"]))
-    recs = recs0.join(consts.withColumnRenamed("node_seq", "value_seq"), ["file_id", "value_seq"], "left").select(
-        "file_id", "rec_ns", "name", "rec_seq", "value_seq", "value_type",
-        F.when(F.col("value_type") == "Constant", F.col("const_value")).alias("value"),
-        F.lit(None).cast("string").alias("variable"))
-    recs = checkpoint_cut(recs)
     dyn = None  # call seq -> dynamically imported module name
-    for _ in range(MAX_ROUNDS):
-        recs_in, dyn_in = recs, dyn
+    while True:
+        recs = _follow(_links(recs0, consts, name_info, fx, dyn))
         ni = name_info.join(
-            recs.select("file_id", "rec_ns", F.col("name").alias("rname"), "rec_seq", "value", "variable"),
+            recs.select("file_id", F.col("name").alias("rname"), "rec_ns", "rec_seq", "value", "variable"),
             (name_info.file_id == recs.file_id) & (name_info.rec_ns == recs.rec_ns)
             & (name_info.name == F.col("rname")) & (name_info.rec_seq == recs.rec_seq), "left"
         ).select(name_info["*"], "value", "variable")
         ni = ni.select(
-            "file_id", "seq", "name", "alias_target", "in_imports", "value", "variable",
-            F.col("rec_seq").isNotNull().alias("rec_found"),
+            "file_id", "seq", "name", "value",
             F.when(F.col("rec_seq").isNotNull(), F.coalesce("variable", "name"))
              .otherwise(F.coalesce("alias_target", "name")).alias("bare"),
             F.coalesce("variable", "alias_target", "name").alias("basen"))
-        ni = checkpoint_cut(ni)  # read by four steps below
+        ni = checkpoint_cut(ni)  # read by three steps below
         # attribute chains
         a = fx.attrs.join(ni.select("file_id", F.col("seq").alias("base_seq"), "basen"), ["file_id", "base_seq"], "left")
-        if dyn is not None:
-            a = a.join(dyn.select("file_id", F.col("seq").alias("base_seq"), "dyn"), ["file_id", "base_seq"], "left")
-        else:
-            a = a.withColumn("dyn", F.lit(None).cast("string"))
+        a = _with_dynamic(a, dyn, "base_seq")
         tail = F.array_join("path", ".")
         rn = (F.when(F.col("base_type") == "Name", F.concat_ws(".", "basen", tail))
                .when((F.col("base_type") == "Call") & F.col("dyn").isNotNull(), F.concat_ws(".", "dyn", tail))
@@ -200,14 +203,15 @@ def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame,
                  .when(F.col("func_type") == "Attribute", F.col("aname")).otherwise(F.lit("")))
         call_names = c.select("file_id", "seq", "ns", "lineno", "n_args", func.alias("func"))
         # dynamic imports: argument values (constants or constant-valued names)
-        av = fx.args.join(consts.withColumnRenamed("node_seq", "arg_seq"), ["file_id", "arg_seq"], "left").join(
+        imp_calls = call_names.where(F.col("func").isin(*IMPORT_FUNCS, IMPORT_MODULE))
+        av = fx.args.withColumnRenamed("call_seq", "seq").join(imp_calls.select("file_id", "seq"), ["file_id", "seq"], "left_semi")
+        av = av.join(consts.withColumnRenamed("node_seq", "arg_seq"), ["file_id", "arg_seq"], "left").join(
             ni.select("file_id", F.col("seq").alias("arg_seq"), F.col("value").alias("name_value")),
             ["file_id", "arg_seq"], "left")
-        av = av.select("file_id", "call_seq", "pos", "keyword",
+        av = av.select("file_id", "seq", "pos", "keyword",
                        F.when(F.col("arg_type") == "Constant", F.col("const_value"))
                         .when(F.col("arg_type") == "Name", F.col("name_value")).alias("aval"))
-        imp_calls = call_names.where(F.col("func").isin(*IMPORT_FUNCS, IMPORT_MODULE))
-        pv = imp_calls.join(av.withColumnRenamed("call_seq", "seq"), ["file_id", "seq"], "left")
+        pv = imp_calls.join(av, ["file_id", "seq"], "left")
         pv = pv.groupBy("file_id", "seq", "func", "n_args").agg(
             F.max(F.when(F.col("pos") == 0, F.struct(F.lit(1).alias("h"), F.col("aval").alias("v")))).alias("p0"),
             F.max(F.when(F.col("pos") == 1, F.struct(F.lit(1).alias("h"), F.col("aval").alias("v")))).alias("p1"),
@@ -218,33 +222,81 @@ def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame,
         dyn_new = pv.select("file_id", "seq", F.when(F.col("func").isin(*IMPORT_FUNCS), pname)
                             .otherwise(F.when(ppkg.isNotNull(), F.concat(ppkg, pname)).otherwise(pname)).alias("dyn"))
         dyn_new = checkpoint_cut(dyn_new.where(F.col("dyn").isNotNull()))
-        # records: name / attribute right-hand sides
-        src = ni.select("file_id", F.col("seq").alias("value_seq"), F.col("value").alias("s_value"),
-                        F.col("variable").alias("s_var"), "rec_found", "alias_target", "in_imports",
-                        F.col("name").alias("s_name"))
-        r = recs0.join(consts.withColumnRenamed("node_seq", "value_seq"), ["file_id", "value_seq"], "left") \
-                 .join(src, ["file_id", "value_seq"], "left") \
-                 .join(attr_names.select("file_id", F.col("seq").alias("value_seq"), F.col("rname").alias("a_name")),
-                       ["file_id", "value_seq"], "left")
-        vt = F.col("value_type")
-        value = (F.when(vt == "Constant", F.col("const_value"))
-                  .when(vt == "Name", F.col("s_value")))
-        variable = (F.when(vt == "Attribute", F.col("a_name"))
-                     .when((vt == "Name") & F.col("s_value").isNull(),
-                           F.when(F.col("rec_found"), F.col("s_var"))
-                            .otherwise(F.coalesce("alias_target",
-                                                  F.when(F.col("in_imports"), F.col("s_name"))))))
-        recs = checkpoint_cut(r.select("file_id", "rec_ns", "name", "rec_seq", "value_seq", "value_type",
-                                       value.alias("value"), variable.alias("variable")))
-        # fixed point: this round's state (records, dynamic imports) equals the
-        # state it started from, so its callee / attribute names are final
-        h = lambda df, *c: df.select(F.sum(F.hash(*c).cast("decimal(38,0)")).alias("h"), F.count("*").alias("n"))
-        sig_out = h(recs, "file_id", "rec_seq", "name", "value", "variable").crossJoin(
-            h(dyn_new, "file_id", "seq", "dyn").toDF("h2", "n2"))
-        sig_in = h(recs_in, "file_id", "rec_seq", "name", "value", "variable").crossJoin(
-            h(dyn_in, "file_id", "seq", "dyn").toDF("h2", "n2")) if dyn_in is not None else None
-        dyn = dyn_new
-        if sig_in is not None and tuple(sig_out.first()) == tuple(sig_in.first()):
+        # an import through an imported function shows one level per round
+        if _same(dyn, dyn_new):
             break
-    # the fixed point's outputs are read by every later step: write them once
+        dyn = dyn_new
+    # read by every later step: write them once
     return name_info, recs, checkpoint_cut(attr_names), checkpoint_cut(call_names)
+
+
+def _same(old: DataFrame | None, new: DataFrame) -> bool:
+    if old is None:
+        return new.isEmpty()
+    return new.exceptAll(old).isEmpty() and old.exceptAll(new).isEmpty()
+
+
+def _with_dynamic(attrs: DataFrame, dyn: DataFrame | None, base: str) -> DataFrame:
+    if dyn is None:
+        return attrs.withColumn("dyn", F.lit(None).cast("string"))
+    return attrs.join(dyn.select("file_id", F.col("seq").alias(base), "dyn"), ["file_id", base], "left")
+
+
+REC = ["file_id", "rec_ns", "name", "rec_seq"]
+
+
+def _links(recs0: DataFrame, consts: DataFrame, name_info: DataFrame, fx: Facts, dyn: DataFrame | None) -> DataFrame:
+    """Each record with what its right side says: a constant ``value``, a
+    dotted ``variable``, or the record it reads (``p_*``) -- copied as it is,
+    or, for an attribute, named by it (or else by ``fallback``) plus ``tail``."""
+    src = name_info.select("file_id", F.col("seq").alias("base_seq"), F.col("rec_ns").alias("p_ns"),
+                           F.when(F.col("rec_seq").isNotNull(), F.col("name")).alias("p_name"), F.col("rec_seq").alias("p_seq"),
+                           "alias_target", "in_imports", F.col("name").alias("s_name"))
+    attrs = _with_dynamic(fx.attrs.select("file_id", F.col("seq").alias("value_seq"), "base_seq", "base_type",
+                                          F.array_join("path", ".").alias("dotted")), dyn, "base_seq")
+    r = recs0.join(consts.withColumnRenamed("node_seq", "value_seq"), ["file_id", "value_seq"], "left") \
+             .join(attrs.withColumnRenamed("base_seq", "attr_base"), ["file_id", "value_seq"], "left")
+    vt, is_attr = F.col("value_type"), F.col("value_type") == "Attribute"
+    r = r.withColumn("base_seq", F.when(vt == "Name", F.col("value_seq")).when(
+        is_attr & (F.col("base_type") == "Name"), F.col("attr_base"))).join(src, ["file_id", "base_seq"], "left")
+    # a name that this same statement binds reads as not yet known
+    own = (F.col("p_seq") == F.col("rec_seq"))
+    linked = F.col("p_seq").isNotNull() & ~own
+    named = F.coalesce("alias_target", "s_name")
+    variable = (F.when(is_attr & (F.col("base_type") == "Name"), F.concat_ws(".", named, "dotted"))
+                 .when(is_attr & (F.col("base_type") == "Call") & F.col("dyn").isNotNull(), F.concat_ws(".", "dyn", "dotted"))
+                 .when(is_attr, F.col("dotted"))
+                 .when((vt == "Name") & F.col("p_seq").isNull(),
+                       F.coalesce("alias_target", F.when(F.col("in_imports"), F.col("s_name")))))
+    return r.select(*REC, "value_seq", "value_type",
+                    F.when(vt == "Constant", F.col("const_value")).alias("value"),
+                    F.when(~linked, variable).alias("variable"),
+                    *[F.when(linked, F.col(c)).alias(c) for c in ("p_ns", "p_name", "p_seq")],
+                    F.when(is_attr & linked, F.col("dotted")).alias("tail"),
+                    F.when(is_attr & linked, named).alias("fallback"))
+
+
+def _follow(links: DataFrame) -> DataFrame:
+    """The records with ``value`` and ``variable`` at the end of their chains.
+    Each round replaces the record a record points at by the one that points
+    at, joining the attribute tails passed; it ends when none points on."""
+    state = checkpoint_cut(links.withColumn("value", F.when(F.col("p_seq").isNull(), F.col("value")))
+                                .withColumn("open", F.col("p_seq").isNotNull()))
+    while not state.where("open").isEmpty():
+        parent = state.select("file_id", *[F.col(c).alias(f"o_{c}") for c in (
+            "rec_ns", "name", "rec_seq", "value", "variable", "p_ns", "p_name", "p_seq", "tail", "fallback", "open")])
+        todo = state.where("open").withColumnsRenamed({"file_id": "f"})
+        j = todo.join(parent, (F.col("f") == F.col("file_id")) & (F.col("p_ns") == F.col("o_rec_ns"))
+                      & (F.col("p_name") == F.col("o_name")) & (F.col("p_seq") == F.col("o_rec_seq")), "left")
+        more, attr = F.coalesce("o_open", F.lit(False)), F.col("tail").isNotNull()
+        tail = F.when(attr & F.col("o_tail").isNotNull(), F.concat_ws(".", "o_tail", "tail")).otherwise(F.coalesce("tail", "o_tail"))
+        ended = F.when(attr, F.concat_ws(".", F.coalesce("o_variable", "fallback"), "tail")).otherwise(F.col("o_variable"))
+        j = j.select(
+            F.col("f").alias("file_id"), "rec_ns", "name", "rec_seq", "value_seq", "value_type",
+            F.when(~more & ~attr, F.col("o_value")).alias("value"), F.when(~more, ended).alias("variable"),
+            *[F.when(more, F.col(f"o_{c}")).alias(c) for c in ("p_ns", "p_name", "p_seq")],
+            F.when(more, tail).alias("tail"),
+            F.when(more, F.when(attr & F.col("o_tail").isNull(), F.col("fallback")).otherwise(F.col("o_fallback"))).alias("fallback"),
+            more.alias("open"))
+        state = checkpoint_cut(state.where("not open").unionByName(j))
+    return state.select(*REC, "value_seq", "value_type", "value", "variable")

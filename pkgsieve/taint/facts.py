@@ -8,8 +8,13 @@ this is a Spark join / aggregation over these facts keyed by ``file_id``.
 Visit order mirrors a pre-order walk over ``ast.iter_fields``: ``seq`` is the
 visit number (parent before child), ``ns`` the dot-joined scope (``""`` at
 module level; ``class`` and ``def`` names are pushed for their children,
-``async def`` and ``lambda`` are not).  ``up`` lists the ancestors a taint can
-spread to: parents in the same scope, stopping below the module.
+``async def`` and ``lambda`` are not).  The walk keeps its own stack, so a
+file may nest as deep as the parser accepts.
+
+``up`` lists the stations a taint passes on its way through the parents in the
+same scope, below the module: assignments, ``with`` items and call arguments,
+the only nodes whose taints are ever read.  A station holds the line numbers
+of the nodes passed since the one before (the node itself at first).
 """
 from __future__ import annotations
 
@@ -20,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_UP = T.ArrayType(T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("lineno", T.IntegerType()),
-                                T.StructField("ntype", T.StringType())]))
+_UP = T.ArrayType(T.StructType([T.StructField("seq", T.IntegerType()),
+                                T.StructField("lines", T.ArrayType(T.IntegerType()))]))
 
 FACT_SCHEMA = T.StructType([
     T.StructField("file_id", T.LongType()),
@@ -55,14 +60,23 @@ def const_key(v) -> str:
     return f"{type(v).__name__}:{v!r}"
 
 
+def _children(node):
+    """The child nodes in visit order."""
+    for _, value in ast.iter_fields(node):
+        for item in value if isinstance(value, list) else [value]:
+            if isinstance(item, ast.AST):
+                yield item
+
+
 class _Walker:
     def __init__(self, file_id: int):
         self.fid = file_id
         self.rows: list[dict] = []
         self.seq = 0
         self.ns: list[str] = [""]
-        self.info: dict[int, tuple] = {}  # id(node) -> (seq, ns, parent seq, lineno, ntype)
-        self._ups: dict[int, list] = {}
+        self.info: dict[int, tuple] = {}  # id(node) -> (seq, ns, lineno)
+        self.ups: dict[int, list] = {}
+        self.arguments: set[int] = set()  # ids of the argument nodes of calls
         self._pending: list = []      # (row index, node) whose seq fills ref_seq
         self._pending_tgt: list = []  # (row index, attribute target node) whose seq fills pos
 
@@ -76,50 +90,51 @@ class _Walker:
         return None if i is None else i[0]
 
     def run(self, tree: ast.Module):
-        self.info[id(tree)] = (0, "", None, None, "Module")
+        self.info[id(tree)] = (0, "", None)
         self.emit("node", seq=0, ntype="Module", ns="", end_seq=None, up=[])
-        self.children(tree)
-        self.rows[0]["end_seq"] = self.seq
+        stack = [(tree, _children(tree), 0)]  # node, its children to come, its row
+        while stack:
+            node, children, row = stack[-1]
+            child = next(children, None)
+            if child is not None:
+                stack.append((child, _children(child), self.enter(child, node)))
+                continue
+            stack.pop()
+            self.rows[row]["end_seq"] = self.seq
+            if isinstance(node, (ast.ClassDef, ast.FunctionDef)):
+                self.ns.pop()
 
-    def children(self, node):
-        for _, value in ast.iter_fields(node):
-            items = value if isinstance(value, list) else [value]
-            for item in items:
-                if isinstance(item, ast.AST):
-                    self.visit(item, node)
-
-    def visit(self, node, parent):
+    def enter(self, node, parent) -> int:
+        """Emit a node and its facts; the node's row."""
         self.seq += 1
         s = self.seq
         ns = ".".join(self.ns)
-        pseq, pns, _, plin, ptype = self.info[id(parent)]
-        lin = getattr(node, "lineno", None)
-        self.info[id(node)] = (s, ns, pseq, lin, type(node).__name__)
-        # spread chain: parents in the same scope, never the module
-        up = []
-        if ptype != "Module" and pns == ns:
-            up = [{"seq": pseq, "lineno": plin, "ntype": ptype}] + self.up_of(parent)
-        node_row = dict(seq=s, parent=pseq, ntype=type(node).__name__, ns=ns, lineno=lin,
-                        col=getattr(node, "col_offset", None), end_lineno=getattr(node, "end_lineno", None),
-                        end_col=getattr(node, "end_col_offset", None),
-                        ctx=type(node.ctx).__name__ if hasattr(node, "ctx") else None, up=up)
-        self.emit("node", **node_row)
-        idx = len(self.rows) - 1
-        self._ups[id(node)] = up
-        pushed = False
+        line = getattr(node, "lineno", None)
+        self.info[id(node)] = (s, ns, line)
+        up = self.ups[id(node)] = self.stations(node, parent, ns, line)
+        self.emit("node", seq=s, parent=self.info[id(parent)][0], ntype=type(node).__name__, ns=ns, lineno=line,
+                  col=getattr(node, "col_offset", None), end_lineno=getattr(node, "end_lineno", None),
+                  end_col=getattr(node, "end_col_offset", None),
+                  ctx=type(node.ctx).__name__ if hasattr(node, "ctx") else None, up=up)
+        row = len(self.rows) - 1
         if isinstance(node, (ast.ClassDef, ast.FunctionDef)):
             self.ns.append(node.name)
-            pushed = True
             if isinstance(node, ast.FunctionDef):
                 self.params(node, s)
         self.facts(node, s, ns)
-        self.children(node)
-        self.rows[idx]["end_seq"] = self.seq
-        if pushed:
-            self.ns.pop()
+        return row
 
-    def up_of(self, node):
-        return self._ups.get(id(node), [])
+    def stations(self, node, parent, ns: str, line: int | None) -> list[dict]:
+        pseq, pns, _ = self.info[id(parent)]
+        if isinstance(parent, ast.Module) or pns != ns:
+            return []
+        lines = [] if line is None else [line]
+        above = self.ups[id(parent)]
+        if isinstance(parent, (ast.Assign, ast.withitem)) or id(parent) in self.arguments:
+            return [{"seq": pseq, "lines": lines}, *above]
+        if not above or set(lines) <= set(above[0]["lines"]):
+            return above
+        return [{"seq": above[0]["seq"], "lines": lines + above[0]["lines"]}, *above[1:]]
 
     def params(self, node: ast.FunctionDef, s: int):
         inner = ".".join(self.ns)
@@ -140,11 +155,11 @@ class _Walker:
             if isinstance(node.ctx, ast.Del):
                 self.emit("del", seq=s, ns=ns, name=node.id)
         elif isinstance(node, ast.Attribute):
-            path = [node.attr]
-            base = node.value
+            path, base = [node.attr], node.value
             while isinstance(base, ast.Attribute):
-                path.insert(0, base.attr)
+                path.append(base.attr)
                 base = base.value
+            path.reverse()
             # ref_seq (the chain base) is assigned after the children are visited
             self.emit("attr", seq=s, ns=ns, name=node.attr, ctx=type(node.ctx).__name__, path=path,
                       ref_type=type(base).__name__)
@@ -153,6 +168,7 @@ class _Walker:
             self.emit("call", seq=s, ns=ns, ref_type=type(node.func).__name__, n_args=len(node.args),
                       lineno=node.lineno)
             self._pending.append((len(self.rows) - 1, node.func))
+            self.arguments.update(map(id, [*node.args, *(kw.value for kw in node.keywords)]))
             for i, arg in enumerate(node.args):
                 self.emit("arg", seq=s, pos=i, ref_type=type(arg).__name__)
                 self._pending.append((len(self.rows) - 1, arg))
@@ -208,38 +224,34 @@ class _Walker:
             self.rows[i]["pos"] = self.seq_of(node)
 
 
-def extract_file(file_id: int, content: str) -> list[dict]:
+def extract_file(file_id: int, content: str | bytes) -> list[dict]:
+    """The fact rows of a file; bytes are decoded as their coding line says."""
     w = _Walker(file_id)
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError) as e:  # quarantine the file, keep going
-        r = dict.fromkeys(_COLS)
-        r.update(file_id=file_id, kind="error", name=type(e).__name__, target=str(e)[:500])
-        return [r]
-    except RecursionError:
-        r = dict.fromkeys(_COLS)
-        r.update(file_id=file_id, kind="error", name="RecursionError")
-        return [r]
-    try:
-        w.run(tree)
-        w.finish()
-    except RecursionError:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        # what the parser refuses (MemoryError: nested beyond its own stack) becomes an error row
         r = dict.fromkeys(_COLS)
-        r.update(file_id=file_id, kind="error", name="RecursionError")
+        r.update(file_id=file_id, kind="error", name=type(e).__name__, target=str(e))
         return [r]
+    w.run(tree)
+    w.finish()
     return w.rows
 
 
 _ARROW_SCHEMA = to_arrow_schema(FACT_SCHEMA)
 
 
+ROWS_PER_BATCH = 20_000
+
+
 def _extract_batches(batches):
-    """Arrow record batches in, fact record batches out (no pandas detour)."""
+    """Arrow record batches of files in, bounded record batches of facts out."""
     for b in batches:
-        out: list[dict] = []
-        for fid, content in zip(b.column("file_id").to_pylist(), b.column("content").to_pylist()):
-            out.extend(extract_file(int(fid), content if content is not None else ""))
-        yield pa.RecordBatch.from_pylist(out, schema=_ARROW_SCHEMA)
+        for fid, content in zip(b.column("file_id"), b.column("content")):
+            rows = extract_file(int(fid.as_py()), content.as_py() if content.is_valid else "")
+            for at in range(0, len(rows), ROWS_PER_BATCH):
+                yield pa.RecordBatch.from_pylist(rows[at:at + ROWS_PER_BATCH], schema=_ARROW_SCHEMA)
 
 
 def extract_facts(corpus: DataFrame) -> DataFrame:

@@ -1,13 +1,22 @@
-"""Taint marking, reach fix-point and issues."""
+"""Taint marking, reach and issues.
+
+A taint arrives at a record at the visit number of the read that brought it,
+and only reads after that carry it on, so arrival times grow along every path.
+The reads that lead from one record to another are edges with a time; going
+through a file's edges in the order of time once gives every record's earliest
+arrivals, whatever the length of the chains (``earliest``).
+"""
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.common import bounded_broadcast, checkpoint_cut
-from .engine import MAX_ROUNDS, Facts, scoped_lookup, taint_struct
+from ..operators.common import checkpoint_cut
+from .engine import Facts, scoped_lookup, taint_struct
 
 NODE_KEY = ["file_id", "seq", "t"]
 
@@ -15,8 +24,7 @@ NODE_KEY = ["file_id", "seq", "t"]
 @dataclass
 class Scan:
     taint_sources: DataFrame   # J7/J8: (file_id, seq, t) marked by rules, plus behaviour type
-    node_taints: DataFrame     # X13: (file_id, seq, t) every node a taint reached
-    record_taints: DataFrame   # X14: (file_id, rec_ns, name, rec_seq, t, at)
+    node_taints: DataFrame     # X13: (file_id, seq, t, at) every read and station a taint reached, and when first
     sinks: DataFrame           # J9: (file_id, seq, s)
     issues: DataFrame          # X18
     arg_taints: DataFrame      # X10: argument-position taints and where they landed
@@ -27,39 +35,88 @@ def _guarded(t: Column) -> Column:
     return F.coalesce(t["position"] != "ret", F.lit(True)) | t["keyword"].isNotNull()
 
 
+def _stations(up: Column, t: Column) -> Column:
+    """The stations that a taint passes: all, or for a guarded taint those
+    before the first node on the taint's own line."""
+    stop = F.array_position(F.transform(up, lambda x: F.array_contains(x["lines"], t["lineno"])), True).cast("int")
+    return F.when(_guarded(t) & (stop > 0), F.slice(up, 1, stop - 1)).otherwise(up)
+
+
 def spread(origins: DataFrame, nodes: DataFrame) -> DataFrame:
     """X13 + X15: a taint on a node reaches its same-scope ancestors (below
     the module).  A guarded taint (argument position or keyword) does not
     leave a node on its own line.  ``origins``: file_id, seq, t, at."""
-    n = nodes.select("file_id", "seq", F.col("lineno").alias("n_line"), "up")
-    o = origins.join(n, ["file_id", "seq"])
-    t = F.col("t")
-    lines = F.transform("up", lambda x: x["lineno"])
-    idx = F.array_position(lines, t["lineno"])
-    reach = (F.when(_guarded(t) & F.col("n_line").eqNullSafe(t["lineno"]), F.array().cast("array<int>"))
-              .when(_guarded(t) & (idx > 0), F.transform(F.slice("up", 1, idx.cast("int")), lambda x: x["seq"]))
-              .otherwise(F.transform("up", lambda x: x["seq"])))
-    anc = o.select("file_id", F.explode(reach).alias("seq"), "t", "at")
-    return o.select("file_id", "seq", "t", "at").unionByName(anc)
+    o = origins.join(nodes.select("file_id", "seq", "up"), ["file_id", "seq"])
+    anc = o.select("file_id", F.explode(_stations(F.col("up"), F.col("t"))).alias("u"), "t", "at")
+    return o.select("file_id", "seq", "t", "at").unionByName(anc.select("file_id", F.col("u.seq").alias("seq"), "t", "at"))
+
+
+def _record_id() -> Column:
+    return F.xxhash64("rec_ns", "name", "rec_seq")
+
+
+EDGES = "file_id long, r int, a long, b long, tid long, line int, guarded boolean, lines array<int>"
+ARRIVALS = "file_id long, rid long, tid long, at int"
+
+
+def earliest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(file_id, rid, tid, at): the earliest arrival of each taint at each record.
+
+    ``seeds`` (file_id, rid, tid, at, line, guarded): taints put on records;
+    ``edges`` (file_id, r, a, b, lines): a read of record a at time r that
+    feeds record b, and the lines passed on the way.  Files are dealt out by
+    id and their rows sorted by time; a task streams them and holds one file's
+    arrivals."""
+    none = F.lit(None)
+    rows = seeds.select("file_id", F.col("at").alias("r"), none.cast("long").alias("a"), F.col("rid").alias("b"), "tid",
+                        "line", "guarded", none.cast("array<int>").alias("lines"))
+    rows = rows.unionByName(edges.select("file_id", "r", "a", "b", none.cast("long").alias("tid"), none.cast("int").alias("line"),
+                                         none.cast("boolean").alias("guarded"), "lines"))
+    # a seed at time r is not seen by a read at time r; seeds come first all the same
+    rows = rows.repartition("file_id").sortWithinPartitions("file_id", "r", F.col("tid").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("file_id", pa.int64()), ("rid", pa.int64()), ("tid", pa.int64()), ("at", pa.int32())])
+        file, held, how = None, {}, {}  # record -> taint -> arrival; taint -> (line, guarded)
+
+        def out() -> pa.RecordBatch:
+            found = [(file, rid, tid, at) for rid, taints in held.items() for tid, at in taints.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["file_id"] != file:
+                    if held:
+                        yield out()
+                    file, held, how = row["file_id"], {}, {}
+                if row["tid"] is not None:
+                    how[row["tid"]] = row["line"], row["guarded"]
+                    held.setdefault(row["b"], {}).setdefault(row["tid"], row["r"])
+                    continue
+                for tid, at in list(held.get(row["a"], {}).items()):
+                    line, guarded = how[tid]
+                    if at < row["r"] and not (guarded and line in row["lines"]):
+                        held.setdefault(row["b"], {}).setdefault(tid, row["r"])
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, ARRIVALS)
 
 
 def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names: DataFrame,
              specs: DataFrame, pairs: DataFrame, file_paths: DataFrame) -> Scan:
     nodes = fx.nodes
     pos = nodes.select("file_id", "seq", "lineno", "col", "end_lineno", "end_col")
-    specs_b = bounded_broadcast(specs)
-    pairs_b = bounded_broadcast(pairs)
-
     calls = call_names.join(pos.select("file_id", "seq", "col", "end_lineno", "end_col"), ["file_id", "seq"])
     # Call x function-taint rules
-    ft = specs_b.where((F.col("role") == "taint") & (F.col("accordance") == "function"))
+    ft = specs.where((F.col("role") == "taint") & (F.col("accordance") == "function"))
     cm = calls.join(ft, calls.func == ft.target)
     ct = taint_struct(F.col("rule_id"), "function", F.col("rule_type"), F.col("target"), None, F.col("position"),
                       F.col("keyword"), F.col("lineno"), F.col("col"), F.col("end_lineno"), F.col("end_col"))
     cm = cm.withColumn("t", ct)
     ret_seeds = cm.where(F.col("position") == "ret").select("file_id", "seq", "t", F.col("seq").alias("at"))
     # Attribute reads x attribute-taint rules (position ret only)
-    at_rules = specs_b.where((F.col("role") == "taint") & (F.col("accordance") == "attribute")
+    at_rules = specs.where((F.col("role") == "taint") & (F.col("accordance") == "attribute")
                              & (F.col("position") == "ret"))
     al = attr_names.where(F.col("ctx") == "Load").join(pos, ["file_id", "seq"])
     am = al.join(at_rules, al.rname == at_rules.target)
@@ -114,32 +171,29 @@ def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names:
     with_tg = fx.withs.select("file_id", "seq", F.col("ns").alias("rec_ns"), "name", F.col("seq").alias("rec_seq"))
     feeds = checkpoint_cut(sinks_of.unionByName(attr_tg).unionByName(with_tg).dropDuplicates())
 
-    rkey = ["file_id", "rec_ns", "name", "rec_seq", "t"]
-    origins = checkpoint_cut(ret_seeds.unionByName(attr_seeds).unionByName(const_origins).dropDuplicates(NODE_KEY))
-    reached = checkpoint_cut(spread(origins, nodes).dropDuplicates(NODE_KEY))
-    seen_nodes = reached
-    new_recs = reached.join(feeds, ["file_id", "seq"]).select(*rkey, "at").unionByName(rec_seed)
-    new_recs = checkpoint_cut(new_recs.groupBy(*rkey).agg(F.min("at").alias("at")))
-    seen_recs = new_recs
-    for _ in range(MAX_ROUNDS):
-        # Readers after the taint arrived; X13: spread; X14: into targets.
-        # Only the frontier is written each round; the seen sets are unions of
-        # written frontiers (their lineage is a union of table scans).
-        o = new_recs.join(readers, ["file_id", "rec_ns", "name", "rec_seq"]).where(F.col("rseq") > F.col("at"))
-        o = o.select("file_id", F.col("rseq").alias("seq"), "t", F.col("rseq").alias("at"))
-        r = spread(o, nodes).dropDuplicates(NODE_KEY).join(seen_nodes.select(*NODE_KEY), NODE_KEY, "left_anti")
-        r = checkpoint_cut(r)
-        if r.isEmpty():
-            break
-        seen_nodes = seen_nodes.unionByName(r)
-        nr = r.join(feeds, ["file_id", "seq"]).select(*rkey, "at").groupBy(*rkey).agg(F.min("at").alias("at"))
-        new_recs = checkpoint_cut(nr.join(seen_recs.select(*rkey), rkey, "left_anti"))
-        if new_recs.isEmpty():
-            break
-        seen_recs = seen_recs.unionByName(new_recs)
+    origins = checkpoint_cut(ret_seeds.unionByName(attr_seeds).unionByName(const_origins))
+    # taints put on records: by a marked node below an assignment, by argument, by parameter
+    fed = spread(origins, nodes).join(feeds, ["file_id", "seq"]).select(
+        "file_id", "rec_ns", "name", "rec_seq", "t", "at").unionByName(rec_seed)
+    fed = checkpoint_cut(fed.select("file_id", _record_id().alias("rid"), "t", F.xxhash64("t").alias("tid"), "at"))
+    seeds = fed.groupBy("file_id", "rid", "tid").agg(
+        F.min("at").alias("at"), F.first("t.lineno").alias("line"), F.first(_guarded(F.col("t"))).alias("guarded"))
+    # edges: a read, the stations above it, the records these feed
+    steps = readers.join(nodes.select("file_id", F.col("seq").alias("rseq"), "up"), ["file_id", "rseq"])
+    steps = steps.select("file_id", F.col("rseq").alias("r"), _record_id().alias("a"), "up", F.posexplode("up").alias("k", "u"))
+    steps = steps.select("file_id", "r", "a", F.col("u.seq").alias("seq"), F.array_distinct(F.flatten(
+        F.transform(F.slice("up", 1, F.col("k") + 1), lambda x: x["lines"]))).alias("lines"))
+    edges = steps.join(feeds.select("file_id", "seq", _record_id().alias("b")), ["file_id", "seq"]).drop("seq")
+    # The reads after a taint's arrival carry it
+    taints = fed.groupBy("file_id", "tid").agg(F.first("t").alias("t"))
+    carried = earliest(edges, seeds).join(readers.select("file_id", _record_id().alias("rid"), "rseq"), ["file_id", "rid"])
+    carried = carried.where(F.col("rseq") > F.col("at")).select("file_id", F.col("rseq").alias("seq"), "tid").distinct()
+    carried = carried.join(taints, ["file_id", "tid"]).select("file_id", "seq", "t", F.col("seq").alias("at"))
+    seen_nodes = spread(origins.unionByName(carried), nodes).groupBy(*NODE_KEY).agg(F.min("at").alias("at"))
+    seen_nodes = checkpoint_cut(seen_nodes)
 
     # Sinks on calls
-    st = specs_b.where((F.col("role") == "sink") & (F.col("accordance") == "function"))
+    st = specs.where((F.col("role") == "sink") & (F.col("accordance") == "function"))
     sm = calls.join(st, calls.func == st.target)
     sm = sm.withColumn("s", F.struct(
         F.col("rule_id").alias("id"), F.lit("function").alias("accordance"), F.col("target").alias("function"),
@@ -149,7 +203,7 @@ def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names:
         F.col("end_col").cast("int").alias("end_col_offset")))
     sinks = sm.select("file_id", "seq", "s", "n_args")
 
-    issues = find_issues(sinks, fx, seen_nodes, pos, pairs_b, file_paths)
+    issues = find_issues(sinks, fx, seen_nodes, pos, pairs, file_paths)
     sources = cm.select("file_id", "seq", "t").unionByName(attr_seeds.select("file_id", "seq", "t"))
     landed = argt.join(name_info.select("file_id", F.col("seq").alias("arg_seq"), F.col("name").alias("n_name")),
                        ["file_id", "arg_seq"], "left") \
@@ -161,7 +215,7 @@ def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names:
                                F.coalesce("n_name", "a_name", "c_val").alias("target"))
     sink_args = pick_arg(sinks, fx.args, F.col("s.position"), F.col("s.keyword")).select(
         "file_id", "seq", "s", "arg_seq", "arg_type")
-    return Scan(sources, seen_nodes, seen_recs, sinks.select("file_id", "seq", "s"), issues, arg_taints, sink_args)
+    return Scan(sources, seen_nodes, sinks.select("file_id", "seq", "s"), issues, arg_taints, sink_args)
 
 
 def pick_arg(calls: DataFrame, args: DataFrame, position: Column, keyword: Column) -> DataFrame:
@@ -185,14 +239,17 @@ def _field(st: Column, acc: Column) -> Column:
              .when(acc == "attribute", st["attribute"]))
 
 
+def _keys(st: Column, prefix: str, *fields: str) -> Column:
+    """One row per way a detection rule can name a taint or sink: (accordance, key)."""
+    return F.explode(F.array(*[F.struct(F.lit(f).alias(f"{prefix}_accordance"), st[f].alias(f"{prefix}_key")) for f in fields]))
+
+
 def find_issues(sinks: DataFrame, fx: Facts, node_taints: DataFrame, pos: DataFrame, pairs: DataFrame,
                 file_paths: DataFrame) -> DataFrame:
     """J10 + X16 + F10 + F11 + A6: sink argument x its taints x detection rules."""
     s = pick_arg(sinks, fx.args, F.col("s.position"), F.col("s.keyword"))
-    p = pairs
-    sp = s.join(p, ((p.s_accordance == "id") & (s.s["id"] == p.s_key))
-                | ((p.s_accordance == "type") & (s.s["type"] == p.s_key))
-                | ((p.s_accordance == "function") & (s.s["function"] == p.s_key)))
+    sp = s.select("*", _keys(F.col("s"), "s", "id", "type", "function").alias("k")).select("*", "k.*").drop("k")
+    sp = sp.join(pairs, ["s_accordance", "s_key"])
     # taints on the argument node, plus its own '*' taint (never materialised elsewhere)
     nt = node_taints.select("file_id", F.col("seq").alias("arg_seq"), "t")
     star = pos.select("file_id", F.col("seq").alias("arg_seq"), taint_struct(
@@ -200,8 +257,8 @@ def find_issues(sinks: DataFrame, fx: Facts, node_taints: DataFrame, pos: DataFr
         F.coalesce("col", F.lit(-1)), F.coalesce("end_lineno", F.lit(-1)), F.coalesce("end_col", F.lit(-1))).alias("t"))
     star = star.join(s.select("file_id", "arg_seq").distinct(), ["file_id", "arg_seq"], "left_semi")
     taints = nt.join(s.select("file_id", "arg_seq").distinct(), ["file_id", "arg_seq"], "left_semi").unionByName(star)
-    j = sp.join(taints, ["file_id", "arg_seq"])
-    j = j.where(_field(F.col("t"), F.col("t_accordance")) == F.col("t_key"))
+    taints = taints.select("*", _keys(F.col("t"), "t", "id", "type", "function", "attribute").alias("k")).select("*", "k.*").drop("k")
+    j = sp.join(taints, ["file_id", "arg_seq", "t_accordance", "t_key"])
     t = F.col("t")
     tfill = _field(t, t["accordance"])
     msg = F.replace(F.replace(F.col("template"), F.lit("{SINK}"), F.col("s.function")), F.lit("{TAINT}"),

@@ -74,7 +74,7 @@ def scan_corpus(corpus: DataFrame, rules_path: str | None = None, partitions: in
     # large files arrives in few partitions)
     want = partitions or spark.sparkContext.defaultParallelism
     src = corpus if corpus.rdd.getNumPartitions() >= want else corpus.repartition(want, "file_id")
-    facts = checkpoint_cut(extract_facts(src))
+    facts = checkpoint_cut(extract_facts(src), by="kind")
     fx = split_facts(facts)
     specs, pairs = rule_tables(spark) if rules_path is None else rule_tables(spark, rules_path)
     name_info, records, attr_names, call_names = resolve(fx)

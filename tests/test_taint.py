@@ -60,3 +60,46 @@ def test_templates_and_extras(spark):
     assert errors == {103}
     m = {r.file_id: (r.lines, r.cnt) for r in file_metrics(res).collect()}
     assert 103 not in m and m[9] == (6, 3) and m[0] == (2, 0)
+
+
+def _chain(n):
+    steps = "\n".join(f"v{i} = v{i - 1}" for i in range(1, n + 1))
+    return f'import base64\nv0 = base64.b64decode("q")\n{steps}\nexec(v{n})'
+
+
+CHAINS = {
+    200: _chain(250),                                                   # a decoded value copied 250 times
+    201: "from os import system\ne0 = system\n" + "\n".join(f"e{i} = e{i - 1}" for i in range(1, 251)) + '\ne250("x")',
+    202: "import os\na0 = os\n" + "\n".join(f"a{i} = a{i - 1}" for i in range(1, 40)) + '\nb = a39.path\nc = b\nc.join("x")',
+    # y brings the taint to the list later than x does, but to `a` before exec reads it
+    203: 'import base64\nx = base64.b64decode("q")\ny = x\na = [y, exec(a), x]',
+    # a name deleted in an inner scope is gone from the scope where it is found
+    204: 'import base64\na = base64.b64decode("q")\ndef f():\n    del a\nexec(a)',
+    205: 'import base64\ndef f(a):\n    del a\n    del a\na = base64.b64decode("q")\nexec(a)',
+    206: 'import base64\na = base64.b64decode("q")\ndef f(a):\n    del a\nexec(a)',
+    207: 'import base64\na = base64.b64decode("q")\nx = ' + " + ".join(["a"] * 2000) + "\nexec(x)",
+    208: 'import base64, os\nos.k = base64.b64decode("q")\nexec(os.k)',      # a dotted target
+    209: 'import base64\nwith base64.b64decode("q") as h:\n    exec(h)',    # a with target
+    210: 'import importlib\nm = importlib.import_module("path", "os.")\nimportlib.import_module(".system", "os")("x")',
+    211: '__import__("importlib").import_module("os").system("x")',       # an import through an import
+    212: 'x = x.y\nx("q")',                                             # a name read by the statement that binds it
+}
+
+
+def test_long_chains_and_arrival_times(spark):
+    for parts in ("1", "40"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            res = scan_corpus(_corpus(spark, CHAINS))
+            got = _issues(res)
+            calls = {(r.file_id, r.lineno, r.func) for r in res.call_names.collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+        decoded = {(f, line) for f, rule, line, _ in got if rule == "1001"}
+        assert decoded == {(200, 253), (203, 4), (206, 5), (207, 4), (208, 3), (209, 3), (205, 6)}
+        assert (201, "1000", 253, "*") in got  # a name copied 250 times
+        assert (202, 44, "os.path.join") in calls
+        assert (210, 3, "") in calls and (211, 1, "os.system") in calls
+        assert (212, 2, "x.y") in calls
+        assert not res.facts.errors.count()
