@@ -122,35 +122,42 @@ def release_state(events: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Release rows per (project, version).  A processed refresh opens the
     release (insert-ignore while live); ``remove release`` closes it;
     ``remove project`` closes every live release of the project.
+
+    Project removals are looked up along the project's feed order (the last
+    one before and the first one after each release event), so they are never
+    multiplied by the project's versions.
     """
     kind = F.col("kind")
-    opens = events.where(F.col("refresh") & ~F.col("skipped")).select(
-        "project", "version", "serial", "ts_s", "kind", F.lit("O").alias("etype"))
-    rel_close = events.where(kind == A.KIND_REMOVE_RELEASE).select(
-        "project", "version", "serial", "ts_s", "kind", F.lit("C").alias("etype"))
-    # a project removal closes all versions: expand it over the versions the
-    # project has (release keys only, so the fan-out is versions x removals)
-    versions = opens.select("project", "version").distinct()
-    proj_close = (events.where(kind == A.KIND_REMOVE_PROJECT)
-                        .select("project", "serial", "ts_s", "kind", F.lit("C").alias("etype"))
-                        .join(versions, "project"))
-    ev = opens.unionByName(rel_close).unionByName(proj_close)
-    inc = _fold_incarnations(ev, ["project", "version"], block)
-    return inc.select(
-        "project", "version", F.col("inc").alias("release_incarnation"), "open_serial", "opened_by",
-        "close_serial", "closed_by", (F.col("close_serial").isNull()).alias("live"),
-    )
-
-
-def project_roles(events: DataFrame, incarnations: DataFrame, block: int = DEFAULT_BLOCK,
-                  distinct: bool = True) -> DataFrame:
-    """Owner / maintainer membership per project incarnation.
+    etype = F.when(F.col("refresh") & ~F.col("skipped"), F.lit("O")).when(kind == A.KIND_REMOVE_RELEASE, F.lit("C"))
+    ev = events.withColumn("etype", etype).where(F.col("etype").isNotNull() | (kind == A.KIND_REMOVE_PROJECT))
+    ev = ev.select("project", "version", "serial", "kind", "etype").withColumn("back", -F.col("serial"))
+    removal = F.when(F.col("kind") == A.KIND_REMOVE_PROJECT, F.struct(F.col("serial").alias("s"), F.col("kind").alias("k")))
+    ev = prefix_last(ev, ["project"], "serial", removal, "gone", block=block)
+    ev = prefix_last(ev, ["project"], "back", removal, "goes", block=block).where(F.col("etype").isNotNull())
+    keys = ["project", "version"]
+    this = F.struct(F.col("serial").alias("s"), F.col("etype").alias("e"))
+    ev = prefix_last(ev, keys, "serial", this, "prev", block=block)
+    close = F.when(F.col("etype") == "C", F.struct(F.col("serial").alias("s"), F.col("kind").alias("k")))
+    ev = prefix_last(ev, keys, "back", close, "shut", block=block)
+    was_live = F.coalesce((F.col("prev.e") == "O") & (F.col("gone").isNull() | (F.col("gone.s") < F.col("prev.s"))), F.lit(False))
+    ev = ev.withColumn("opens", (F.col("etype") == "O") & ~was_live)
+    ev = prefix_sum(ev, keys, "serial", F.col("opens").cast("int"), "inc", block=block)
+    first = F.least(F.col("shut"), F.col("goes"))  # by serial; null means none
+    return ev.where("opens").select(
+        *keys, F.col("inc").alias("release_incarnation"), F.col("serial").alias("open_serial"), F.col("kind").alias("opened_by"),
+        first["s"].alias("close_serial"), first["k"].alias("closed_by"), first.isNull().alias("live"))
+
+
+MEMBER_KEY = ["project", "incarnation", "role", "user"]
+
+
+def role_moves(events: DataFrame, incarnations: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Pushes (sign 1) and pulls (-1) of members in live incarnations:
+    (project, incarnation, serial, role, user, sign).
 
     add / accepted push, invite is a no-op, remove pulls every copy, change
     moves between roles (a move pushes even if the user was not in the old
-    role).  Events with no live incarnation are dropped.  Membership is the
-    pushes after the last pull of (incarnation, role, user): two group-bys and
-    a join, so a hot project or user is partial-aggregated, never one task.
+    role).  Events with no live incarnation are dropped.
     """
     kind = F.col("kind")
     own, mnt = F.col("owner"), F.col("maintainer")
@@ -172,16 +179,22 @@ def project_roles(events: DataFrame, incarnations: DataFrame, block: int = DEFAU
     markers = markers.withColumn("o", F.lit(None).cast(role_ev.schema["o"].dataType))
     u = role_ev.unionByName(markers)
     u = prefix_last(u, ["project"], "serial", F.col("marker").cast("long"), "live_inc", block=block)
-    ev = (u.where(F.col("o").isNotNull() & (F.col("live_inc") > 0))
-           .select("project", F.col("live_inc").alias("incarnation"), "serial", "o.role", "o.user", "o.sign"))
-    keys = ["project", "incarnation", "role", "user"]
-    last_pull = ev.groupBy(*keys).agg(F.max(F.when(F.col("sign") < 0, F.col("serial"))).alias("last_pull"))
-    j = ev.where(F.col("sign") > 0).join(last_pull, keys)
-    members = (j.where(F.col("last_pull").isNull() | (F.col("serial") > F.col("last_pull")))
-                .groupBy(*keys).agg(F.count("*").alias("copies")))
-    if distinct:
-        return members.select(*keys)
-    return members
+    return (u.where(F.col("o").isNotNull() & (F.col("live_inc") > 0))
+             .select("project", F.col("live_inc").alias("incarnation"), "serial", "o.role", "o.user", "o.sign"))
+
+
+def members(moves: DataFrame) -> DataFrame:
+    """Membership: the pushes after the last pull of (incarnation, role, user):
+    two group-bys and a join, so a hot project or user is partial-aggregated,
+    never one task."""
+    last_pull = moves.groupBy(*MEMBER_KEY).agg(F.max(F.when(F.col("sign") < 0, F.col("serial"))).alias("last_pull"))
+    j = moves.where(F.col("sign") > 0).join(last_pull, MEMBER_KEY)
+    return j.where(F.col("last_pull").isNull() | (F.col("serial") > F.col("last_pull"))).select(*MEMBER_KEY).distinct()
+
+
+def project_roles(events: DataFrame, incarnations: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Owner / maintainer membership per project incarnation."""
+    return members(role_moves(events, incarnations, block))
 
 
 def project_merge(target: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -79,19 +79,13 @@ def popular_exact(names: DataFrame, popular: DataFrame) -> DataFrame:
 def levenshtein_pairs(names: DataFrame, popular: DataFrame, distance: int = 1, dedupe: bool = True) -> DataFrame:
     """J2 candidate pairs ``0 < lev(name, pname) <= distance`` without a cross join.
 
-    distance <= 2: shared deletion-neighbourhood key (complete, exact after
-    verification).  distance > 2: equi-join on length with the name side
-    exploded over the ``2*distance+1`` admissible lengths (a band join).
+    Both sides are joined on their deletion neighbourhoods, which is complete
+    for every distance (the keys per name grow with length ** distance), and
+    the pairs are verified.
     """
-    if distance <= 2:
-        nk = names.select("nid", "name", F.explode(deletion_keys("name", distance)).alias("k"))
-        pk = popular.select("pname", "download_count", F.explode(deletion_keys("pname", distance)).alias("k"))
-        j = nk.join(pk, "k")
-    else:
-        nk = names.select("nid", "name", F.explode(
-            F.sequence(F.length("name") - distance, F.length("name") + distance)).alias("len"))
-        pk = popular.select("pname", "download_count", F.length("pname").alias("len"))
-        j = nk.join(pk, "len")
+    nk = names.select("nid", "name", F.explode(deletion_keys("name", distance)).alias("k"))
+    pk = popular.select("pname", "download_count", F.explode(deletion_keys("pname", distance)).alias("k"))
+    j = nk.join(pk, "k")
     pairs = j.where(within_distance("name", "pname", distance)).select("nid", "name", "pname", "download_count")
     # several shared keys can produce the same pair; the roll-up de-duplicates
     # with collect_set, stand-alone callers get distinct pairs here

@@ -36,21 +36,6 @@ def upsert(target: DataFrame, new: DataFrame, key: Sequence[str], order: Sequenc
     return kept.unionByName(last)
 
 
-def set_add(target: DataFrame, adds: DataFrame, key: Sequence[str], arr: str, item: str,
-            flag: str | None = None) -> DataFrame:
-    """``$addToSet`` of ``adds.item`` into ``target.arr`` per key (and set
-    ``flag`` true where something was added).  For sets with a known small
-    bound only; unbounded sets use :func:`set_add_rows`."""
-    key = list(key)
-    grouped = adds.groupBy(*key).agg(F.collect_set(item).alias("__add"))
-    j = target.join(grouped, key, "left")
-    out = j.withColumn(arr, F.when(F.col("__add").isNull(), F.col(arr))
-                         .otherwise(F.array_union(F.coalesce(F.col(arr), F.array().cast("array<string>")), "__add")))
-    if flag is not None:
-        out = out.withColumn(flag, F.col(flag) | F.col("__add").isNotNull())
-    return out.drop("__add")
-
-
 def set_add_rows(target: DataFrame, adds: DataFrame, key: Sequence[str], item: str,
                  flag: str | None = None) -> DataFrame:
     """A7 as a relation: the set is one row per (key, item); ``$addToSet`` is a

@@ -211,9 +211,8 @@ where r.kind = 'create' and r.project_found
 """)
 def feed_name_reuse(spark, sf):
     """J5 / S21 on the feed: creates of a name whose earlier incarnation was
-    removed (semi join with ``remove_serial < create serial``)."""
+    removed: a project's first removal, joined on the project, is before."""
     ev = events(spark, sf)
-    gone = incarnations(spark, sf, ev).where(F.col("close_serial").isNotNull()) \
-        .select(F.col("project").alias("gp"), "close_serial")
+    gone = incarnations(spark, sf, ev).groupBy("project").agg(F.min("close_serial").alias("first_gone"))
     creates = ev.where((F.col("kind") == "create") & F.col("project_found")).select("serial", "project")
-    return creates.join(gone, (creates.project == gone.gp) & (gone.close_serial < creates.serial), "left_semi")
+    return creates.join(gone, "project").where(F.col("first_gone") < F.col("serial")).select("serial", "project")

@@ -140,5 +140,5 @@ def archive_members(spark, sf):
     return m.select(
         F.regexp_extract("archive", r"-([0-9]+)(?:\.tar\.gz|-py3-none-any\.whl)$", 1).cast("long").alias("doc_id"),
         "archive", "member",
-        F.when(F.col("error").isNull(), Fi.effective_lines(F.decode("content", "UTF-8"))).alias("lines"),
+        F.when(F.col("error").isNull(), Fi.effective_lines(F.col("content").cast("string"))).alias("lines"),
         F.col("error").isNotNull().alias("error"))

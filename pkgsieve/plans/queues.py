@@ -110,17 +110,24 @@ def pending_analysis(spark, sf):
     return Qu.skip_existing(q, done, cover=False).select(*_TASK_COLS)
 
 
+# Results are keyed by a report name that recurs in both runs with another
+# payload (serial and position) each time, so first and last writer differ.
 _FILE_COLS = ["filename", "project", "version", "last_serial", "idx"]
+_REPORT = "concat(project, '-', version, '-', cast(last_serial % 997 as varchar(9)), '.json')"
+
+
+def _reports(spark, sf):
+    return _rf(spark, sf).withColumn("filename", F.expr(_REPORT)).select(*_FILE_COLS)
 
 
 @register("insert_ignore", T.with_ctes(f"""
-select filename, project, version, last_serial, idx from release_files
-qualify row_number() over (partition by filename order by last_serial, idx) = 1
+select {_REPORT} as filename, project, version, last_serial, idx from release_files
+qualify row_number() over (partition by {_REPORT} order by last_serial, idx) = 1
 """, *_CTES))
 def insert_ignore(spark, sf):
     """Results table after an earlier run (up to the mark) and this run;
     first write wins per file name."""
-    rf = _rf(spark, sf).select(*_FILE_COLS)
+    rf = _reports(spark, sf)
     h = _hwm(rf)
     earlier = rf.join(h, rf.last_serial <= h.hwm).select(*_FILE_COLS)
     later = rf.join(h, rf.last_serial > h.hwm).select(*_FILE_COLS)
@@ -130,12 +137,12 @@ def insert_ignore(spark, sf):
 
 
 @register("upsert_results", T.with_ctes(f"""
-select filename, project, version, last_serial, idx from release_files
-qualify row_number() over (partition by filename order by last_serial desc, idx desc) = 1
+select {_REPORT} as filename, project, version, last_serial, idx from release_files
+qualify row_number() over (partition by {_REPORT} order by last_serial desc, idx desc) = 1
 """, *_CTES))
 def upsert_results(spark, sf):
     """Results keyed by file name; the newer run overwrites."""
-    rf = _rf(spark, sf).select(*_FILE_COLS)
+    rf = _reports(spark, sf)
     h = _hwm(rf)
     earlier = rf.join(h, rf.last_serial <= h.hwm).select(*_FILE_COLS)
     later = rf.join(h, rf.last_serial > h.hwm).select(*_FILE_COLS)

@@ -157,32 +157,31 @@ def signal_dep_confusion(spark, sf):
                      F.col("sig.msg").alias("message"))
 
 
-# --- larger fuzzy input: words of whole English documents -------------------
+# --- larger fuzzy input: words of whole documents ---------------------------
 
-TOP_WORDS = 500
+# A word is popular if at least one word in POPULAR_SHARE is this one, so there
+# are never more than POPULAR_SHARE popular words, whatever the corpus.
+POPULAR_SHARE = 1000
 
 
 @register("word_typosquat", f"""
-with w as (select distinct lower(m) as word from documents, unnest(regexp_extract_all(text, '[A-Za-z]{{5,9}}', 0)) as u(m)
-           where lang = 'en'),
-cnt as (select lower(m) as word, count(*) as n from documents, unnest(regexp_extract_all(text, '[A-Za-z]{{5,9}}', 0)) as u(m)
-        where lang = 'en' group by 1),
-top as (select word as pname, n as download_count from cnt order by n desc, word limit {TOP_WORDS})
-select w.word as name, t.pname as popular_name from w join top t on levenshtein(w.word, t.pname) = 1
+with cnt as (select lower(m) as word, count(*) as n from documents, unnest(regexp_extract_all(text, '[A-Za-z]+', 0)) as u(m)
+        group by 1),
+top as (select word as pname from cnt where n * {POPULAR_SHARE} >= (select sum(n) from cnt))
+select w.word as name, t.pname as popular_name from cnt w join top t
+ on abs(length(w.word) - length(t.pname)) <= 1 and levenshtein(w.word, t.pname) = 1
 """)
 def word_typosquat(spark, sf):
-    """J2 at scale: every distinct word (5-9 letters) of the English documents
-    against the 500 most frequent words (the popular list is a top-N list by
-    definition), blocked by deletion keys -- no cross join."""
-    d = T.read(spark, sf, "documents").where(F.col("lang") == "en")
-    toks = d.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,9}"), 0)).alias("m")).select(
-        F.lower("m").alias("word"))
-    # read twice (all names, top list): written once
-    counts = checkpoint_cut(toks.groupBy("word").agg(F.count("*").alias("download_count")))
-    top = counts.orderBy(F.desc("download_count"), "word").limit(TOP_WORDS).select(
+    """J2 at scale: every distinct word (run of ASCII letters) of all documents
+    against the popular words, blocked by deletion keys -- no cross join."""
+    toks = T.read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("m"))
+    # read three times (all names, their sum, popular words): written once
+    counts = checkpoint_cut(toks.groupBy(F.lower("m").alias("word")).agg(F.count("*").alias("download_count")))
+    whole = counts.agg(F.sum("download_count").alias("whole"))
+    popular = counts.join(F.broadcast(whole)).where(F.col("download_count") * POPULAR_SHARE >= F.col("whole")).select(  # one row
         F.col("word").alias("pname"), "download_count")
     names = counts.select(F.col("word").alias("nid"), F.col("word").alias("name"))
-    pairs = S.levenshtein_pairs(names, top, 1)
+    pairs = S.levenshtein_pairs(names, popular, 1)
     return pairs.select(F.col("name"), F.col("pname").alias("popular_name"))
 
 

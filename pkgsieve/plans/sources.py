@@ -99,23 +99,15 @@ def html_release_versions(spark, sf):
     return a.withColumn("version", A.version_from_filename("project", "filename"))
 
 
-# A popular snapshot lists the top-N projects of the month (the reference
-# consumes a top-5000 list): the bound makes each document a bounded row.
-POPULAR_TOP_N = 5000
-
-
-@register("popular_rows", T.with_ctes(f"""
-select s.last_update, p.project, p.download_count from popular_snapshots s
-cross join (select * from popular order by download_count desc, project limit {POPULAR_TOP_N}) p
-""", "popular_snapshots", "popular"))
+@register("popular_rows", T.with_ctes("""
+select last_update, project, download_count from monthly_popular
+""", "monthly_popular"))
 def popular_rows(spark, sf):
     """Popular snapshot JSON documents -> (last_update, project,
-    download_count).  The documents are rendered from the popular table per
-    snapshot (one bounded list per document) and parsed back with the
-    declared schema."""
-    pop = T.derived(spark, sf, "popular").orderBy(F.desc("download_count"), "project").limit(POPULAR_TOP_N)
-    rows = pop.agg(F.collect_list(F.struct("project", "download_count")).alias("rows"))  # <= POPULAR_TOP_N entries
-    docs = (T.derived(spark, sf, "popular_snapshots").crossJoin(F.broadcast(rows))  # rows: one row
+    download_count).  A document holds the whole list of its month, as it is
+    published; each is parsed with the declared schema."""
+    docs = (T.derived(spark, sf, "monthly_popular").groupBy("last_update")
+            .agg(F.collect_list(F.struct("project", "download_count")).alias("rows"))  # one published document
             .select(F.to_json(F.struct("last_update", "rows")).alias("json")))
     parsed = docs.select(F.from_json("json", I.POPULAR_SCHEMA).alias("d"))
     return parsed.select("d.last_update", F.explode("d.rows").alias("r")).select(

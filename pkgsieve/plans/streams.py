@@ -8,23 +8,33 @@ from pyspark.sql import functions as F
 
 from .. import tables as T
 from ..session import ensure_checkpoint_dir
-from ..streaming.monitor import FeedMonitor, stage_feed
-from ..streaming.scan import ScanStream, stage_corpus
-from ..streaming.state import ProjectStateStream
+from ..streaming.monitor import FeedMonitor
+from ..streaming.scan import ScanStream
+from ..taint.scanner import code_corpus
 from . import changelog as CL
 from . import taint as TQ
 from .registry import ORACLES, register
 
-N_FEED_FILES = 4
+N_PAGES = 4
 
 
-def _monitor(spark, sf):
-    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex[:8]}"
-    feed = T.derived(spark, sf, "changelog")
-    path = stage_feed(feed, root, N_FEED_FILES)
+def _root(spark):
+    return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex[:8]}"
+
+
+def _monitor(spark, sf, feed=None):
+    """The derived feed arrives in pages of rising serials; the monitor runs
+    after each one, as after a poll."""
+    feed = T.derived(spark, sf, "changelog") if feed is None else feed
     mon = FeedMonitor(spark, T.derived(spark, sf, "project_meta"), T.derived(spark, sf, "release_meta"),
-                      root=root, block=CL.feed_block(spark))
-    return mon.run(path)
+                      root=_root(spark), block=CL.feed_block(spark))
+    low, high = feed.agg(F.min("serial"), F.max("serial")).first()
+    step = (high - low) // N_PAGES + 1
+    for k in range(N_PAGES):
+        page = feed.where((F.col("serial") >= low + k * step) & (F.col("serial") < low + (k + 1) * step))
+        page.write.parquet(f"{mon.root}/feed/page={k}")
+        mon.run(f"{mon.root}/feed")
+    return mon
 
 
 @register("stream_ingest", ORACLES["refresh_triggers"])
@@ -35,30 +45,27 @@ def stream_ingest(spark, sf):
               .select("serial", "project", "version", "kind", "skipped", "triggers"))
 
 
-def _state(spark, sf):
-    mon = _monitor(spark, sf)
-    return ProjectStateStream(spark, mon.root).run(mon._events())
-
-
 @register("stream_state", ORACLES["project_incarnations"])
 def stream_state(spark, sf):
-    """C2 (W2 as keyed state): project incarnations folded per project with
-    applyInPandasWithState over the monitor's output stream."""
-    return _state(spark, sf).incarnations()
+    """C2 (W2 batch by batch): project incarnations merged into the state
+    tables by each micro-batch."""
+    return _monitor(spark, sf).incarnations()
 
 
 @register("stream_roles", ORACLES["project_roles"])
 def stream_roles(spark, sf):
-    """C2 (W2 + W4 as keyed state): the monitor's output table feeds a second
-    stream that folds each project's events with applyInPandasWithState."""
-    return _state(spark, sf).members()
+    """C2 (W2 + W4 batch by batch): members merged by each micro-batch."""
+    return _monitor(spark, sf).members()
 
 
 @register("stream_scan", ORACLES["issues"])
 def stream_scan(spark, sf):
     """C4: source files arriving as a stream are scanned per micro-batch and
     their issues appended to the results table."""
-    root = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex[:8]}"
-    path = stage_corpus(T.read(spark, sf, "documents"), root, 2)
-    res = ScanStream(spark, root).run(path).issues()
-    return TQ.issue_columns(res)
+    root = _root(spark)
+    corpus = code_corpus(T.read(spark, sf, "documents"))
+    stream = ScanStream(spark, root)
+    for k in range(2):
+        corpus.where(F.col("file_id") % 2 == k).write.parquet(f"{root}/incoming/part={k}")
+        stream.run(f"{root}/incoming")
+    return TQ.issue_columns(stream.issues())

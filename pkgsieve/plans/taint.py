@@ -15,17 +15,10 @@ from .. import tables as T
 from ..taint.scanner import TEMPLATES, behaviour_order, code_corpus, file_metrics, package_metrics, scan_corpus
 from .registry import register
 
-_SCANS: dict = {}
-
 
 def scanned(spark, sf):
-    """The corpus scan, computed once per (session, scale dir): its tables are
-    reliable checkpoints, shared by the report queries below like a written
-    table would be."""
-    key = (id(spark), spark.sparkContext.applicationId, sf)
-    if key not in _SCANS:
-        _SCANS[key] = scan_corpus(code_corpus(T.read(spark, sf, "documents")))
-    return _SCANS[key]
+    """A scan of the derived corpus as it is now."""
+    return scan_corpus(code_corpus(T.read(spark, sf, "documents")))
 
 
 def _values(rows, cols) -> str:

@@ -37,12 +37,15 @@ def local_session(cpus: int | str = "*", app: str = "pkgsieve", **extra: str) ->
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names a shared folder and is used as is.  Only
-    when it is unset (local tests) a fresh scratch folder is created.
+    On a cluster that setting names a shared folder and is used as is; without
+    it the executors would write to their own disks, so that is an error.  A
+    local master (tests) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not cur:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="pkgsieve-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(cur)

@@ -12,8 +12,10 @@ from storage and archives built in Spark go through the same extraction.
 from __future__ import annotations
 
 import io
+import lzma
 import tarfile
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,30 +32,27 @@ MEMBER_SCHEMA = T.StructType([
 ])
 
 
-def _members(path: str, data: bytes):
-    kind = "tar.gz" if path.endswith(".tar.gz") else "whl" if path.endswith(".whl") else None
+def _members(path: str, data: bytes) -> list[tuple]:
+    """Every member of an archive, or the one error row if any of them cannot
+    be read: an archive counts whole or not at all."""
     try:
-        if kind == "tar.gz":
+        if path.endswith(".tar.gz"):
             with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as tf:
-                for m in tf.getmembers():
-                    if m.isfile():
-                        f = tf.extractfile(m)
-                        yield (path, m.name, f.read() if f else b"", None)
-        elif kind == "whl":
+                return [(path, m.name, tf.extractfile(m).read(), None) for m in tf.getmembers() if m.isfile()]
+        if path.endswith(".whl"):
             with zipfile.ZipFile(io.BytesIO(data)) as zf:
-                for n in zf.namelist():
-                    if not n.endswith("/"):
-                        yield (path, n, zf.read(n), None)
-        elif path.endswith(".py"):
-            yield (path, path.rsplit("/", 1)[-1], data, None)
-    except (tarfile.TarError, zipfile.BadZipFile, OSError, EOFError) as e:
-        yield (path, None, None, f"{type(e).__name__}: {e}"[:500])
+                return [(path, n, zf.read(n), None) for n in zf.namelist() if not n.endswith("/")]
+        return [(path, path.rsplit("/", 1)[-1], data, None)] if path.endswith(".py") else []
+    except (tarfile.TarError, zipfile.BadZipFile, zlib.error, lzma.LZMAError, OSError, EOFError, ValueError,
+            RuntimeError, NotImplementedError) as e:  # the last two: encrypted or unsupported members
+        return [(path, None, None, f"{type(e).__name__}: {e}")]
 
 
 def _explode(batches):
+    columns = [f.name for f in MEMBER_SCHEMA.fields]
     for pdf in batches:
-        rows = [r for p, c in zip(pdf["path"], pdf["content"]) for r in _members(p, bytes(c))]
-        yield pd.DataFrame(rows, columns=[f.name for f in MEMBER_SCHEMA.fields])
+        for path, content in zip(pdf["path"], pdf["content"]):
+            yield pd.DataFrame(_members(path, bytes(content)), columns=columns)  # an archive at a time
 
 
 def members_of(files: DataFrame) -> DataFrame:
@@ -98,11 +97,12 @@ def pack_archives(files: DataFrame) -> DataFrame:
 
 def archive_corpus(members: DataFrame) -> DataFrame:
     """Member ``.py`` files as a scanner corpus (``file_id`` from a hash of
-    archive + member path; undecodable bytes replaced)."""
+    archive + member path).  The content stays bytes: the parser decodes it as
+    the file's coding line says."""
     py = members.where(F.col("error").isNull() & F.col("member").endswith(".py"))
     return py.select(
         F.xxhash64("archive", "member").alias("file_id"),
         F.col("archive").alias("package"),
         F.col("member").alias("path"),
-        F.decode("content", "UTF-8").alias("content"),
+        "content",
     )

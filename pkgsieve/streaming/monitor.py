@@ -1,19 +1,24 @@
-"""Structured Streaming monitor.
-
-The registry feed arrives as files of feed rows.  One streaming query reads
-them (``readStream`` + ``trigger(availableNow)`` for catch-up runs, or
-``processingTime`` for the 60 s poll) and hands each micro-batch to
-``foreachBatch``, which runs the *batch* operators on it:
-
-* W1 needs the previous processed row across batches: it is carried in a
-  one-row table written per batch;
-* the flagged events are written as one serial-sorted file per batch, the
-  input of the keyed-state stream (:mod:`pkgsieve.streaming.state`, C2).
-
-Every write is keyed by the batch id and overwrites, so a replayed batch
-(the stream re-reads rows after a failure: the mark advances only after the
-batch is handled) produces the same tables -- writes are idempotent.
-All paths live under the shared checkpoint folder.
+"""Structured Streaming monitor.
+
+The registry feed arrives as files of feed rows, in pages of rising serials.
+One streaming query reads them (``readStream`` + ``trigger(availableNow)`` for
+a catch-up run over what is there, or ``processingTime`` for the 60 s poll)
+and hands each micro-batch to ``foreachBatch``, which runs the *batch*
+operators on it and merges their results into the state tables:
+
+* events: the parsed, enriched and W1-flagged rows;
+* carry (one row): the last serial handled and the last processed row, which
+  W1 compares the next batch's first rows with;
+* projects: per project its number of incarnations and the live one (W2);
+* members: owners and maintainers of live incarnations (W4);
+* closed incarnations and their members, appended by the batch that closes them.
+
+A batch reads the tables of the batch before it and writes its own, keyed by
+batch id, overwriting: a replayed batch leaves the same tables, and batches
+are read in the order of their ids.  Rows up to the last handled serial have
+been handled (the poll asks for later ones) and are skipped.  No table is
+written by one task, and a busy project is split by the blocked prefix scans
+like in the batch operators.  All paths lie under the shared checkpoint folder.
 """
 from __future__ import annotations
 
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import changelog as C
+from ..operators.common import checkpoint_cut
 from ..operators.folds import DEFAULT_BLOCK
 from ..session import ensure_checkpoint_dir
 
@@ -32,25 +38,15 @@ FEED_SCHEMA = T.StructType([
     T.StructField("version", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("action", T.StringType()),
 ])
-
-
-def stage_feed(feed: DataFrame, root: str, n_files: int = 4) -> str:
-    """Write a feed table as ``n_files`` serial-ordered file groups (one job
-    each, so file times follow serial order) -- a stand-in for the poller
-    landing feed pages."""
-    path = f"{root}/feed"
-    b = feed.agg(F.min("serial"), F.max("serial")).first()
-    lo, hi = int(b[0]), int(b[1])
-    step = (hi - lo) // n_files + 1
-    for i in range(n_files):
-        part = feed.where((F.col("serial") >= lo + i * step) & (F.col("serial") < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+CARRY = "last_serial long, processed boolean, project string, version string"
+PROJECTS = "project string, n long, live boolean, open_serial long, opened_by string, open_ts long"
+MEMBERS = "project string, incarnation long, role string, user string"
+INCARNATIONS = ("project string, incarnation long, open_serial long, opened_by string, open_ts long, "
+                "close_serial long, close_ts long, live boolean")
 
 
 class FeedMonitor:
-    """C1 + C3: incremental feed ingestion with the W1 state carried across
-    micro-batches."""
+    """Incremental feed ingestion; see the module's text for its tables."""
 
     def __init__(self, spark: SparkSession, project_meta: DataFrame, release_meta: DataFrame,
                  root: str | None = None, block: int = DEFAULT_BLOCK):
@@ -60,64 +56,104 @@ class FeedMonitor:
         self.rm = release_meta
         self.block = block
 
-    # table locations (versioned by batch id)
-    def _events(self, bid: int | None = None) -> str:
-        return f"{self.root}/events" + ("" if bid is None else f"/batch_id={bid}")
+    def _path(self, table: str, bid: int) -> str:
+        return f"{self.root}/{table}/batch_id={bid}"
 
-    def _carry(self, bid: int) -> str:
-        return f"{self.root}/carry/batch_id={bid}"
+    def _write(self, df: DataFrame, table: str, bid: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(self._path(table, bid))
+        return self.spark.read.schema(df.schema).parquet(self._path(table, bid))
 
-    def _read_or_none(self, path: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - first batch: nothing written yet
-            return None
+    def _prior(self, table: str, schema: str, bid: int) -> DataFrame:
+        """The table that the batch before ``bid`` wrote; empty before the
+        first.  A table that should be there and is not raises."""
+        if bid == 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._path(table, bid - 1))
 
     def handle_batch(self, batch: DataFrame, bid: int) -> None:
+        carry = self._prior("carry", CARRY, bid).first()  # one row
         parsed = C.parse_feed(batch)
+        if carry is not None:
+            parsed = parsed.where(F.col("serial") > carry["last_serial"])
         enriched = C.enrich(parsed, self.pm, self.rm)
-        carry = self._read_or_none(self._carry(bid - 1)) if bid > 0 else None
+        if carry is not None and carry["processed"]:
+            # the last processed row before this batch stands in front of it
+            before = {"serial": carry["last_serial"], "project": carry["project"], "version": carry["version"], "kind": "other",
+                      "skipped": False}
+            row = self.spark.range(1).select(*[F.lit(before.get(f.name)).cast(f.dataType).alias(f.name) for f in enriched.schema])
+            enriched = enriched.unionByName(row)
+        ev = C.with_refresh(enriched, self.block)
         if carry is not None:
-            # the previous batch's last processed row, as a synthetic row just before this batch
-            first = enriched.agg(F.min("serial").alias("s"))
-            syn = carry.crossJoin(first).select(
-                (F.col("s") - 1).alias("serial"), "project", "version", F.lit(0).cast("long").alias("ts_s"),
-                F.lit("").alias("action"), F.lit("other").alias("kind"), F.lit(None).cast("string").alias("filename"),
-                F.lit(None).cast("string").alias("owner"), F.lit(None).cast("string").alias("maintainer"),
-                F.lit(True).alias("project_found"), F.lit(True).alias("release_found"), F.lit(False).alias("skipped"),
-                F.lit(True).alias("__syn"))
-            enriched = enriched.withColumn("__syn", F.lit(False)).unionByName(syn)
+            ev = ev.where(F.col("serial") > carry["last_serial"])
+        ev = self._write(ev.repartitionByRange("serial").sortWithinPartitions("serial"), "events", bid)
+        last = ev.agg(F.max("serial").alias("s"), F.max_by(F.struct("project", "version"), F.when(~F.col("skipped"), F.col("serial")))
+                      .alias("row")).first()
+        if last["row"] is None:  # nothing processed in this batch: what was carried stays
+            row = (carry["processed"], carry["project"], carry["version"]) if carry is not None else (False, None, None)
         else:
-            enriched = enriched.withColumn("__syn", F.lit(False))
-        ev = C.with_refresh(enriched, self.block).where(~F.col("__syn")).drop("__syn")
-        # one serial-sorted file per micro-batch: the state stream reads them in order
-        ev.coalesce(1).sortWithinPartitions("serial").write.mode("overwrite").parquet(self._events(bid))
-        ev = self.spark.read.parquet(self._events(bid))
-        cur = ev.where(~F.col("skipped")).agg(F.max_by(F.struct("project", "version"), "serial").alias("x"))
-        if carry is not None:
-            # this batch's last processed row if it has one, else the old carry
-            cur = cur.crossJoin(carry.select(F.struct("project", "version").alias("c"))).select(  # 1 x 1 row
-                F.coalesce("x", "c").alias("x"))
-        last = cur.where(F.col("x").isNotNull()).select("x.project", "x.version")
-        last.write.mode("overwrite").parquet(self._carry(bid))
-        self.last_batch = bid
-
-    def start(self, feed_path: str, files_per_trigger: int = 1, poll: str | None = None):
-        """Start the ingestion query.  ``poll=None`` catches up on
-        everything present (``availableNow``) and stops; ``poll="60 seconds"``
-        keeps polling like the monitor loop.  Returns the StreamingQuery."""
-        self.last_batch = -1
-        stream = (self.spark.readStream.schema(FEED_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-                  .parquet(feed_path))
+            row = (True, last["row"]["project"], last["row"]["version"])
+        serial = last["s"] if last["s"] is not None else carry["last_serial"] if carry is not None else -1
+        self._write(self.spark.createDataFrame([(serial, *row)], CARRY).coalesce(1), "carry", bid)  # one row
+        self._merge_state(ev, bid)
+
+    def _merge_state(self, ev: DataFrame, bid: int) -> None:
+        """W2 and W4 on this batch's events, continuing the live incarnations."""
+        projects = self._prior("projects", PROJECTS, bid)
+        touched = projects.join(ev.select("project").distinct(), "project", "left_semi")
+        reopened = touched.where("live").select(
+            "project", F.col("open_serial").alias("serial"), F.col("open_ts").alias("ts_s"), F.col("opened_by").alias("kind"),
+            F.lit(True).alias("project_found"), F.lit(True).alias("refresh"))
+        own = ["project", "serial", "ts_s", "kind", "project_found", "refresh"]
+        inc = C.project_incarnations(ev.select(*own).unionByName(reopened), self.block)
+        earlier = touched.select("project", (F.col("n") - F.col("live").cast("long")).alias("earlier"))
+        inc = inc.join(earlier, "project", "left").withColumn(
+            "incarnation", F.col("incarnation") + F.coalesce("earlier", F.lit(0))).drop("earlier")
+        inc = checkpoint_cut(inc)
+        newest = inc.groupBy("project").agg(F.max("incarnation").alias("n"), F.max_by(
+            F.struct("live", "open_serial", "opened_by", "open_ts"), "incarnation").alias("x")).select("project", "n", "x.*")
+        self._write(projects.join(newest, "project", "left_anti").unionByName(newest), "projects", bid)
+        closed = self._write(inc.where(~F.col("live")), "closed", bid)
+
+        moves = checkpoint_cut(C.role_moves(ev, inc, self.block))
+        pulled = moves.where("sign < 0").select(*C.MEMBER_KEY).distinct()
+        now = self._prior("members", MEMBERS, bid).join(pulled, C.MEMBER_KEY, "left_anti").unionByName(C.members(moves)).distinct()
+        now = checkpoint_cut(now)
+        gone = closed.select("project", "incarnation")
+        self._write(now.join(gone, ["project", "incarnation"], "left_semi"), "closed_members", bid)
+        self._write(now.join(gone, ["project", "incarnation"], "left_anti"), "members", bid)
+
+    def start(self, feed_path: str, poll: str | None = None):
+        """Start the ingestion query.  ``poll=None`` handles what is there
+        and not yet handled (``availableNow``) and stops; ``poll="60 seconds"``
+        keeps polling.  Returns the StreamingQuery."""
+        stream = self.spark.readStream.schema(FEED_SCHEMA).option("recursiveFileLookup", "true").parquet(feed_path)
         w = stream.writeStream.foreachBatch(self.handle_batch).option("checkpointLocation", f"{self.root}/_checkpoint")
         w = w.trigger(availableNow=True) if poll is None else w.trigger(processingTime=poll)
         return w.start()
 
-    def run(self, feed_path: str, files_per_trigger: int = 1) -> "FeedMonitor":
-        """Catch-up run: one file group per micro-batch, then stop."""
-        self.start(feed_path, files_per_trigger).awaitTermination()
+    def run(self, feed_path: str) -> "FeedMonitor":
+        """Catch-up run over the pages that have arrived."""
+        self.start(feed_path).awaitTermination()
         return self
 
-    def events(self) -> DataFrame:
-        return self.spark.read.parquet(self._events()).drop("batch_id").dropDuplicates(["serial"])
+    def _all(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{table}")
+
+    def _latest(self, table: str) -> DataFrame:
+        """The table of the last batch."""
+        last = self._all("carry").agg(F.max("batch_id")).first()[0]
+        return self.spark.read.parquet(self._path(table, last))
 
+    def events(self) -> DataFrame:
+        return self._all("events").drop("batch_id")
+
+    def incarnations(self) -> DataFrame:
+        none = F.lit(None).cast("long")
+        live = self._latest("projects").where("live").select(
+            "project", F.col("n").alias("incarnation"), "open_serial", "opened_by", "open_ts",
+            none.alias("close_serial"), none.alias("close_ts"), "live")
+        columns = [c.split(" ")[0] for c in INCARNATIONS.split(", ")]
+        return self._all("closed").select(*columns).unionByName(live)
+
+    def members(self) -> DataFrame:
+        return self._all("closed_members").select(*C.MEMBER_KEY).unionByName(self._latest("members"))

@@ -4,10 +4,9 @@ by batch id) to a results table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..taint.scanner import code_corpus, scan_corpus
+from ..taint.scanner import scan_corpus
 
 CORPUS_SCHEMA = T.StructType([
     T.StructField("file_id", T.LongType()), T.StructField("package", T.StringType()),
@@ -15,15 +14,6 @@ CORPUS_SCHEMA = T.StructType([
 ])
 
 
-def stage_corpus(documents: DataFrame, root: str, n_files: int = 2) -> str:
-    """Land the derived corpus as ``n_files`` file groups (by file id)."""
-    path = f"{root}/incoming"
-    corpus = code_corpus(documents)
-    for i in range(n_files):
-        corpus.where(F.col("file_id") % n_files == i).write.mode("append").parquet(path)
-    return path
-
-
 class ScanStream:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -34,7 +24,7 @@ class ScanStream:
         res.scan.issues.write.mode("overwrite").parquet(f"{self.root}/issues/batch_id={bid}")
 
     def run(self, path: str) -> "ScanStream":
-        s = self.spark.readStream.schema(CORPUS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+        s = self.spark.readStream.schema(CORPUS_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
         q = (s.writeStream.foreachBatch(self.handle_batch).option("checkpointLocation", f"{self.root}/_checkpoint")
              .trigger(availableNow=True).start())
         q.awaitTermination()

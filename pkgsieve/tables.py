@@ -88,6 +88,13 @@ select distinct concat(cast(extract(year from o_orderdate) as varchar(4)), '-',
  lpad(cast(extract(month from o_orderdate) as varchar(2)), 2, '0'), '-01 08:13:20') as last_update from {orders}
 """
 
+MONTHLY_POPULAR = """
+select concat(cast(extract(year from o_orderdate) as varchar(4)), '-',
+ lpad(cast(extract(month from o_orderdate) as varchar(2)), 2, '0'), '-01 08:13:20') as last_update,
+ replace(p_name, ' ', '-') as project, count(*) as download_count
+from {orders} join {lineitem} on l_orderkey = o_orderkey join {part} on p_partkey = l_partkey group by 1, 2
+"""
+
 SIMPLE_HTML = """
 select o_orderkey, concat('pkg-', cast(o_custkey % 40 as varchar(9))) as project,
  case o_orderkey % 3 when 0 then 'text/html' when 1 then 'application/vnd.pypi.simple.v1+html'
@@ -140,6 +147,7 @@ DERIVED = {
     "release_files": (RELEASE_FILES, ("orders", "lineitem")),
     "source_files": (SOURCE_FILES, ("documents",)),
     "popular_snapshots": (POPULAR_SNAPSHOTS, ("orders",)),
+    "monthly_popular": (MONTHLY_POPULAR, ("orders", "lineitem", "part")),
     "simple_html": (SIMPLE_HTML, ("orders",)),
     "simple_json": (SIMPLE_JSON, ("orders",)),
     "aliases": (ALIASES, ("candidates",)),

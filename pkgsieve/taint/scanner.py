@@ -62,19 +62,16 @@ class ScanResult:
     files: DataFrame
 
 
-def scan_corpus(corpus: DataFrame, rules_path: str | None = None, partitions: int | None = None) -> ScanResult:
+def scan_corpus(corpus: DataFrame, rules_path: str | None = None) -> ScanResult:
     """Run the whole taint analysis over a corpus.
 
-    The facts are extracted once, hash-partitioned by ``file_id`` and
-    checkpointed; every later step joins on ``file_id`` (plus node ids).
+    The facts are extracted once and written in a folder per kind; every later
+    step reads the kinds it needs and joins on ``file_id`` (plus node ids).
     """
     spark = corpus.sparkSession
     ship_code(spark)
-    # parse in parallel: at least one task per core (a corpus read from a few
-    # large files arrives in few partitions)
-    want = partitions or spark.sparkContext.defaultParallelism
-    src = corpus if corpus.rdd.getNumPartitions() >= want else corpus.repartition(want, "file_id")
-    facts = checkpoint_cut(extract_facts(src), by="kind")
+    # parse in parallel whatever the layout of the corpus (few large files arrive in few partitions)
+    facts = checkpoint_cut(extract_facts(corpus.repartition("file_id")), by="kind")
     fx = split_facts(facts)
     specs, pairs = rule_tables(spark) if rules_path is None else rule_tables(spark, rules_path)
     name_info, records, attr_names, call_names = resolve(fx)
@@ -94,7 +91,7 @@ def file_metrics(res: ScanResult) -> DataFrame:
         F.count(F.when((sev >= RANK_LOW) & (sev < RANK_MEDIUM), 1)).alias("low"))
     ok = res.files.join(res.facts.errors.select("file_id"), "file_id", "left_anti")
     m = ok.select("file_id", "package", "file_path", F.lit(1).cast("long").alias("files"),
-                  effective_lines(F.col("content")).alias("lines")).join(per, "file_id", "left")
+                  effective_lines(F.col("content").cast("string")).alias("lines")).join(per, "file_id", "left")
     return m.fillna(0, ["cnt", "high", "medium", "low"])
 
 

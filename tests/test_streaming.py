@@ -1,46 +1,53 @@
-"""Streaming state equals the batch operators."""
-from tests.conftest import SF_SMALL
+"""Streamed state equals the batch operators."""
+from pyspark.sql import functions as F
 
+from pkgsieve import tables as T
+from pkgsieve.operators import changelog as C
+from pkgsieve.plans import streams
+from pkgsieve.streaming.monitor import FeedMonitor
+from tests.conftest import SF_SMALL
 
-def test_stream_equals_batch(spark):
-    from __spark_entry__ import queries
-
-    q = queries()
-    s = {tuple(r) for r in q["stream_state"](spark, SF_SMALL).collect()}
-    b = {tuple(r) for r in q["project_incarnations"](spark, SF_SMALL).select(
-        "project", "incarnation", "open_serial", "opened_by", "open_ts", "close_serial", "close_ts", "live").collect()}
-    assert s == b
-    si = {tuple(r) for r in q["stream_ingest"](spark, SF_SMALL).collect()}
-    bi = {tuple(r) for r in q["refresh_triggers"](spark, SF_SMALL).collect()}
-    assert si == bi
-
-
-def test_keyed_state_stream_equals_batch(spark):
-    from pkgsieve.plans import streams
-    from __spark_entry__ import queries
-
-    st = streams._state(spark, SF_SMALL)
-    q = queries()
-    inc_b = {tuple(r) for r in q["project_incarnations"](spark, SF_SMALL).select(
-        "project", "incarnation", "open_serial", "opened_by", "open_ts", "close_serial", "close_ts", "live").collect()}
-    assert {tuple(r) for r in st.incarnations().collect()} == inc_b
-    roles_b = {tuple(r) for r in q["project_roles"](spark, SF_SMALL).collect()}
-    assert {tuple(r) for r in st.members().collect()} == roles_b
-
-
-def test_replayed_batch_is_idempotent(spark):
-    """A micro-batch handled twice (e.g. after a failure before the offset
-    commit) leaves the monitor's tables unchanged."""
-    from pyspark.sql import functions as F
-
-    from pkgsieve.plans import streams
-
-    mon = streams._monitor(spark, SF_SMALL)
-    before = sorted(map(tuple, mon.events().collect()))
-    carry0 = sorted(map(tuple, spark.read.parquet(mon._carry(0)).collect()))
-    serials = spark.read.parquet(mon._events(0)).select("serial")
-    feed = spark.read.parquet(f"{mon.root}/feed").join(serials, "serial", "left_semi")
-    mon.handle_batch(feed, 0)
-    assert sorted(map(tuple, mon.events().collect())) == before
-    assert sorted(map(tuple, spark.read.parquet(mon._carry(0)).collect())) == carry0
-    assert mon.events().count() == mon.events().select(F.countDistinct("serial")).first()[0]
+INC = ["project", "incarnation", "open_serial", "opened_by", "open_ts", "close_serial", "close_ts", "live"]
+
+
+def rows(df, *cols):
+    return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=repr)
+
+
+def check(spark, mon, feed, pm, rm):
+    ev = C.with_refresh(C.enrich(C.parse_feed(feed), pm, rm))
+    cols = ["serial", "project", "version", "kind", "skipped", "triggers"]
+    assert rows(mon.events(), *cols) == rows(ev, *cols)
+    inc = C.project_incarnations(ev)
+    assert rows(mon.incarnations(), *INC) == rows(inc, *INC)
+    assert rows(mon.members(), *C.MEMBER_KEY) == rows(C.project_roles(ev, inc), *C.MEMBER_KEY)
+
+
+def test_stream_equals_batch_and_replays(spark):
+    feed = T.derived(spark, SF_SMALL, "changelog")
+    pm, rm = T.derived(spark, SF_SMALL, "project_meta"), T.derived(spark, SF_SMALL, "release_meta")
+    # one project takes about half of all rows
+    feed = feed.withColumn("project", F.when(F.col("serial") % 2 == 0, F.lit("pkg-1")).otherwise(F.col("project")))
+    mon = streams._monitor(spark, SF_SMALL, feed)
+    check(spark, mon, feed, pm, rm)
+    last = streams.N_PAGES - 1
+    page = spark.read.schema(feed.schema).parquet(f"{mon.root}/feed/page={last}")
+    mon.handle_batch(page, last)  # handled again, as after a failure before the commit
+    check(spark, mon, feed, pm, rm)
+    first = spark.read.schema(feed.schema).parquet(f"{mon.root}/feed/page=0")
+    mon.handle_batch(first, last + 1)  # an old page sent once more as a new batch
+    check(spark, mon, feed, pm, rm)
+
+
+def test_carry_outlives_batches_without_processed_rows(spark):
+    feed = [(1, "gone", "1.0", 0, "new release"), (2, "gone", None, 0, "create"),           # all skipped
+            (3, "p", "1.0", 0, "add source file p-1.0.tar.gz"), (4, "p", "1.0", 0, "add source file p-1.0.zip"),
+            (5, "gone", None, 0, "create"), (6, "p", "1.0", 0, "add source file p-1.0.whl"), (7, "p", "1.1", 0, "new release")]
+    schema = "serial long, project string, version string, ts long, action string"
+    pm = spark.createDataFrame([("p",)], "name string")
+    rm = spark.createDataFrame([("p", "1.0"), ("p", "1.1")], "name string, version string")
+    mon = FeedMonitor(spark, pm, rm)
+    for bid, cut in enumerate([feed[:2], feed[2:3], [], feed[3:4], feed[4:5], feed[5:]]):
+        mon.handle_batch(spark.createDataFrame(cut, schema), bid)
+    check(spark, mon, spark.createDataFrame(feed, schema), pm, rm)
+    assert {r["serial"] for r in mon.events().where("triggers").collect()} == {1, 3, 7}
