@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .common import cut
+from .common import cut, cut_packed
 
 CHUNK = 1 << 16
 ARCHIVE_BYTES = 1 << 30
@@ -70,7 +70,7 @@ def chunk_table(pages: DataFrame, payload: str = "html", chunk: int = CHUNK) ->
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(digests, pa.string())],
                                              names=[*batch.schema.names[:5], "payload_bytes", "digest"])
 
-    return cut(rows.mapInArrow(carry, "record long, page_id long, url string, chunk_no int, data binary, "
+    return cut_packed(rows.mapInArrow(carry, "record long, page_id long, url string, chunk_no int, data binary, "
                                       "payload_bytes long, digest string"))
 
 
