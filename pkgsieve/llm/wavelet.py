@@ -21,8 +21,10 @@ shards, so one longer than ``SHARD_TOKENS`` makes a longer shard.
 from __future__ import annotations
 
 import json
+import os
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ from .textops import word_pieces
 SHARD_TOKENS = 1 << 21
 CACHED_WORDS = 600_000
 ROWS_PER_TASK = 1 << 16
+GROUP_BYTES = 1 << 21
 SAMPLE = 64  # words of a plane between two rank samples
 MAGIC = b"WVM1"
 _CLOSING = b".,!?;:"
@@ -52,37 +55,56 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel unit
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.now: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian u32."""
-        fold = text if b"<|" in text else text.lower()  # the vocabulary is lower case; special tokens are not folded
-        out = []
-        for words in word_pieces(fold):
-            missing = {w for w in words if w not in self.now}
-            if missing:
-                self._learn(missing)
-            out.append(b"".join(map(self.now.__getitem__, words)))
-            if len(self.now) > self.limit:
-                self.old, self.now = self.now, {}
-        return b"".join(out)
+    def encode(self, texts: Iterable[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian u32; new words of all of
+        them go to the tokenizer together."""
+        # the vocabulary is lower case; special tokens are not folded
+        folded = [t if b"<|" in t else t.lower() for t in texts]
+        missing: set[bytes] = set()
+        for text in folded:
+            for words in word_pieces(text):
+                missing.update(set(words).difference(self.now))
+        if missing:
+            self._learn(missing)
+        get = self.now.__getitem__
+        out = [b"".join([b"".join(map(get, words)) for words in word_pieces(text)]) for text in folded]
+        if len(self.now) > self.limit:
+            self.old, self.now = self.now, {}
+        return out
 
     def _learn(self, missing: set[bytes]) -> None:
         # a closing mark after a-z is a token run of its own
-        closed = {w for w in missing if len(w) > 1 and w[-1] in _CLOSING and 97 <= w[-2] <= 122}
-        need = (missing - closed) | {w[:-1] for w in closed} | {w[-1:] for w in closed}
-        need = {w for w in need if w not in self.now}
-        again = {w for w in need if w in self.old}
-        self.now.update((w, self.old[w]) for w in again)
-        new = list(need - again)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new],
-                                                              add_special_tokens=False)):
-            self.now[w] = np.array(e.ids, dtype="<u4").tobytes()
-        self.now.update((w, self.now[w[:-1]] + self.now[w[-1:]]) for w in closed)
+        closed = {w for w in missing if w[-1] in _CLOSING and len(w) > 1 and 97 <= w[-2] <= 122}
+        need = missing - closed
+        need.update([w[:-1] for w in closed], [w[-1:] for w in closed])
+        need = need.difference(self.now)
+        again = {w: self.old[w] for w in need if w in self.old}
+        self.now.update(again)
+        new = list(need.difference(again))
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        self.now.update(zip(new, [array("I", e.ids).tobytes() for e in found]))
+        self.now.update([(w, self.now[w[:-1]] + self.now[w[-1:]]) for w in closed])
+
+
+def _groups(rows: Iterable[tuple], size: int) -> Iterator[list[tuple]]:
+    """Runs of (doc_id, text) of about ``size`` bytes, at least one each."""
+    group: list[tuple] = []
+    held = 0
+    for row in rows:
+        group.append(row)
+        held += len(row[1])
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -253,15 +275,18 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shard_to
                                                "n_tokens": [held]}, schema=schema)
 
         for batch in batches:
-            for doc_id, text, p in zip(*batch.columns):
-                part = p.as_py()
-                ids.append((words.encode(text.as_buffer().to_pybytes()) if text.is_valid else b"") + end)
-                names.append(doc_id.as_py())
-                counts.append(len(ids[-1]) // 4)
-                held += counts[-1]
-                if held >= shard_tokens:
-                    yield shard()
-                    ids, names, counts, held, seq = [], [], [], 0, seq + 1
+            part = batch.column("part")[0].as_py()
+            rows = ((d.as_py(), t.as_buffer().to_pybytes() if t.is_valid else b"")
+                    for d, t in zip(batch.column("doc_id"), batch.column("text")))
+            for group in _groups(rows, GROUP_BYTES):
+                for (doc_id, _), found in zip(group, words.encode(t for _, t in group)):
+                    ids.append(found + end)
+                    names.append(doc_id)
+                    counts.append(len(ids[-1]) // 4)
+                    held += counts[-1]
+                    if held >= shard_tokens:
+                        yield shard()
+                        ids, names, counts, held, seq = [], [], [], 0, seq + 1
         if names:
             yield shard()
 
