@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import tables as T
 from ..operators import files as Fi
 from ..sources.rules import load_file_rules
+from ..taint.scanner import TEMPLATES
 from .registry import register
 
 # A rule set exercising every location x kind (the shipped default only
@@ -105,6 +106,9 @@ _ARCHIVE_NAME = ("concat('pkg', cast(doc_id % 50 as string), '-1.0-', cast(doc_i
                  "case when doc_id % 2 = 0 then '.tar.gz' else '-py3-none-any.whl' end)")
 
 
+_N_TEMPLATES = len(TEMPLATES)
+
+
 def _archive_lines_sql() -> str:
     from .taint import LINES
 
@@ -118,7 +122,7 @@ select d.doc_id, {_ARCHIVE_NAME} as archive,
        else concat('pkg', cast(d.doc_id % 50 as varchar), '/mod', cast(d.doc_id as varchar), '.py') end as member,
   case when d.doc_id % 97 = 0 then null else cast(v.lines as bigint) end as lines,
   d.doc_id % 97 = 0 as error
-from documents d join {_archive_lines_sql()} on d.doc_id % 10 = v.t
+from documents d join {_archive_lines_sql()} on d.doc_id % {_N_TEMPLATES} = v.t
 """)
 def archive_members(spark, sf):
     """S12 + S13 over archives derived from the documents: each corpus file

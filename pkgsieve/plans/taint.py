@@ -1,7 +1,7 @@
 """Scanner queries over the derived Python corpus (one file per document).
 
 Oracles are the hand-derived expectations per template (FIXTURES §3) as a
-``VALUES`` table joined on ``doc_id % 10`` -- the analysis itself is an
+``VALUES`` table joined on the template number -- the analysis itself is an
 iterative fix-point that SQL cannot express -- except the package roll-ups,
 which are real SQL aggregations over those expectations.
 """
@@ -12,7 +12,7 @@ import ast
 from pyspark.sql import functions as F
 
 from .. import tables as T
-from ..taint.scanner import TEMPLATES, behaviour_order, code_corpus, file_metrics, package_metrics, scan_corpus
+from ..taint.scanner import CHAIN, TEMPLATES, behaviour_order, code_corpus, file_metrics, package_metrics, scan_corpus
 from .registry import register
 
 
@@ -34,11 +34,14 @@ def _values(rows, cols) -> str:
 
 
 def _doc_join(rows, cols, select) -> str:
-    return f"select {select} from documents d join {_values(rows, cols)} on d.doc_id % 10 = v.t"
+    return f"select {select} from documents d join {_values(rows, cols)} on d.doc_id % {len(TEMPLATES)} = v.t"
 
 
 # Hand-derived expectations per template (FIXTURES §3).
 _M = 'call of "{}" detected for executing commands'
+_D = ' decoded by "base64.b64decode"'
+_N = ' received from network by "urllib.request.urlretrieve"'
+_LAST = CHAIN + 3  # the last line of the chain templates
 ISSUES = [
     (1, "1000", 1, "*", 7, 7, _M.format("exec")),
     (2, "1000", 3, "*", 7, 7, _M.format("exec")),
@@ -55,38 +58,85 @@ ISSUES = [
     (9, "1000", 4, "*", 7, 7, _M.format("eval")),
     (9, "1001", 4, "base64.b64decode", 10, 10, _M.format("eval") + ' decoded by "base64.b64decode"'),
     (9, "1000", 5, "*", 7, 7, _M.format("eval")),
+    (10, "1000", 3, "*", 7, 7, _M.format("exec")),
+    (11, "1000", 3, "*", 7, 7, _M.format("exec")),
+    (11, "1001", 3, "base64.b64decode", 10, 10, _M.format("exec") + _D),
+    (12, "1000", 3, "*", 7, 7, _M.format("exec")),
+    (12, "1001", 3, "base64.b64decode", 10, 10, _M.format("exec") + _D),
+    (13, "1000", 4, "*", 7, 7, _M.format("os.system")),
+    (13, "1002", 4, "urllib.request.urlretrieve", 10, 10, _M.format("os.system") + _N),
+    (14, "1000", 3, "*", 7, 7, _M.format("os.system")),
+    (15, "1000", 4, "*", 7, 7, _M.format("os.system")),
+    (15, "1000", 5, "*", 7, 7, _M.format("os.system")),
+    (15, "1002", 5, "urllib.request.urlretrieve", 10, 10, _M.format("os.system") + _N),
+    (17, "1000", 5, "*", 7, 7, _M.format("exec")),
+    (18, "1000", _LAST, "*", 7, 7, _M.format("exec")),
+    (18, "1001", _LAST, "base64.b64decode", 10, 10, _M.format("exec") + _D),
+    (19, "1000", _LAST, "*", 7, 7, _M.format("os.system")),
 ]
 CALLS = [(0, 2, "print"), (0, 2, "os.getcwd"), (1, 1, "exec"), (2, 2, "base64.b64decode"), (2, 3, "exec"),
          (3, 2, "requests.get"), (3, 4, "eval"), (4, 3, "os.system"), (5, 2, "__import__"), (5, 2, "os.system"),
          (6, 2, "base64.b64decode"), (6, 4, "exec"), (7, 4, "urllib.request.urlretrieve"), (7, 5, "os.system"),
          (8, 2, "base64.b64encode"), (8, 3, "requests.post"), (9, 3, "base64.b64decode"), (9, 4, "eval"),
-         (9, 5, "eval"), (9, 6, "g")]
+         (9, 5, "eval"), (9, 6, "g"), (10, 3, "exec"), (11, 2, "base64.b64decode"), (11, 3, "exec"),
+         (12, 2, "base64.b64decode"), (12, 3, "exec"), (13, 2, "urllib.request.urlretrieve"), (13, 4, "os.system"),
+         (14, 3, "importlib.import_module"), (14, 3, "os.system"), (14, 4, "importlib.import_module"),
+         (14, 4, "os.path.exists"), (15, 4, "urllib.request.urlretrieve"), (15, 4, "os.system"), (15, 5, "os.system"),
+         (16, 2, "base64.b64decode"), (16, 2, "os.getcwd"), (16, 3, "os.getcwd"), (17, 2, "base64.b64decode"),
+         (17, 5, "exec"), (18, 2, "base64.b64decode"), (18, _LAST, "exec"), (19, _LAST, "os.system")]
 SOURCES = [(0, "0006", "os.getcwd", 2, "ret"), (2, "0003", "base64.b64decode", 2, "ret"),
            (3, "0004", "requests.get", 2, "ret"), (6, "0003", "base64.b64decode", 2, "ret"),
            (7, "0004", "urllib.request.urlretrieve", 4, "ret"), (7, "0004", "urllib.request.urlretrieve", 4, "1"),
-           (8, "0002", "base64.b64encode", 2, "ret"), (9, "0003", "base64.b64decode", 3, "ret")]
+           (8, "0002", "base64.b64encode", 2, "ret"), (9, "0003", "base64.b64decode", 3, "ret"),
+           (10, "0006", "os.environ", 2, "ret"), (11, "0003", "base64.b64decode", 2, "ret"),
+           (12, "0003", "base64.b64decode", 2, "ret"), (13, "0004", "urllib.request.urlretrieve", 2, "ret"),
+           (13, "0004", "urllib.request.urlretrieve", 2, "1"), (15, "0004", "urllib.request.urlretrieve", 4, "ret"),
+           (15, "0004", "urllib.request.urlretrieve", 4, "1"), (16, "0003", "base64.b64decode", 2, "ret"),
+           (16, "0006", "os.getcwd", 2, "ret"), (16, "0006", "os.getcwd", 3, "ret"),
+           (17, "0003", "base64.b64decode", 2, "ret"), (18, "0003", "base64.b64decode", 2, "ret")]
 SINKS = [(1, "0001", "exec", 1), (2, "0001", "exec", 3), (3, "0001", "eval", 4), (3, "0005", "requests.get", 2),
          (4, "0001", "os.system", 3), (5, "0001", "os.system", 2), (6, "0001", "exec", 4),
          (7, "0005", "urllib.request.urlretrieve", 4), (7, "0001", "os.system", 5), (8, "0005", "requests.post", 3),
-         (9, "0001", "eval", 4), (9, "0001", "eval", 5)]
+         (9, "0001", "eval", 4), (9, "0001", "eval", 5), (10, "0001", "exec", 3), (11, "0001", "exec", 3),
+         (12, "0001", "exec", 3), (13, "0005", "urllib.request.urlretrieve", 2), (13, "0001", "os.system", 4),
+         (14, "0001", "os.system", 3), (15, "0005", "urllib.request.urlretrieve", 4), (15, "0001", "os.system", 4),
+         (15, "0001", "os.system", 5), (17, "0001", "exec", 5), (18, "0001", "exec", _LAST), (19, "0001", "os.system", _LAST)]
 BEHAVIOURS = [(0, "sensitive-info-acquisition", 0), (2, "decoder", 0), (3, "network-receiver", 0),
-              (6, "decoder", 0), (7, "network-receiver", 0), (8, "encoder", 0), (9, "decoder", 0)]
+              (6, "decoder", 0), (7, "network-receiver", 0), (8, "encoder", 0), (9, "decoder", 0), (11, "decoder", 0),
+              (12, "decoder", 0), (13, "network-receiver", 0), (15, "network-receiver", 0), (16, "decoder", 0),
+              (16, "sensitive-info-acquisition", 1), (17, "decoder", 0), (18, "decoder", 0)]
 IMPORTS = [(0, "module", "os", "os"), (2, "module", "base64", "base64"), (3, "module", "requests", "requests"),
            (4, "alias", "s", "os.system"), (4, "module", "os.system", "os.system"), (6, "module", "base64", "base64"),
            (7, "module", "os", "os"), (7, "alias", "request", "urllib.request"),
            (7, "module", "urllib.request", "urllib.request"), (8, "module", "base64", "base64"),
-           (8, "module", "requests", "requests"), (9, "module", "base64", "base64")]
+           (8, "module", "requests", "requests"), (9, "module", "base64", "base64"),
+           (10, "module", "os", "os"), (11, "module", "base64", "base64"), (12, "module", "base64", "base64"),
+           (12, "module", "os", "os"), (13, "alias", "request", "urllib.request"),
+           (13, "module", "urllib.request", "urllib.request"), (13, "module", "os", "os"),
+           (14, "module", "importlib", "importlib"), (15, "alias", "request", "urllib.request"),
+           (15, "module", "urllib.request", "urllib.request"), (15, "module", "os", "os"),
+           (16, "module", "base64", "base64"), (16, "module", "os", "os"), (17, "module", "base64", "base64"),
+           (18, "module", "base64", "base64"), (19, "alias", "system", "os.system"), (19, "module", "os.system", "os.system")]
 SINK_ARGS = [(1, "0001", "exec", 1, 0, None, "Constant"), (2, "0001", "exec", 3, 0, None, "Name"),
              (3, "0001", "eval", 4, 0, None, "Name"), (3, "0005", "requests.get", 2, 0, "url", "Constant"),
              (4, "0001", "os.system", 3, 0, "command", "Constant"), (5, "0001", "os.system", 2, 0, "command", "Constant"),
              (6, "0001", "exec", 4, 0, None, "Name"), (7, "0005", "urllib.request.urlretrieve", 4, 0, "url", "Constant"),
              (7, "0001", "os.system", 5, 0, "command", "Name"), (8, "0005", "requests.post", 3, 0, "url", "Constant"),
              (8, "0005", "requests.post", 3, 1, "data", "Name"), (9, "0001", "eval", 4, 0, None, "Name"),
-             (9, "0001", "eval", 5, 0, None, "Name")]
-ARG_TAINTS = [(7, "0004", "urllib.request.urlretrieve", 4, "Name", "f")]
-LINES = [2, 1, 3, 4, 3, 2, 4, 5, 3, 6]
-COUNTS = [0, 1, 2, 2, 1, 1, 1, 2, 1, 3]
-METRICS = [(t, 1, LINES[t], COUNTS[t], 0, 0, COUNTS[t]) for t in range(10)]
+             (9, "0001", "eval", 5, 0, None, "Name"), (10, "0001", "exec", 3, 0, None, "Name"),
+             (11, "0001", "exec", 3, 0, None, "Name"), (12, "0001", "exec", 3, 0, None, "Attribute"),
+             (13, "0005", "urllib.request.urlretrieve", 2, 0, "url", "Constant"),
+             (13, "0001", "os.system", 4, 0, "command", "Constant"), (14, "0001", "os.system", 3, 0, "command", "Constant"),
+             (15, "0005", "urllib.request.urlretrieve", 4, 0, "url", "Constant"),
+             (15, "0001", "os.system", 4, 0, "command", "BinOp"), (15, "0001", "os.system", 5, 0, "command", "BinOp"),
+             (17, "0001", "exec", 5, 0, None, "Name"), (18, "0001", "exec", _LAST, 0, None, "Name"),
+             (19, "0001", "os.system", _LAST, 0, "command", "Constant")]
+ARG_TAINTS = [(7, "0004", "urllib.request.urlretrieve", 4, "Name", "f"),
+              (13, "0004", "urllib.request.urlretrieve", 2, "Constant", "p.sh"),
+              (15, "0004", "urllib.request.urlretrieve", 4, "Name", "f")]
+LINES = [2, 1, 3, 4, 3, 2, 4, 5, 3, 6, 3, 3, 3, 4, 4, 5, 3, 5, _LAST, _LAST]
+COUNTS = [0, 1, 2, 2, 1, 1, 1, 2, 1, 3, 1, 2, 2, 2, 1, 3, 0, 1, 2, 1]
+METRICS = [(t, 1, LINES[t], COUNTS[t], 0, 0, COUNTS[t]) for t in range(len(TEMPLATES))]
 
 
 def _ast_counts():
@@ -223,19 +273,52 @@ def alerts(spark, sf):
     return m.groupBy("package").agg(F.sum("cnt").cast("long").alias("cnt")).where(F.col("cnt") > 0)
 
 
-@register("taint_reach")
+# X12-X17 per template: the nodes that a taint reaches and that are ever asked
+# for it -- (line, node type, taint id, line of the taint, position)
+REACH = [
+    (0, 2, "Call", "0006", 2, "ret"),
+    (2, 2, "Call", "0003", 2, "ret"), (2, 2, "Assign", "0003", 2, "ret"), (2, 3, "Name", "0003", 2, "ret"),
+    (3, 2, "Call", "0004", 2, "ret"), (3, 2, "Assign", "0004", 2, "ret"), (3, 3, "Name", "0004", 2, "ret"),
+    (3, 3, "Assign", "0004", 2, "ret"), (3, 4, "Name", "0004", 2, "ret"),
+    (6, 2, "Call", "0003", 2, "ret"), (6, 2, "Assign", "0003", 2, "ret"),
+    (7, 4, "Call", "0004", 4, "ret"), (7, 4, "Name", "0004", 4, "1"), (7, 5, "Name", "0004", 4, "1"),
+    (8, 2, "Call", "0002", 2, "ret"), (8, 2, "Assign", "0002", 2, "ret"), (8, 3, "Name", "0002", 2, "ret"),
+    (9, 3, "Name", "0000", -1, None), (9, 3, "Assign", "0000", -1, None), (9, 4, "Name", "0000", -1, None),
+    (9, 5, "Name", "0000", -1, None), (9, 3, "Call", "0003", 3, "ret"), (9, 3, "Assign", "0003", 3, "ret"),
+    (9, 4, "Name", "0003", 3, "ret"),
+    (10, 2, "Attribute", "0006", 2, "ret"), (10, 2, "Assign", "0006", 2, "ret"), (10, 3, "Name", "0006", 2, "ret"),
+    (11, 2, "Call", "0003", 2, "ret"), (11, None, "withitem", "0003", 2, "ret"), (11, 3, "Name", "0003", 2, "ret"),
+    (12, 2, "Call", "0003", 2, "ret"), (12, 2, "Assign", "0003", 2, "ret"), (12, 3, "Attribute", "0003", 2, "ret"),
+    (13, 2, "Call", "0004", 2, "ret"), (13, 2, "Constant", "0004", 2, "1"), (13, 4, "Constant", "0004", 2, "1"),
+    (15, 4, "Call", "0004", 4, "ret"), (15, 4, "Name", "0004", 4, "1"), (15, 4, "Name", "0004", 4, "1"),
+    (15, 5, "Name", "0004", 4, "1"), (15, 5, "BinOp", "0004", 4, "1"),
+    (16, 2, "Call", "0003", 2, "ret"), (16, 2, "Call", "0006", 2, "ret"), (16, 3, "Call", "0006", 3, "ret"),
+    (17, 2, "Call", "0003", 2, "ret"), (17, 2, "Assign", "0003", 2, "ret"),
+    (18, 2, "Call", "0003", 2, "ret"), (18, 2, "Assign", "0003", 2, "ret"), (18, _LAST, "Name", "0003", 2, "ret"),
+    *[(18, line, kind, "0003", 2, "ret") for line in range(3, _LAST) for kind in ("Name", "Assign")],
+]
+
+
+@register("taint_reach", _doc_join(REACH, ["t", "line", "ntype", "taint_id", "taint_line", "position"],
+                                   "d.doc_id, v.line, v.ntype, v.taint_id, v.taint_line, v.position"))
 def taint_reach(spark, sf):
-    """Every (node, taint) the fix-point reached (rows only)."""
-    n = scanned(spark, sf).scan.node_taints
-    return n.select(F.col("file_id").alias("doc_id"), "seq", F.col("t.id").alias("taint_id"),
-                    F.col("t.type").alias("taint_type"), F.col("t.lineno").alias("taint_line"))
+    """X12-X17 + A12: the reads, assignments, with items and call arguments
+    that each taint reaches."""
+    res = scanned(spark, sf)
+    n = res.scan.node_taints.join(res.facts.nodes.select("file_id", "seq", "ntype", F.col("lineno").alias("line")),
+                                  ["file_id", "seq"])
+    return n.select(F.col("file_id").alias("doc_id"), "line", "ntype", F.col("t.id").alias("taint_id"),
+                    F.col("t.lineno").alias("taint_line"), F.col("t.position").alias("position"))
 
 
 # X4 records per template: (scope, name, constant value, dotted variable)
 BINDINGS = [(2, "", "a", None, None), (3, "", "r", None, None), (3, "", "b", None, "r.text"),
             (4, "", "t", None, "os.system"), (5, "", "m", "os", None), (6, "", "a", None, None),
             (6, "", "a", "x", None), (7, "", "f", "p.sh", None), (8, "", "d", None, None),
-            (9, ".g", "d", None, None)]
+            (9, ".g", "d", None, None), (10, "", "x", None, "os.environ"), (14, "", "m", "os", None),
+            (15, "", "f", "p", None), (17, "", "a", None, None),
+            *[(18, "", f"v{i}", None, None) for i in range(CHAIN + 1)],
+            *[(19, "", f"e{i}", None, "os.system") for i in range(CHAIN + 1)]]
 
 
 @register("name_bindings", _doc_join(BINDINGS, ["t", "scope", "name", "value", "variable"],
@@ -259,7 +342,20 @@ DEF_USE = [(0, "print", 2, False, None, None), (0, "os", 2, False, None, None),
            (8, "base64", 2, False, None, None), (8, "requests", 3, False, None, None), (8, "d", 3, True, "", None),
            (9, "base64", 3, False, None, None), (9, "c", 3, True, ".g", None), (9, "eval", 4, False, None, None),
            (9, "d", 4, True, ".g", None), (9, "eval", 5, False, None, None), (9, "k", 5, True, ".g", None),
-           (9, "g", 6, False, None, None)]
+           (9, "g", 6, False, None, None), (10, "os", 2, False, None, None), (10, "exec", 3, False, None, None),
+           (10, "x", 3, True, "", None), (11, "base64", 2, False, None, None), (11, "exec", 3, False, None, None),
+           (11, "h", 3, True, "", None), (12, "base64", 2, False, None, None), (12, "os", 2, False, None, None),
+           (12, "exec", 3, False, None, None), (12, "os", 3, False, None, None),
+           (13, "request", 2, False, None, "urllib.request"), (13, "os", 4, False, None, None),
+           (14, "importlib", 3, False, None, None), (14, "m", 3, True, "", None), (14, "importlib", 4, False, None, None),
+           (15, "request", 4, False, None, "urllib.request"), (15, "f", 4, True, "", None), (15, "os", 4, False, None, None),
+           (15, "f", 4, True, "", None), (15, "os", 5, False, None, None), (15, "f", 5, True, "", None),
+           (16, "base64", 2, False, None, None), (16, "os", 2, False, None, None), (16, "os", 3, False, None, None),
+           (17, "base64", 2, False, None, None), (17, "exec", 5, False, None, None), (17, "a", 5, False, None, None),
+           (18, "base64", 2, False, None, None), (18, "exec", _LAST, False, None, None), (18, f"v{CHAIN}", _LAST, True, "", None),
+           *[(18, f"v{i - 1}", i + 2, True, "", None) for i in range(1, CHAIN + 1)],
+           (19, "system", 2, False, None, "os.system"), (19, f"e{CHAIN}", _LAST, True, "", None),
+           *[(19, f"e{i - 1}", i + 2, True, "", None) for i in range(1, CHAIN + 1)]]
 
 
 @register("def_use", _doc_join(DEF_USE, ["t", "name", "line", "found", "scope", "alias_target"],

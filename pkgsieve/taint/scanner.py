@@ -19,9 +19,10 @@ from .engine import Facts, resolve, split_facts
 from .facts import extract_facts
 from .reach import Scan, run_scan
 
-# Ten fixed Python templates: FIXTURES §3 of the design (our own texts).  The
-# derived corpus gives each document the template ``doc_id % 10`` followed by
-# the document's whole text as comment lines, so parsing work grows with it.
+# Fixed Python templates (our own texts).  The derived corpus gives each
+# document the template ``doc_id % len(TEMPLATES)`` followed by the document's
+# whole text as comment lines, so parsing work grows with it.
+CHAIN = 200  # copies in the two chain templates
 TEMPLATES = [
     'import os\nprint(os.getcwd())',
     'exec("x")',
@@ -33,13 +34,23 @@ TEMPLATES = [
     'import os\nfrom urllib import request\nf = "p.sh"\nrequest.urlretrieve("u", f)\nos.system(f)',
     'import base64, requests\nd = base64.b64encode(b"k")\nrequests.post("u", data=d)',
     'import base64\ndef g(c, *, k="z"):\n    d = base64.b64decode(c)\n    eval(d)\n    eval(k)\ng("x")',
+    'import os\nx = os.environ\nexec(x)',
+    'import base64\nwith base64.b64decode("q") as h:\n    exec(h)',
+    'import base64, os\nos.k = base64.b64decode("q")\nexec(os.k)',
+    'from urllib import request\nrequest.urlretrieve("u", "p.sh")\nimport os\nos.system("p.sh")',
+    'import importlib\nm = "os"\nimportlib.import_module(m).system("x")\nimportlib.import_module(".path", "os").exists("x")',
+    'from urllib import request\nimport os\nf = "p"\nrequest.urlretrieve("u", f); os.system(f + "x")\nos.system(f + "x")',
+    'import base64, os\nbase64.b64decode(os.getcwd())\nos.getcwd()',
+    'import base64\na = base64.b64decode("q")\ndef f():\n    del a\nexec(a)',
+    'import base64\nv0 = base64.b64decode("q")\n' + "".join(f"v{i} = v{i - 1}\n" for i in range(1, CHAIN + 1)) + f"exec(v{CHAIN})",
+    'from os import system\ne0 = system\n' + "".join(f"e{i} = e{i - 1}\n" for i in range(1, CHAIN + 1)) + f'e{CHAIN}("x")',
 ]
 
 
 def code_corpus(documents: DataFrame) -> DataFrame:
-    """One Python file per document: template ``doc_id % 10`` + the whole
+    """One Python file per document: its template + the whole
     document text as ``#`` comment lines (null bytes dropped)."""
-    tmpl = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (F.col("doc_id") % 10 + 1).cast("int"))
+    tmpl = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (F.col("doc_id") % len(TEMPLATES) + 1).cast("int"))
     body = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "\u0000", ""),
                             r"\r\n|\r|\n", "\n# ")
     return documents.select(

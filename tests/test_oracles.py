@@ -12,7 +12,8 @@ FAST = ["project_suspicion", "signal_levenshtein", "signal_swap", "signal_import
         "content_router", "html_release_versions", "popular_rows", "known_bad_links", "download_tasks",
         "download_top", "analysis_queue", "pending_downloads", "pending_analysis", "insert_ignore",
         "upsert_results", "upsert_private", "release_analyzed", "file_selection", "file_selection_rules",
-        "effective_lines", "import_names", "alias_build", "archive_members", "word_typosquat", "issues", "resolved_calls",
+        "effective_lines", "import_names", "alias_build", "archive_members", "word_typosquat", "issues", "resolved_calls", "taint_reach", "name_bindings", "def_use", "taint_sources", "sink_calls",
+        "sink_args", "arg_taints", "import_bindings", "code_facts", "alerts",
         "file_metrics", "package_metrics", "behaviour_order"]
 
 
@@ -25,6 +26,17 @@ def _norm(rows, cols):
     return sorted((tuple(n(r[i]) for i in order) for r in rows), key=repr)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_scan():
+    """The scan queries each scan the corpus; here they share one scan."""
+    from pkgsieve.plans import taint
+
+    scan, held = taint.scanned, {}
+    taint.scanned = lambda spark, sf: held.setdefault(sf, None) or held.__setitem__(sf, scan(spark, sf)) or held[sf]
+    yield
+    taint.scanned = scan
+
+
 @pytest.mark.parametrize("name", FAST)
 def test_query_matches_oracle(spark, duck, name):
     from __spark_entry__ import oracle_sql, queries
