@@ -122,13 +122,14 @@ def name_defs(fx: Facts, block: int = LOOKUP_BLOCK) -> DataFrame:
     # a del sees what earlier ones left: the first del of a name is right after
     # one round, the second after two, ...; the rounds end when no scope changes
     uses = fx.dels.select("file_id", F.col("seq").alias("useq"), "ns", "name")
-    kills = None
+    again = uses.groupBy("file_id", "name").count().where("count > 1")
+    kills, once = None, again.isEmpty()
     while True:
         seen = defs if kills is None else defs.unionByName(kills)
         found = scoped_lookup(uses, seen, block)
         new = checkpoint_cut(found.select("file_id", F.col("rec_ns").alias("ns"), "name", F.col("useq").alias("dseq"),
                                           F.lit(True).alias("kill")))
-        if kills is not None and new.exceptAll(kills).isEmpty() and kills.exceptAll(new).isEmpty():
+        if once or kills is not None and new.exceptAll(kills).isEmpty() and kills.exceptAll(new).isEmpty():
             return defs.unionByName(new)
         kills = new
 
@@ -174,8 +175,8 @@ def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame,
              .select("file_id", F.col("ns").alias("rec_ns"), F.col("tname").alias("name"), F.col("seq").alias("rec_seq"),
                      "value_seq", "value_type").dropDuplicates(["file_id", "rec_ns", "name", "rec_seq"]))
     dyn = None  # call seq -> dynamically imported module name
+    recs = _follow(_links(recs0, consts, name_info, fx, dyn))
     while True:
-        recs = _follow(_links(recs0, consts, name_info, fx, dyn))
         ni = name_info.join(
             recs.select("file_id", F.col("name").alias("rname"), "rec_ns", "rec_seq", "value", "variable"),
             (name_info.file_id == recs.file_id) & (name_info.rec_ns == recs.rec_ns)
@@ -226,6 +227,9 @@ def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame,
         if _same(dyn, dyn_new):
             break
         dyn = dyn_new
+        named = fx.attrs.join(dyn.select("file_id", F.col("seq").alias("base_seq")), ["file_id", "base_seq"], "left_semi")
+        if not recs0.join(named.select("file_id", F.col("seq").alias("value_seq")), ["file_id", "value_seq"], "left_semi").isEmpty():
+            recs = _follow(_links(recs0, consts, name_info, fx, dyn))
     # read by every later step: write them once
     return name_info, recs, checkpoint_cut(attr_names), checkpoint_cut(call_names)
 
@@ -278,25 +282,29 @@ def _links(recs0: DataFrame, consts: DataFrame, name_info: DataFrame, fx: Facts,
 
 def _follow(links: DataFrame) -> DataFrame:
     """The records with ``value`` and ``variable`` at the end of their chains.
-    Each round replaces the record a record points at by the one that points
-    at, joining the attribute tails passed; it ends when none points on."""
-    state = checkpoint_cut(links.withColumn("value", F.when(F.col("p_seq").isNull(), F.col("value")))
-                                .withColumn("open", F.col("p_seq").isNotNull()))
+    Each hop replaces the record a record points at by the one that points
+    at, joining the attribute tails passed; a written round is two hops; it
+    ends when none points on."""
+    state = checkpoint_cut(links.withColumn("open", F.col("p_seq").isNotNull()))
     while not state.where("open").isEmpty():
-        parent = state.select("file_id", *[F.col(c).alias(f"o_{c}") for c in (
-            "rec_ns", "name", "rec_seq", "value", "variable", "p_ns", "p_name", "p_seq", "tail", "fallback", "open")])
-        todo = state.where("open").withColumnsRenamed({"file_id": "f"})
-        j = todo.join(parent, (F.col("f") == F.col("file_id")) & (F.col("p_ns") == F.col("o_rec_ns"))
-                      & (F.col("p_name") == F.col("o_name")) & (F.col("p_seq") == F.col("o_rec_seq")), "left")
-        more, attr = F.coalesce("o_open", F.lit(False)), F.col("tail").isNotNull()
-        tail = F.when(attr & F.col("o_tail").isNotNull(), F.concat_ws(".", "o_tail", "tail")).otherwise(F.coalesce("tail", "o_tail"))
-        ended = F.when(attr, F.concat_ws(".", F.coalesce("o_variable", "fallback"), "tail")).otherwise(F.col("o_variable"))
-        j = j.select(
-            F.col("f").alias("file_id"), "rec_ns", "name", "rec_seq", "value_seq", "value_type",
-            F.when(~more & ~attr, F.col("o_value")).alias("value"), F.when(~more, ended).alias("variable"),
-            *[F.when(more, F.col(f"o_{c}")).alias(c) for c in ("p_ns", "p_name", "p_seq")],
-            F.when(more, tail).alias("tail"),
-            F.when(more, F.when(attr & F.col("o_tail").isNull(), F.col("fallback")).otherwise(F.col("o_fallback"))).alias("fallback"),
-            more.alias("open"))
-        state = checkpoint_cut(state.where("not open").unionByName(j))
+        state = checkpoint_cut(_hop(_hop(state)))
     return state.select(*REC, "value_seq", "value_type", "value", "variable")
+
+
+def _hop(state: DataFrame) -> DataFrame:
+    parent = state.select("file_id", *[F.col(c).alias(f"o_{c}") for c in (
+        "rec_ns", "name", "rec_seq", "value", "variable", "p_ns", "p_name", "p_seq", "tail", "fallback", "open")])
+    todo = state.where("open").withColumnsRenamed({"file_id": "f"})
+    j = todo.join(parent, (F.col("f") == F.col("file_id")) & (F.col("p_ns") == F.col("o_rec_ns"))
+                  & (F.col("p_name") == F.col("o_name")) & (F.col("p_seq") == F.col("o_rec_seq")), "left")
+    more, attr = F.coalesce("o_open", F.lit(False)), F.col("tail").isNotNull()
+    tail = F.when(attr & F.col("o_tail").isNotNull(), F.concat_ws(".", "o_tail", "tail")).otherwise(F.coalesce("tail", "o_tail"))
+    ended = F.when(attr, F.concat_ws(".", F.coalesce("o_variable", "fallback"), "tail")).otherwise(F.col("o_variable"))
+    j = j.select(
+        F.col("f").alias("file_id"), "rec_ns", "name", "rec_seq", "value_seq", "value_type",
+        F.when(~more & ~attr, F.col("o_value")).alias("value"), F.when(~more, ended).alias("variable"),
+        *[F.when(more, F.col(f"o_{c}")).alias(c) for c in ("p_ns", "p_name", "p_seq")],
+        F.when(more, tail).alias("tail"),
+        F.when(more, F.when(attr & F.col("o_tail").isNull(), F.col("fallback")).otherwise(F.col("o_fallback"))).alias("fallback"),
+        more.alias("open"))
+    return state.where("not open").unionByName(j)
