@@ -122,10 +122,10 @@ def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """The model of rows (text, lang).  Counting is done in tasks; the driver
     gets one count per language and bucket."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = rows.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("count"))
-    coin = (F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53)))
-    chosen = rows.join(sizes, "lang").where(coin < share).select("lang", "text")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # the model has a row per language too
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_lang / n))])
+    coin = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
+    chosen = rows.where(coin < F.element_at(share, F.col("lang"))) if sizes else rows.limit(0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
