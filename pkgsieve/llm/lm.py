@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .textops import word_pieces
 
-BATCH_TOKENS = 2_000_000
-TOKENS_PER_PART = 1_500_000
+BATCH_TOKENS = 1_200_000
+TOKENS_PER_PART = 1_000_000
 LEAST_PARTS = 64
 BUCKETS = 48
 TOLERANCE = 1e-3
