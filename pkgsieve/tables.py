@@ -112,6 +112,36 @@ select o_orderkey, 'application/vnd.pypi.simple.v1+json' as content_type,
    ',"versions":["1.0","1.', cast(o_orderkey % 7 as varchar(9)), '"]}}') end as body from {orders}
 """
 
+# Metadata documents of projects and releases as the JSON API gives them: info,
+# last serial, deprecated releases, two files with digests, vulnerabilities.
+METADATA_DOCS = """
+select o_orderkey, case when o_orderkey % 10 = 9 then '{{"message":"Not Found"}}' else concat(
+ '{{"info":{{"name":"pkg-', cast(o_custkey % 40 as varchar(9)), '","version":"1.', cast(o_orderkey % 4 as varchar(9)),
+ '","summary":"s ', cast(o_orderkey % 3 as varchar(9)), ' e"}},"last_serial":', cast(o_orderkey as varchar(12)),
+ ',"releases":{{"1.0":[]}},"urls":[{{"filename":"pkg-', cast(o_custkey % 40 as varchar(9)), '-', cast(o_orderkey as varchar(12)),
+ '.tar.gz","url":"https://files.example/t/', cast(o_orderkey as varchar(12)), '","digests":{{"md5":"a',
+ cast(o_orderkey as varchar(12)), '","sha256":"b', cast(o_orderkey as varchar(12)), '"}},"md5_digest":"a', cast(o_orderkey as varchar(12)),
+ '"}},{{"filename":"pkg-', cast(o_custkey % 40 as varchar(9)), '-', cast(o_orderkey as varchar(12)),
+ '-py3-none-any.whl","url":"https://files.example/w/', cast(o_orderkey as varchar(12)), '","digests":{{"md5":"c',
+ cast(o_orderkey as varchar(12)), '","sha256":"d', cast(o_orderkey as varchar(12)), '"}},"md5_digest":"c', cast(o_orderkey as varchar(12)),
+ '"}}],"vulnerabilities":[', case when o_orderkey % 5 = 0 then concat('{{"id":"V-', cast(o_orderkey as varchar(12)), '"}}') else '' end,
+ ']}}') end as body from {orders}
+"""
+
+SIMPLE_FILES = """
+select o_orderkey, concat('{{"name":"pkg-', cast(o_custkey % 40 as varchar(9)), '","_last-serial":', cast(o_orderkey as varchar(12)),
+ ',"versions":["1.0"],"files":[{{"filename":"a-', cast(o_orderkey as varchar(12)), '.tar.gz","url":"https://files.example/a",',
+ '"hashes":{{"sha256":"e', cast(o_orderkey as varchar(12)), '"}},"requires-python":">=3.', cast(o_orderkey % 9 as varchar(9)),
+ '","size":', cast(o_orderkey * 7 as varchar(12)), ',"yanked":', case when o_orderkey % 6 = 0 then 'true' else 'false' end,
+ '}},{{"filename":"b.whl","url":"https://files.example/b","hashes":{{}},"size":1,"yanked":false}}]}}') as body from {orders}
+"""
+
+# Pages of the known-bad list: a list item per name.
+BAD_PAGES = """
+select o_orderkey, concat('<html><ul class="bad"><li>pkg-', cast(o_custkey % 40 as varchar(9)), '</li><li>gone-',
+ cast(o_orderkey % 9 as varchar(9)), '</li></ul></html>') as html from {orders} where o_custkey % 5 = 0
+"""
+
 # Fixture subsets of the candidate names (FIXTURES §2): import-name aliases,
 # removed incarnations, private packages, known-bad names.
 ALIASES = """
@@ -149,6 +179,9 @@ DERIVED = {
     "popular_snapshots": (POPULAR_SNAPSHOTS, ("orders",)),
     "monthly_popular": (MONTHLY_POPULAR, ("orders", "lineitem", "part")),
     "simple_html": (SIMPLE_HTML, ("orders",)),
+    "metadata_docs": (METADATA_DOCS, ("orders",)),
+    "simple_files": (SIMPLE_FILES, ("orders",)),
+    "bad_pages": (BAD_PAGES, ("orders",)),
     "simple_json": (SIMPLE_JSON, ("orders",)),
     "aliases": (ALIASES, ("candidates",)),
     "removed_projects": (REMOVED_PROJECTS, ("candidates",)),
