@@ -370,9 +370,32 @@ def def_use(spark, sf):
                     F.col("rec_ns").alias("scope"), "alias_target")
 
 
-@register("scan_report")
+_FILE = "'/pkg' || cast(d.doc_id % 50 as varchar) || '/mod' || cast(d.doc_id as varchar) || '.py'"
+_NUMBERS = ["files", "lines", "cnt", "low", "medium", "high"]
+_SUMS = ", ".join(f"'{c}': cast(sum({c}) as bigint)" for c in _NUMBERS)
+_ONES = ", ".join(f"'{c}': cast({c} as bigint)" for c in _NUMBERS)
+_PER_FILE = _doc_join(METRICS, _METRIC_COLS, f"{_PKG} as package, {_FILE} as file_path, v.*")
+_PER_ISSUE = _doc_join(ISSUES, ["t", "rule_id", "sink_line", "taint_key", "severity", "confidence", "msg"],
+                       f"{_PKG} as package, {_FILE} as file_path, v.*")
+
+
+@register("scan_report", f"""
+select package, 'package' as kind, cast(to_json({{'package': package, {_SUMS}}}) as varchar) as json from ({_PER_FILE}) f group by package
+union all
+select package, 'file', cast(to_json({{'file_path': file_path, {_ONES}}}) as varchar) from ({_PER_FILE}) f
+union all
+select package, 'issue', cast(to_json({{'file_path': file_path, 'id': rule_id, 'lineno': sink_line, 'severity': severity,
+  'confidence': confidence, 'msg': msg}}) as varchar) from ({_PER_ISSUE}) i
+""")
 def scan_report(spark, sf):
-    """JSON report lines, one per issue (file path + nested issue)."""
-    i = scanned(spark, sf).scan.issues
-    return i.select(F.to_json(F.struct("file_path", "id", "name", "taint", "sink", "severity", "confidence",
-                                       "msg")).alias("json"))
+    """The report as JSON lines -- a line per package with its totals, per
+    scanned file with its metrics, and per issue.  A package may hold any
+    number of files, so its report is lines, not one document."""
+    res = scanned(spark, sf)
+    files = file_metrics(res)
+    total = files.groupBy("package").agg(*[F.sum(c).alias(c) for c in _NUMBERS])
+    issue = res.scan.issues.join(res.files.select("file_id", "package"), "file_id")
+    line = lambda df, kind, *cols: df.select("package", F.lit(kind).alias("kind"), F.to_json(F.struct(*cols)).alias("json"))
+    return line(total, "package", "package", *_NUMBERS).unionByName(
+        line(files, "file", "file_path", *_NUMBERS)).unionByName(
+        line(issue, "issue", "file_path", "id", F.col("sink.lineno").alias("lineno"), "severity", "confidence", "msg"))

@@ -13,7 +13,9 @@ FAST = ["project_suspicion", "signal_levenshtein", "signal_swap", "signal_import
         "download_top", "analysis_queue", "pending_downloads", "pending_analysis", "insert_ignore",
         "upsert_results", "upsert_private", "release_analyzed", "file_selection", "file_selection_rules",
         "effective_lines", "import_names", "alias_build", "archive_members", "word_typosquat", "issues", "resolved_calls", "taint_reach", "name_bindings", "def_use", "taint_sources", "sink_calls",
-        "sink_args", "arg_taints", "import_bindings", "code_facts", "alerts",
+        "sink_args", "arg_taints", "import_bindings", "code_facts", "alerts", "scan_report", "project_metadata", "release_urls",
+        "simple_files", "project_document", "release_document", "metadata_merge", "lookup_keyed", "known_bad_join",
+        "project_remove_time",
         "file_metrics", "package_metrics", "behaviour_order"]
 
 
