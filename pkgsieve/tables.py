@@ -33,16 +33,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CHANGELOG = """
 select serial, project, version, ts, case
  when event_type='signup' and k < 50 then 'create'
- when event_type='signup' then concat('accepted Owner u', cast(k % 5 as varchar(9)))
+ when event_type='signup' then concat(case when k % 2 = 0 then 'accepted Owner u' else 'accepted Maintainer u' end, cast(k % 5 as varchar(9)))
  when event_type='purchase' and k % 2 = 0 then 'new release'
  when event_type='purchase' then concat('add source file ', project, '-', version, '.tar.gz')
- when event_type='view' and k % 3 = 0 then concat('add py3 file ', project, '-', version, '-py3-none-any.whl')
+ when event_type='view' and k % 3 = 0 then concat(case when k % 4 = 1 then 'remove file ' else 'add py3 file ' end, project, '-', version, '-py3-none-any.whl')
  when event_type='view' and k % 3 = 1 then concat('add Owner u', cast(k % 5 as varchar(9)))
  when event_type='view' then concat('add Maintainer u', cast(k % 5 as varchar(9)))
  when event_type='click' and k % 4 = 0 then concat('change Owner u', cast(k % 5 as varchar(9)), ' to Maintainer')
- when event_type='click' and k % 4 = 1 then concat('remove Owner u', cast(k % 5 as varchar(9)))
- when event_type='click' and k % 4 = 2 then concat('invite Owner u', cast(k % 5 as varchar(9)))
- when event_type='click' then 'yank release'
+ when event_type='click' and k % 4 = 1 then concat(case when k % 8 = 1 then 'remove Owner u' else 'remove Maintainer u' end, cast(k % 5 as varchar(9)))
+ when event_type='click' and k % 4 = 2 then concat(case when k % 8 = 2 then 'invite Owner u' else 'invite Maintainer u' end, cast(k % 5 as varchar(9)))
+ when event_type='click' then case when k % 8 = 3 then 'yank release' else 'unyank release' end
  when k < 10 then 'remove project'
  when k < 40 then 'remove release'
  when k < 60 then concat('change Maintainer u', cast(k % 5 as varchar(9)), ' to Owner')
