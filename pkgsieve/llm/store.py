@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import prepare
 
@@ -38,3 +38,10 @@ def open_input(uri: str):
     """A seekable input file."""
     fs, path = _locate(uri)
     return fs.open_input_file(path)
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """A table of files dealt out for reading: a task each, or several to a
+    task when there are many more files than shuffle partitions."""
+    most = 16 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(max(1, min(files.count(), most)))

@@ -227,8 +227,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-    files = archives.select("uri").repartition(max(1, archives.count()))
-    return files.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return store.spread(archives.select("uri")).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, payload: str = "html", min_bytes: int = 0) -> DataFrame:

@@ -323,9 +323,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     [pa.array(names, pa.int64()), pa.array(begins + start), pa.array(counts.astype(np.int64)),
                      pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = with_starts(shards).select("uri", "start")
-    # one file is a unit of work: spread them over the tasks
-    return files.repartition(max(1, shards.count())).mapInArrow(
+    return store.spread(with_starts(shards).select("uri", "start")).mapInArrow(
         read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
