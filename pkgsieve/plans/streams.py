@@ -58,14 +58,26 @@ def stream_roles(spark, sf):
     return _monitor(spark, sf).members()
 
 
-@register("stream_scan", ORACLES["issues"])
-def stream_scan(spark, sf):
-    """C4: source files arriving as a stream are scanned per micro-batch and
-    their issues appended to the results table."""
+def _scan(spark, sf):
+    """The derived corpus arrives in two pages; the second one holds some files of the first again."""
     root = _root(spark)
     corpus = code_corpus(T.read(spark, sf, "documents"))
     stream = ScanStream(spark, root)
     for k in range(2):
-        corpus.where(F.col("file_id") % 2 == k).write.parquet(f"{root}/incoming/part={k}")
+        page = corpus.where((F.col("file_id") % 2 == k) | (F.lit(k) == 1) & (F.col("file_id") % 10 == 2))
+        page.write.parquet(f"{root}/incoming/page={k}")
         stream.run(f"{root}/incoming")
-    return TQ.issue_columns(stream.issues())
+    return stream
+
+
+@register("stream_scan", ORACLES["issues"])
+def stream_scan(spark, sf):
+    """C4: source files arriving as a stream are scanned per micro-batch; a
+    file that arrives again replaces its issues."""
+    return TQ.issue_columns(_scan(spark, sf).issues())
+
+
+@register("stream_results", ORACLES["file_metrics"])
+def stream_results(spark, sf):
+    """C4: the results table of the streamed scan, one row per file."""
+    return _scan(spark, sf).results().select(F.col("file_id").alias("doc_id"), "files", "lines", "cnt", "low", "medium", "high")

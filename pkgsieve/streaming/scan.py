@@ -1,12 +1,14 @@
 """C4: streamed scanning -- source files land as files, each micro-batch is
-scanned with the batch scanner and its issues appended (idempotently, keyed
-by batch id) to a results table."""
+scanned with the batch scanner.  A batch writes its issues and file results
+under its id (a replay overwrites them); a file scanned again replaces its
+earlier result, and its package counts as analysed."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..taint.scanner import scan_corpus
+from ..taint.scanner import file_metrics, scan_corpus
 
 CORPUS_SCHEMA = T.StructType([
     T.StructField("file_id", T.LongType()), T.StructField("package", T.StringType()),
@@ -22,13 +24,29 @@ class ScanStream:
     def handle_batch(self, batch: DataFrame, bid: int) -> None:
         res = scan_corpus(batch)
         res.scan.issues.write.mode("overwrite").parquet(f"{self.root}/issues/batch_id={bid}")
+        file_metrics(res).write.mode("overwrite").parquet(f"{self.root}/results/batch_id={bid}")
 
     def run(self, path: str) -> "ScanStream":
+        """Scan the files that have arrived since the last run."""
         s = self.spark.readStream.schema(CORPUS_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
         q = (s.writeStream.foreachBatch(self.handle_batch).option("checkpointLocation", f"{self.root}/_checkpoint")
              .trigger(availableNow=True).start())
         q.awaitTermination()
         return self
 
+    def results(self) -> DataFrame:
+        """One row per scanned file: that of the last batch that held it."""
+        out = self.spark.read.parquet(f"{self.root}/results")
+        rest = [c for c in out.columns if c != "file_id"]
+        last = out.groupBy("file_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("r"))
+        return last.select("file_id", "r.*")
+
     def issues(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/issues").drop("batch_id").dropDuplicates()
+        """The issues of each file's last result."""
+        found = self.spark.read.parquet(f"{self.root}/issues")
+        last = self.results().select("file_id", "batch_id")
+        return found.join(last, ["file_id", "batch_id"], "left_semi").drop("batch_id")
+
+    def analyzed(self) -> DataFrame:
+        """(package, analyzed): every package with a scanned file."""
+        return self.results().select("package").distinct().withColumn("analyzed", F.lit(True))
