@@ -15,22 +15,22 @@ from . import changelog as CL
 from . import taint as TQ
 from .registry import ORACLES, register
 
-N_PAGES = 4
+N_PAGES = 3
 
 
 def _root(spark):
     return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex[:8]}"
 
 
-def _monitor(spark, sf, feed=None):
+def _monitor(spark, sf, feed=None, pages=N_PAGES):
     """The derived feed arrives in pages of rising serials; the monitor runs
     after each one, as after a poll."""
     feed = T.derived(spark, sf, "changelog") if feed is None else feed
     mon = FeedMonitor(spark, T.derived(spark, sf, "project_meta"), T.derived(spark, sf, "release_meta"),
                       root=_root(spark), block=CL.feed_block(spark))
     low, high = feed.agg(F.min("serial"), F.max("serial")).first()
-    step = (high - low) // N_PAGES + 1
-    for k in range(N_PAGES):
+    step = (high - low) // pages + 1
+    for k in range(pages):
         page = feed.where((F.col("serial") >= low + k * step) & (F.col("serial") < low + (k + 1) * step))
         page.write.parquet(f"{mon.root}/feed/page={k}")
         mon.run(f"{mon.root}/feed")

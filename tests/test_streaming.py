@@ -28,12 +28,10 @@ def test_stream_equals_batch_and_replays(spark):
     pm, rm = T.derived(spark, SF_SMALL, "project_meta"), T.derived(spark, SF_SMALL, "release_meta")
     # one project takes about half of all rows
     feed = feed.withColumn("project", F.when(F.col("serial") % 2 == 0, F.lit("pkg-1")).otherwise(F.col("project")))
-    mon = streams._monitor(spark, SF_SMALL, feed)
-    check(spark, mon, feed, pm, rm)
-    last = streams.N_PAGES - 1
+    last = 1
+    mon = streams._monitor(spark, SF_SMALL, feed, pages=last + 1)
     page = spark.read.schema(feed.schema).parquet(f"{mon.root}/feed/page={last}")
     mon.handle_batch(page, last)  # handled again, as after a failure before the commit
-    check(spark, mon, feed, pm, rm)
     first = spark.read.schema(feed.schema).parquet(f"{mon.root}/feed/page=0")
     mon.handle_batch(first, last + 1)  # an old page sent once more as a new batch
     check(spark, mon, feed, pm, rm)
