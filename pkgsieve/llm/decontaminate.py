@@ -13,14 +13,18 @@ The items are queries against all documents, taken in blocks of a fixed size
 (``BLOCK_CHARS``), one pass over the documents per block; a block is all that
 a task holds besides its rows.
 
-Defined cases: a null text matches nothing; items shorter than ``min_chars``
-(a bare word would match everything) are not searched; of several occurrences
-of an item in a text the one with the smallest distance, then the first, is
-told; equal rows are told apart by nothing and each gets its rows; empty
-tables give no matches.  Extra columns are left alone.
+Defined cases: a null text matches nothing; every item but a blank one is
+searched; one shorter than ``min_chars`` must occur verbatim (without the space
+around it) between word boundaries, and a bare word, which would match nearly
+every text, must be the whole text; of several occurrences of an item in a text
+the one with the smallest distance, then the first, is told; equal rows are
+told apart by nothing and each gets its rows; empty tables give no matches.
+Extra columns are left alone.
 """
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +40,10 @@ PERCENT = 8
 MIN_CHARS = 24
 BLOCK_CHARS = 1 << 20
 _FOLD = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\x0b\f\r", b"     "))
+# Fixed value: the letters of the scripts written without spaces (Thai, Lao,
+# Burmese, Khmer, Kana, Bopomofo, Han), where a word may end after any letter.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u312f\u31f0-\u31ff\u3400-\u4dbf"
+                       "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def fold(text: bytes) -> str:
@@ -43,6 +51,22 @@ def fold(text: bytes) -> str:
     return text.translate(_FOLD).decode("utf-8", "replace")
 
 
+def _in_word(c: str) -> bool:
+    """Whether ``c`` is a character of a word that spaces set off."""
+    return (c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") and not _UNSPACED.match(c)
+
+
+def bare_word(item: str) -> bool:
+    return all(map(_in_word, item))
+
+
+def boundary(text: str, at: int) -> bool:
+    """Whether no word of ``text`` goes on from ``at - 1`` to ``at``."""
+    if not 0 < at < len(text):
+        return True
+    return unicodedata.category(text[at])[0] != "M" and not (_in_word(text[at - 1]) and _in_word(text[at]))
+
+
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     """(offset, piece) of ``budget + 1`` pieces of near-equal length."""
     cuts = [len(item) * i // (budget + 1) for i in range(budget + 2)]
@@ -83,11 +107,15 @@ class Match:
 class Matcher:
     """The pieces of a block of items (already folded), ready to be searched."""
 
-    def __init__(self, items: list[str], percent: int = PERCENT):
-        self.items = items
-        self.budget = [len(t) * percent // 100 for t in items]
+    def __init__(self, items: list[str], percent: int = PERCENT, min_chars: int = MIN_CHARS):
+        self.short = [len(t.strip()) < min_chars for t in items]
+        self.items = [t.strip() if short else t for t, short in zip(items, self.short)]
+        self.bare = [short and bare_word(t) for t, short in zip(self.items, self.short)]
+        self.budget = [0 if short else len(t) * percent // 100 for t, short in zip(self.items, self.short)]
         owners: dict[str, list[tuple[int, int]]] = {}
-        for k, t in enumerate(items):
+        for k, t in enumerate(self.items):
+            if not t:
+                continue
             for at, piece in pieces(t, self.budget[k]):
                 owners.setdefault(piece, []).append((k, at))
         self.automaton = ahocorasick.Automaton()
@@ -102,8 +130,16 @@ class Matcher:
         if self.empty:
             return
         windows: dict[int, list[list[int]]] = {}
+        exact: dict[int, int] = {}  # start of the first occurrence of a short item
+        whole = text.strip()
         for end, (length, owned) in self.automaton.iter(text):
             for k, at in owned:
+                if self.short[k]:
+                    start = end + 1 - length
+                    if k not in exact and (whole == self.items[k] if self.bare[k]
+                                           else boundary(text, start) and boundary(text, end + 1)):
+                        exact[k] = start
+                    continue
                 lead, budget = end + 1 - length - at, self.budget[k]
                 a, b = max(0, lead - budget), lead + len(self.items[k]) + budget
                 spans = windows.setdefault(k, [])
@@ -111,6 +147,8 @@ class Matcher:
                     spans[-1][1] = max(b, spans[-1][1])  # one look at places that overlap
                 else:
                     spans.append([a, b])
+        for k, start in exact.items():
+            yield Match(k, 0, start, start + len(self.items[k]))
         for k, spans in windows.items():
             found = [self._best(k, text, a, b) for a, b in spans]
             best = min((f for f in found if f), default=None)
@@ -128,9 +166,9 @@ class Matcher:
         return distance, end - back.index(distance) - 1, end
 
 
-def _blocks(items: DataFrame, min_chars: int, block_chars: int) -> Iterator[list[tuple[object, str]]]:
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[object, str]]]:
     """(item_id, folded text) of the items, a bounded block at a time."""
-    rows = items.select("item_id", "text").where(F.length("text") >= min_chars).distinct()
+    rows = items.select("item_id", "text").where(F.length("text") > 0).distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars)
     for k in range(n):
@@ -138,7 +176,7 @@ def _blocks(items: DataFrame, min_chars: int, block_chars: int) -> Iterator[list
         yield [(r["item_id"], fold(r["text"].encode())) for r in sorted(part, key=repr)]
 
 
-def _match_udf(block: list[tuple[object, str]], item_type, percent: int):
+def _match_udf(block: list[tuple[object, str]], item_type, percent: int, min_chars: int):
     """Arrow UDF text -> matches of the block's items."""
     kind = ArrayType(StructType([StructField("item_id", item_type), StructField("distance", LongType()),
                                  StructField("start", LongType()), StructField("end", LongType())]))
@@ -150,7 +188,7 @@ def _match_udf(block: list[tuple[object, str]], item_type, percent: int):
         from pyspark.sql.pandas.types import to_arrow_type
 
         if not held:
-            held.append(Matcher(texts, percent))
+            held.append(Matcher(texts, percent, min_chars))
         found = [[{"item_id": ids[m.item], "distance": m.distance, "start": m.start, "end": m.end}
                   for m in held[0].matches(fold(t.as_buffer().to_pybytes()))] if t.is_valid else [] for t in column]
         return pa.array(found, to_arrow_type(kind))
@@ -164,8 +202,8 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_chars:
     item in every document (doc_id, text) that holds it."""
     kind = items.schema["item_id"].dataType
     out = None
-    for block in _blocks(items, min_chars, block_chars):
-        run = _match_udf(block, kind, percent)
+    for block in _blocks(items, block_chars):
+        run = _match_udf(block, kind, percent, min_chars)
         part = docs.select("doc_id", F.explode(run("text")).alias("m")).select("doc_id", "m.*")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -180,7 +218,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_ch
     """The rows of ``docs`` that hold no item."""
     kind = items.schema["item_id"].dataType
     hits = fresh(docs, "__hits")[0]
-    for block in _blocks(items, min_chars, block_chars):
-        run = _match_udf(block, kind, percent)
+    for block in _blocks(items, block_chars):
+        run = _match_udf(block, kind, percent, min_chars)
         docs = docs.withColumn(hits, F.size(run("text"))).where(F.col(hits) == 0).drop(hits)
     return docs

@@ -72,6 +72,18 @@ def test_leaks_spans_blocks_and_edges(spark):
         assert sorted((repr(r["doc_id"]) for r in left.collect())) == sorted(repr(r[0]) for r in rows if r[0] not in (50, 51, 53))
 
 
+def test_short_items_are_found_between_word_boundaries(spark):
+    bench = items(spark, [(1, "Who wrote Hamlet? "), (2, "日本的首都是哪里？"), (3, "cat sat"), (4, "Hamlet"), (5, "  \n"),
+                          (6, "東京は日本の首都"), (7, " " * 40)])
+    rows = [(k, text, "en", "s", 1) for k, text in enumerate([
+        "Quiz: WHO WROTE\nHAMLET? Shakespeare.", "请问日本的首都是哪里？东京。", "The concat sat; a cat sat.", "a cat satin, tomcat sat",
+        "cat sat\u0301 here", "the play Hamlet", " hamlet\n", "昔から東京は日本の首都である", " " * 90])]
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start"], r["end"]) for r in D.leaks(docs(spark, rows), bench).collect()}
+    assert got == {(0, 1): (0, 6, 23), (1, 2): (0, 2, 11), (2, 3): (0, 18, 25), (6, 4): (0, 1, 7), (7, 6): (0, 3, 11)}
+    left = D.drop_leaks(docs(spark, rows), bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5, 8]
+
+
 def long_noise(rnd):
     return " ".join("w%x" % rnd.randrange(9999) for _ in range(20_000)) + " "
 
