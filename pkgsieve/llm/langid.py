@@ -1,7 +1,8 @@
 """Language ID: spans of mixed-language text by Viterbi over per-word scores.
 
 Model (``fit``): from labelled documents, at most about
-``DOCS_PER_LANG`` of a language (chosen by a hash of the text), the hashed
+``DOCS_PER_LANG`` distinct texts of a language (chosen by a hash of the text,
+the one with the smallest hash always), the hashed
 character 1- to 3-grams of the words per language, and the share of its
 letters in each script.  A word's score for a language is the mean-damped log
 probability of its grams.
@@ -122,10 +123,15 @@ def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """The model of rows (text, lang).  Counting is done in tasks; the driver
     gets one count per language and bucket."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # the model has a row per language too
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_lang / n))])
-    coin = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    chosen = rows.where(coin < F.element_at(share, F.col("lang"))) if sizes else rows.limit(0)
+    ticket = F.shiftrightunsigned(F.xxhash64("text"), 11)  # copies of a text have one ticket and count once
+    sizes = (rows.select("lang", ticket.alias("ticket")).distinct().groupBy("lang")
+             .agg(F.count("*").alias("n"), F.min("ticket").alias("least")).collect())  # the model has a row per language too
+    if sizes:
+        below = F.create_map(*[F.lit(x) for r in sizes for x in (
+            r["lang"], max(r["least"] + 1, int((1 << 53) * min(1.0, docs_per_lang / r["n"]))))])
+        chosen = rows.where(ticket < F.element_at(below, F.col("lang"))).distinct()
+    else:
+        chosen = rows.limit(0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}

@@ -42,6 +42,18 @@ def test_scripts_narrow_candidates(spark):
     assert L.spans(m, "абв где")[0][0] in ("bg", "ru")
 
 
+def test_training_sample_holds_distinct_texts_of_every_language(spark):
+    copied, drawn = "the same page again", [("en", "xx%d yy" % i) for i in range(300)]
+    for seed in range(5):  # a text of 2,000 copies, whether drawn or not, weighs as one
+        texts = [("en", "%s %d" % (copied, seed)), ("de", "der hund %d" % seed), ("fr", "le chien %d" % seed)]
+        rows = drawn + texts[:1] * 2000 + texts[1:2] * 500 + texts[2:]
+        one = L.fit(spark.createDataFrame(drawn + texts, "lang string, text string"), 20)
+        many = L.fit(spark.createDataFrame(rows, "lang string, text string"), 20)
+        assert many.langs == ("de", "en", "fr") and np.array_equal(one.logp, many.logp)
+    few = L.fit(spark.createDataFrame(drawn + texts, "lang string, text string"), 0.001)  # no text would be drawn
+    assert few.langs == ("de", "en", "fr")
+
+
 def test_edges(spark):
     rows = edge_rows() + [(60, "123 !? 456", None, None, None), (61, "漢字", None, None, None)]
     df = docs(spark, rows, clash=True)
