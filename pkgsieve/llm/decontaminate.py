@@ -6,8 +6,8 @@ intact, so every occurrence holds an exact piece.  One Aho-Corasick automaton
 finds the pieces of a block of items, and Myers' bit-parallel distance
 verifies the item around each hit.
 
-Texts are compared with A-Z in lower case and every space character as a
-blank, character by character, so places are places in the text itself.
+Texts are compared with A-Z in lower case and every run of ASCII white space
+as one blank; places are places in the text itself.
 
 The items are queries against all documents, taken in blocks of a fixed size
 (``BLOCK_CHARS``), one pass over the documents per block; a block is all that
@@ -25,8 +25,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import ahocorasick
 import pyarrow as pa
@@ -51,6 +52,30 @@ def fold(text: bytes) -> str:
     return text.translate(_FOLD).decode("utf-8", "replace")
 
 
+_RUN = re.compile("  +")
+
+
+def join(folded: str) -> str:
+    """The folded text with one blank for each run of them."""
+    return _RUN.sub(" ", folded) if "  " in folded else folded
+
+
+def places(folded: str, found: list[Match]) -> list[Match]:
+    """Matches in ``join(folded)`` with their places in ``folded``."""
+    if not found or "  " not in folded:
+        return found
+    after, extra, total = [], [0], 0  # blanks of runs in the joined text; characters dropped up to there
+    for run in _RUN.finditer(folded):
+        after.append(run.start() - total)
+        total += run.end() - run.start() - 1
+        extra.append(total)
+
+    def place(i: int) -> int:
+        return i + extra[bisect_left(after, i)]
+
+    return [replace(m, start=place(m.start), end=place(m.end - 1) + 1) for m in found]
+
+
 def _in_word(c: str) -> bool:
     """Whether ``c`` is a character of a word that spaces set off."""
     return (c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") and not _UNSPACED.match(c)
@@ -173,7 +198,7 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[object, s
     n = -(-total // block_chars)
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield [(r["item_id"], fold(r["text"].encode())) for r in sorted(part, key=repr)]
+        yield [(r["item_id"], join(fold(r["text"].encode()))) for r in sorted(part, key=repr)]
 
 
 def _match_udf(block: list[tuple[object, str]], item_type, percent: int, min_chars: int):
@@ -189,8 +214,9 @@ def _match_udf(block: list[tuple[object, str]], item_type, percent: int, min_cha
 
         if not held:
             held.append(Matcher(texts, percent, min_chars))
+        folded = (fold(t.as_buffer().to_pybytes()) if t.is_valid else "" for t in column)
         found = [[{"item_id": ids[m.item], "distance": m.distance, "start": m.start, "end": m.end}
-                  for m in held[0].matches(fold(t.as_buffer().to_pybytes()))] if t.is_valid else [] for t in column]
+                  for m in places(t, list(held[0].matches(join(t))))] for t in folded]
         return pa.array(found, to_arrow_type(kind))
 
     return run

@@ -84,6 +84,19 @@ def test_short_items_are_found_between_word_boundaries(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5, 8]
 
 
+def test_runs_of_white_space_count_as_one_blank(spark):
+    bench = items(spark, [(1, ITEM.strip()), (2, "Who  wrote Hamlet?"), (3, OTHER.strip().replace(" ", "\r\n  "))])
+    rows = [(0, "x  y " + ITEM.strip().replace(" ", "  ") + "  end", "en", "s", 1), (1, "a\r\n\r\nwho wrote \n  hamlet?", "en", "s", 1),
+            (2, OTHER.strip(), "en", "s", 1), (3, "  ".join(edited(random.Random(4), ITEM.strip(), 2).split()), "en", "s", 1)]
+    got = {(r["doc_id"], r["item_id"]): r for r in D.leaks(docs(spark, rows), bench).collect()}
+    assert sorted(got) == [(0, 1), (1, 2), (2, 3), (3, 1)] and 0 < got[3, 1]["distance"] <= 2
+    for d, i in [(0, 1), (1, 2), (2, 3)]:
+        assert got[d, i]["distance"] == 0
+    assert rows[0][1][got[0, 1]["start"]:got[0, 1]["end"]] == ITEM.strip().replace(" ", "  ")
+    assert rows[1][1][got[1, 2]["start"]:got[1, 2]["end"]] == "who wrote \n  hamlet?"
+    assert D.drop_leaks(docs(spark, rows), bench).count() == 0
+
+
 def long_noise(rnd):
     return " ".join("w%x" % rnd.randrange(9999) for _ in range(20_000)) + " "
 
