@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, mixing, quality, sharding, simhash, urlfilter, warc, wavelet
+from . import decontaminate, langid, lm, mixing, orchard, quality, sharding, simhash, urlfilter, warc, wavelet
 from .common import cut, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(fold != 2).select("text", "lang"))
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (fold == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+def _op13_round(k: int) -> str:
+    """Assignment to the codebooks c<k> and the codebooks c<k+1> after it."""
+    return f"""
+a{k} as (select p.id, p.part, p.x, arg_min(entry, d * 64 + entry) as entry, min(d) as d from (
+  select p.id, p.part, p.x, c.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))::bigint as d
+  from p join c{k} c on p.part = c.part) p group by all),
+u{k} as (select part, entry, i, sum(x[i])::bigint as s, count(*) as n
+ from (select part, entry, x, unnest(range(1, len(x) + 1)) as i from a{k}) group by all),
+m{k} as (select part, entry, list((s - ((s % n) + n) % n) // n order by i) as x from u{k} group by all),
+c{k + 1} as (select c.part, c.entry, coalesce(m.x, c.x) as x from c{k} c left join m{k} m using (part, entry))"""
+
+
+OP13_SQL = f"""
+with k as (select row_number() over (order by vec_id) as id, vec_id, label,
+  list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+ from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select id, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] as x from (select *, unnest(range(16)) as part from k)),
+c0 as (select part, id - 1 as entry, x from p where id <= 64),{_op13_round(0)},{_op13_round(1)},
+a2 as (select p.id, p.part, arg_min(entry, d * 64 + entry) as entry, min(d) as d from (
+  select p.id, p.part, c.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))::bigint as d
+  from p join c2 c on p.part = c.part) p group by all),
+r as (select id, string_agg(lower(printf('%02x', entry)), '' order by part) as code, sum(d)::bigint as error from a2 group by id),
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as sha from c2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, sha as codebooks_sha256
+from r join k using (id), h
+"""
+
+
+@query("op13_orchard_codes", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
