@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, mixing, orchard, quality, sharding, simhash, urlfilter, warc, wavelet
+from . import (decontaminate, langid, lm, mixing, orchard, prefix_trie, quality, sharding, simhash, urlfilter, warc,
+               wavelet)
 from .common import cut, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,6 +192,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
 
 
+OP12_SQL = r"""
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, z) as pos, z, words from (
+  select conv_id, turn, md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as z,
+   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as words
+  from conversations where conv_id is not null) x),
+c as (select conv_id, conv_id - conv_id % 20 as base, count(*) as n, xor(list_reduce(
+  list_prepend(4294967295, list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i::int, 1))::bigint)),
+  lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)),
+  4294967295) % 4 as h from t group by conv_id),
+g as (select c.conv_id, c.h, c.base, least(c.h, coalesce(b.n, 0)) as taken from c left join c b on b.conv_id = c.base),
+r as (select g.conv_id, taken + pos - h as k, z, words from g join t using (conv_id) where pos > h union all
+ select g.conv_id, pos, z, words from g join t on t.conv_id = g.base where pos <= h),
+s as (select g.conv_id, coalesce(list(z order by k) filter (z is not null), []) as zs,
+  coalesce(list(words order by k) filter (z is not null), []) as ws from g left join r using (conv_id) group by g.conv_id),
+q as (select zs, any_value(ws) as ws, count(*) as weight, min(conv_id) as seq,
+  sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends from s group by zs),
+p as (select *, unnest(range(0, len(zs) + 1)) as depth from q),
+n as (select zs[1:depth] as node, depth, min(seq) as conv_id, sum(weight)::bigint as n_convs,
+  any_value(case when depth > 0 then ws[depth] else 0 end) as words from p group by 1, 2),
+k as (select node[1:depth - 1] as node, depth - 1 as depth, count(*) as n_children from n where depth > 0 group by 1, 2),
+m as (select n.*, coalesce(n_children, 0) as n_children from n left join k using (node, depth)),
+u as (select node[1:a] as node, a as depth, sum((n_convs - 1) * words)::bigint as saved_tokens, count(*) filter (n_children = 0) as n_leaves
+ from (select *, unnest(range(0, depth + 1)) as a from m) group by 1, 2)
+select m.conv_id, m.depth, f.conv_id as parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens,
+ coalesce(q.ends, sha256('')) as ends_sha256
+from m join u using (node, depth) left join m f on m.depth = f.depth + 1 and m.node[1:m.depth - 1] = f.node left join q on q.zs = m.node
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def _op13_round(k: int) -> str:
     """Assignment to the codebooks c<k> and the codebooks c<k+1> after it."""
     return f"""

@@ -4,7 +4,7 @@ import pytest
 from tests.conftest import SF_SMALL
 from tests.test_oracles import _norm
 
-NAMES = ["op3_mix_sources", "op6_url_filter", "op8_warc_archive", "op9_host_quality", "op13_orchard_codes"]
+NAMES = ["op3_mix_sources", "op6_url_filter", "op8_warc_archive", "op9_host_quality", "op12_prefix_trie", "op13_orchard_codes"]
 
 
 @pytest.mark.parametrize("name", NAMES)
