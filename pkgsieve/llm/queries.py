@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, langid, lm, mixing, orchard, prefix_trie, quality, sharding, simhash, urlfilter, warc,
-               wavelet)
+from . import (decontaminate, langid, lm, mixing, nndescent, orchard, prefix_trie, quality, sharding, simhash,
+               urlfilter, warc, wavelet)
 from .common import cut, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,6 +192,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
 
 
+@query("op11_nn_descent")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.neighbour_graph(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).table
+
+
 OP12_SQL = r"""
 with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, z) as pos, z, words from (
   select conv_id, turn, md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as z,
