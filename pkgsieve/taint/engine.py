@@ -1,8 +1,7 @@
 """Taint-to-sink data flow as joins over fact tables.
 
 Every step is keyed by ``file_id`` so work spreads over files; scoped name
-lookups are as-of joins done with the blocked prefix scan (no pairs within a
-group).  A record's value or dotted name comes from the one record its right
+lookups are one ordered sweep per name (``sweep``).  A record's value or dotted name comes from the one record its right
 side reads, so chains of copies are followed by pointer doubling: the rounds
 go with the logarithm of the longest chain, and there is no bound on them.
 """
@@ -14,11 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.common import checkpoint_cut
-from ..operators.folds import prefix_last
-
-# Per (file, scope, name) the prefix scan never crosses files, so one block
-# per key is enough; the bound still caps a pathological file.
-LOOKUP_BLOCK = 1 << 20
+from . import sweep as W
 
 IMPORT_FUNCS = ("__import__", "importlib.__import__")
 IMPORT_MODULE = "importlib.import_module"
@@ -76,85 +71,27 @@ def split_facts(facts: DataFrame) -> Facts:
     )
 
 
-# --------------------------------------------------------------------------
-# scoped as-of lookup
-# --------------------------------------------------------------------------
-
-def scope_candidates(ns: Column) -> Column:
-    """The scope itself and every enclosing scope, with their depth."""
-    parts = F.split(ns, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)),
-                       lambda i: F.struct(F.array_join(F.slice(parts, 1, i), ".").alias("cns"), i.alias("depth")))
-
-
-def scoped_lookup(uses: DataFrame, defs: DataFrame, block: int = LOOKUP_BLOCK) -> DataFrame:
-    """For each use ``(file_id, useq, ns, name)``: the visible record -- the
-    innermost enclosing scope whose latest event for the name before the use
-    is a definition (not a ``del``), and in it the latest definition.
-
-    ``defs``: ``file_id, ns, name, dseq, kill``.  Returns ``file_id, useq,
-    name, rec_ns, rec_seq`` (no row when nothing is visible).
-    """
-    cand = uses.select("file_id", "useq", "name", F.explode(scope_candidates(F.col("ns"))).alias("c")).select(
-        "file_id", F.col("c.cns").alias("ns"), "name", F.col("useq").alias("seq"), F.col("c.depth").alias("depth"),
-        F.lit(None).cast("struct<kill:boolean,dseq:int>").alias("ev"))
-    d = defs.select("file_id", "ns", "name", F.col("dseq").alias("seq"), F.lit(None).cast("int").alias("depth"),
-                    F.struct(F.col("kill").cast("boolean").alias("kill"), F.col("dseq").cast("int").alias("dseq"))
-                    .alias("ev")).dropDuplicates(["file_id", "ns", "name", "seq"])
-    u = cand.unionByName(d)
-    p = prefix_last(u, ["file_id", "ns", "name"], "seq", F.col("ev"), "last", block=block)
-    hits = p.where(F.col("depth").isNotNull() & F.col("last").isNotNull() & ~F.col("last.kill"))
-    best = hits.groupBy("file_id", F.col("seq").alias("useq"), "name").agg(
-        F.max_by(F.struct(F.col("ns").alias("rec_ns"), F.col("last.dseq").alias("rec_seq")), F.col("depth")).alias("r"))
-    return best.select("file_id", "useq", "name", "r.rec_ns", "r.rec_seq")
-
-
-def name_defs(fx: Facts, block: int = LOOKUP_BLOCK) -> DataFrame:
-    """Definitions of plain names: assignment targets, parameters, ``with``
-    targets; a ``del`` kills the name in the scope where it is found then."""
-    a = fx.assigns.where(F.col("tkind") == "name").select("file_id", "ns", F.col("tname").alias("name"),
-                                                          F.col("seq").alias("dseq"), F.lit(False).alias("kill"))
-    p = fx.params.select("file_id", "ns", "name", F.col("seq").alias("dseq"), F.lit(False).alias("kill"))
-    w = fx.withs.select("file_id", "ns", "name", F.col("seq").alias("dseq"), F.lit(False).alias("kill"))
-    defs = a.unionByName(p).unionByName(w)
-    if fx.dels.isEmpty():
-        return defs
-    # a del sees what earlier ones left: the first del of a name is right after
-    # one round, the second after two, ...; the rounds end when no scope changes
-    uses = fx.dels.select("file_id", F.col("seq").alias("useq"), "ns", "name")
-    again = uses.groupBy("file_id", "name").count().where("count > 1")
-    kills, once = None, again.isEmpty()
-    while True:
-        seen = defs if kills is None else defs.unionByName(kills)
-        found = scoped_lookup(uses, seen, block)
-        new = checkpoint_cut(found.select("file_id", F.col("rec_ns").alias("ns"), "name", F.col("useq").alias("dseq"),
-                                          F.lit(True).alias("kill")))
-        if once or kills is not None and new.exceptAll(kills).isEmpty() and kills.exceptAll(new).isEmpty():
-            return defs.unionByName(new)
-        kills = new
-
-
-def import_state(fx: Facts, names: DataFrame, block: int = LOOKUP_BLOCK) -> DataFrame:
-    """Per Name node, the import alias bound before it (file-wide, latest
-    wins) and whether the name is in the imported-module set."""
-    al = fx.imports.where(F.col("alias").isNotNull()).select(
-        "file_id", F.col("alias").alias("name"), "seq", F.col("target").alias("ev"), F.lit(False).alias("is_use"))
-    us = names.select("file_id", "name", "seq", F.lit(None).cast("string").alias("ev"), F.lit(True).alias("is_use"))
-    al = al.dropDuplicates(["file_id", "name", "seq"])
-    p = prefix_last(al.unionByName(us), ["file_id", "name"], "seq", F.col("ev"), "alias_target", block=block)
-    p = p.where("is_use").select("file_id", "seq", "alias_target")
-    first_imp = fx.imports.where(F.col("alias").isNull()).groupBy("file_id", F.col("target").alias("name")).agg(
-        F.min("seq").alias("imp_seq"))
-    n = names.join(first_imp, ["file_id", "name"], "left").select(
-        "file_id", "seq", (F.col("imp_seq") < F.col("seq")).alias("in_imports"))
-    return p.join(n, ["file_id", "seq"])
+def name_events(fx: Facts) -> DataFrame:
+    """What the sweep over plain names sees: assignment targets, parameters,
+    ``with`` targets, ``del``s, import aliases, imported modules, reads."""
+    parts = [
+        W.events(fx.assigns.where(F.col("tkind") == "name"), W.DEF, "seq", "tname", "ns"),
+        W.events(fx.params, W.DEF, "seq", "name", "ns"), W.events(fx.withs, W.DEF, "seq", "name", "ns"),
+        W.events(fx.dels, W.DEL, "seq", "name", "ns"),
+        W.events(fx.imports.where(F.col("alias").isNotNull()), W.ALIAS, "seq", "alias", target="target"),
+        W.events(fx.imports.where(F.col("alias").isNull()), W.MODULE, "seq", "target"),
+        W.events(fx.names.where(F.col("ctx") == "Load"), W.READ, "seq", "name", "ns")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # --------------------------------------------------------------------------
 # callee resolution fix-point
 # --------------------------------------------------------------------------
 
-def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def resolve(fx: Facts) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Returns ``(name_info, records, attr_names, call_names)``.
 
     ``name_info``: per Load Name node its visible record and import state;
@@ -162,13 +99,7 @@ def resolve(fx: Facts, block: int = LOOKUP_BLOCK) -> tuple[DataFrame, DataFrame,
     ``attr_names``: resolved dotted name per Attribute node;
     ``call_names``: resolved callee per Call node (``func``).
     """
-    loads = fx.names.where(F.col("ctx") == "Load")
-    look = scoped_lookup(loads.select("file_id", F.col("seq").alias("useq"), "ns", "name"), name_defs(fx, block), block)
-    imp = import_state(fx, loads, block)
-    name_info = checkpoint_cut(
-        loads.select("file_id", "seq", "name")
-        .join(look.select("file_id", F.col("useq").alias("seq"), "rec_ns", "rec_seq"), ["file_id", "seq"], "left")
-        .join(imp, ["file_id", "seq"], "left"))
+    name_info = checkpoint_cut(W.sweep(name_events(fx)))
 
     consts = fx.consts.select("file_id", F.col("seq").alias("node_seq"), F.col("cstr").alias("const_value"))
     recs0 = (fx.assigns.where(F.col("tkind") == "name")
@@ -283,28 +214,28 @@ def _links(recs0: DataFrame, consts: DataFrame, name_info: DataFrame, fx: Facts,
 def _follow(links: DataFrame) -> DataFrame:
     """The records with ``value`` and ``variable`` at the end of their chains.
     Each hop replaces the record a record points at by the one that points
-    at, joining the attribute tails passed; a written round is two hops; it
-    ends when none points on."""
-    state = checkpoint_cut(links.withColumn("open", F.col("p_seq").isNotNull()))
-    while not state.where("open").isEmpty():
+    at, joining the attribute tails passed; a written round is two hops over
+    numbered records; it ends when none points on."""
+    rid = W.record_id("rec_ns", "name", "rec_seq").alias("rid")
+    pid = F.when(F.col("p_seq").isNotNull(), W.record_id("p_ns", "p_name", "p_seq")).alias("pid")
+    links = checkpoint_cut(links.select("*", rid, pid))
+    state = links.select("file_id", "rid", "pid", "value", "variable", "tail", "fallback")
+    while not state.where("pid is not null").isEmpty():
         state = checkpoint_cut(_hop(_hop(state)))
-    return state.select(*REC, "value_seq", "value_type", "value", "variable")
+    ends = state.select("file_id", "rid", "value", "variable")
+    return links.drop("value", "variable").join(ends, ["file_id", "rid"]).select(*REC, "value_seq", "value_type", "value", "variable")
 
 
 def _hop(state: DataFrame) -> DataFrame:
-    parent = state.select("file_id", *[F.col(c).alias(f"o_{c}") for c in (
-        "rec_ns", "name", "rec_seq", "value", "variable", "p_ns", "p_name", "p_seq", "tail", "fallback", "open")])
-    todo = state.where("open").withColumnsRenamed({"file_id": "f"})
-    j = todo.join(parent, (F.col("f") == F.col("file_id")) & (F.col("p_ns") == F.col("o_rec_ns"))
-                  & (F.col("p_name") == F.col("o_name")) & (F.col("p_seq") == F.col("o_rec_seq")), "left")
-    more, attr = F.coalesce("o_open", F.lit(False)), F.col("tail").isNotNull()
+    parent = state.select(F.col("file_id").alias("f"), *[F.col(c).alias(f"o_{c}") for c in state.columns if c != "file_id"])
+    todo = state.where("pid is not null")
+    j = todo.join(parent, (F.col("file_id") == F.col("f")) & (F.col("pid") == F.col("o_rid")), "left")
+    more, attr = F.col("o_pid").isNotNull(), F.col("tail").isNotNull()
     tail = F.when(attr & F.col("o_tail").isNotNull(), F.concat_ws(".", "o_tail", "tail")).otherwise(F.coalesce("tail", "o_tail"))
     ended = F.when(attr, F.concat_ws(".", F.coalesce("o_variable", "fallback"), "tail")).otherwise(F.col("o_variable"))
     j = j.select(
-        F.col("f").alias("file_id"), "rec_ns", "name", "rec_seq", "value_seq", "value_type",
+        "file_id", "rid", F.col("o_pid").alias("pid"),
         F.when(~more & ~attr, F.col("o_value")).alias("value"), F.when(~more, ended).alias("variable"),
-        *[F.when(more, F.col(f"o_{c}")).alias(c) for c in ("p_ns", "p_name", "p_seq")],
         F.when(more, tail).alias("tail"),
-        F.when(more, F.when(attr & F.col("o_tail").isNull(), F.col("fallback")).otherwise(F.col("o_fallback"))).alias("fallback"),
-        more.alias("open"))
-    return state.where("not open").unionByName(j)
+        F.when(more, F.when(attr & F.col("o_tail").isNull(), F.col("fallback")).otherwise(F.col("o_fallback"))).alias("fallback"))
+    return state.where("pid is null").unionByName(j)

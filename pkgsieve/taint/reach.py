@@ -2,21 +2,21 @@
 
 A taint arrives at a record at the visit number of the read that brought it,
 and only reads after that carry it on, so arrival times grow along every path.
-The reads that lead from one record to another are edges with a time; going
-through a file's edges in the order of time once gives every record's earliest
-arrivals, whatever the length of the chains (``earliest``).
+The reads that lead from one record to another are edges with a time; every
+record's earliest arrivals come from the edges in the order of time, block by
+block (``arrivals``).
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.common import checkpoint_cut
-from .engine import Facts, scoped_lookup, taint_struct
+from . import arrivals
+from .engine import Facts, taint_struct
+from .sweep import record_id, scoped_lookup
 
 NODE_KEY = ["file_id", "seq", "t"]
 
@@ -52,55 +52,7 @@ def spread(origins: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _record_id() -> Column:
-    return F.xxhash64("rec_ns", "name", "rec_seq")
-
-
-EDGES = "file_id long, r int, a long, b long, tid long, line int, guarded boolean, lines array<int>"
-ARRIVALS = "file_id long, rid long, tid long, at int"
-
-
-def earliest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(file_id, rid, tid, at): the earliest arrival of each taint at each record.
-
-    ``seeds`` (file_id, rid, tid, at, line, guarded): taints put on records;
-    ``edges`` (file_id, r, a, b, lines): a read of record a at time r that
-    feeds record b, and the lines passed on the way.  Files are dealt out by
-    id and their rows sorted by time; a task streams them and holds one file's
-    arrivals."""
-    none = F.lit(None)
-    rows = seeds.select("file_id", F.col("at").alias("r"), none.cast("long").alias("a"), F.col("rid").alias("b"), "tid",
-                        "line", "guarded", none.cast("array<int>").alias("lines"))
-    rows = rows.unionByName(edges.select("file_id", "r", "a", "b", none.cast("long").alias("tid"), none.cast("int").alias("line"),
-                                         none.cast("boolean").alias("guarded"), "lines"))
-    # a seed at time r is not seen by a read at time r; seeds come first all the same
-    rows = rows.repartition("file_id").sortWithinPartitions("file_id", "r", F.col("tid").isNull())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file_id", pa.int64()), ("rid", pa.int64()), ("tid", pa.int64()), ("at", pa.int32())])
-        file, held, how = None, {}, {}  # record -> taint -> arrival; taint -> (line, guarded)
-
-        def out() -> pa.RecordBatch:
-            found = [(file, rid, tid, at) for rid, taints in held.items() for tid, at in taints.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["file_id"] != file:
-                    if held:
-                        yield out()
-                    file, held, how = row["file_id"], {}, {}
-                if row["tid"] is not None:
-                    how[row["tid"]] = row["line"], row["guarded"]
-                    held.setdefault(row["b"], {}).setdefault(row["tid"], row["r"])
-                    continue
-                for tid, at in list(held.get(row["a"], {}).items()):
-                    line, guarded = how[tid]
-                    if at < row["r"] and not (guarded and line in row["lines"]):
-                        held.setdefault(row["b"], {}).setdefault(tid, row["r"])
-        if held:
-            yield out()
-
-    return rows.mapInArrow(run, ARRIVALS)
+    return record_id("rec_ns", "name", "rec_seq")
 
 
 def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names: DataFrame,
@@ -134,7 +86,7 @@ def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names:
     # dotted-name records (attribute assignment targets) and their readers
     adefs = fx.assigns.where(F.col("tkind") == "attr").join(
         attr_names.select("file_id", F.col("seq").alias("tattr_seq"), F.col("rname").alias("name")),
-        ["file_id", "tattr_seq"]).select("file_id", "ns", "name", F.col("seq").alias("dseq"), F.lit(False).alias("kill"))
+        ["file_id", "tattr_seq"]).select("file_id", "ns", "name", F.col("seq").alias("dseq"))
     aloads = attr_names.where(F.col("ctx") == "Load").join(fx.attrs.select("file_id", "seq", "ns"), ["file_id", "seq"])
     alook = scoped_lookup(aloads.select("file_id", F.col("seq").alias("useq"), "ns", F.col("rname").alias("name")), adefs)
     to_attr = argt.where(F.col("arg_type") == "Attribute").join(
@@ -185,8 +137,9 @@ def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names:
         F.transform(F.slice("up", 1, F.col("k") + 1), lambda x: x["lines"]))).alias("lines"))
     edges = steps.join(feeds.select("file_id", "seq", _record_id().alias("b")), ["file_id", "seq"]).drop("seq")
     # The reads after a taint's arrival carry it
+    long_files = nodes.where(F.col("seq") >= arrivals.BLOCK).select("file_id").distinct()
     taints = fed.groupBy("file_id", "tid").agg(F.first("t").alias("t"))
-    carried = earliest(edges, seeds).join(readers.select("file_id", _record_id().alias("rid"), "rseq"), ["file_id", "rid"])
+    carried = arrivals.earliest(edges, seeds, long_files).join(readers.select("file_id", _record_id().alias("rid"), "rseq"), ["file_id", "rid"])
     carried = carried.where(F.col("rseq") > F.col("at")).select("file_id", F.col("rseq").alias("seq"), "tid").distinct()
     carried = carried.join(taints, ["file_id", "tid"]).select("file_id", "seq", "t", F.col("seq").alias("at"))
     seen_nodes = spread(origins.unionByName(carried), nodes).groupBy(*NODE_KEY).agg(F.min("at").alias("at"))
