@@ -29,6 +29,9 @@ def taint_struct(id_, acc, typ, function, attribute, position, keyword, lineno,
                       for v, t, n in zip(vals, types, TAINT_FIELDS)])
 
 
+PLACE = ["lineno", "col", "end_lineno", "end_col"]
+
+
 @dataclass
 class Facts:
     nodes: DataFrame
@@ -52,12 +55,13 @@ def split_facts(facts: DataFrame) -> Facts:
         nodes=f.where(k == "node").select("file_id", "seq", "parent", "ntype", "ns", "lineno", "col", "end_lineno",
                                           "end_col", "end_seq", "ctx", "up"),
         names=f.where(k == "name").select("file_id", "seq", "ns", "name", "ctx"),
-        attrs=f.where(k == "attr").select("file_id", "seq", "ns", "ctx", "path",
+        attrs=f.where(k == "attr").select("file_id", "seq", "ns", "ctx", "path", *PLACE,
                                           F.col("ref_seq").alias("base_seq"), F.col("ref_type").alias("base_type")),
-        calls=f.where(k == "call").select("file_id", "seq", "ns", "lineno", F.col("ref_seq").alias("func_seq"),
+        calls=f.where(k == "call").select("file_id", "seq", "ns", *PLACE, F.col("ref_seq").alias("func_seq"),
                                           F.col("ref_type").alias("func_type"), "n_args"),
         args=f.where(k == "arg").select("file_id", F.col("seq").alias("call_seq"), "pos", "keyword",
-                                        F.col("ref_seq").alias("arg_seq"), F.col("ref_type").alias("arg_type")),
+                                        F.col("ref_seq").alias("arg_seq"), F.col("ref_type").alias("arg_type"),
+                                        *[F.col(c).alias(f"arg_{c}") for c in PLACE]),
         consts=f.where(k == "const").select("file_id", "seq", "cval", "cstr"),
         assigns=f.where(k == "assign").select("file_id", "seq", "ns", F.col("name").alias("tname"),
                                               F.col("keyword").alias("tkind"), F.col("pos").alias("tattr_seq"),
@@ -126,14 +130,14 @@ def resolve(fx: Facts) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         rn = (F.when(F.col("base_type") == "Name", F.concat_ws(".", "basen", tail))
                .when((F.col("base_type") == "Call") & F.col("dyn").isNotNull(), F.concat_ws(".", "dyn", tail))
                .otherwise(tail))
-        attr_names = a.select("file_id", "seq", "ctx", rn.alias("rname"))
+        attr_names = a.select("file_id", "seq", "ns", "ctx", *PLACE, rn.alias("rname"))
         # callees
         c = fx.calls.join(ni.select("file_id", F.col("seq").alias("func_seq"), "bare"), ["file_id", "func_seq"], "left")
         c = c.join(attr_names.select("file_id", F.col("seq").alias("func_seq"), F.col("rname").alias("aname")),
                    ["file_id", "func_seq"], "left")
         func = (F.when(F.col("func_type") == "Name", F.col("bare"))
                  .when(F.col("func_type") == "Attribute", F.col("aname")).otherwise(F.lit("")))
-        call_names = c.select("file_id", "seq", "ns", "lineno", "n_args", func.alias("func"))
+        call_names = c.select("file_id", "seq", "ns", *PLACE, "n_args", func.alias("func"))
         # dynamic imports: argument values (constants or constant-valued names)
         imp_calls = call_names.where(F.col("func").isin(*IMPORT_FUNCS, IMPORT_MODULE))
         av = fx.args.withColumnRenamed("call_seq", "seq").join(imp_calls.select("file_id", "seq"), ["file_id", "seq"], "left_semi")

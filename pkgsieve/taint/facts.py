@@ -68,6 +68,10 @@ def _children(node):
                 yield item
 
 
+def _place(node) -> dict:
+    return dict(lineno=node.lineno, col=node.col_offset, end_lineno=node.end_lineno, end_col=node.end_col_offset)
+
+
 class _Walker:
     def __init__(self, file_id: int):
         self.fid = file_id
@@ -162,19 +166,18 @@ class _Walker:
             path.reverse()
             # ref_seq (the chain base) is assigned after the children are visited
             self.emit("attr", seq=s, ns=ns, name=node.attr, ctx=type(node.ctx).__name__, path=path,
-                      ref_type=type(base).__name__)
+                      ref_type=type(base).__name__, **_place(node))
             self._pending.append((len(self.rows) - 1, base))
         elif isinstance(node, ast.Call):
-            self.emit("call", seq=s, ns=ns, ref_type=type(node.func).__name__, n_args=len(node.args),
-                      lineno=node.lineno)
+            self.emit("call", seq=s, ns=ns, ref_type=type(node.func).__name__, n_args=len(node.args), **_place(node))
             self._pending.append((len(self.rows) - 1, node.func))
             self.arguments.update(map(id, [*node.args, *(kw.value for kw in node.keywords)]))
             for i, arg in enumerate(node.args):
-                self.emit("arg", seq=s, pos=i, ref_type=type(arg).__name__)
+                self.emit("arg", seq=s, pos=i, ref_type=type(arg).__name__, **_place(arg))
                 self._pending.append((len(self.rows) - 1, arg))
             for kw in node.keywords:
                 if kw.arg is not None:
-                    self.emit("arg", seq=s, keyword=kw.arg, ref_type=type(kw.value).__name__)
+                    self.emit("arg", seq=s, keyword=kw.arg, ref_type=type(kw.value).__name__, **_place(kw.value))
                     self._pending.append((len(self.rows) - 1, kw.value))
         elif isinstance(node, ast.Constant):
             v = node.value

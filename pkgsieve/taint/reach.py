@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.common import checkpoint_cut
 from . import arrivals
-from .engine import Facts, taint_struct
+from .engine import PLACE, Facts, taint_struct
 from .sweep import record_id, scoped_lookup
 
 NODE_KEY = ["file_id", "seq", "t"]
@@ -35,20 +35,27 @@ def _guarded(t: Column) -> Column:
     return F.coalesce(t["position"] != "ret", F.lit(True)) | t["keyword"].isNotNull()
 
 
-def _stations(up: Column, t: Column) -> Column:
+def _stations(up: Column, line: Column, guarded: Column) -> Column:
     """The stations that a taint passes: all, or for a guarded taint those
     before the first node on the taint's own line."""
-    stop = F.array_position(F.transform(up, lambda x: F.array_contains(x["lines"], t["lineno"])), True).cast("int")
-    return F.when(_guarded(t) & (stop > 0), F.slice(up, 1, stop - 1)).otherwise(up)
+    stop = F.array_position(F.transform(up, lambda x: F.array_contains(x["lines"], line)), True).cast("int")
+    return F.when(guarded & (stop > 0), F.slice(up, 1, stop - 1)).otherwise(up)
 
 
-def spread(origins: DataFrame, nodes: DataFrame) -> DataFrame:
+def _named(rows: DataFrame) -> DataFrame:
+    """Rows with a taint ``t`` plus its number and what guards it."""
+    t = F.col("t")
+    return rows.select("*", F.xxhash64("t").alias("tid"), t["lineno"].alias("line"), _guarded(t).alias("guarded"))
+
+
+def spread(origins: DataFrame) -> DataFrame:
     """X13 + X15: a taint on a node reaches its same-scope ancestors (below
     the module).  A guarded taint (argument position or keyword) does not
-    leave a node on its own line.  ``origins``: file_id, seq, t, at."""
-    o = origins.join(nodes.select("file_id", "seq", "up"), ["file_id", "seq"])
-    anc = o.select("file_id", F.explode(_stations(F.col("up"), F.col("t"))).alias("u"), "t", "at")
-    return o.select("file_id", "seq", "t", "at").unionByName(anc.select("file_id", F.col("u.seq").alias("seq"), "t", "at"))
+    leave a node on its own line.  ``origins``: file_id, seq, tid, line,
+    guarded, at and the node's stations ``up`` (null: none)."""
+    up = F.explode(_stations(F.col("up"), F.col("line"), F.col("guarded"))).alias("u")
+    above = origins.select("file_id", up, "tid", "at").select("file_id", F.col("u.seq").alias("seq"), "tid", "at")
+    return origins.select("file_id", "seq", "tid", "at").unionByName(above)
 
 
 def _record_id() -> Column:
@@ -58,11 +65,10 @@ def _record_id() -> Column:
 def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names: DataFrame,
              specs: DataFrame, pairs: DataFrame, file_paths: DataFrame) -> Scan:
     nodes = fx.nodes
-    pos = nodes.select("file_id", "seq", "lineno", "col", "end_lineno", "end_col")
-    calls = call_names.join(pos.select("file_id", "seq", "col", "end_lineno", "end_col"), ["file_id", "seq"])
+    ups = nodes.where(F.size("up") > 0).select("file_id", "seq", "up")
     # Call x function-taint rules
     ft = specs.where((F.col("role") == "taint") & (F.col("accordance") == "function"))
-    cm = calls.join(ft, calls.func == ft.target)
+    cm = call_names.join(ft, call_names.func == ft.target)
     ct = taint_struct(F.col("rule_id"), "function", F.col("rule_type"), F.col("target"), None, F.col("position"),
                       F.col("keyword"), F.col("lineno"), F.col("col"), F.col("end_lineno"), F.col("end_col"))
     cm = cm.withColumn("t", ct)
@@ -70,84 +76,84 @@ def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names:
     # Attribute reads x attribute-taint rules (position ret only)
     at_rules = specs.where((F.col("role") == "taint") & (F.col("accordance") == "attribute")
                              & (F.col("position") == "ret"))
-    al = attr_names.where(F.col("ctx") == "Load").join(pos, ["file_id", "seq"])
-    am = al.join(at_rules, al.rname == at_rules.target)
+    aloads = attr_names.where(F.col("ctx") == "Load")
+    am = aloads.join(at_rules, aloads.rname == at_rules.target)
     attr_seeds = am.select("file_id", "seq", taint_struct(
         F.col("rule_id"), "attribute", F.col("rule_type"), None, F.col("target"), "ret", None,
         F.col("lineno"), F.col("col"), F.col("end_lineno"), F.col("end_col")).alias("t"), F.col("seq").alias("at"))
     # Argument-position taints -> the variable / dotted name / constant passed (J11 picks the argument)
     argt = cm.where(F.col("position") != "ret")
-    argt = pick_arg(argt, fx.args, F.col("position").cast("int"), F.col("keyword"))
+    argt = checkpoint_cut(pick_arg(argt, fx.args, F.col("position").cast("int"), F.col("keyword")).select(
+        "file_id", "seq", "t", "arg_seq", "arg_type"))
     to_name = argt.where(F.col("arg_type") == "Name").join(
         name_info.select("file_id", F.col("seq").alias("arg_seq"), "rec_ns", F.col("name").alias("rname"),
                          "rec_seq"), ["file_id", "arg_seq"]).where(F.col("rec_seq").isNotNull())
     rec_seed = to_name.select("file_id", "rec_ns", F.col("rname").alias("name"), "rec_seq", "t",
                               F.col("seq").alias("at"))
     # dotted-name records (attribute assignment targets) and their readers
-    adefs = fx.assigns.where(F.col("tkind") == "attr").join(
+    attr_tg = checkpoint_cut(fx.assigns.where(F.col("tkind") == "attr").join(
         attr_names.select("file_id", F.col("seq").alias("tattr_seq"), F.col("rname").alias("name")),
-        ["file_id", "tattr_seq"]).select("file_id", "ns", "name", F.col("seq").alias("dseq"))
-    aloads = attr_names.where(F.col("ctx") == "Load").join(fx.attrs.select("file_id", "seq", "ns"), ["file_id", "seq"])
-    alook = scoped_lookup(aloads.select("file_id", F.col("seq").alias("useq"), "ns", F.col("rname").alias("name")), adefs)
+        ["file_id", "tattr_seq"]).select("file_id", "seq", F.col("ns").alias("rec_ns"), "name", F.col("seq").alias("rec_seq")))
+    alook = scoped_lookup(aloads.select("file_id", F.col("seq").alias("useq"), "ns", F.col("rname").alias("name")),
+                          attr_tg.select("file_id", F.col("rec_ns").alias("ns"), "name", F.col("seq").alias("dseq")))
+    # readers of records: Name loads and dotted Attribute loads, with the stations above them
+    readers = name_info.where(F.col("rec_seq").isNotNull()).select(
+        "file_id", "seq", _record_id().alias("rid"), "rec_ns", "name", "rec_seq").unionByName(
+        alook.select("file_id", F.col("useq").alias("seq"), _record_id().alias("rid"), "rec_ns", "name", "rec_seq"))
+    readers = checkpoint_cut(readers.join(ups, ["file_id", "seq"], "left"))
     to_attr = argt.where(F.col("arg_type") == "Attribute").join(
-        alook.select("file_id", F.col("useq").alias("arg_seq"), "rec_ns", F.col("name").alias("aname"), "rec_seq"),
-        ["file_id", "arg_seq"])
-    rec_seed = rec_seed.unionByName(to_attr.select("file_id", "rec_ns", F.col("aname").alias("name"), "rec_seq", "t",
-                                                   F.col("seq").alias("at")))
+        readers.select("file_id", F.col("seq").alias("arg_seq"), "rec_ns", "name", "rec_seq"), ["file_id", "arg_seq"])
+    rec_seed = rec_seed.unionByName(to_attr.select("file_id", "rec_ns", "name", "rec_seq", "t", F.col("seq").alias("at")))
+    # X11: constants equal to a tainted one, visited after it
     const_taint = argt.where(F.col("arg_type") == "Constant").join(
         fx.consts.select("file_id", F.col("seq").alias("arg_seq"), "cval"), ["file_id", "arg_seq"]).select(
         "file_id", "cval", "t", F.col("seq").alias("at"))
+    const_nodes = fx.consts.select("file_id", F.col("seq").alias("rseq"), "cval")
+    const_origins = const_taint.join(const_nodes, ["file_id", "cval"]).where(F.col("rseq") > F.col("at")).select(
+        "file_id", F.col("rseq").alias("seq"), "t", F.col("rseq").alias("at"))
     # Parameters are records tainted type=input
     par = fx.params.select("file_id", F.col("ns").alias("rec_ns"), "name", F.col("seq").alias("rec_seq"),
                            taint_struct("0000", "type", "input", None, None, None, None, -1, -1, -1, -1).alias("t"),
                            F.col("seq").alias("at"))
     rec_seed = rec_seed.unionByName(par)
 
-    # readers of records: Name loads and dotted Attribute loads
-    readers = name_info.where(F.col("rec_seq").isNotNull()).select(
-        "file_id", F.col("seq").alias("rseq"), "rec_ns", "name", "rec_seq").unionByName(
-        alook.select("file_id", F.col("useq").alias("rseq"), "rec_ns", "name", "rec_seq"))
-    readers = checkpoint_cut(readers)
-    # constant readers (X11): equal typed constants visited after the taint
-    const_nodes = fx.consts.select("file_id", F.col("seq").alias("rseq"), "cval")
-    const_origins = const_taint.join(const_nodes, ["file_id", "cval"]).where(F.col("rseq") > F.col("at")).select(
-        "file_id", F.col("rseq").alias("seq"), "t", F.col("rseq").alias("at"))
-
     # targets fed by a reached node: assignment targets and `with ... as` names
-    sinks_of = fx.assigns.where(F.col("tkind") == "name").select(
+    name_tg = fx.assigns.where(F.col("tkind") == "name").select(
         "file_id", "seq", F.col("ns").alias("rec_ns"), F.col("tname").alias("name"), F.col("seq").alias("rec_seq"))
-    attr_tg = fx.assigns.where(F.col("tkind") == "attr").join(
-        attr_names.select("file_id", F.col("seq").alias("tattr_seq"), F.col("rname").alias("name")),
-        ["file_id", "tattr_seq"]).select("file_id", "seq", F.col("ns").alias("rec_ns"), "name",
-                                         F.col("seq").alias("rec_seq"))
     with_tg = fx.withs.select("file_id", "seq", F.col("ns").alias("rec_ns"), "name", F.col("seq").alias("rec_seq"))
-    feeds = checkpoint_cut(sinks_of.unionByName(attr_tg).unionByName(with_tg).dropDuplicates())
+    feeds = checkpoint_cut(name_tg.unionByName(attr_tg).unionByName(with_tg).select(
+        "file_id", "seq", _record_id().alias("rid")).distinct())
 
-    origins = checkpoint_cut(ret_seeds.unionByName(attr_seeds).unionByName(const_origins))
+    origins = _named(ret_seeds.unionByName(attr_seeds).unionByName(const_origins))
+    origins = checkpoint_cut(origins.join(ups, ["file_id", "seq"], "left"))
+    from_origins = checkpoint_cut(spread(origins))
     # taints put on records: by a marked node below an assignment, by argument, by parameter
-    fed = spread(origins, nodes).join(feeds, ["file_id", "seq"]).select(
-        "file_id", "rec_ns", "name", "rec_seq", "t", "at").unionByName(rec_seed)
-    fed = checkpoint_cut(fed.select("file_id", _record_id().alias("rid"), "t", F.xxhash64("t").alias("tid"), "at"))
-    seeds = fed.groupBy("file_id", "rid", "tid").agg(
-        F.min("at").alias("at"), F.first("t.lineno").alias("line"), F.first(_guarded(F.col("t"))).alias("guarded"))
+    rec_seed = checkpoint_cut(_named(rec_seed.select("file_id", _record_id().alias("rid"), "t", "at")))
+    taints = origins.select("file_id", "tid", "line", "guarded", "t").unionByName(
+        rec_seed.select("file_id", "tid", "line", "guarded", "t"))
+    taints = checkpoint_cut(taints.dropDuplicates(["file_id", "tid"]))
+    how = taints.select("file_id", "tid", "line", "guarded")
+    fed = from_origins.join(feeds, ["file_id", "seq"]).select("file_id", "rid", "tid", "at")
+    seeds = fed.unionByName(rec_seed.select("file_id", "rid", "tid", "at")).groupBy("file_id", "rid", "tid").agg(F.min("at").alias("at"))
+    seeds = seeds.join(how, ["file_id", "tid"])
     # edges: a read, the stations above it, the records these feed
-    steps = readers.join(nodes.select("file_id", F.col("seq").alias("rseq"), "up"), ["file_id", "rseq"])
-    steps = steps.select("file_id", F.col("rseq").alias("r"), _record_id().alias("a"), "up", F.posexplode("up").alias("k", "u"))
+    steps = readers.where("up is not null").select(
+        "file_id", F.col("seq").alias("r"), F.col("rid").alias("a"), "up", F.posexplode("up").alias("k", "u"))
     steps = steps.select("file_id", "r", "a", F.col("u.seq").alias("seq"), F.array_distinct(F.flatten(
         F.transform(F.slice("up", 1, F.col("k") + 1), lambda x: x["lines"]))).alias("lines"))
-    edges = steps.join(feeds.select("file_id", "seq", _record_id().alias("b")), ["file_id", "seq"]).drop("seq")
+    edges = steps.join(feeds.withColumnRenamed("rid", "b"), ["file_id", "seq"]).drop("seq")
     # The reads after a taint's arrival carry it
     long_files = nodes.where(F.col("seq") >= arrivals.BLOCK).select("file_id").distinct()
-    taints = fed.groupBy("file_id", "tid").agg(F.first("t").alias("t"))
-    carried = arrivals.earliest(edges, seeds, long_files).join(readers.select("file_id", _record_id().alias("rid"), "rseq"), ["file_id", "rid"])
-    carried = carried.where(F.col("rseq") > F.col("at")).select("file_id", F.col("rseq").alias("seq"), "tid").distinct()
-    carried = carried.join(taints, ["file_id", "tid"]).select("file_id", "seq", "t", F.col("seq").alias("at"))
-    seen_nodes = spread(origins.unionByName(carried), nodes).groupBy(*NODE_KEY).agg(F.min("at").alias("at"))
-    seen_nodes = checkpoint_cut(seen_nodes)
+    carried = arrivals.earliest(edges, seeds, long_files).join(readers.select("file_id", "rid", "seq", "up"), ["file_id", "rid"])
+    carried = carried.where(F.col("seq") > F.col("at")).select("file_id", "seq", "tid", "up", F.col("seq").alias("at"))
+    reached = from_origins.unionByName(spread(carried.join(how, ["file_id", "tid"])))
+    reached = checkpoint_cut(reached.groupBy("file_id", "seq", "tid").agg(F.min("at").alias("at")))
+    named = taints.select("file_id", "tid", "t")
+    seen_nodes = reached.join(named, ["file_id", "tid"]).select(*NODE_KEY, "at")
 
     # Sinks on calls
     st = specs.where((F.col("role") == "sink") & (F.col("accordance") == "function"))
-    sm = calls.join(st, calls.func == st.target)
+    sm = call_names.join(st, call_names.func == st.target)
     sm = sm.withColumn("s", F.struct(
         F.col("rule_id").alias("id"), F.lit("function").alias("accordance"), F.col("target").alias("function"),
         F.col("rule_type").alias("type"), F.col("position").cast("int").alias("position"),
@@ -155,8 +161,9 @@ def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names:
         F.col("col").cast("int").alias("col_offset"), F.col("end_lineno").cast("int").alias("end_lineno"),
         F.col("end_col").cast("int").alias("end_col_offset")))
     sinks = sm.select("file_id", "seq", "s", "n_args")
+    sink_args = checkpoint_cut(pick_arg(sinks, fx.args, F.col("s.position"), F.col("s.keyword")).drop("n_args"))
 
-    issues = find_issues(sinks, fx, seen_nodes, pos, pairs, file_paths)
+    issues = find_issues(sink_args, reached, named, pairs, file_paths)
     sources = cm.select("file_id", "seq", "t").unionByName(attr_seeds.select("file_id", "seq", "t"))
     landed = argt.join(name_info.select("file_id", F.col("seq").alias("arg_seq"), F.col("name").alias("n_name")),
                        ["file_id", "arg_seq"], "left") \
@@ -166,25 +173,18 @@ def run_scan(fx: Facts, name_info: DataFrame, attr_names: DataFrame, call_names:
               ["file_id", "arg_seq"], "left")
     arg_taints = landed.select("file_id", "seq", "t", "arg_seq", "arg_type",
                                F.coalesce("n_name", "a_name", "c_val").alias("target"))
-    sink_args = pick_arg(sinks, fx.args, F.col("s.position"), F.col("s.keyword")).select(
-        "file_id", "seq", "s", "arg_seq", "arg_type")
-    return Scan(sources, seen_nodes, sinks.select("file_id", "seq", "s"), issues, arg_taints, sink_args)
+    return Scan(sources, seen_nodes, sinks.select("file_id", "seq", "s"), issues, arg_taints,
+                sink_args.select("file_id", "seq", "s", "arg_seq", "arg_type"))
 
 
 def pick_arg(calls: DataFrame, args: DataFrame, position: Column, keyword: Column) -> DataFrame:
-    """The positional argument if enough positional arguments exist,
-    else the keyword argument (two left joins + coalesce)."""
+    """``calls`` with the argument (``arg_*``) at ``position`` if enough
+    positional arguments exist, else the one named ``keyword``; no row if neither."""
     c = calls.withColumn("__p", position).withColumn("__k", keyword)
-    a1 = args.select("file_id", F.col("call_seq").alias("seq"), F.col("pos").alias("__p"),
-                     F.col("arg_seq").alias("p_seq"), F.col("arg_type").alias("p_type"))
-    a2 = args.where(F.col("keyword").isNotNull()).select(
-        "file_id", F.col("call_seq").alias("seq"), F.col("keyword").alias("__k"),
-        F.col("arg_seq").alias("k_seq"), F.col("arg_type").alias("k_type"))
-    j = c.join(a1, ["file_id", "seq", "__p"], "left").join(a2, ["file_id", "seq", "__k"], "left")
-    use_pos = F.col("__p").isNotNull() & (F.col("n_args") > F.col("__p"))
-    j = j.withColumn("arg_seq", F.when(use_pos, F.col("p_seq")).otherwise(F.col("k_seq"))) \
-         .withColumn("arg_type", F.when(use_pos, F.col("p_type")).otherwise(F.col("k_type")))
-    return j.where(F.col("arg_seq").isNotNull()).drop("__p", "__k", "p_seq", "p_type", "k_seq", "k_type")
+    a = args.withColumnsRenamed({"call_seq": "seq", "pos": "__pos", "keyword": "__keyword"})
+    by_place = F.coalesce(F.col("n_args") > F.col("__p"), F.lit(False))
+    wanted = F.when(by_place, F.col("__pos") == F.col("__p")).otherwise(F.col("__keyword") == F.col("__k"))
+    return c.join(a, ["file_id", "seq"]).where(wanted & F.col("arg_seq").isNotNull()).drop("__p", "__k", "__pos", "__keyword")
 
 
 def _field(st: Column, acc: Column) -> Column:
@@ -197,19 +197,16 @@ def _keys(st: Column, prefix: str, *fields: str) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(f).alias(f"{prefix}_accordance"), st[f].alias(f"{prefix}_key")) for f in fields]))
 
 
-def find_issues(sinks: DataFrame, fx: Facts, node_taints: DataFrame, pos: DataFrame, pairs: DataFrame,
-                file_paths: DataFrame) -> DataFrame:
+def find_issues(sink_args: DataFrame, reached: DataFrame, named: DataFrame, pairs: DataFrame, file_paths: DataFrame) -> DataFrame:
     """J10 + X16 + F10 + F11 + A6: sink argument x its taints x detection rules."""
-    s = pick_arg(sinks, fx.args, F.col("s.position"), F.col("s.keyword"))
-    sp = s.select("*", _keys(F.col("s"), "s", "id", "type", "function").alias("k")).select("*", "k.*").drop("k")
+    sp = sink_args.select("file_id", "arg_seq", "s", _keys(F.col("s"), "s", "id", "type", "function").alias("k")).select("*", "k.*").drop("k")
     sp = sp.join(pairs, ["s_accordance", "s_key"])
     # taints on the argument node, plus its own '*' taint (never materialised elsewhere)
-    nt = node_taints.select("file_id", F.col("seq").alias("arg_seq"), "t")
-    star = pos.select("file_id", F.col("seq").alias("arg_seq"), taint_struct(
-        "0000", "type", "*", None, None, None, None, F.coalesce("lineno", F.lit(-1)),
-        F.coalesce("col", F.lit(-1)), F.coalesce("end_lineno", F.lit(-1)), F.coalesce("end_col", F.lit(-1))).alias("t"))
-    star = star.join(s.select("file_id", "arg_seq").distinct(), ["file_id", "arg_seq"], "left_semi")
-    taints = nt.join(s.select("file_id", "arg_seq").distinct(), ["file_id", "arg_seq"], "left_semi").unionByName(star)
+    place = [F.coalesce(f"arg_{c}", F.lit(-1)) for c in PLACE]
+    star = taint_struct("0000", "type", "*", None, None, None, None, *place).alias("t")
+    asked = sink_args.select("file_id", "arg_seq", star).distinct()
+    nt = reached.withColumnRenamed("seq", "arg_seq").join(asked.select("file_id", "arg_seq"), ["file_id", "arg_seq"], "left_semi")
+    taints = nt.join(named, ["file_id", "tid"]).select("file_id", "arg_seq", "t").unionByName(asked)
     taints = taints.select("*", _keys(F.col("t"), "t", "id", "type", "function", "attribute").alias("k")).select("*", "k.*").drop("k")
     j = sp.join(taints, ["file_id", "arg_seq", "t_accordance", "t_key"])
     t = F.col("t")
