@@ -1,11 +1,15 @@
 """Queue and sink queries: J13, T1, T2, W8, P4-P7, S16-S18, A7."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import tables as T
 from ..operators import queues as Qu
 from ..operators import sinks as Si
+from ..operators.keyed import KeyedTable
+from ..session import ensure_checkpoint_dir
 from .registry import register
 
 # Scan settings of the queue queries (the monitor's CLI defaults are -1/tgz;
@@ -120,6 +124,11 @@ def _reports(spark, sf):
     return _rf(spark, sf).withColumn("filename", F.expr(_REPORT)).select(*_FILE_COLS)
 
 
+def _results_table(spark, rf, buckets=16):
+    """An empty keyed table of reports in the shared folder."""
+    return KeyedTable(spark, f"{ensure_checkpoint_dir(spark)}/keyed/{uuid.uuid4().hex}", rf.schema, ["filename"], buckets)
+
+
 @register("insert_ignore", T.with_ctes(f"""
 select {_REPORT} as filename, project, version, last_serial, idx from release_files
 qualify row_number() over (partition by {_REPORT} order by last_serial, idx) = 1
@@ -131,9 +140,10 @@ def insert_ignore(spark, sf):
     h = _hwm(rf)
     earlier = rf.join(h, rf.last_serial <= h.hwm).select(*_FILE_COLS)
     later = rf.join(h, rf.last_serial > h.hwm).select(*_FILE_COLS)
-    empty = rf.where(F.lit(False))
-    target = Si.insert_ignore(empty, earlier, ["filename"], ["last_serial", "idx"])
-    return Si.insert_ignore(target, later, ["filename"], ["last_serial", "idx"])
+    table = _results_table(spark, rf)
+    table.insert_ignore(0, earlier, ["last_serial", "idx"])
+    table.insert_ignore(1, later, ["last_serial", "idx"])
+    return table.rows()
 
 
 @register("upsert_results", T.with_ctes(f"""
@@ -146,8 +156,10 @@ def upsert_results(spark, sf):
     h = _hwm(rf)
     earlier = rf.join(h, rf.last_serial <= h.hwm).select(*_FILE_COLS)
     later = rf.join(h, rf.last_serial > h.hwm).select(*_FILE_COLS)
-    target = Si.upsert(rf.where(F.lit(False)), earlier, ["filename"], ["last_serial", "idx"])
-    return Si.upsert(target, later, ["filename"], ["last_serial", "idx"])
+    table = _results_table(spark, rf)
+    table.upsert(0, earlier, ["last_serial", "idx"])
+    table.upsert(1, later, ["last_serial", "idx"])
+    return table.rows()
 
 
 @register("upsert_private", T.with_ctes("""
@@ -160,12 +172,14 @@ select name, versions from (
 """, "candidates", "private"))
 def upsert_private(spark, sf):
     """Private package list keyed by name; a new list overwrites."""
-    target = T.derived(spark, sf, "private").groupBy("name").agg(F.lit("1.0").alias("versions"))
+    target = T.derived(spark, sf, "private").select("name", F.lit("1.0").alias("versions"), F.lit(None).cast("long").alias("c_custkey"))
     c = T.derived(spark, sf, "candidates").where(F.col("c_custkey") % 19 == 0)
     new = c.select(F.col("project").alias("name"),
                    F.concat(F.lit("2."), (F.col("c_custkey") % 7).cast("string")).alias("versions"), "c_custkey")
-    out = Si.upsert(target.withColumn("c_custkey", F.lit(None).cast("long")), new, ["name"], ["c_custkey"])
-    return out.select("name", "versions")
+    table = KeyedTable(spark, f"{ensure_checkpoint_dir(spark)}/keyed/{uuid.uuid4().hex}", target.schema, ["name"], 16)
+    table.upsert(0, target, ["c_custkey"])
+    table.upsert(1, new, ["c_custkey"])
+    return table.rows().select("name", "versions")
 
 
 @register("release_analyzed", T.with_ctes(f"""
@@ -185,4 +199,9 @@ def release_analyzed(spark, sf):
     rel = rf.select("project", "version").distinct()
     adds = rf.join(h, (rf.last_serial <= h.hwm) & rf.filename.endswith(".tar.gz")).select(
         "project", "version", "filename")
-    return Si.set_add_rows(rel, adds, ["project", "version"], "filename", flag="analyzed")
+    key = ["project", "version", "filename"]
+    table = KeyedTable(spark, f"{ensure_checkpoint_dir(spark)}/keyed/{uuid.uuid4().hex}", adds.schema, key, 16)
+    # two runs, the second of which analyses some archives again
+    table.add(0, adds.where(F.xxhash64("filename") % 3 != 0))
+    table.add(1, adds.where(F.xxhash64("filename") % 2 == 0).unionByName(adds.where(F.xxhash64("filename") % 3 == 0)))
+    return Si.set_add_rows(rel, table.rows(), ["project", "version"], "filename", flag="analyzed")

@@ -13,9 +13,12 @@ operators on it and merges their results into the state tables:
 * members: owners and maintainers of live incarnations (W4);
 * closed incarnations and their members, appended by the batch that closes them.
 
-A batch reads the tables of the batch before it and writes its own, keyed by
-batch id, overwriting: a replayed batch leaves the same tables, and batches
-are read in the order of their ids.  Rows up to the last handled serial have
+Projects and members are keyed tables (``operators/keyed.py``): a batch reads
+the buckets of the projects it touches and writes the rows of those projects
+alone, so what it writes follows the batch and not the number of projects.
+A batch starts from the tables of the batch before it and writes under its own
+id, overwriting: a replayed batch leaves the same tables, and batches are read
+in the order of their ids.  Rows up to the last handled serial have
 been handled (the poll asks for later ones) and are skipped.  No table is
 written by one task, and a busy project is split by the blocked prefix scans
 like in the batch operators.  All paths lie under the shared checkpoint folder.
@@ -31,6 +34,7 @@ from pyspark.sql import types as T
 from ..operators import changelog as C
 from ..operators.common import checkpoint_cut
 from ..operators.folds import DEFAULT_BLOCK
+from ..operators.keyed import KeyedTable
 from ..session import ensure_checkpoint_dir
 
 FEED_SCHEMA = T.StructType([
@@ -49,12 +53,14 @@ class FeedMonitor:
     """Incremental feed ingestion; see the module's text for its tables."""
 
     def __init__(self, spark: SparkSession, project_meta: DataFrame, release_meta: DataFrame,
-                 root: str | None = None, block: int = DEFAULT_BLOCK):
+                 root: str | None = None, block: int = DEFAULT_BLOCK, buckets: int = 16):
         self.spark = spark
         self.root = root or f"{ensure_checkpoint_dir(spark)}/monitor-{uuid.uuid4().hex[:8]}"
         self.pm = project_meta
         self.rm = release_meta
         self.block = block
+        self.projects = KeyedTable(spark, f"{self.root}/projects", PROJECTS, ["project"], buckets)
+        self.members_now = KeyedTable(spark, f"{self.root}/members", MEMBERS, ["project"], buckets)
 
     def _path(self, table: str, bid: int) -> str:
         return f"{self.root}/{table}/batch_id={bid}"
@@ -98,8 +104,8 @@ class FeedMonitor:
 
     def _merge_state(self, ev: DataFrame, bid: int) -> None:
         """W2 and W4 on this batch's events, continuing the live incarnations."""
-        projects = self._prior("projects", PROJECTS, bid)
-        touched = projects.join(ev.select("project").distinct(), "project", "left_semi")
+        names = checkpoint_cut(ev.select("project").distinct())
+        touched = checkpoint_cut(self.projects.rows(names, bid - 1))
         reopened = touched.where("live").select(
             "project", F.col("open_serial").alias("serial"), F.col("open_ts").alias("ts_s"), F.col("opened_by").alias("kind"),
             F.lit(True).alias("project_found"), F.lit(True).alias("refresh"))
@@ -111,16 +117,17 @@ class FeedMonitor:
         inc = checkpoint_cut(inc)
         newest = inc.groupBy("project").agg(F.max("incarnation").alias("n"), F.max_by(
             F.struct("live", "open_serial", "opened_by", "open_ts"), "incarnation").alias("x")).select("project", "n", "x.*")
-        self._write(projects.join(newest, "project", "left_anti").unionByName(newest), "projects", bid)
+        self.projects.commit(bid, newest)
         closed = self._write(inc.where(~F.col("live")), "closed", bid)
 
         moves = checkpoint_cut(C.role_moves(ev, inc, self.block))
         pulled = moves.where("sign < 0").select(*C.MEMBER_KEY).distinct()
-        now = self._prior("members", MEMBERS, bid).join(pulled, C.MEMBER_KEY, "left_anti").unionByName(C.members(moves)).distinct()
+        prior = self.members_now.rows(names, bid - 1)
+        now = prior.join(pulled, C.MEMBER_KEY, "left_anti").unionByName(C.members(moves)).distinct()
         now = checkpoint_cut(now)
         gone = closed.select("project", "incarnation")
         self._write(now.join(gone, ["project", "incarnation"], "left_semi"), "closed_members", bid)
-        self._write(now.join(gone, ["project", "incarnation"], "left_anti"), "members", bid)
+        self.members_now.commit(bid, now.join(gone, ["project", "incarnation"], "left_anti"), touched=names)
 
     def start(self, feed_path: str, poll: str | None = None):
         """Start the ingestion query.  ``poll=None`` handles what is there
@@ -139,21 +146,16 @@ class FeedMonitor:
     def _all(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}")
 
-    def _latest(self, table: str) -> DataFrame:
-        """The table of the last batch."""
-        last = self._all("carry").agg(F.max("batch_id")).first()[0]
-        return self.spark.read.parquet(self._path(table, last))
-
     def events(self) -> DataFrame:
         return self._all("events").drop("batch_id")
 
     def incarnations(self) -> DataFrame:
         none = F.lit(None).cast("long")
-        live = self._latest("projects").where("live").select(
+        live = self.projects.rows().where("live").select(
             "project", F.col("n").alias("incarnation"), "open_serial", "opened_by", "open_ts",
             none.alias("close_serial"), none.alias("close_ts"), "live")
         columns = [c.split(" ")[0] for c in INCARNATIONS.split(", ")]
         return self._all("closed").select(*columns).unionByName(live)
 
     def members(self) -> DataFrame:
-        return self._all("closed_members").select(*C.MEMBER_KEY).unionByName(self._latest("members"))
+        return self._all("closed_members").select(*C.MEMBER_KEY).unionByName(self.members_now.rows())
