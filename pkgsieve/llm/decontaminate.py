@@ -13,13 +13,14 @@ The items are queries against all documents, taken in blocks of a fixed size
 (``BLOCK_CHARS``), one pass over the documents per block; a block is all that
 a task holds besides its rows.
 
-Defined cases: a null text matches nothing; every item but a blank one is
-searched; one shorter than ``min_chars`` must occur verbatim (without the space
-around it) between word boundaries, and a bare word, which would match nearly
-every text, must be the whole text; of several occurrences of an item in a text
-the one with the smallest distance, then the first, is told; equal rows are
-told apart by nothing and each gets its rows; empty tables give no matches.
-Extra columns are left alone.
+Defined cases: a null or empty text matches nothing; every item but a blank
+one is searched, without the space around it, with the same share of edits;
+one too short to be allowed any (under 13 characters at 8 %) must stand
+between word boundaries; with ``whole_words`` (off) such an item that is a
+single word must be the whole text; texts of any length are searched whole; of
+several occurrences of an item in a text the one with the smallest distance,
+then the first, is told; equal rows are told apart by nothing and each gets
+its rows; empty tables give no matches.  Extra columns are left alone.
 """
 from __future__ import annotations
 
@@ -38,7 +39,6 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from .common import fresh
 
 PERCENT = 8
-MIN_CHARS = 24
 BLOCK_CHARS = 1 << 20
 _FOLD = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\x0b\f\r", b"     "))
 # Fixed value: the letters of the scripts written without spaces (Thai, Lao,
@@ -132,11 +132,10 @@ class Match:
 class Matcher:
     """The pieces of a block of items (already folded), ready to be searched."""
 
-    def __init__(self, items: list[str], percent: int = PERCENT, min_chars: int = MIN_CHARS):
-        self.short = [len(t.strip()) < min_chars for t in items]
-        self.items = [t.strip() if short else t for t, short in zip(items, self.short)]
-        self.bare = [short and bare_word(t) for t, short in zip(self.items, self.short)]
-        self.budget = [0 if short else len(t) * percent // 100 for t, short in zip(self.items, self.short)]
+    def __init__(self, items: list[str], percent: int = PERCENT, whole_words: bool = False):
+        self.items = [t.strip() for t in items]
+        self.budget = [len(t) * percent // 100 for t in self.items]
+        self.alone = [whole_words and not k and bare_word(t) for t, k in zip(self.items, self.budget)]
         owners: dict[str, list[tuple[int, int]]] = {}
         for k, t in enumerate(self.items):
             if not t:
@@ -155,13 +154,13 @@ class Matcher:
         if self.empty:
             return
         windows: dict[int, list[list[int]]] = {}
-        exact: dict[int, int] = {}  # start of the first occurrence of a short item
+        exact: dict[int, int] = {}  # start of the first occurrence of an item without budget
         whole = text.strip()
         for end, (length, owned) in self.automaton.iter(text):
             for k, at in owned:
-                if self.short[k]:
+                if not self.budget[k]:
                     start = end + 1 - length
-                    if k not in exact and (whole == self.items[k] if self.bare[k]
+                    if k not in exact and (whole == self.items[k] if self.alone[k]
                                            else boundary(text, start) and boundary(text, end + 1)):
                         exact[k] = start
                     continue
@@ -201,7 +200,7 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[object, s
         yield [(r["item_id"], join(fold(r["text"].encode()))) for r in sorted(part, key=repr)]
 
 
-def _match_udf(block: list[tuple[object, str]], item_type, percent: int, min_chars: int):
+def _match_udf(block: list[tuple[object, str]], item_type, percent: int, whole_words: bool):
     """Arrow UDF text -> matches of the block's items."""
     kind = ArrayType(StructType([StructField("item_id", item_type), StructField("distance", LongType()),
                                  StructField("start", LongType()), StructField("end", LongType())]))
@@ -213,7 +212,7 @@ def _match_udf(block: list[tuple[object, str]], item_type, percent: int, min_cha
         from pyspark.sql.pandas.types import to_arrow_type
 
         if not held:
-            held.append(Matcher(texts, percent, min_chars))
+            held.append(Matcher(texts, percent, whole_words))
         folded = (fold(t.as_buffer().to_pybytes()) if t.is_valid else "" for t in column)
         found = [[{"item_id": ids[m.item], "distance": m.distance, "start": m.start, "end": m.end}
                   for m in places(t, list(held[0].matches(join(t))))] for t in folded]
@@ -222,14 +221,14 @@ def _match_udf(block: list[tuple[object, str]], item_type, percent: int, min_cha
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_chars: int = MIN_CHARS,
+def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, whole_words: bool = False,
           block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, start, end): the best occurrence of every
     item in every document (doc_id, text) that holds it."""
     kind = items.schema["item_id"].dataType
     out = None
     for block in _blocks(items, block_chars):
-        run = _match_udf(block, kind, percent, min_chars)
+        run = _match_udf(block, kind, percent, whole_words)
         part = docs.select("doc_id", F.explode(run("text")).alias("m")).select("doc_id", "m.*")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -239,12 +238,12 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_chars:
     return out
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_chars: int = MIN_CHARS,
+def drop_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, whole_words: bool = False,
                block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
     kind = items.schema["item_id"].dataType
     hits = fresh(docs, "__hits")[0]
     for block in _blocks(items, block_chars):
-        run = _match_udf(block, kind, percent, min_chars)
+        run = _match_udf(block, kind, percent, whole_words)
         docs = docs.withColumn(hits, F.size(run("text"))).where(F.col(hits) == 0).drop(hits)
     return docs

@@ -17,8 +17,8 @@ def items(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
-ITEM = "Which of these rivers flows through the old town before it meets the northern sea at dawn and why does it do so? "
-OTHER = "Name the smallest prime number greater than one hundred and prove that your answer is right in three steps. "
+ITEM = "Which of these rivers flows through the old town before it meets the northern sea at dawn and why does it do so?"
+OTHER = "Name the smallest prime number greater than one hundred and prove that your answer is right in three steps."
 
 
 def test_myers_equals_dynamic_programming():
@@ -31,7 +31,7 @@ def test_myers_equals_dynamic_programming():
 
 def test_matcher_equals_brute_force():
     rnd = random.Random(3)
-    texts = [D.fold(t.encode()) for t in (ITEM, OTHER, ITEM[:40])]
+    texts = [D.fold(t.encode()) for t in (ITEM, OTHER, ITEM[:40].strip())]
     m = D.Matcher(texts)
     for n in range(40):
         k = rnd.randrange(3)
@@ -59,7 +59,7 @@ def test_leaks_spans_blocks_and_edges(spark):
         (53, ITEM.replace(" ", "\n") + OTHER, "en", "s", 1),
         (53, ITEM.replace(" ", "\n") + OTHER, "en", "s", 1),
     ]
-    bench = items(spark, [(1, ITEM), (2, OTHER), (2, OTHER), (3, None), (4, ""), (5, "the"), (None, ITEM)])
+    bench = items(spark, [(1, ITEM), (2, OTHER), (2, OTHER), (3, None), (4, ""), (5, "they"), (None, ITEM)])
     for block in (1 << 20, 130):  # one block of items, several blocks
         got = D.leaks(docs(spark, rows), bench, block_chars=block).collect()
         assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=repr) == sorted(
@@ -72,16 +72,43 @@ def test_leaks_spans_blocks_and_edges(spark):
         assert sorted((repr(r["doc_id"]) for r in left.collect())) == sorted(repr(r[0]) for r in rows if r[0] not in (50, 51, 53))
 
 
-def test_short_items_are_found_between_word_boundaries(spark):
+def test_items_of_every_length_equal_brute_force():
+    """5 to 40 characters: the same share of edits for all; none allowed: between word boundaries."""
+    rnd = random.Random(11)
+    words = ["who", "wrote", "hamlet", "photosynthesis", "cell", "in", "a", "sea", "of", "stars", "x-ray"]
+    cut = [" ".join(rnd.choice(words) for _ in range(9))[:n].strip() for n in range(5, 41)] + ["photosynthesis", "who wrote hamlet"]
+    m = D.Matcher(cut)
+    assert m.budget == [len(t) * 8 // 100 for t in cut] and max(m.budget) >= 3
+    hits = 0
+    for _ in range(400):
+        i = rnd.randrange(len(cut))
+        noise = "".join(rnd.choice("etaoin shr.") for _ in range(rnd.randint(0, 30)))
+        text = noise + rnd.choice(["", " ", ". "]) + edited(rnd, cut[i], rnd.randint(0, m.budget[i] + 1)) + rnd.choice(["", " ", "s", "!"]) + noise
+        got = {x.item: x for x in m.matches(text)}
+        for k, item in enumerate(cut):
+            if m.budget[k]:
+                assert (k in got) == (edit_distance_in(item, text) <= m.budget[k])
+            else:
+                at = [p for p in range(len(text)) if text.startswith(item, p) and D.boundary(text, p) and D.boundary(text, p + len(item))]
+                assert (k in got) == bool(at) and (not at or got[k].start == at[0])
+            hits += k in got
+    assert hits > 200
+
+
+def test_short_items_are_found(spark):
     bench = items(spark, [(1, "Who wrote Hamlet? "), (2, "日本的首都是哪里？"), (3, "cat sat"), (4, "Hamlet"), (5, "  \n"),
-                          (6, "東京は日本の首都"), (7, " " * 40)])
+                          (6, "東京は日本の首都"), (7, " " * 40), (8, "photosynthesis")])
     rows = [(k, text, "en", "s", 1) for k, text in enumerate([
         "Quiz: WHO WROTE\nHAMLET? Shakespeare.", "请问日本的首都是哪里？东京。", "The concat sat; a cat sat.", "a cat satin, tomcat sat",
-        "cat sat\u0301 here", "the play Hamlet", " hamlet\n", "昔から東京は日本の首都である", " " * 90])]
+        "cat sat\u0301 here", "the play Hamlet", " hamlet\n", "昔から東京は日本の首都である", " " * 90,
+        "Q: name the process. Photosynthesis.", "who wrote hamIet?", "Photosyntesis, they say", "hamlets"])]
     got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start"], r["end"]) for r in D.leaks(docs(spark, rows), bench).collect()}
-    assert got == {(0, 1): (0, 6, 23), (1, 2): (0, 2, 11), (2, 3): (0, 18, 25), (6, 4): (0, 1, 7), (7, 6): (0, 3, 11)}
+    assert got == {(0, 1): (0, 6, 23), (0, 4): (0, 16, 22), (1, 2): (0, 2, 11), (2, 3): (0, 18, 25), (5, 4): (0, 9, 15),
+                   (6, 4): (0, 1, 7), (7, 6): (0, 3, 11), (9, 8): (0, 21, 35), (10, 1): (1, 0, 17), (11, 8): (1, 0, 13)}
     left = D.drop_leaks(docs(spark, rows), bench)
-    assert sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5, 8]
+    assert sorted(r["doc_id"] for r in left.collect()) == [3, 4, 8, 12]
+    alone = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs(spark, rows), bench, whole_words=True).collect()}
+    assert alone == set(got) - {(0, 4), (5, 4)}  # a single word must then be the whole text
 
 
 def test_runs_of_white_space_count_as_one_blank(spark):
@@ -113,7 +140,7 @@ def test_query_equals_brute_force(spark):
 
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in QUERIES["op2_edit_decontaminate"](spark, SF_SMALL).collect()}
     texts = {r["doc_id"]: D.fold((r["text"] or "").encode()) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
-    bench = {r["item_id"]: D.fold(r["text"].encode()) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()}
+    bench = {r["item_id"]: D.fold(r["text"].encode()).strip() for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()}
     want = {(d, i): 0 for d, t in texts.items() for i, x in bench.items() if x in t}
     assert want.items() <= got.items()
     for d, i in list(got.keys() - want.keys())[:20]:
