@@ -58,6 +58,22 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
+def give_way(df: DataFrame, *results: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``df`` with its own columns that are named like a result column (in any
+    case of letters) renamed to a free name, ``<name>_1`` or the next; those in
+    ``keep``, which the operator reads, may not be among them."""
+    taken = {r.lower() for r in results}
+    if bad := [c for c in keep if c.lower() in taken]:
+        raise ValueError(f"column {bad[0]} is read and has the name of a result")
+    names, used = {}, {c.lower() for c in df.columns} | taken
+    for c in df.columns:
+        if c.lower() in taken:
+            i = next(i for i in range(1, len(used) + 2) if f"{c}_{i}".lower() not in used)
+            names[c] = f"{c}_{i}"
+            used.add(names[c].lower())
+    return df.withColumnsRenamed(names)
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for a null text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

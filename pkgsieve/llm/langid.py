@@ -7,29 +7,35 @@ character 1- to 3-grams of the words per language, and the share of its
 letters in each script.  A word's score for a language is the mean-damped log
 probability of its grams.
 
-Text: a word's script (of its first letter) leaves the languages written in
-it as candidates.  Viterbi finds the best sequence of languages over the
-words, where a change of language costs ``SWITCH``; the words between changes
-are a span.  The text's language is the one with the most letters, its score
-the share of them.
-
-Defined cases: a text that is null or has no letter is ``und`` with score 0;
-words without a letter take the language around them and count no letters; a
-script that no training text has leaves all languages as candidates; ties go
-to the first language by code point; without any labelled document every text
-is ``und``; equal rows get equal results; long texts are read whole.
+Text: a piece is a word, cut where the script of its letters changes, and runs
+of scripts written without spaces cut after ``UNSPACED_LETTERS`` letters.  Its
+script leaves the languages written in it as candidates, all others are out.
+Viterbi finds the best sequence of languages over the pieces, where a change
+of language costs ``SWITCH``; the pieces between changes are a span.  The
+text's language is the one with the most letters, its score the share of them.
+
+Defined cases: a text that is null or has no letter is ``und`` with score 0 and
+no span; pieces without a letter take the language around them and count no
+letters; a script that no training text has leaves all languages as
+candidates; ties go to the first language by code point; without any labelled
+document every text is ``und``; equal rows get equal results; long texts are
+read whole; an empty table gives an empty result; columns named like a result
+column are kept under a new name (``give_way``), others are left alone.
 """
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_way
 from .textops import PIECE
 
 DOCS_PER_LANG = 2000
@@ -38,7 +44,8 @@ GRAMS = 3
 SMOOTH = 0.5
 DAMP = 0.5
 SWITCH = 8.0
-OUTSIDE = -30.0
+OUTSIDE = -np.inf
+UNSPACED_LETTERS = 2
 MIN_SCRIPT_SHARE = 0.01
 GROUP_CHARS = 1 << 23
 CACHED_WORDS = 400_000
@@ -76,6 +83,52 @@ def script_table() -> np.ndarray:
     return _TABLE[0]
 
 
+# The scripts written without spaces.
+UNSPACED = ("Thai", "Kana", "Han")
+# letters beyond Latin start at U+0250; U+2000 to U+2BFF are punctuation and symbols
+_OTHER = re.compile("[\u0250-\u1dff\u1f00-\u1fff\u2c00-\U0010ffff]")
+
+
+def lower(text: str) -> str:
+    """``text`` in lower case, as many characters as before."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+@lru_cache(maxsize=1 << 16)
+def cut_word(word: str) -> tuple[str, ...]:
+    """The pieces of a word of more than Latin letters."""
+    table, unspaced = script_table(), {1 + list(SCRIPTS).index(s) for s in UNSPACED}
+    out, start, now, letters = [], 0, 0, 0
+    for i, c in enumerate(word):
+        script = int(table[ord(c)])
+        if not script:
+            continue
+        if now and (script != now or now in unspaced and letters >= UNSPACED_LETTERS):
+            out.append(word[start:i])
+            start, letters = i, 0
+        now, letters = script, letters + 1
+    return (*out, word[start:])
+
+
+def pieces(text: str) -> list[str]:
+    words = text.split()
+    if not _OTHER.search(text):
+        return words
+    return [p for w in words for p in (cut_word(w) if _OTHER.search(w) else (w,))]
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Start and end of the pieces of a text."""
+    out = []
+    for m in re.finditer(r"\S+", text):
+        at = m.start()
+        for p in pieces(m.group()):
+            out.append((at, at + len(p)))
+            at += len(p)
+    return out
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -138,7 +191,7 @@ def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
         slots = BUCKETS + len(SCRIPTS) + 2
         for batch in batches:
             for lang, text in zip(*batch.columns):
-                g = grams(text.as_py().lower().split())
+                g = grams(pieces(lower(text.as_py())))
                 inside = g.bucket[g.bucket < BUCKETS]
                 counts = held.setdefault(lang.as_py(), np.zeros(slots, dtype=np.int64))
                 counts[:BUCKETS] += np.bincount(inside, minlength=BUCKETS)
@@ -185,8 +238,8 @@ class WordScores:
         self.letters = np.zeros(1 << 12, dtype=np.int64)
 
     def rows(self, texts: list[str]) -> list[np.ndarray]:
-        """The rows of the words of each text."""
-        split = [t.lower().split() for t in texts]
+        """The rows of the pieces of each text."""
+        split = [pieces(lower(t)) for t in texts]
         new = list({w for words in split for w in words if w not in self.place})
         for a in range(0, len(new), 1 << 15):
             self._add(new[a:a + (1 << 15)])
@@ -243,33 +296,46 @@ def viterbi(scores: np.ndarray, words: list[np.ndarray], switch: float = SWITCH)
     return out
 
 
-def spans(model: Model, text: str) -> list[tuple[str, list[str]]]:
-    """(language, words) of the spans of a text."""
-    table = WordScores(model)
-    rows = table.rows([text])
-    labels = viterbi(table.scores, rows)[0] if model.langs else []
-    out: list[tuple[str, list[str]]] = []
-    for w, k in zip(text.split(), labels):
-        if not out or out[-1][0] != model.langs[k]:
-            out.append((model.langs[k], []))
-        out[-1][1].append(w)
-    return out
+Span = tuple[int, int, str, float]  # start and end in the text, language, share of the text's letters
+
+
+def text_spans(model: Model, text: str, labels: np.ndarray, letters: np.ndarray) -> list[Span]:
+    """The spans of a text from its pieces' languages; none without letters."""
+    total = letters.sum()
+    if not total:
+        return []
+    first = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
+    share = np.add.reduceat(letters, first) / total
+    if len(first) == 1:
+        return [(len(text) - len(text.lstrip()), len(text.rstrip()), model.langs[labels[0]], 1.0)]
+    at = places(text)
+    last = [*(first[1:] - 1), len(labels) - 1]
+    return [(at[i][0], at[j][1], model.langs[labels[i]], float(s)) for i, j, s in zip(first, last, share)]
 
 
-def _label(table: WordScores, texts: list[str]) -> tuple[list[str], list[float]]:
+def spans(model: Model, text: str) -> list[tuple[str, str]]:
+    """(language, passage) of the spans of a text."""
+    if not model.langs:
+        return []
+    return [(lang, text[a:b]) for a, b, lang, _ in _label(WordScores(model), [text])[2][0]]
+
+
+def _label(table: WordScores, texts: list[str]) -> tuple[list[str], list[float], list[list[Span]]]:
     langs = table.model.langs
     if len(table.place) > table.limit:
         table.clear()
     words: list[np.ndarray] = []
     for part in _groups(texts, PIECE):
         words += table.rows(part)
-    names, scores = [], []
-    for at, labels in zip(words, viterbi(table.scores, words)):
-        weight = np.bincount(labels, weights=table.letters[at], minlength=len(langs))
+    names, scores, found = [], [], []
+    for text, at, labels in zip(texts, words, viterbi(table.scores, words)):
+        letters = table.letters[at]
+        weight = np.bincount(labels, weights=letters, minlength=len(langs))
         total = weight.sum()
         names.append(langs[int(weight.argmax())] if total else "und")
         scores.append(float(weight.max() / total) if total else 0.0)
-    return names, scores
+        found.append(text_spans(table.model, text, labels, letters))
+    return names, scores, found
 
 
 def _groups(texts: Iterable[str], size: int) -> Iterator[list[str]]:
@@ -286,26 +352,42 @@ def _groups(texts: Iterable[str], size: int) -> Iterator[list[str]]:
         yield group
 
 
+SPANS = "array<struct<start:int,end:int,lang:string,score:double>>"
+
+
 def predict_udf(model: Model):
-    """Arrow UDF text -> (lang, score)."""
+    """Arrow UDF text -> (lang, score, spans)."""
     held: list[WordScores] = []  # one table per task
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("score", pa.float64())])
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf(f"lang string, score double, spans {SPANS}")
     def run(column: pa.Array) -> pa.Array:
-        if not model.langs:
-            return pa.array([{"lang": "und", "score": 0.0}] * len(column))
-        if not held:
-            held.append(WordScores(model))
-        names, scores = [], []
-        for texts in _groups((v.as_py() or "" for v in column), GROUP_CHARS):
-            n, s = _label(held[0], texts)
-            names, scores = names + n, scores + s
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                          names=["lang", "score"])
+        names, scores, found = ["und"] * len(column), [0.0] * len(column), [[]] * len(column)
+        if model.langs:
+            if not held:
+                held.append(WordScores(model))
+            names, scores, found = [], [], []
+            for texts in _groups((v.as_py() or "" for v in column), GROUP_CHARS):
+                n, s, f = _label(held[0], texts)
+                names, scores, found = names + n, scores + s, found + f
+        sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+        flat = [pa.array([f[i] for x in found for f in x], span.field(i).type) for i in range(4)]
+        spans_ = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)),
+                                          pa.StructArray.from_arrays(flat, fields=list(span)))
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), spans_],
+                                          names=["lang", "score", "spans"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column (lang, score) named ``language``."""
+    """``docs`` with a struct column (lang, score, spans) named ``language``."""
+    docs = give_way(docs, "language", keep=(text,))
     return docs.withColumn("language", predict_udf(model)(text))
+
+
+def span_table(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, span, start, end, lang, score): the spans of each document
+    (doc_id, text), numbered from 0; places are characters of the text."""
+    found = docs.select("doc_id", predict_udf(model)("text")["spans"].alias("spans"))
+    return found.select("doc_id", F.posexplode("spans").alias("span", "s")).select("doc_id", "span", "s.*")

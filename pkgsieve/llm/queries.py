@@ -189,7 +189,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
     model = langid.fit(docs.where(fold != 2).select("text", "lang"))
     found = langid.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+    return found.select("doc_id", (fold == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score",
+                        "language.spans")
 
 
 @query("op11_nn_descent")
