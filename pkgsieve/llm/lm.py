@@ -19,7 +19,8 @@ all its tokens side by side.
 Defined cases: a null text is empty: one end token; a null doc_id is a
 training document; repeated rows count each; without a deleted part the
 weights are equal; without training documents only 1 / (V + 1) is left, V = 0;
-an empty table gives an empty result.
+an empty table gives an empty result; a long text is a batch of its own and
+worked on whole; columns of other names are not read.
 """
 from __future__ import annotations
 

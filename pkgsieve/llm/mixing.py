@@ -8,7 +8,9 @@ rate.  The coin is a hash of the record and the seed: reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 ranked last; a source of size 0 has target 0; rows that are equal in doc_id
-and text toss the same coin; an empty table gives an empty result.
+and text toss the same coin; a text of any length is counted whole; an empty
+table gives an empty result.  Extra columns, whatever their names, pass through
+``mix``; ``mix_plan`` gives its own columns alone.
 """
 from __future__ import annotations
 

@@ -10,7 +10,9 @@ and its host is not rejected; repeated lines count against the host alone.
 Defined cases: a null text counts as empty and fails the base rule; a null
 host is a host of its own; repeated rows are judged alike; an empty table
 gives an empty result; the prior is flat (1, 1) when the hosts' rates do not
-vary.  Extra columns pass through ``judge`` untouched.
+vary; a text of any length is measured whole, as one row.  Extra columns pass
+through; one named like a result column is kept under a new name
+(``give_way``).
 """
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, WORD, cut, fresh
+from .common import UPPER, WORD, cut, fresh, give_way
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -75,6 +77,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` and the columns of ``MEASURES`` (long).  The texts are split
     once and only counts leave the stage.  Each step is a column of its own, so
     that a lambda reads it instead of working it out per element."""
+    docs = give_way(docs, *MEASURES, keep=(text,))
     w, g, pairs, places, lines = fresh(docs, "__words", "__windows", "__pairs", "__places", "__lines")
     t = F.coalesce(F.col(text), F.lit(""))
     no_space = F.translate(t, " \t\n\x0b\f\r", "")
@@ -132,8 +135,9 @@ def judge(measured: DataFrame, host: str = "source", lim: Limits = Limits()) ->
     host, then the join of the verdicts), so pass a written table.  Only the
     host table moves if it is small; else a hot host is split by the adaptive
     skew join."""
-    d = measured
-    for r, c in failures(lim).items():
+    checks = failures(lim)
+    d = measured = give_way(measured, *checks, *[f"{r}_rate" for r in checks], "host_rejected", "kept", keep=(host,))
+    for r, c in checks.items():
         d = d.withColumn(r, c)
     key = fresh(d, "__host")[0]
     verdicts = host_verdicts(measured, host, lim).drop("n").withColumnRenamed("host", key)

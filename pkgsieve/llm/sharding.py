@@ -10,7 +10,9 @@ the rows before them, so no task sorts a whole shard.
 
 Defined cases: a null key hashes like a fixed word of its own; equal keys
 share a shard; a null text has size 16 and the CRC of nothing; equal rows get
-consecutive slots in either order; an empty table gives an empty result.
+consecutive slots in either order; a text of any length is one row, sized and
+hashed as it stands; an empty table gives an empty result; columns other than
+key and text are not read.
 """
 from __future__ import annotations
 

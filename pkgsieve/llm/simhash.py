@@ -18,8 +18,10 @@ neighbours and of its label's label, round by round, until none changes.
 
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero and links like any other; equal rows share a component; a
-null doc_id never names a component (null if all its members are null); an
-empty table gives an empty result.
+null doc_id never names a component (null if all its members are null); a
+text of any length is hashed a piece at a time; an empty table gives an empty
+result.  Extra columns, whatever their names, pass through
+``drop_near_duplicates``; ``near_duplicates`` does not read them.
 """
 from __future__ import annotations
 

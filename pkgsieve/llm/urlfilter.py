@@ -15,6 +15,8 @@ Defined cases: a null URL, or one without ``://``, has an empty host and path
 and takes the default verdict, as do URLs that no rule fits; of the rules that
 fit, the longest decides, a block before an allow of the same length.  Long
 URLs are read whole; a batch holds one bit vector per URL, not per character.
+Repeated rows are judged alike; an empty table gives an empty result; columns
+named like a result column are kept under a new name (``give_way``).
 """
 from __future__ import annotations
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lower_ascii
+from .common import fresh, give_way, lower_ascii
 
 AFTER_SCHEME = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -130,7 +132,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: st
     """``pages`` with ``host``, ``path``, ``rule`` (null if none fits) and
     ``verdict``.  The rules are parameters, compiled once per task."""
     ranked = sorted(rules, key=lambda r: (-len(r.name), r.verdict != "block", r.name))
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    pages = give_way(pages, "host", "path", "rule", "verdict", keep=(url,))
+    keep = pages.columns
     canonical = fresh(pages, "__canonical")[0]
     rows = pages.withColumn(canonical, F.concat(F.lit("."), url_host(F.col(url)), url_path(F.col(url))))
     rows = rows.select(*keep, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), canonical)

@@ -15,7 +15,8 @@ by a hash of the text); a task streams its range into shards of about
 use nothing else.
 
 Defined cases: a null text is empty and holds the end id alone; repeated rows
-are encoded each; an empty table makes no file.  A document never spans two
+are encoded each; an empty table makes no file; columns of other names are not
+read.  A document never spans two
 shards, so one longer than ``SHARD_TOKENS`` makes a longer shard.
 """
 from __future__ import annotations

@@ -5,7 +5,8 @@ import re
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CLASH = ("size", "rank", "target", "kept", "host", "fp", "label", "row", "part", "__hits", "__c0", "__size", "__host", "n_words")
+CLASH = ("size", "rank", "target", "kept", "host", "fp", "label", "row", "part", "__hits", "__c0", "__size", "__host", "n_words",
+         "base_failed", "host_rejected", "language", "verdict", "rule")
 
 
 def ascii_lower(text):

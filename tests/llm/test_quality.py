@@ -44,6 +44,16 @@ def test_filter_keeps_columns_and_clean_rows(spark):
     assert {r["kept"] for r in out.collect()} == {"own kept"}
 
 
+def test_own_columns_named_like_results_are_kept_aside(spark):
+    df = docs(spark, edge_rows(), clash=True)
+    measured = quality.measure(df)
+    assert {r["n_words_1"] for r in measured.collect()} == {"own n_words"}
+    judged = quality.judge(cut(measured)).collect()
+    assert {(r["base_failed_1"], r["kept_1"], r["host_rejected_1"]) for r in judged} == {("own base_failed", "own kept", "own host_rejected")}
+    plain = quality.judge(cut(quality.measure(docs(spark, edge_rows())))).collect()
+    assert sorted((repr(r["doc_id"]), r["n_words"], r["kept"]) for r in judged) == sorted((repr(r["doc_id"]), r["n_words"], r["kept"]) for r in plain)
+
+
 def test_bad_host_loses_its_clean_documents(spark):
     clean = "plain words that make a normal sentence number {} with more than ten words"
     rows = [(i, clean.format(i), "en", "good", 1) for i in range(40)]

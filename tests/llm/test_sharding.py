@@ -1,5 +1,9 @@
+import math
+import struct
 import zlib
 
+import xxhash
+
 from pkgsieve.llm import sharding
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import docs, edge_rows
@@ -15,6 +19,27 @@ def check(rows, texts, shards=40):
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=repr) == want
 
 
+def shard_of(key, weights):
+    """Weighted rendezvous by Python's own XXH64: the name's hash seeds that of the shard's number."""
+    name = xxhash.xxh64_intdigest(("\0null" if key is None else str(key)).encode(), 42)
+
+    def score(shard, weight):
+        u = ((xxhash.xxh64_intdigest(struct.pack("<i", shard), name) >> 11) + 0.5) / 2.0 ** 53
+        return -weight / math.log(u)
+
+    return max(range(len(weights)), key=lambda k: (score(k, weights[k]), -k))
+
+
+def test_shards_are_recomputed(spark):
+    from pkgsieve.llm.queries import QUERIES
+
+    for r in QUERIES["op5_rendezvous_shards"](spark, SF_SMALL).collect():
+        assert (r["shard"], r["grown_shard"]) == (shard_of(r["doc_id"], [1.0] * 40), shard_of(r["doc_id"], [1.0] * 41))
+    weights = [0.5, 3.0, 1.0, 2.0]
+    for r in sharding.place(docs(spark, edge_rows()), weights=weights, grown=2.5).collect():
+        assert (r["shard"], r["grown_shard"]) == (shard_of(r["doc_id"], weights), shard_of(r["doc_id"], [*weights, 2.5]))
+
+
 def test_query(spark):
     from pkgsieve.llm.queries import QUERIES
 
