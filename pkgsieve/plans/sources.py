@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import tables as T
 from ..functions import actions as A
 from ..sources import index as I
+from ..sources.html import elements
 from .registry import register
 
 # Mirror base for known-bad archive links (a parameter; downloads not built).
@@ -54,6 +55,51 @@ def html_anchor_text(spark, sf):
     return p.select("page_id", F.posexplode(I.anchor_texts("html")).alias("pos", "text"))
 
 
+# Pages that a regular expression misreads, in front of the given ones: each
+# with the (href, text) of its anchors and the texts of its list items.
+HARD_PAGES = [
+    ('<a title="a > b" href="x">one</a><!-- <a href="no">gone</a> --><a>two</a>', [("x", "one"), (None, "two")], []),
+    ("<p><a href=y>caf&eacute; &#x41;&#66; &amp;lt; &lt;</p>after<A HREF='z'>b<b>o</b>ld<br/></A>",
+     [("y", "café AB &lt; <"), ("z", "bold")], []),
+    ("<ul><li>pkg-1<li>pkg-<i>2</i><ul><li>in</ul> out</ul><a href=a>x<script>if (a < b) '</a>'</script>y</a>",
+     [("a", "xy")], ["pkg-1", "pkg-2in out", "in"]),
+    ("</a><abbr>not</abbr><a/><a href=\"q&amp;r\">1 &copy; 2</a></li><li>last</li>", [(None, ""), ("q&r", "1 © 2")], ["last"]),
+]
+
+
+def _sql_text(value):
+    return "cast(null as varchar)" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def _hard_values(kind):
+    rows = [(t, k, *(x if kind == "a" else (None, x))) for t, (_, anchors, items) in enumerate(HARD_PAGES)
+            for k, x in enumerate(anchors if kind == "a" else items)]
+    return ", ".join(f"({t}, {k}, {_sql_text(h)}, {_sql_text(x)})" for t, k, h, x in rows)
+
+
+def _hard_sql(kind):
+    counts = ", ".join(f"({t}, {len(p[1] if kind == 'a' else p[2])})" for t, p in enumerate(HARD_PAGES))
+    return f"""
+select page_id, '{kind}' as tag, k as pos, href, text from pages join (values {_hard_values(kind)}) v(t, k, href, text) on page_id % {len(HARD_PAGES)} = t
+union all
+select page_id, '{kind}', cast(pos - 1 + n as integer), {"nullif(regexp_extract(a.o, 'href=\"([^\"]*)\"', 1), '')" if kind == "a" else "cast(null as varchar)"},
+ {_duck_text("regexp_extract(a.o, '(?is)^<" + kind + "\\b[^>]*>(.*)</" + kind + ">$', 1)")}
+from pages join (values {counts}) c(t, n) on page_id % {len(HARD_PAGES)} = c.t,
+ unnest(regexp_extract_all(html, '(?is)<{kind}\\b[^>]*>.*?</{kind}>')) with ordinality as a(o, pos)
+"""
+
+
+@register("html_elements", _hard_sql("a") + " union all " + _hard_sql("li"))
+def html_elements(spark, sf):
+    """S6 + S14: anchors and list items of every page, each behind a page of
+    comments, quoted ``>``, unclosed and nested tags and character references."""
+    p = T.read(spark, sf, "pages").select("page_id", F.concat(F.element_at(
+        F.array(*[F.lit(h) for h, _, _ in HARD_PAGES]), (F.col("page_id") % len(HARD_PAGES) + 1).cast("int")), F.col("html")).alias("html"))
+    parts = [p.select("page_id", F.lit(tag).alias("tag"), F.posexplode(elements(F.col("html"), tag)).alias("pos", "e"))
+             for tag in ("a", "li")]
+    return parts[0].unionByName(parts[1]).select("page_id", "tag", "pos", "e.href", "e.text")
+
+
 @register("html_li_text", f"""
 select page_id, cast(pos - 1 as integer) as pos, {_duck_text('t')} as text
 from pages, unnest(regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1)) with ordinality as a(t, pos)

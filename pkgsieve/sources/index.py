@@ -1,8 +1,8 @@
 """Registry index parsing (S3-S9, S14, S15): JSON and HTML bodies -> rows.
 
 Bodies arrive as string columns (files read with ``spark.read.text`` /
-``wholetext`` or a table of fetched responses); parsing is ``from_json`` and
-JVM regexes, so it runs in whole-stage codegen on every executor.
+``wholetext`` or a table of fetched responses).  JSON is parsed by ``from_json``
+in the JVM, HTML by the event parser of ``html.py`` in Arrow batches.
 """
 from __future__ import annotations
 
@@ -10,16 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .html import elements
+
 # Content types the index router accepts, the not-found body.
 CT_JSON = "application/vnd.pypi.simple.v1+json"
 CT_HTML = ("application/vnd.pypi.simple.v1+html", "text/html")
 NOT_FOUND_MESSAGE = "Not Found"
 
-ANCHOR_RE = r"(?is)<a\b[^>]*>(.*?)</a>"
-ANCHOR_HREF_RE = r"(?is)<a\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
-LI_RE = r"(?is)<li\b[^>]*>(.*?)</li>"
-TAG_RE = r"<[^>]*>"
-
 SIMPLE_PROJECT_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("_last-serial", T.LongType()),
@@ -45,14 +42,6 @@ POPULAR_SCHEMA = T.StructType([
 ])
 
 
-def html_text(inner: Column) -> Column:
-    """Text of an HTML fragment: tags dropped, the basic entities decoded."""
-    t = F.regexp_replace(inner, TAG_RE, "")
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
-
-
 def parse_json_body(df: DataFrame, body: str = "body", schema: T.StructType = SIMPLE_PROJECT_SCHEMA) -> DataFrame:
     """JSON body -> struct column ``doc``; the not-found body gives
     no row."""
@@ -60,24 +49,23 @@ def parse_json_body(df: DataFrame, body: str = "body", schema: T.StructType = SI
     return d.where(~F.coalesce(F.col("doc.message") == NOT_FOUND_MESSAGE, F.lit(False)))
 
 
+def _page(html: str | Column) -> Column:
+    return F.col(html) if isinstance(html, str) else html
+
+
 def anchor_texts(html: str | Column) -> Column:
     """Text of every ``<a>`` element, in document order."""
-    h = F.col(html) if isinstance(html, str) else html
-    return F.transform(F.regexp_extract_all(h, F.lit(ANCHOR_RE), 1), html_text)
+    return elements(_page(html), "a")["text"]
 
 
 def li_texts(html: str | Column) -> Column:
     """Text of every ``<li>`` element."""
-    h = F.col(html) if isinstance(html, str) else html
-    return F.transform(F.regexp_extract_all(h, F.lit(LI_RE), 1), html_text)
+    return elements(_page(html), "li")["text"]
 
 
 def anchors_with_href(html: str | Column) -> Column:
     """(href, text) of every anchor that has an ``href`` attribute."""
-    h = F.col(html) if isinstance(html, str) else html
-    hrefs = F.regexp_extract_all(h, F.lit(ANCHOR_HREF_RE), 1)
-    texts = F.transform(F.regexp_extract_all(h, F.lit(ANCHOR_HREF_RE), 2), html_text)
-    return F.arrays_zip(hrefs.alias("href"), texts.alias("text"))
+    return F.filter(elements(_page(html), "a"), lambda x: x["href"].isNotNull())
 
 
 def route_content(ct: str | Column) -> Column:
