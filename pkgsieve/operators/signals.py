@@ -2,12 +2,12 @@
 
 Plan shape (for millions of new names against a bounded popular list):
 
-* the popular list is the top-N download list (N = 5000 in production) and
-  is broadcast behind a row-count check; its blocking keys are ~15 rows per
-  name, so the broadcast stays small;
+* the popular list is the top-N download list; its blocking keys are ~15 rows
+  per name.  Whether they are broadcast is left to the adaptive planner, which
+  goes by their size;
 * each name is exploded into its deletion keys (J2) or its sorted-character
-  key (J3) and probed map-side against the broadcast keys: no shuffle and no
-  cross join;  matches are verified with the exact predicate;
+  key (J3) and joined with those of the popular names: no cross join; matches
+  are verified with the exact predicate;
 * alias / removed / private lookups are semi or equi joins on the name,
   pre-aggregated per name before the join so a hot name costs one row;
 * all signal rows plus one zero row per name are unioned and grouped once by

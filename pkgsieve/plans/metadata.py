@@ -79,36 +79,66 @@ _REMOVAL = "false as remove, cast(null as bigint) as remove_serial, cast(null as
 
 
 def _signals(spark, sf, d):
-    """(o_orderkey, suspicion, signals): the name's signals against the popular list."""
-    scored = S.project_suspicion(d.select("o_orderkey", F.col("info.name").alias("name")), T.derived(spark, sf, "popular"),
-                                 id_col="o_orderkey", name_col="name")
-    return d.join(scored.select("o_orderkey", "suspicion", F.col("suspicion_info").alias("signals")), "o_orderkey")
+    """``d`` with (score, signals): its name's signals against the popular list, worked out once per name."""
+    names = d.select(F.col("info.name").alias("project")).distinct().withColumn("nid", F.col("project"))
+    scored = S.project_suspicion(names, T.derived(spark, sf, "feed_popular"), id_col="nid")
+    scored = scored.select(F.col("nid").alias("scored_name"), F.col("suspicion").alias("score"), F.col("suspicion_info").alias("signals"))
+    return d.join(scored, F.col("info.name") == F.col("scored_name")).drop("scored_name")
 
 
-@register("project_document", _META + f"""
-select o_orderkey, {_FLAT}, 0 as n_maintainers, 0 as n_owners, {_REMOVAL}, 0 as suspicion, 0 as n_info, false as analyzed,
+def _state():
+    info = F.array_join(F.array_sort("suspicion_info"), "|")
+    return [F.col("suspicion").cast("int").alias("suspicion"), F.size("suspicion_info").alias("n_info"), info.alias("info_text")]
+
+
+_SCORED = T.with_ctes("""
+, meta as (select o_orderkey, json_extract_string(body, '$.info.name') as name,
+  json_extract_string(body, '$.info.version') as version, json_extract_string(body, '$.info.summary') as summary,
+  cast(json_extract(body, '$.last_serial') as bigint) as last_serial,
+  cast(json_array_length(body, '$.urls') as bigint) as n_urls,
+  cast(json_array_length(body, '$.vulnerabilities') as bigint) as n_vulnerabilities,
+  json_extract_string(body, '$.vulnerabilities[0].id') as first_vulnerability,
+  json_extract_string(body, '$.urls[0].filename') as first_file,
+  json_extract_string(body, '$.urls[1].digests.sha256') as second_sha256, body
+  from metadata_docs where json_extract_string(body, '$.message') is distinct from 'Not Found'),
+names as (select distinct name from meta),
+sig as (
+  select n.name, 4 as score, 'Popular Project: popular project ' || n.name || ' downloaded ' || cast(p.download_count as varchar) || ' times' as msg
+  from names n join feed_popular p on n.name = p.project
+  union all select n.name, 7, 'Typosquatting: suspected to be typosquatting of project ' || p.project
+  from names n join feed_popular p on levenshtein(n.name, p.project) = 1
+  union all select n.name, 7, 'Typosquatting: suspected to be typosquatting of project ' || p.project
+  from names n join feed_popular p on length(n.name) = length(p.project)
+    and list_sort(string_split(n.name, '')) = list_sort(string_split(p.project, '')) and hamming(n.name, p.project) = 2),
+score as (select n.name, coalesce(max(score), 0) as suspicion, cast(count(score) as integer) as n_info,
+  coalesce(string_agg(msg, '|' order by msg), '') as info_text from names n left join sig using (name) group by n.name)
+""", "metadata_docs", "feed_popular")
+
+
+@register("project_document", _SCORED + f"""
+select o_orderkey, {_FLAT}, 0 as n_maintainers, 0 as n_owners, {_REMOVAL}, suspicion, n_info, info_text, false as analyzed,
   'o_orderkey,info,last_serial,urls,vulnerabilities,signals,maintainers,owners,remove,remove_serial,remove_time,remove_timestamp,suspicion,suspicion_info,analyzed' as fields
-from meta
+from meta join score using (name)
 """)
 def project_document(spark, sf):
     """P1 + P2: first save of a project's document: ``releases`` dropped, every
-    state column with its default (feed names match no popular name, so their
-    suspicion is 0; scores are checked by the signal queries)."""
-    d = _signals(spark, sf, meta(spark, sf)).withColumnRenamed("suspicion", "score")
+    state column with its default, the name's suspicion and its messages."""
+    d = _signals(spark, sf, meta(spark, sf))
     d = M.init_project(d, F.col("score"), F.col("signals")).drop("score")
     fields = ",".join(c for c in d.columns)
     return d.select("o_orderkey", *_flat(), F.size("maintainers").alias("n_maintainers"), F.size("owners").alias("n_owners"),
-                    "remove", "remove_serial", "remove_time", "remove_timestamp", F.col("suspicion").cast("int").alias("suspicion"),
-                    F.greatest(F.size("suspicion_info"), F.lit(0)).alias("n_info"), "analyzed", F.lit(fields).alias("fields"))
+                    "remove", "remove_serial", "remove_time", "remove_timestamp", *_state(), "analyzed", F.lit(fields).alias("fields"))
 
 
-@register("release_document", _META + f"""
-select o_orderkey, {_FLAT}, {_REMOVAL}, 0 as suspicion, false as analyzed, 0 as n_analyzed from meta
+@register("release_document", _SCORED + f"""
+select o_orderkey, {_FLAT}, {_REMOVAL}, suspicion, n_info, info_text, false as analyzed, 0 as n_analyzed from meta join score using (name)
 """)
 def release_document(spark, sf):
-    """First save of a release's document."""
-    d = M.init_release(meta(spark, sf), F.lit(0), F.array().cast("array<string>"))
-    return d.select("o_orderkey", *_flat(), "remove", "remove_serial", "remove_time", "remove_timestamp", "suspicion",
+    """First save of a release's document: its project's suspicion and
+    messages are handed on to it."""
+    d = _signals(spark, sf, meta(spark, sf))
+    d = M.init_release(d, F.col("score"), F.col("signals"))
+    return d.select("o_orderkey", *_flat(), "remove", "remove_serial", "remove_time", "remove_timestamp", *_state(),
                     "analyzed", F.size("analyzed_files").alias("n_analyzed"))
 
 

@@ -165,16 +165,20 @@ POPULAR_SHARE = 1000
 
 
 @register("word_typosquat", f"""
-with cnt as (select lower(m) as word, count(*) as n from documents, unnest(regexp_extract_all(text, '[A-Za-z]+', 0)) as u(m)
+with cnt as (select lower(m) as word, count(*) as n from documents, unnest(regexp_extract_all(text, '\\p{{L}}+', 0)) as u(m)
         group by 1),
 top as (select word as pname from cnt where n * {POPULAR_SHARE} >= (select sum(n) from cnt))
-select w.word as name, t.pname as popular_name from cnt w join top t
- on abs(length(w.word) - length(t.pname)) <= 1 and levenshtein(w.word, t.pname) = 1
-""")
+select w.word as name, t.pname as popular_name from cnt w join top t on abs(length(w.word) - length(t.pname)) <= 1 and w.word <> t.pname
+ and len(list_filter(range(1, greatest(length(w.word), length(t.pname)) + 1), lambda i: case
+  when length(w.word) > length(t.pname) then substr(w.word, 1, (i - 1)::int) || substr(w.word, (i + 1)::int) = t.pname
+  when length(w.word) < length(t.pname) then substr(t.pname, 1, (i - 1)::int) || substr(t.pname, (i + 1)::int) = w.word
+  else substr(w.word, 1, (i - 1)::int) = substr(t.pname, 1, (i - 1)::int) and substr(w.word, (i + 1)::int) = substr(t.pname, (i + 1)::int)
+  end)) > 0
+""")  # DuckDB's own distance counts bytes
 def word_typosquat(spark, sf):
-    """J2 at scale: every distinct word (run of ASCII letters) of all documents
+    """J2 at scale: every distinct word (run of letters of any script) of all documents
     against the popular words, blocked by deletion keys -- no cross join."""
-    toks = T.read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("m"))
+    toks = T.read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("m"))
     # read three times (all names, their sum, popular words): written once
     counts = checkpoint_cut(toks.groupBy(F.lower("m").alias("word")).agg(F.count("*").alias("download_count")))
     whole = counts.agg(F.sum("download_count").alias("whole"))

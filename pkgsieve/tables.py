@@ -56,6 +56,12 @@ POPULAR = """
 select replace(p_name, ' ', '-') as project, count(*) as download_count from {part} group by 1
 """
 
+# A popular list of feed names, so that documents of the feed have signals.
+FEED_POPULAR = """
+select concat('pkg-', cast(o_custkey % 40 as varchar(9))) as project, count(*) as download_count from {orders}
+where o_custkey % 40 in (3, 12, 27) group by 1
+"""
+
 CANDIDATES = """
 select c_custkey, case c_custkey % 6
  when 0 then project when 1 then substr(project, 2) when 2 then concat(project, right(project, 1))
@@ -173,6 +179,7 @@ where not (version = '1.2' and cast(substr(project, 5) as int) % 5 = 1)
 DERIVED = {
     "changelog": (CHANGELOG, ("events",)),
     "popular": (POPULAR, ("part",)),
+    "feed_popular": (FEED_POPULAR, ("orders",)),
     "candidates": (CANDIDATES, ("customer", "part")),
     "release_files": (RELEASE_FILES, ("orders", "lineitem")),
     "source_files": (SOURCE_FILES, ("documents",)),
