@@ -1,17 +1,22 @@
 """Download / analysis queues.
 
 The monitor's priority queues become ordered tables: each task carries its
-priority key ``(-suspicion, project, version, last_serial, seq)``; consumers read them in
-key order, and a top-k report uses ``orderBy(...).limit(k)`` (a distributed
-``TakeOrderedAndProject``: each partition keeps k rows).  ``seq`` -- the
+priority key ``(-suspicion, project, version, last_serial, seq)``, with the file
+path after the version in the analysis queue.  ``positions`` numbers a whole
+queue without a single-task sort; a top-k report uses ``orderBy(...).limit(k)``
+(a distributed ``TakeOrderedAndProject``: each partition keeps k rows).  ``seq`` -- the
 queue's tie-break counter -- is a ``row_number`` per release ordered by the
 feed serial and file index, so no global single-task window is needed.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint_cut
+
 
 def download_tasks(releases: DataFrame, suspicion: DataFrame) -> DataFrame:
     """J13 + W8: explode each release's ``urls`` array into one task per file,
@@ -34,6 +39,22 @@ def priority_order(df: DataFrame, *extra: str):
             F.asc("last_serial"), F.asc("seq")]
 
 
+def positions(tasks: DataFrame, order: Sequence[Column], out: str = "position") -> DataFrame:
+    """Every task's place in the whole queue, from 0 without gaps.
+
+    The queue is dealt into ranges of the order and written; each range is
+    numbered on its own and shifted by the tasks of the ranges before it (a
+    table of one row per range).  Tasks equal in ``order`` take places side by
+    side, in either order."""
+    dealt = checkpoint_cut(tasks.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    shift = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    local = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    numbered = dealt.withColumn(out, local).join(shift, "__range")
+    return numbered.withColumn(out, (F.col(out) + F.col("__before")).cast("long")).drop("__range", "__before")
+
+
 def analysis_filter(tasks: DataFrame, threshold: int = -1, file_type: str = "tgz") -> DataFrame:
     """P4 + P5: scanning off at threshold -1, else ``suspicion >= threshold``;
     archive kind ``*``, ``tgz`` (``.tar.gz``) or ``whl``."""

@@ -77,12 +77,33 @@ def download_top(spark, sf):
     return t.orderBy(*Qu.priority_order(t)).limit(TOP_K).select(*_TASK_COLS)
 
 
+@register("download_order", T.with_ctes(_TASKS + """
+select project, version, last_serial, idx, filename, suspicion, seq,
+  row_number() over (order by suspicion desc, project, version, last_serial, seq) - 1 as position from tasks
+""", *_CTES))
+def download_order(spark, sf):
+    """The whole download queue, every task with its place."""
+    t = tasks(spark, sf)
+    return Qu.positions(t, Qu.priority_order(t)).select(*_TASK_COLS, "position")
+
+
+@register("analysis_order", T.with_ctes(_TASKS + f"""
+select project, version, last_serial, idx, filename, suspicion, seq,
+  row_number() over (order by suspicion desc, project, version, filename, last_serial, seq) - 1 as position from tasks
+where suspicion >= {ANALYZE_THRESHOLD} and ends_with(filename, '.tar.gz')
+""", *_CTES))
+def analysis_order(spark, sf):
+    """The whole analysis queue; the file path goes before the task number."""
+    q = Qu.analysis_filter(tasks(spark, sf), ANALYZE_THRESHOLD, FILE_TYPE)
+    return Qu.positions(q, Qu.priority_order(q, "filename")).select(*_TASK_COLS, "position")
+
+
 @register("analysis_queue", T.with_ctes(_TASKS + f"""
 select project, version, last_serial, idx, filename, suspicion, seq from tasks
 where suspicion >= {ANALYZE_THRESHOLD} and ends_with(filename, '.tar.gz')
 """, *_CTES))
 def analysis_queue(spark, sf):
-    """P4 + P5 (+ T2 order by the task key)."""
+    """P4 + P5: the tasks that are analysed (their order: ``analysis_order``)."""
     return Qu.analysis_filter(tasks(spark, sf), ANALYZE_THRESHOLD, FILE_TYPE).select(*_TASK_COLS)
 
 
