@@ -145,14 +145,21 @@ def html_release_versions(spark, sf):
     return a.withColumn("version", A.version_from_filename("project", "filename"))
 
 
+POPULAR_DOC = 500
+
+
 @register("popular_rows", T.with_ctes("""
 select last_update, project, download_count from monthly_popular
 """, "monthly_popular"))
 def popular_rows(spark, sf):
     """Popular snapshot JSON documents -> (last_update, project,
-    download_count).  A document holds the whole list of its month, as it is
-    published; each is parsed with the declared schema."""
-    docs = (T.derived(spark, sf, "monthly_popular").groupBy("last_update")
+    download_count).  A month's list is published in documents of about
+    ``POPULAR_DOC`` projects, so that one is small whatever the month; each is
+    parsed with the declared schema."""
+    monthly = T.derived(spark, sf, "monthly_popular")
+    pages = monthly.groupBy("last_update").agg(F.ceil(F.count(F.lit(1)) / POPULAR_DOC).alias("pages"))
+    page = F.pmod(F.xxhash64("project"), F.col("pages")).alias("page")
+    docs = (monthly.join(pages, "last_update").groupBy("last_update", page)
             .agg(F.collect_list(F.struct("project", "download_count")).alias("rows"))  # one published document
             .select(F.to_json(F.struct("last_update", "rows")).alias("json")))
     parsed = docs.select(F.from_json("json", I.POPULAR_SCHEMA).alias("d"))

@@ -12,6 +12,7 @@ import ast
 from pyspark.sql import functions as F
 
 from .. import tables as T
+from ..sources.rules import graded, load_rule_docs
 from ..taint.scanner import CHAIN, TEMPLATES, behaviour_order, code_corpus, file_metrics, package_metrics, scan_corpus
 from .registry import register
 
@@ -139,6 +140,25 @@ COUNTS = [0, 1, 2, 2, 1, 1, 1, 2, 1, 3, 1, 2, 2, 2, 1, 3, 0, 1, 2, 1]
 METRICS = [(t, 1, LINES[t], COUNTS[t], 0, 0, COUNTS[t]) for t in range(len(TEMPLATES))]
 
 
+# Another catalogue: severities on both sides of each bound of the histogram.
+GRADES = {"1000": 3, "1001": 4, "1002": 7, "2001": 6}
+
+
+def _graded_counts():
+    kinds = {"low": range(0, 4), "medium": range(4, 7), "high": range(7, 11)}
+    found = [(t, [GRADES[i] for u, i, *_ in ISSUES if u == t]) for t in range(len(TEMPLATES))]
+    return [(t, len(g), *[sum(x in k for x in g) for k in kinds.values()]) for t, g in found]
+
+
+@register("severity_histogram", _doc_join(_graded_counts(), ["t", "cnt", "low", "medium", "high"], "d.doc_id, " + ", ".join(
+    f"cast(v.{c} as bigint) as {c}" for c in ("cnt", "low", "medium", "high"))))
+def severity_histogram(spark, sf):
+    """A5: issues per file by severity, under a catalogue with all three grades."""
+    corpus = code_corpus(T.read(spark, sf, "documents"))
+    m = file_metrics(scan_corpus(corpus, rules=graded(load_rule_docs(), GRADES)))
+    return m.select(F.col("file_id").alias("doc_id"), "cnt", "low", "medium", "high")
+
+
 def _ast_counts():
     """Expected fact counts per template from the standard parser."""
     out = []

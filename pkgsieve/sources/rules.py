@@ -79,9 +79,19 @@ def catalogue(rules: dict[str, dict]) -> Catalogue:
     return Catalogue(specs, pairs)
 
 
-def rule_tables(spark: SparkSession, path: str = RULES_DIR) -> tuple[DataFrame, DataFrame]:
-    """(rule_specs, rule_pairs) DataFrames; both are tiny and broadcast."""
-    cat = catalogue(load_rule_docs(path))
+def graded(rules: dict[str, dict], severity: dict[str, int]) -> dict[str, dict]:
+    """``rules`` with another severity for the detection rules named."""
+    def grade(rid, specs):
+        return [{**s, "severity": severity[rid]} for s in specs or []]
+
+    return {rid: {**r, "taints": grade(rid, r.get("taints")), "sinks": grade(rid, r.get("sinks"))} if rid in severity else r
+            for rid, r in rules.items()}
+
+
+def rule_tables(spark: SparkSession, path: str = RULES_DIR, rules: dict[str, dict] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rule_specs, rule_pairs) DataFrames of the rules given, else of those
+    at ``path``; both are tiny."""
+    cat = catalogue(load_rule_docs(path) if rules is None else rules)
     return spark.createDataFrame(cat.specs, SPEC_SCHEMA), spark.createDataFrame(cat.pairs, PAIR_SCHEMA)
 
 

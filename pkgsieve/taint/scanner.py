@@ -14,7 +14,7 @@ from ..functions.labels import RANK_HIGH, RANK_LOW, RANK_MEDIUM
 from ..operators.common import checkpoint_cut
 from ..operators.files import effective_lines
 from ..session import ship_code
-from ..sources.rules import rule_tables
+from ..sources.rules import RULES_DIR, rule_tables
 from .engine import Facts, resolve, split_facts
 from .facts import extract_facts
 from .reach import Scan, run_scan
@@ -73,8 +73,9 @@ class ScanResult:
     files: DataFrame
 
 
-def scan_corpus(corpus: DataFrame, rules_path: str | None = None) -> ScanResult:
-    """Run the whole taint analysis over a corpus.
+def scan_corpus(corpus: DataFrame, rules_path: str | None = None, rules: dict[str, dict] | None = None) -> ScanResult:
+    """Run the whole taint analysis over a corpus, with the rules given, else
+    those at ``rules_path``, else the library's own.
 
     The facts are extracted once and written in a folder per kind; every later
     step reads the kinds it needs and joins on ``file_id`` (plus node ids).
@@ -84,7 +85,7 @@ def scan_corpus(corpus: DataFrame, rules_path: str | None = None) -> ScanResult:
     # parse in parallel whatever the layout of the corpus (few large files arrive in few partitions)
     facts = checkpoint_cut(extract_facts(corpus.repartition("file_id")), by="kind")
     fx = split_facts(facts)
-    specs, pairs = rule_tables(spark) if rules_path is None else rule_tables(spark, rules_path)
+    specs, pairs = rule_tables(spark, rules_path or RULES_DIR, rules)
     name_info, records, attr_names, call_names = resolve(fx)
     files = corpus.select("file_id", "package", F.col("path").alias("file_path"), "content")
     scan = run_scan(fx, name_info, attr_names, call_names, specs, pairs, files.select("file_id", "file_path"))
