@@ -5,8 +5,8 @@ Plan shape (for millions of new names against a bounded popular list):
 * the popular list is the top-N download list; its blocking keys are ~15 rows
   per name.  Whether they are broadcast is left to the adaptive planner, which
   goes by their size;
-* each name is exploded into its deletion keys (J2) or its sorted-character
-  key (J3) and joined with those of the popular names: no cross join; matches
+* each name is exploded into its deletion keys or, for more than one edit,
+  its substrings at a segment's places (J2), or its sorted-character key (J3) and joined with those of the popular names: no cross join; matches
   are verified with the exact predicate;
 * alias / removed / private lookups are semi or equi joins on the name,
   pre-aggregated per name before the join so a hot name costs one row;
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import deletion_keys, mismatches, sorted_chars, within_distance
+from ..functions.names import deletion_keys, mismatches, probe_keys, segment_keys, sorted_chars, within_distance
 
 # Signal scores and message templates must equal the
 # reference's text exactly.
@@ -79,12 +79,14 @@ def popular_exact(names: DataFrame, popular: DataFrame) -> DataFrame:
 def levenshtein_pairs(names: DataFrame, popular: DataFrame, distance: int = 1, dedupe: bool = True) -> DataFrame:
     """J2 candidate pairs ``0 < lev(name, pname) <= distance`` without a cross join.
 
-    Both sides are joined on their deletion neighbourhoods, which is complete
-    for every distance (the keys per name grow with length ** distance), and
-    the pairs are verified.
+    One edit: both sides are joined on their deletion neighbourhoods.  More:
+    the popular names' distance + 1 segments are joined with the substrings of
+    the names that may be one, so the keys per name do not grow with its
+    length.  Both are complete; the pairs are verified.
     """
-    nk = names.select("nid", "name", F.explode(deletion_keys("name", distance)).alias("k"))
-    pk = popular.select("pname", "download_count", F.explode(deletion_keys("pname", distance)).alias("k"))
+    ours, theirs = (deletion_keys, deletion_keys) if distance == 1 else (probe_keys, segment_keys)
+    nk = names.select("nid", "name", F.explode(ours("name", distance)).alias("k"))
+    pk = popular.select("pname", "download_count", F.explode(theirs("pname", distance)).alias("k"))
     j = nk.join(pk, "k")
     pairs = j.where(within_distance("name", "pname", distance)).select("nid", "name", "pname", "download_count")
     # several shared keys can produce the same pair; the roll-up de-duplicates
