@@ -30,6 +30,7 @@ from .sinks import _pick
 
 BUCKETS = 64
 GROWTH = 2
+FEW_KEYS = 200
 MANIFEST = "ord int, run string, n long"
 
 
@@ -96,10 +97,14 @@ class KeyedTable:
         if of is None:
             return self._merged(runs).where("not __gone").select(*self.columns)
         of = of.select(*self.key).distinct()
-        # at most ``buckets`` numbers reach the driver
+        # at most ``buckets`` numbers and FEW_KEYS + 1 keys reach the driver
         wanted = [r[0] for r in of.select(self._bucket()).distinct().collect()]
-        found = self._merged(runs, wanted).where("not __gone").select(*self.columns)
-        return found.join(of, self.key, "left_semi")
+        found = self._merged(runs, wanted)
+        if len(self.key) == 1:
+            few = [r[0] for r in of.limit(FEW_KEYS + 1).collect()]
+            if len(few) <= FEW_KEYS:  # told to the files' Bloom filters as well
+                found = found.where(F.col(self.key[0]).isin(few))
+        return found.where("not __gone").select(*self.columns).join(of, self.key, "left_semi")
 
     # -- writing -------------------------------------------------------------
 
@@ -126,8 +131,10 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame, run: str) -> tuple[str, int]:
         path = f"{self.root}/runs/{run}"
-        dealt = rows.withColumn("bucket", self._bucket()).repartition("bucket")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        writer = rows.withColumn("bucket", self._bucket()).repartition("bucket").write
+        for name in self.key:  # lets a reader skip row groups without its keys
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+        writer.mode("overwrite").partitionBy("bucket").parquet(path)
         return run, self.spark.read.schema(self.stored).parquet(path).count()
 
     def _clean(self, bid: int, named: set[str]) -> None:

@@ -183,6 +183,24 @@ def upsert_results(spark, sf):
     return table.rows()
 
 
+@register("lookup_pruned", T.with_ctes(f"""
+, latest as (select {_REPORT} as filename, project, version, last_serial, idx from release_files
+  qualify row_number() over (partition by {_REPORT} order by last_serial desc, idx desc) = 1),
+asked as (select distinct {_REPORT} as filename from release_files where last_serial % 499 = 0
+  union select distinct 'no-' || project from release_files)
+select a.filename, l.project, l.version, l.last_serial, l.idx from asked a left join latest l using (filename)
+""", *_CTES))
+def lookup_pruned(spark, sf):
+    """Point lookups of some file names in the keyed results table: only
+    the buckets of these names are read."""
+    rf = _reports(spark, sf)
+    table = _results_table(spark, rf, buckets=64)
+    table.upsert(0, rf, ["last_serial", "idx"])
+    missing = rf.select(F.concat(F.lit("no-"), "project").alias("filename"))
+    asked = rf.where(F.col("last_serial") % 499 == 0).select("filename").unionByName(missing).distinct()
+    return asked.join(table.rows(asked), "filename", "left").select(*_FILE_COLS)
+
+
 @register("upsert_private", T.with_ctes("""
 select name, versions from (
   select name, versions, row_number() over (partition by name order by src desc, ord desc) as rn from (

@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pkgsieve.operators import keyed
 from pkgsieve.operators.keyed import KeyedTable
@@ -63,6 +64,10 @@ def test_reading_a_batch_s_keys_opens_their_buckets_only(spark, tmp_path):
     found = t.rows(spark.createDataFrame([("k7",), ("none",)], "k string"))
     assert rows(found) == [("k7", 7, "x")]
     plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(k" in plan or "PushedFilters: [Or(EqualTo(k" in plan or "In(k, [" in plan
+    read = {r[0] for r in t._merged([r for r, _ in t.runs(0)], [r[0] for r in spark.createDataFrame([("k7",)], "k string")
+                                                                .select(t._bucket()).collect()]).select(F.input_file_name()).distinct().collect()}
+    assert len(read) == 1 and len(files(f"{tmp_path}/t")) == 16  # one bucket's file of all
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
 
 
