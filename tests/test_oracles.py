@@ -15,7 +15,7 @@ FAST = ["project_suspicion", "signal_levenshtein", "signal_swap", "signal_import
         "effective_lines", "import_names", "alias_build", "archive_members", "word_typosquat", "issues", "resolved_calls", "taint_reach", "name_bindings", "def_use", "taint_sources", "sink_calls",
         "sink_args", "arg_taints", "import_bindings", "code_facts", "alerts", "scan_report", "project_metadata", "release_urls",
         "simple_files", "project_document", "release_document", "metadata_merge", "lookup_keyed", "known_bad_join",
-        "project_remove_time",
+        "project_remove_time", "html_elements", "download_order", "analysis_order", "severity_histogram", "lookup_pruned",
         "file_metrics", "package_metrics", "behaviour_order"]
 
 
