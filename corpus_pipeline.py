@@ -5,6 +5,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and reread as the next stage's ``docs``.  All but the last return
 the columns of documents; the last one returns a row per document of the mix
 (doc_id, start, n_tokens, ids_crc32), read back from the shard files.
+
+Defined cases, by stage.  Null and empty texts fail the quality rules; given to
+a later stage they form one near-duplicate group, hold no benchmark item, have
+no words to mix and are encoded as the end id.  Null sources are a source, null
+doc_ids come last where one of a group stays.  Repeated rows are judged alike
+and near-duplicates keep one of them.  Very long texts are read whole.  An
+empty table stays empty; a table of no benchmark items drops nothing.  Extra
+columns, whatever their names, pass through all stages but the last.
 """
 from __future__ import annotations
 
