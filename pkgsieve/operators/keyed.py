@@ -102,7 +102,7 @@ class KeyedTable:
         found = self._merged(runs, wanted)
         if len(self.key) == 1:
             few = [r[0] for r in of.limit(FEW_KEYS + 1).collect()]
-            if len(few) <= FEW_KEYS:  # told to the files' Bloom filters as well
+            if len(few) <= FEW_KEYS:  # held against the statistics of the files, which are sorted by key
                 found = found.where(F.col(self.key[0]).isin(few))
         return found.where("not __gone").select(*self.columns).join(of, self.key, "left_semi")
 
@@ -131,10 +131,8 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame, run: str) -> tuple[str, int]:
         path = f"{self.root}/runs/{run}"
-        writer = rows.withColumn("bucket", self._bucket()).repartition("bucket").write
-        for name in self.key:  # lets a reader skip row groups without its keys
-            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
-        writer.mode("overwrite").partitionBy("bucket").parquet(path)
+        dealt = rows.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", *self.key)
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
         return run, self.spark.read.schema(self.stored).parquet(path).count()
 
     def _clean(self, bid: int, named: set[str]) -> None:
