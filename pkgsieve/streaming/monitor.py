@@ -56,8 +56,9 @@ class FeedMonitor:
                  root: str | None = None, block: int = DEFAULT_BLOCK, buckets: int = 16):
         self.spark = spark
         self.root = root or f"{ensure_checkpoint_dir(spark)}/monitor-{uuid.uuid4().hex[:8]}"
-        self.pm = project_meta
-        self.rm = release_meta
+        # every batch looks its events up in them: reduced to their keys once
+        self.pm = checkpoint_cut(project_meta.select("name").distinct())
+        self.rm = checkpoint_cut(release_meta.select("name", "version").distinct())
         self.block = block
         self.projects = KeyedTable(spark, f"{self.root}/projects", PROJECTS, ["project"], buckets)
         self.members_now = KeyedTable(spark, f"{self.root}/members", MEMBERS, ["project"], buckets)

@@ -49,3 +49,21 @@ def test_carry_outlives_batches_without_processed_rows(spark):
         mon.handle_batch(spark.createDataFrame(cut, schema), bid)
     check(spark, mon, spark.createDataFrame(feed, schema), pm, rm)
     assert {r["serial"] for r in mon.events().where("triggers").collect()} == {1, 3, 7}
+
+
+def test_metadata_is_reduced_once(spark):
+    from pkgsieve.streaming.monitor import FeedMonitor
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    meta = spark.createDataFrame([("p", "1"), ("p", "1"), ("q", None)], "name string, version string").coalesce(1)
+    meta = meta.mapInArrow(count, meta.schema)
+    mon = FeedMonitor(spark, meta, meta)
+    assert seen.value == 6
+    assert sorted(map(tuple, mon.rm.collect()), key=str) == [("p", "1"), ("q", None)] and mon.pm.count() == 2
+    assert seen.value == 6
