@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructType
 
+from .common import checkpoint_cut
 from .sinks import _pick
 
 BUCKETS = 64
@@ -158,5 +159,5 @@ class KeyedTable:
 
     def add(self, bid: int, items: DataFrame) -> None:
         """Set-add, for a table whose key is all its columns."""
-        fresh = items.select(*self.key).distinct()
+        fresh = checkpoint_cut(items.select(*self.key).distinct())  # read for its buckets, its keys and its rows
         self.commit(bid, fresh.join(self.rows(fresh, bid - 1), self.key, "left_anti"))

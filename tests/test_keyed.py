@@ -84,3 +84,19 @@ def test_sinks(spark, tmp_path, first):
     s.add(0, spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "k string, item string"))
     s.add(1, spark.createDataFrame([("a", "x"), ("a", "z")], "k string, item string"))
     assert rows(s.rows()) == [("a", "x"), ("a", "z"), ("b", "y")]
+
+
+def test_set_add_works_its_items_out_once(spark, tmp_path):
+    t = KeyedTable(spark, f"file:{tmp_path}/t", "k string, v string", ["k", "v"], 4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    items = spark.createDataFrame([(f"k{i % 9}", f"v{i % 4}") for i in range(50)], "k string, v string").coalesce(1)
+    t.add(0, items.where("k < 'k5'"))
+    t.add(1, items.mapInArrow(count, "k string, v string"))
+    assert seen.value == 50
+    assert rows(t.rows()) == sorted({(f"k{i % 9}", f"v{i % 4}") for i in range(50)})
