@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 
 from ..functions.labels import dispatch_kind
 
+BATCH_BYTES, BATCH_ROWS = 1 << 22, 5_000  # of member bytes and rows handed on at once, one archive at least
+
 MEMBER_SCHEMA = T.StructType([
     T.StructField("archive", T.StringType()),
     T.StructField("member", T.StringType()),
@@ -50,9 +52,16 @@ def _members(path: str, data: bytes) -> list[tuple]:
 
 def _explode(batches):
     columns = [f.name for f in MEMBER_SCHEMA.fields]
+    out, held = [], 0
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            yield pd.DataFrame(_members(path, bytes(content)), columns=columns)  # an archive at a time
+            rows = _members(path, bytes(content))
+            out += rows
+            held += sum(len(r[2] or b"") for r in rows)
+            if held >= BATCH_BYTES or len(out) >= BATCH_ROWS:  # small archives share a batch
+                yield pd.DataFrame(out, columns=columns)
+                out, held = [], 0
+    yield pd.DataFrame(out, columns=columns)
 
 
 def members_of(files: DataFrame) -> DataFrame:

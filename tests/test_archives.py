@@ -25,3 +25,18 @@ def test_archive_members(spark):
     assert ("b-1.0-py3-none-any.whl", "b/setup.py", True) in rows
     assert any(a == "bad-1.0.tar.gz" and not ok for a, _, ok in rows)
     assert archive_corpus(m).count() == 2
+
+
+def test_small_archives_share_batches(monkeypatch):
+    import pandas as pd
+
+    from pkgsieve.sources import archives as A
+
+    files = pd.DataFrame({"archive": [f"p{i}.whl" for i in range(30)], "member": [f"p/{i}.py" for i in range(30)],
+                          "content": [f"x = {i}\n" for i in range(30)], "corrupt": [i == 5 for i in range(30)]})
+    packed = list(A._pack([files]))
+    found = list(A._explode(packed))
+    assert len(found) == 1 and len(found[0]) == 30 and found[0]["error"].notna().sum() == 1
+    monkeypatch.setattr(A, "BATCH_ROWS", 7)
+    assert [len(f) for f in A._explode(packed)] == [7, 7, 7, 7, 2]
+    assert pd.concat(A._explode(packed))["member"].tolist() == found[0]["member"].tolist()
