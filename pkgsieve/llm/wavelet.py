@@ -68,14 +68,18 @@ class WordEncoder:
         them go to the tokenizer together."""
         # the vocabulary is lower case; special tokens are not folded
         folded = [t if b"<|" in t else t.lower() for t in texts]
+        # texts of bounded size are cut into words once, longer ones a second time rather than held
+        held = sum(map(len, folded)) <= 2 * GROUP_BYTES
+        pieces = [list(word_pieces(t)) for t in folded] if held else folded
+        cut_up = iter if held else word_pieces
         missing: set[bytes] = set()
-        for text in folded:
-            for words in word_pieces(text):
+        for text in pieces:
+            for words in cut_up(text):
                 missing.update(set(words).difference(self.now))
         if missing:
             self._learn(missing)
         get = self.now.__getitem__
-        out = [b"".join([b"".join(map(get, words)) for words in word_pieces(text)]) for text in folded]
+        out = [b"".join([b"".join(map(get, words)) for words in cut_up(text)]) for text in pieces]
         if len(self.now) > self.limit:
             self.old, self.now = self.now, {}
         return out

@@ -89,3 +89,18 @@ def test_edges_and_many_shards(spark):
 
 def test_empty_table(spark):
     assert W.encode_corpus(docs(spark, []), tokenizer_path()).count() == 0
+
+
+def test_texts_are_cut_into_words_once(monkeypatch):
+    import public_tokenizers
+
+    from pkgsieve.llm import wavelet
+
+    texts, cuts = [b"one two, three", b"", "zwei drei ä.".encode()], []
+    plain = wavelet.word_pieces
+    monkeypatch.setattr(wavelet, "word_pieces", lambda t: cuts.append(t) or plain(t))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    held = wavelet.WordEncoder(path).encode(texts)
+    assert len(cuts) == len(texts)
+    monkeypatch.setattr(wavelet, "GROUP_BYTES", 1)  # as for a text too long to be held cut up
+    assert wavelet.WordEncoder(path).encode(texts) == held
