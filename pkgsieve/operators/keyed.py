@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructType
 
-from .common import checkpoint_cut
+from .common import checkpoint_cut, local_rows
 from .sinks import _pick
 
 BUCKETS = 64
@@ -126,7 +126,7 @@ class KeyedTable:
                 merged = merged.where("not __gone")
             run, n = self._write(merged, f"{bid}-{len(runs) - 1}")
             runs = runs[:-2] + ([(run, n)] if n else [])
-        manifest = self.spark.createDataFrame([(k, r, n) for k, (r, n) in enumerate(runs)], MANIFEST)
+        manifest = local_rows(self.spark, [(k, r, n) for k, (r, n) in enumerate(runs)], StructType.fromDDL(MANIFEST))
         manifest.coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/batch={bid}")
         self._clean(bid, {r for r, _ in runs})
 

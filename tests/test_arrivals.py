@@ -65,3 +65,19 @@ def test_a_large_file_is_shared_by_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(sizes) < 2000 and sum(sizes) == 4000
+
+
+def test_small_blocks_share_a_batch(monkeypatch):
+    from pkgsieve.taint import arrivals
+
+    rows = [r for f in range(50) for r in ((f, 0, False, 1, None, 7, 70, 1, False, None, None, None), (f, 0, False, 5, 7, 8, None, None, None, [5], None, None))]
+    given = arrivals._batch(rows, ", ".join(f"{c} {k}" for c, k in zip(arrivals.ROWS, arrivals.KINDS)))
+    found = list(arrivals._within([given]))
+    assert [b.num_rows for b in found] == [100]
+    assert [tuple(r.values()) for r in found[0].to_pylist()[:2]] == [(0, 7, 70, 1), (0, 8, 70, 5)]
+    monkeypatch.setattr(arrivals, "BATCH", 10)
+    assert pa_rows(arrivals._within([given])) == pa_rows(found)
+
+
+def pa_rows(batches):
+    return [r for b in batches for r in b.to_pylist()]

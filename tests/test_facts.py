@@ -48,3 +48,13 @@ def test_copies_take_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(engine, "checkpoint_cut", lambda df, **k: written.append(1) or checkpoint_cut(df, **k))
     got = {(r.file_id, r.name): (r.value, r.variable) for r in engine._follow(links).collect()}
     assert got[1, "v499"] == ("k", "m") and got[2, "b"] == (None, "p.t.u") and len(got) == 502 and len(written) == 1
+
+
+def test_rules_are_local_rows(spark):
+    from pkgsieve.sources.rules import PAIR_SCHEMA, SPEC_SCHEMA, catalogue, load_rule_docs, rule_tables
+
+    cat = catalogue(load_rule_docs())
+    specs, pairs = rule_tables(spark)
+    for df, rows, schema in ((specs, cat.specs, SPEC_SCHEMA), (pairs, cat.pairs, PAIR_SCHEMA), (rule_tables(spark, rules={})[0], [], SPEC_SCHEMA)):
+        assert [tuple(r) for r in df.collect()] == rows and df.schema == schema
+        assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
