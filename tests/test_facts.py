@@ -32,6 +32,18 @@ def test_large_file_fills_several_batches():
     assert max(b.num_rows for b in found) == facts.ROWS_PER_BATCH and sum(b.num_rows for b in found) == 1 + 8 * 9000
 
 
+def test_files_are_walked_with_the_collector_off(monkeypatch):
+    import gc
+
+    seen, parse = [], facts.ast.parse
+    monkeypatch.setattr(facts.ast, "parse", lambda text: seen.append(gc.isenabled()) or parse(text))
+    rows = [r for b in _batches({1: "f(a)", 2: "f(:"}) for r in b.to_pylist()]
+    assert seen == [False, False] and gc.isenabled()
+    names = [(r["seq"], r["parent"], r["ntype"], r["ctx"], r["end_seq"], r["up"]) for r in rows if r["kind"] == "node" and r["seq"] > 2]
+    assert names == [(3, 2, "Name", "Load", 4, []), (4, 3, "Load", None, 4, []), (5, 2, "Name", "Load", 6, []),
+                     (6, 5, "Load", None, 6, [{"seq": 5, "lines": []}])]
+
+
 def test_facts_are_written_without_a_sort(spark, tmp_path):
     seen = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
     out = checkpoint_cut(spark.range(1000).selectExpr("id", "cast(id % 5 as string) as kind"), by="kind")
