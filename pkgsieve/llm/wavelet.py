@@ -23,9 +23,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,29 @@ ROWS_PER_TASK = 1 << 16
 GROUP_BYTES = 1 << 21
 SAMPLE = 64  # words of a plane between two rank samples
 MAGIC = b"WVM1"
-_CLOSING = b".,!?;:"
+# the characters of plain words: letters that NFC leaves alone, digits, and marks but for the apostrophe
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = [c for c in map(chr, [*range(0x21, 0x7f), *range(0xc0, 0x100)]) if c not in "'×÷"]
+_plain = re.compile(f"[!-&(-~{_LETTERS}]+").fullmatch
+_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+").findall
+# the steps before the model for which that holds
+_STEPS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
+
+
+class _Words(dict):
+    """Ids (little-endian u32) by word; a word not yet known is encoded when it is looked up."""
+
+    def __init__(self, learn: Callable[[bytes], bytes], old: dict[bytes, bytes]):
+        super().__init__()
+        self.learn, self.old = learn, old
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.old.get(word) or self.learn(word)
+        return found
 
 
 class WordEncoder:
@@ -53,6 +76,13 @@ class WordEncoder:
     a text's ids are those of its words in order; each distinct word is
     encoded once per worker.  Two generations bound the memory: a word seen
     again is carried over, others are forgotten.
+
+    A word of printable ASCII and Latin-1 letters is cut into the runs that the
+    tokenizer's pre-tokenizer cuts (letters, single digits, the rest) and these
+    go to the library's model directly, mapped character by character as the
+    normalizer and the byte-level step map them; any other word, one with an
+    apostrophe (its own patterns) or of a vocabulary with other steps goes
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
@@ -60,42 +90,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.now: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.shown = self._mapped()
+        self.words = _Words(self._learn, {})
+
+    def _mapped(self) -> dict[int, str]:
+        """What the model gets for each character of the plain words; empty if the steps before it are others."""
+        before, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if before is None or cut is None or [json.loads(x.__getstate__()) for x in (before, cut)] != _STEPS:
+            return {}
+        return {ord(c): cut.pre_tokenize_str(before.normalize_str(c))[0][0] for c in _PLAIN}
 
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian u32; new words of all of
-        them go to the tokenizer together."""
+        """The ids of each text as little-endian u32."""
+        get = self.words.__getitem__
         # the vocabulary is lower case; special tokens are not folded
-        folded = [t if b"<|" in t else t.lower() for t in texts]
-        # texts of bounded size are cut into words once, longer ones a second time rather than held
-        held = sum(map(len, folded)) <= 2 * GROUP_BYTES
-        pieces = [list(word_pieces(t)) for t in folded] if held else folded
-        cut_up = iter if held else word_pieces
-        missing: set[bytes] = set()
-        for text in pieces:
-            for words in cut_up(text):
-                missing.update(set(words).difference(self.now))
-        if missing:
-            self._learn(missing)
-        get = self.now.__getitem__
-        out = [b"".join([b"".join(map(get, words)) for words in cut_up(text)]) for text in pieces]
-        if len(self.now) > self.limit:
-            self.old, self.now = self.now, {}
+        out = [b"".join([b"".join(map(get, words)) for words in word_pieces(t if b"<|" in t else t.lower())]) for t in texts]
+        if len(self.words) > self.limit:
+            self.words.old = {}
+            self.words = _Words(self._learn, self.words)
         return out
 
-    def _learn(self, missing: set[bytes]) -> None:
-        # a closing mark after a-z is a token run of its own
-        closed = {w for w in missing if w[-1] in _CLOSING and len(w) > 1 and 97 <= w[-2] <= 122}
-        need = missing - closed
-        need.update([w[:-1] for w in closed], [w[-1:] for w in closed])
-        need = need.difference(self.now)
-        again = {w: self.old[w] for w in need if w in self.old}
-        self.now.update(again)
-        new = list(need.difference(again))
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.now.update(zip(new, [array("I", e.ids).tobytes() for e in found]))
-        self.now.update([(w, self.now[w[:-1]] + self.now[w[-1:]]) for w in closed])
+    def _learn(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if not self.shown or b"<|" in word or not _plain(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        runs = _RUNS(text)
+        if len(runs) > 1:
+            return b"".join([self.words[run.encode()] for run in runs])
+        return array("I", [t.id for t in self.model.tokenize(text.translate(self.shown))]).tobytes()
 
 
 def _groups(rows: Iterable[tuple], size: int) -> Iterator[list[tuple]]:

@@ -104,3 +104,22 @@ def test_texts_are_cut_into_words_once(monkeypatch):
     assert len(cuts) == len(texts)
     monkeypatch.setattr(wavelet, "GROUP_BYTES", 1)  # as for a text too long to be held cut up
     assert wavelet.WordEncoder(path).encode(texts) == held
+
+
+def test_plain_words_go_to_the_model_alone():
+    text = "Straße ÉTÉ x2y, a,b!! zwei** 42 É. ñandú"
+    encoder = W.WordEncoder(tokenizer_path())
+    others = W.WordEncoder(tokenizer_path())
+    others.shown = {}  # as for a vocabulary with other steps
+    encoder.tokenizer = None
+    found = encoder.encode([text.encode()])
+    assert np.frombuffer(found[0], dtype="<u4").tolist() == whole(text) and others.encode([text.encode()]) == found
+
+
+def test_words_are_forgotten_after_two_generations():
+    encoder = W.WordEncoder(tokenizer_path(), limit=3)
+    first = encoder.encode([b"one two three four"])
+    assert not encoder.words and set(encoder.words.old) == {b"one", b"two", b"three", b"four"}
+    assert encoder.encode([b"one two three four"]) == first
+    encoder.encode([b"five six seven eight"])
+    assert b"one" not in encoder.words.old and not encoder.words.old.old
