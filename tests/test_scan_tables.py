@@ -2,7 +2,7 @@
 import pytest
 
 from pkgsieve.operators.common import checkpoint_cut, joined_in_place
-from pkgsieve.taint import scanner
+from pkgsieve.taint import engine, scanner
 from pkgsieve.taint.scanner import TEMPLATES, file_metrics, scan_corpus
 
 
@@ -49,3 +49,18 @@ def test_lines_are_counted_below_the_joins(corpus):
     exchanged = [line for line in plan.splitlines() if "SortMergeJoin" in line or "BroadcastHashJoin" in line]
     first_join = plan.index(exchanged[-1])
     assert "content" not in plan[:first_join]
+
+
+def test_stations_are_kept_where_a_taint_begins_or_is_read(corpus):
+    nodes = scan_corpus(corpus).facts.nodes.where("size(up) > 0")
+    kinds = {(r.ntype, r.ctx) for r in nodes.select("ntype", "ctx").distinct().collect()}
+    assert ("Name", "Load") in kinds and not [k for k in kinds if k[1] != "Load" and k[0] not in ("Call", "Constant")]
+
+
+def test_a_round_of_imports_joins_no_names(corpus, monkeypatch):
+    plans = []
+    monkeypatch.setattr(engine, "checkpoint_cut", lambda df, **k: plans.append((df.columns, _plan(df))) or checkpoint_cut(df, **k))
+    calls = scan_corpus(corpus).call_names
+    rounds = [plan for columns, plan in plans if columns == ["file_id", "seq", "dyn"]]
+    assert len(rounds) == 2 and max(p.count("SortMergeJoin") for p in rounds) <= 3
+    assert {r.func for r in calls.where("file_id = 14").collect()} == {"importlib.import_module", "os.system", "os.path.exists"}
